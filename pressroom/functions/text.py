@@ -139,7 +139,7 @@ def rfc822_day(c) -> Column:
     txt = F.format_string("%04d-%02d-%02d", year, m, d.try_cast("int"))
     ok_time = ((hh.try_cast("int") <= 23) & (mi.try_cast("int") <= 59)
                & ((ss == "") | (ss.try_cast("int") <= 59)))
-    day = F.try_to_date(txt, F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(txt, "yyyy-MM-dd")
     return F.when((d != "") & m.isNotNull() & ok_time & day.isNotNull(),
                   F.date_format(day, "yyyy-MM-dd")).otherwise(F.lit(""))
 

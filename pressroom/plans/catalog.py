@@ -91,3 +91,195 @@ def q_url_clean(spark, sf_dir):
         T.url_drop_query("url").alias("no_query"),
         T.url_absolute(path, "https://www.migalhas.com.br").alias("absolute"),
         T.url_store_clean(F.concat(F.lit(' "'), F.col("url"), F.lit('" '))).alias("store_url"))
+
+
+# ------------------------------------------------------------------ routing and lanes
+
+# Test registry over the test hosts: a nested domain (T2) and a look-alike substring.
+TEST_REGISTRY = [
+    ("t_blog", "tionsh.example.net", "meta"),
+    ("t_outer", "ththan.example.net", "paragraph"),
+    ("t_inner", "blog.ththan.example.net", "paragraph"),
+    ("t_org", "thther.example.org", "meta"),
+    ("t_look", "ther", "paragraph"),
+    ("t_com", "example.com", "meta"),
+]
+
+
+def _pairs():
+    return [(k, d) for k, d, _ in TEST_REGISTRY]
+
+
+def q_route_host(spark, sf_dir):
+    """First-match and longest-suffix routing of every page host."""
+    from pressroom.operators.route import route
+
+    pages = load(spark, sf_dir, "pages")
+    return pages.select("page_id", T.url_host("url").alias("host"),
+                        route("url", _pairs(), "first").alias("outlet_first"),
+                        route("url", _pairs(), "longest").alias("outlet_longest"))
+
+
+def q_lane_dispatch(spark, sf_dir):
+    """Lane chosen per page by routing; unrouted pages take the generic lane."""
+    from pressroom.operators.route import route
+
+    pages = load(spark, sf_dir, "pages")
+    lane_of = F.create_map(*[x for k, _, ln in TEST_REGISTRY for x in (F.lit(k), F.lit(ln))])
+    r = route("url", _pairs(), "first")
+    d = pages.select("page_id", "url", "html", F.coalesce(F.element_at(lane_of, r), F.lit("generic")).alias("lane"))
+    d = d.withColumn("min_chars", F.when(F.col("lane") == "meta", 300).otherwise(200))
+    out = LN.regex_dispatch(d, "lane", "html", "url", "min_chars")
+    return out.select("page_id", "lane", "title", "date", "summary", "ok",
+                      F.length("text").cast("long").alias("n_chars"))
+
+
+# ------------------------------------------------------------------ feeds and sitemaps
+
+def doc_feeds(spark, sf_dir) -> DataFrame:
+    """One RSS body per document: an item per text line, built from the line."""
+    docs = load(spark, sf_dir, "documents")
+    lines = F.split(F.col("text"), "\n")
+
+    def item(line, i):
+        title = F.substring(line, 1, 80)
+        title_x = F.when(F.contains(line, F.lit(",")),
+                         F.concat(F.lit("<![CDATA[ "), title, F.lit(" ]]>"))).otherwise(title)
+        link = F.when(F.length(line) >= 40, F.concat(
+            F.lit("<link>https://www."), F.col("source"), F.lit(".example.com/"), F.col("lang"), F.lit("/"),
+            F.col("doc_id").cast("string"), F.lit("-"), i.cast("string"), F.lit("</link>"))).otherwise(F.lit(""))
+        day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") + i).cast("int"))
+        pub = F.when(F.contains(line, F.lit("?")), F.lit("not a date")).otherwise(
+            F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 23:30:00 -0300")))
+        src = F.when(F.contains(line, F.lit(".")), F.concat(
+            F.lit('<source url="https://x.example">'), F.col("source"), F.lit("</source>"))).otherwise(F.lit(""))
+        return F.concat(F.lit("<item><title>"), title_x, F.lit("</title>"), link,
+                        F.lit("<pubDate>"), pub, F.lit("</pubDate>"), src, F.lit("</item>"))
+
+    xml = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(lines, item), ""), F.lit("</channel></rss>"))
+    return docs.select("doc_id", "source", xml.alias("xml"))
+
+
+def q_rss_items(spark, sf_dir):
+    """First 25 items of each feed, linked ones kept."""
+    from pressroom.sources.feeds import rss_items
+
+    d = rss_items(doc_feeds(spark, sf_dir).drop("source"), max_items=25, site="site.example")
+    return d.select("doc_id", "item_pos", "title", "url", "date", "source")
+
+
+def q_feed_top_n(spark, sf_dir):
+    """L1: 25 x max_pages items cut before dropping the ones without a link."""
+    from pressroom.sources.feeds import rss_items
+
+    d = rss_items(doc_feeds(spark, sf_dir).drop("source"), max_items=25 * 2)
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.max("item_pos").cast("long").alias("last_pos"))
+
+
+STRICT_QUERY = "Tion ment, para TION"
+
+
+def q_rss_strict(spark, sf_dir):
+    """Strict items, excluded paths, keyword minimum on the title."""
+    from pressroom.sources.feeds import rss_strict
+
+    feeds = doc_feeds(spark, sf_dir).drop("source")
+    kws = T.query_tokens(F.lit(STRICT_QUERY), distinct=True)
+    d = rss_strict(feeds, kws, exclude=("/de/", "/es/"))
+    return d.select("doc_id", "item_pos", "title", "url")
+
+
+def order_index(spark, sf_dir) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    d = F.date_format("o_orderdate", "yyyy/MM/dd")
+    loc = lambda host, n: F.concat(F.lit(f"<sitemap><loc>https://{host}/sitemap/oglobo/"), d,
+                                   F.lit("_"), n.cast("string"), F.lit(".xml</loc></sitemap>"))
+    xml = F.concat(F.lit("<sitemapindex>"), loc("oglobo.globo.com", F.col("o_custkey")),
+                   loc("other.example.com", F.col("o_orderkey")), loc("oglobo.globo.com", F.col("o_orderkey")),
+                   F.lit("</sitemapindex>"))
+    return orders.select("o_orderkey", xml.alias("xml"))
+
+
+def q_sitemap_years(spark, sf_dir):
+    """Daily sitemap locations of the index, years 1996..1999."""
+    from pressroom.sources.feeds import sitemap_index
+
+    d = sitemap_index(order_index(spark, sf_dir), year_from=1996, year_to=1999)
+    return d.select("o_orderkey", "loc_pos", "loc", "year")
+
+
+def page_sitemaps(pages: DataFrame) -> DataFrame:
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/]+(/[^?#]*)", 1)
+    xml = F.concat(F.lit("<urlset><url><loc>  "), F.col("url"), F.lit(" </loc></url><url><loc>https://oglobo.globo.com"),
+                   path, F.lit("</loc></url><url><loc>ftp://x.example/a</loc></url></urlset>"))
+    return pages.select("page_id", xml.alias("xml"))
+
+
+SITEMAP_KEYWORDS = ["/en/", "blog", "html"]
+
+
+def q_sitemap_urls(spark, sf_dir):
+    """Host-restricted and blank-tolerant sitemap entries, keyword-filtered."""
+    from pressroom.sources.feeds import SITEMAP_ANY_RX, SITEMAP_HOST_RX, sitemap_urls
+
+    sm = page_sitemaps(load(spark, sf_dir, "pages"))
+    a = sitemap_urls(sm, pattern=SITEMAP_HOST_RX, keywords=SITEMAP_KEYWORDS).withColumn("kind", F.lit("host"))
+    b = sitemap_urls(sm, pattern=SITEMAP_ANY_RX, keywords=SITEMAP_KEYWORDS).withColumn("kind", F.lit("any"))
+    return a.unionByName(b).select("page_id", "kind", "loc_pos", "url")
+
+
+TOPIC_QUERY = "ththan thther blog tionsh"
+
+
+def page_topics(pages: DataFrame) -> DataFrame:
+    lang = F.regexp_extract("url", r"/(en|fr|es|de)/", 1)
+    sec = (F.when(lang == "en", "politica").when(lang == "fr", "brasil").when(lang == "es", "economia")
+           .otherwise("esportes"))
+    host = T.url_host("url")
+    num = F.regexp_extract("url", r"/([0-9]+)", 1)
+    link = F.concat(F.lit('<a href="https://www.estadao.com.br/'), sec, F.lit("/"), host, F.lit("/"), num,
+                    F.lit('/">x</a>'))
+    short = F.concat(F.lit('<a href="https://www.estadao.com.br/'), sec, F.lit("/"), num, F.lit('">y</a>'))
+    return pages.select("page_id", F.concat(link, short, link).alias("html"))
+
+
+def q_topic_links(spark, sf_dir):
+    """Distinct topic links, >= 5 slashes, keyword on the URL."""
+    from pressroom.sources.feeds import topic_links
+
+    kws = T.query_tokens(F.lit(TOPIC_QUERY))
+    d = topic_links(page_topics(load(spark, sf_dir, "pages")), keywords=kws)
+    return d.select("page_id", "link_pos", "url")
+
+
+LITERAL_URLS = ["https://inline.example.org/a/", " https://inline.example.org/b "]
+
+
+def q_url_list(spark, sf_dir):
+    """URL file lines built from pages, plus inline URLs, cleaned."""
+    from pressroom.sources.feeds import url_lines
+
+    pages = load(spark, sf_dir, "pages")
+    content = F.concat_ws("\n", F.col("url"), F.concat(F.lit("# seen "), F.col("url")), F.lit(""),
+                          F.concat(F.lit("  # "), F.col("page_id").cast("string")),
+                          F.concat(F.lit("  "), F.col("url"), F.lit("/  ")))
+    lines = url_lines(pages.select("page_id", content.alias("value")))
+    inline = spark.createDataFrame([(-1, i + 1, u) for i, u in enumerate(LITERAL_URLS)],
+                                   "page_id long, line_no long, url string")
+    d = inline.unionByName(lines)
+    return d.select("page_id", "line_no", T.url_fetch_clean("url").alias("url"))
+
+
+def q_anchor_list(spark, sf_dir):
+    """Section links of each host's pages, first seen, stop at a page adding nothing."""
+    from pressroom.operators.discovery import dedup_pages_then_stop
+    from pressroom.sources.feeds import section_links
+
+    pages = load(spark, sf_dir, "pages").select(
+        T.url_host("url").alias("search"),
+        F.regexp_extract("url", r"/([0-9]+)", 1).try_cast("int").alias("page_no"), "html"
+    ).where(F.col("page_no").isNotNull())
+    links = section_links(pages, ("/t", "/a", "/e"), "https://www.migalhas.com.br", "migalhas.com.br")
+    out = dedup_pages_then_stop(links.select("search", "page_no", "a_pos", "url", "title"),
+                                pages.select("search", "page_no"), ["search"])
+    return out.select("search", "page_no", "a_pos", "url", "title")

@@ -97,3 +97,180 @@ def url_clean() -> str:
             f"CASE WHEN starts_with({path}, '/') THEN 'https://www.migalhas.com.br' || {path} ELSE {path} END AS absolute, "
             f"{S.url_store_clean(chr(39) + ' ' + chr(34) + chr(39) + ' || url || ' + chr(39) + chr(34) + ' ' + chr(39))} AS store_url "
             f"FROM pages")
+
+
+# ------------------------------------------------------------------ routing and lanes
+
+def _route_sql(url: str, mode: str) -> str:
+    from pressroom.plans.catalog import TEST_REGISTRY
+
+    host = S.url_host(url)
+    if mode == "first":
+        arms = [f"WHEN contains({host}, {S.q(d)}) THEN {S.q(k)}" for k, d, _ in TEST_REGISTRY]
+    else:
+        ranked = sorted(enumerate(TEST_REGISTRY), key=lambda x: (-len(x[1][1]), x[0]))
+        arms = [f"WHEN {host} = {S.q(d)} OR ends_with({host}, {S.q('.' + d)}) THEN {S.q(k)}"
+                for _, (k, d, _) in ranked]
+    return "(CASE " + " ".join(arms) + " END)"
+
+
+def route_host() -> str:
+    return (f"SELECT page_id, {S.url_host('url')} AS host, {_route_sql('url', 'first')} AS outlet_first, "
+            f"{_route_sql('url', 'longest')} AS outlet_longest FROM pages")
+
+
+def lane_dispatch() -> str:
+    from pressroom.plans.catalog import TEST_REGISTRY
+
+    lane_case = "(CASE " + " ".join(f"WHEN r = {S.q(k)} THEN {S.q(ln)}" for k, _, ln in TEST_REGISTRY) + " END)"
+    return ("WITH r0 AS (SELECT page_id, url, coalesce(html, '') AS html, " + _route_sql("url", "first") + " AS r FROM pages),"
+            " src AS (SELECT page_id, url, html, coalesce(" + lane_case + ", 'generic') AS lane FROM r0),"
+            " src2 AS (SELECT page_id, url, lane, CASE WHEN lane = 'meta' THEN 300 ELSE 200 END AS min_chars, html FROM src),"
+            + regex_lanes_sql("src2").replace("SELECT url, lane", "SELECT page_id, url, lane")
+            + " SELECT page_id, lane, title, date, summary, ok, CAST(length(text) AS BIGINT) AS n_chars FROM lanes")
+
+
+# ------------------------------------------------------------------ feeds and sitemaps
+
+DOC_FEEDS = """
+    f AS (SELECT doc_id, '<rss><channel>' || array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
+        '<item><title>' || CASE WHEN contains(line, ',') THEN '<![CDATA[ ' || substring(line, 1, 80) || ' ]]>'
+                                ELSE substring(line, 1, 80) END || '</title>'
+        || CASE WHEN length(line) >= 40 THEN '<link>https://www.' || source || '.example.com/' || lang || '/'
+                || CAST(doc_id AS VARCHAR) || '-' || CAST(i - 1 AS VARCHAR) || '</link>' ELSE '' END
+        || '<pubDate>' || CASE WHEN contains(line, '?') THEN 'not a date'
+              ELSE strftime(DATE '2024-01-01' + CAST(doc_id + i - 1 AS INTEGER), '%a, %d %b %Y') || ' 23:30:00 -0300' END
+        || '</pubDate>'
+        || CASE WHEN contains(line, '.') THEN '<source url="https://x.example">' || source || '</source>' ELSE '' END
+        || '</item>'), '') || '</channel></rss>' AS xml FROM documents)"""
+
+ITEM = S.q(r"(?s)<item>(.*?)</item>")
+
+
+def _items(limit: str | None) -> str:
+    lst = f"regexp_extract_all(xml, {ITEM}, 1)"
+    if limit:
+        lst = f"list_slice({lst}, 1, {limit})"
+    return (f" it AS (SELECT doc_id, unnest(l) AS item, CAST(generate_subscripts(l, 1) AS BIGINT) AS item_pos "
+            f"FROM (SELECT doc_id, {lst} AS l FROM f)),"
+            f" fl AS (SELECT doc_id, item_pos, {S.clean(S.tag_text('item', 'title'))} AS title, "
+            f"{S.tag_text('item', 'link')} AS url, {S.rfc822_day(S.tag_text('item', 'pubDate'))} AS date, "
+            f"{S.first_nonempty(S.source_text('item'), S.q('site.example'))} AS source FROM it)")
+
+
+def rss_items() -> str:
+    return "WITH " + DOC_FEEDS + "," + _items("25") + " SELECT doc_id, item_pos, title, url, date, source FROM fl WHERE url <> ''"
+
+
+def feed_top_n() -> str:
+    return ("WITH " + DOC_FEEDS + "," + _items("50") + " SELECT doc_id, count(*) AS kept, max(item_pos) AS last_pos "
+            "FROM fl WHERE url <> '' GROUP BY doc_id")
+
+
+def rss_strict() -> str:
+    from pressroom.functions.text import lit_regex  # noqa: F401
+    from pressroom.plans.catalog import STRICT_QUERY
+    from pressroom.sources.feeds import STRICT_LINK_RX, STRICT_TITLE_RX
+
+    kws = S.query_tokens(S.q(STRICT_QUERY))
+    need = f"greatest(1, least(2, len({kws})))"
+    return ("WITH " + DOC_FEEDS + ","
+            f" it AS (SELECT doc_id, unnest(l) AS item, CAST(generate_subscripts(l, 1) AS BIGINT) AS item_pos "
+            f"FROM (SELECT doc_id, regexp_extract_all(xml, {ITEM}, 1) AS l FROM f)),"
+            f" st AS (SELECT doc_id, item_pos, regexp_extract(item, {S.q(STRICT_TITLE_RX)}, 1) AS title, "
+            f"regexp_extract(item, {S.q(STRICT_LINK_RX)}, 1) AS url, regexp_matches(item, {S.q(STRICT_TITLE_RX)}) AS has_t FROM it)"
+            f" SELECT doc_id, item_pos, title, url FROM st WHERE has_t AND url <> '' "
+            f"AND NOT (contains(url, '/de/') OR contains(url, '/es/')) "
+            f"AND {S.keyword_hits('lower(title)', kws)} >= {need}")
+
+
+def sitemap_years() -> str:
+    from pressroom.sources.feeds import SITEMAP_INDEX_RX
+
+    d = "strftime(o_orderdate, '%Y/%m/%d')"
+
+    def loc(host, n):
+        return f"'<sitemap><loc>https://{host}/sitemap/oglobo/' || {d} || '_' || CAST({n} AS VARCHAR) || '.xml</loc></sitemap>'"
+
+    xml = (f"'<sitemapindex>' || {loc('oglobo.globo.com', 'o_custkey')} || {loc('other.example.com', 'o_orderkey')} "
+           f"|| {loc('oglobo.globo.com', 'o_orderkey')} || '</sitemapindex>'")
+    full = SITEMAP_INDEX_RX.replace("<loc>(", "^(").replace(")</loc>", ")$")
+    return (f"WITH x AS (SELECT o_orderkey, regexp_extract_all({xml}, {S.q(SITEMAP_INDEX_RX)}, 1) AS l FROM orders),"
+            f" u AS (SELECT o_orderkey, unnest(l) AS loc, CAST(generate_subscripts(l, 1) AS BIGINT) AS loc_pos FROM x)"
+            f" SELECT o_orderkey, loc_pos, loc, CAST(regexp_extract(loc, {S.q(full)}, 2) AS INTEGER) AS year FROM u"
+            f" WHERE CAST(regexp_extract(loc, {S.q(full)}, 2) AS INTEGER) BETWEEN 1996 AND 1999")
+
+
+def sitemap_urls() -> str:
+    from pressroom.plans.catalog import SITEMAP_KEYWORDS
+    from pressroom.sources.feeds import SITEMAP_ANY_RX, SITEMAP_HOST_RX
+
+    path = "regexp_extract(url, '^[A-Za-z]+://[^/]+(/[^?#]*)', 1)"
+    xml = (f"'<urlset><url><loc>  ' || url || ' </loc></url><url><loc>https://oglobo.globo.com' || {path} "
+           f"|| '</loc></url><url><loc>ftp://x.example/a</loc></url></urlset>'")
+    kws = S.kw_list(SITEMAP_KEYWORDS)
+    parts = []
+    for kind, rx in (("host", SITEMAP_HOST_RX), ("any", SITEMAP_ANY_RX)):
+        parts.append(
+            f"SELECT page_id, '{kind}' AS kind, loc_pos, url FROM (SELECT page_id, unnest(l) AS url, "
+            f"CAST(generate_subscripts(l, 1) AS BIGINT) AS loc_pos FROM (SELECT page_id, "
+            f"regexp_extract_all({xml}, {S.q(rx)}, 1) AS l FROM pages)) WHERE {S.any_keyword('lower(url)', kws)}")
+    return " UNION ALL ".join(parts)
+
+
+def topic_links() -> str:
+    from pressroom.plans.catalog import TOPIC_QUERY
+    from pressroom.sources.feeds import TOPIC_RX
+
+    lang = "regexp_extract(url, '/(en|fr|es|de)/', 1)"
+    sec = (f"(CASE WHEN {lang} = 'en' THEN 'politica' WHEN {lang} = 'fr' THEN 'brasil' "
+           f"WHEN {lang} = 'es' THEN 'economia' ELSE 'esportes' END)")
+    num = "regexp_extract(url, '/([0-9]+)', 1)"
+    link = f"'<a href=\"https://www.estadao.com.br/' || {sec} || '/' || {S.url_host('url')} || '/' || {num} || '/\">x</a>'"
+    short = f"'<a href=\"https://www.estadao.com.br/' || {sec} || '/' || {num} || '\">y</a>'"
+    all_ = f"regexp_extract_all({link} || {short} || {link}, {S.q(TOPIC_RX)}, 1)"
+    dist = f"list_filter({all_}, lambda x, i: list_position({all_}, x) = i)"
+    kws = S.query_tokens(S.q(TOPIC_QUERY))
+    return (f"SELECT page_id, link_pos, url FROM (SELECT page_id, unnest(l) AS url, "
+            f"CAST(generate_subscripts(l, 1) AS BIGINT) AS link_pos FROM (SELECT page_id, {dist} AS l FROM pages)) "
+            f"WHERE {S.slash_count('url')} >= 5 AND {S.any_keyword('lower(url)', kws)}")
+
+
+def url_list() -> str:
+    from pressroom.plans.catalog import LITERAL_URLS
+
+    content = ("concat_ws(chr(10), url, '# seen ' || url, '', '  # ' || CAST(page_id AS VARCHAR), "
+               "'  ' || url || '/  ')")
+    inline = " UNION ALL ".join(
+        f"SELECT CAST(-1 AS BIGINT) AS page_id, CAST({i + 1} AS BIGINT) AS line_no, {S.q(u)} AS line"
+        for i, u in enumerate(LITERAL_URLS))
+    return (f"WITH l AS (SELECT page_id, unnest(x) AS line, CAST(generate_subscripts(x, 1) AS BIGINT) AS line_no "
+            f"FROM (SELECT page_id, string_split({content}, chr(10)) AS x FROM pages)),"
+            f" k AS (SELECT page_id, line_no, line FROM l WHERE {S.strip('line')} <> '' AND NOT starts_with(line, '#')"
+            f" UNION ALL {inline})"
+            f" SELECT page_id, line_no, {S.url_fetch_clean(S.strip('line'))} AS url FROM k")
+
+
+def anchor_list() -> str:
+    from pressroom.sources.feeds import ANCHOR_RX
+
+    ax = S.q(ANCHOR_RX)
+    return f"""WITH p AS (SELECT {S.url_host('url')} AS search,
+                     TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER) AS page_no, html FROM pages),
+      p2 AS (SELECT * FROM p WHERE page_no IS NOT NULL),
+      a AS (SELECT search, page_no, unnest(regexp_extract_all(html, {ax}, 1)) AS href,
+                   unnest(regexp_extract_all(html, {ax}, 2)) AS t,
+                   CAST(generate_subscripts(regexp_extract_all(html, {ax}, 1), 1) AS BIGINT) AS a_pos FROM p2),
+      l AS (SELECT search, page_no, a_pos,
+                   CASE WHEN starts_with(href, '/') THEN 'https://www.migalhas.com.br' || href ELSE href END AS url,
+                   {S.strip(S.rx_replace('t', '<[^>]+>', ''))} AS title
+              FROM a WHERE contains(href, '/t') OR contains(href, '/a') OR contains(href, '/e')),
+      l2 AS (SELECT * FROM l WHERE contains(url, 'migalhas.com.br')),
+      fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search, url ORDER BY page_no, a_pos) AS rn FROM l2)
+              WHERE rn = 1),
+      allp AS (SELECT DISTINCT search, page_no FROM p2),
+      ne AS (SELECT DISTINCT search, page_no FROM fs),
+      stop AS (SELECT allp.search, min(allp.page_no) AS st FROM allp LEFT JOIN ne
+                 ON allp.search = ne.search AND allp.page_no = ne.page_no WHERE ne.search IS NULL GROUP BY allp.search)
+    SELECT fs.search, fs.page_no, fs.a_pos, fs.url, fs.title FROM fs LEFT JOIN stop ON fs.search = stop.search
+     WHERE stop.st IS NULL OR fs.page_no < stop.st"""
