@@ -51,10 +51,9 @@ def render(runs: DataFrame, outlet_results: DataFrame) -> DataFrame:
                       py_repr("query"))
     ctx = F.when(F.coalesce(F.col("project_context"), F.lit("")) != "",
                  F.concat(F.lit("- _context: "), F.col("project_context"), F.lit("_")))
-    body = F.array_join(F.transform(F.coalesce(F.col("_l"), F.array().cast("array<struct<sel_ord:int,line:string>>")),
-                                    lambda x: x["line"]), "\n")
+    body = F.when(F.col("_l").isNotNull(), F.array_join(F.transform("_l", lambda x: x["line"]), "\n"))
     total = F.format_string("- **total added: %d**", F.coalesce(F.col("_total"), F.lit(0)).cast("long"))
-    parts = F.array_compact(F.array(header, ctx, F.when(body != "", body), total, F.lit("")))
+    parts = F.array_compact(F.array(header, ctx, body, total, F.lit("")))
     return r.select("run_id", F.concat(F.array_join(parts, "\n"), F.lit("\n")).alias("block"))
 
 

@@ -283,3 +283,368 @@ def q_anchor_list(spark, sf_dir):
     out = dedup_pages_then_stop(links.select("search", "page_no", "a_pos", "url", "title"),
                                 pages.select("search", "page_no"), ["search"])
     return out.select("search", "page_no", "a_pos", "url", "title")
+
+
+# ------------------------------------------------------------------ keywords and filters
+
+TOKEN_SUFFIX = " Operação Faroeste, sentença  VENDA venda "
+
+
+def q_query_tokens(spark, sf_dir):
+    """word runs of length >= 4 (repeats kept, and distinct)."""
+    part = load(spark, sf_dir, "part")
+    qtext = F.concat(F.col("p_name"), F.lit(TOKEN_SUFFIX), F.col("p_name"))
+    return part.select("p_partkey", T.query_tokens(qtext, distinct=False).alias("tokens_all"),
+                       T.query_tokens(qtext, distinct=True).alias("tokens"))
+
+
+URL_KEYWORDS = ["blog", "/en/", ".html"]
+
+
+def q_kw_any(spark, sf_dir):
+    """any keyword in the lower-cased URL; the sitemap outlet's default list."""
+    from pressroom.sources.outlets import DEFAULT_URL_KEYWORDS
+
+    pages = load(spark, sf_dir, "pages")
+    lc = F.lower("url")
+    return pages.select("page_id", T.any_keyword(lc, URL_KEYWORDS).alias("hit"),
+                        T.any_keyword(lc, DEFAULT_URL_KEYWORDS).alias("hit_default"))
+
+
+MIN_MATCH_QUERY = "tion ment that with"
+
+
+def q_kw_min_match(spark, sf_dir):
+    """keyword hits in the first 80 characters, at least min(2, n) required."""
+    docs = load(spark, sf_dir, "documents")
+    kws = T.query_tokens(F.lit(MIN_MATCH_QUERY))
+    title = F.lower(F.substring("text", 1, 80))
+    return docs.select("doc_id", T.keyword_hits(title, kws).cast("long").alias("n_hits"),
+                       T.min_keyword_match(title, kws).alias("keep"))
+
+
+def q_path_exclude(spark, sf_dir):
+    """URLs without excluded path segments."""
+    pages = load(spark, sf_dir, "pages")
+    return pages.where(~T.contains_any("url", ("/de/", "?page="))).select("page_id", "url")
+
+
+def doc_articles(docs: DataFrame) -> DataFrame:
+    """Stored rows built from documents: row number, URL, paywall flag by language."""
+    return docs.select(
+        (F.col("doc_id") + 1).alias("row_num"),
+        F.when(F.col("source") == "src0", F.lit("")).otherwise(F.concat(
+            F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string"))).alias("url"),
+        F.when(F.col("lang") == "de", F.lit("yes")).otherwise(F.lit("no")).alias("paywalled"),
+        F.substring("text", 1, 60).alias("title"))
+
+
+def doc_texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("n_chars") > 2000).select((F.col("doc_id") + 1).alias("row_num"), "text")
+
+
+def q_missing_texts(spark, sf_dir):
+    """Unpaywalled rows without a stored text."""
+    from pressroom.operators.store import missing_texts
+
+    docs = load(spark, sf_dir, "documents")
+    m = missing_texts(doc_articles(docs), doc_texts(docs))
+    return m.where(F.col("paywalled") != "yes").select("row_num", "url")
+
+
+def q_block_junk(spark, sf_dir):
+    """<p> blocks of every page against both outlets' junk rules."""
+    from pressroom.operators.domlanes import FOLHA_PHOTO_PREFIX, FOLHA_SKIP, GLOBO_SKIP
+
+    pages = load(spark, sf_dir, "pages")
+    ps = F.regexp_extract_all(F.col("html"), F.lit(r"(?s)<p[^>]*>(.+?)</p>"), F.lit(1))
+    d = pages.select("page_id", F.posexplode(ps).alias("pos", "raw"))
+    t = T.py_strip(F.regexp_replace("raw", r"<[^>]+>", ""))
+    d = d.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), t.alias("text"))
+    keep_f = ((F.length("text") >= 10) & ~T.contains_any("text", FOLHA_SKIP)
+              & ~F.col("text").startswith(FOLHA_PHOTO_PREFIX))
+    keep_g = (F.length("text") >= 10) & ~T.contains_any(F.lower("text"), GLOBO_SKIP)
+    return d.select("page_id", "pos", F.length("text").cast("long").alias("n_chars"),
+                    keep_f.alias("keep_folha"), keep_g.alias("keep_globo"))
+
+
+def titled_stubs(pages: DataFrame) -> DataFrame:
+    s = collect_stubs(pages)
+    p = pages.select("url", T.title_tag("html", ()).alias("_t"))
+    return (s.join(p, "url").withColumn("title", F.col("_t"))
+            .withColumn("date", F.when(F.col("url").contains("#top"), F.lit("2024-03-01")).otherwise(F.lit("")))
+            .drop("_t"))
+
+
+def q_dry_run(spark, sf_dir):
+    """new candidates with date or '?' and the title cut to 80."""
+    from pressroom.plans.collect import dry_run
+
+    pages = load(spark, sf_dir, "pages")
+    return dry_run(titled_stubs(pages), collect_store(pages))
+
+
+def q_novelty(spark, sf_dir):
+    """Pages whose URL is not in the store."""
+    from pressroom.operators.store import novelty
+
+    pages = load(spark, sf_dir, "pages")
+    return novelty(pages.select("page_id", "url"), collect_store(pages))
+
+
+def q_back_fill(spark, sf_dir):
+    """Extracted title / date fall back to the stub's."""
+    pages = load(spark, sf_dir, "pages")
+    spam = F.col("url").contains("cheap-pills") | F.col("url").contains("spam-farm")
+    x_title = F.when(spam, F.lit("")).otherwise(T.title_tag("html", (" - ", " | ")))
+    s_title = T.py_strip(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1))
+    s_date = F.when(F.col("url").contains("#top"), F.lit("2024-03-01")).otherwise(F.lit(""))
+    return pages.select("page_id", T.first_nonempty(x_title, s_title).alias("title"),
+                        T.first_nonempty(T.page_date("html"), s_date).alias("date"))
+
+
+def q_redirects(spark, sf_dir):
+    """Wrapped links resolved through captured redirects, unknown kept."""
+    from pressroom.sources.feeds import resolve_redirects
+
+    pages = load(spark, sf_dir, "pages")
+    wrapped = F.concat(F.lit("https://news.google.com/rss/articles/"), F.col("page_id").cast("string"))
+    stubs = pages.select("page_id", F.lit("wrapped").alias("kind"), wrapped.alias("url")).unionByName(
+        pages.where(F.col("url").startswith("http://")).select("page_id", F.lit("plain").alias("kind"), "url"))
+    red = pages.where(F.col("url").contains("/en/")).select(wrapped.alias("from_url"), F.col("url").alias("to_url"))
+    return resolve_redirects(stubs, red).select("page_id", "kind", "url")
+
+
+def doc_pages(docs: DataFrame) -> DataFrame:
+    """Captured pages of the document URLs: the text as paragraphs."""
+    a = doc_articles(docs)
+    html = F.concat(F.lit("<html><head><title>"), F.col("title"), F.lit("</title></head><body><article><p>"),
+                    F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
+    return a.join(docs.select((F.col("doc_id") + 1).alias("row_num"), "text"), "row_num") \
+        .where(F.col("url") != "").select("url", html.alias("html"))
+
+
+def q_repair_status(spark, sf_dir):
+    """A5: refetch of missing texts through routing and lanes, counts by status."""
+    from pressroom.plans.repair import repair_texts
+
+    docs = load(spark, sf_dir, "documents")
+    _, counts = repair_texts(doc_articles(docs), doc_texts(docs), doc_pages(docs), with_dom=False)
+    return counts.select("status", F.col("n").cast("long").alias("n"))
+
+
+def q_theme_counts(spark, sf_dir):
+    """Keyword hits per theme of the default taxonomy."""
+    from pressroom.functions.themes import theme_scores
+
+    docs = load(spark, sf_dir, "documents")
+    d = docs.select("doc_id", F.explode(theme_scores(F.lower("text"))).alias("s"))
+    return d.select("doc_id", F.col("s.theme").alias("theme"), F.col("s.n").cast("long").alias("n"))
+
+
+def q_theme_guess(spark, sf_dir):
+    """Arg-max theme, ties to the earlier theme, '' at zero."""
+    from pressroom.functions.themes import guess_theme
+
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", guess_theme("text").alias("theme"))
+
+
+# ------------------------------------------------------------------ audit and numbering
+
+def event_runs(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
+    res = ev.groupBy("run_id", "event_type").agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(F.col("value") >= 10).alias("new"),
+        F.count_if(F.col("value") >= 30).alias("added"))
+    res = res.select("run_id", F.col("event_type").alias("outlet"), F.col("event_type").alias("sel_ord"),
+                     F.lit(1).cast("long").alias("pages"), "hits", "new", "added",
+                     F.when(F.col("event_type") == "error",
+                            F.concat(F.lit("search failed: "), F.col("hits").cast("string"), F.lit(" errors")))
+                     .otherwise(F.lit("")).alias("note"))
+    runs = ev.groupBy("run_id").agg(F.min("ts").alias("ts")).select(
+        "run_id", "ts",
+        F.concat(F.when(F.dayofweek("ts") == 1, F.lit("o'clock ")).otherwise(F.lit("")), F.lit("events "),
+                 F.col("run_id")).alias("query"),
+        F.when(F.dayofmonth("ts") % 2 == 0, F.concat(F.lit("ctx "), F.col("run_id"))).otherwise(F.lit(""))
+        .alias("project_context"))
+    return runs, res
+
+
+def q_audit_render(spark, sf_dir):
+    """One markdown block per run (day) with a line per outlet (event type)."""
+    from pressroom.operators.audit import render
+
+    runs, res = event_runs(spark, sf_dir)
+    return render(runs, res)
+
+
+def q_row_numbers(spark, sf_dir):
+    """Rows appended after the store, numbered from max + 1 in (source, doc_id) order."""
+    from pressroom.operators.numbering import number_rows
+
+    docs = load(spark, sf_dir, "documents")
+    store = docs.where(F.col("lang") == "en").select((F.col("doc_id") + 1).alias("row_num"))
+    base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).first()[0]
+    new = docs.where(F.col("lang") != "en").select("doc_id", "source")
+    return number_rows(new, ["source", "doc_id"], base=base).select("doc_id", "row_num")
+
+
+def dup_stubs(pages: DataFrame) -> DataFrame:
+    s = collect_stubs(pages)
+    extra = (s.where(F.col("outlet_key") == "estadao")
+             .withColumn("url", F.split_part(F.col("url"), F.lit("#"), F.lit(1))).withColumn("page_no", F.lit(2)))
+    return s.unionByName(extra)
+
+
+def q_first_seen(spark, sf_dir):
+    """Union of three outlets' stubs with repeats, first seen per outlet and URL."""
+    from pressroom.operators.discovery import first_seen
+
+    s = dup_stubs(load(spark, sf_dir, "pages"))
+    return first_seen(s, ["outlet_key", "url"], ["page_no", "stub_ord"]).select(
+        "outlet_key", "url", F.col("page_no").cast("long").alias("page_no"), "stub_ord", "title")
+
+
+def _collect(spark, sf_dir):
+    from pressroom.plans.collect import collect
+
+    pages = load(spark, sf_dir, "pages")
+    sel = select_outlets(outlets_df(spark), "conjur,migalhas,estadao")
+    return collect(collect_stubs(pages), pages, sel, collect_store(pages), with_dom=False)
+
+
+def q_winner(spark, sf_dir):
+    """Per stub in_store / ok / is_new / is_winner."""
+    c = _collect(spark, sf_dir).stubs
+    return c.select("outlet_key", "url", "stub_ord", "in_store", "ok", "is_new", "is_winner")
+
+
+def q_known_growth(spark, sf_dir):
+    """The known URL set after the run."""
+    from pressroom.operators.store import known_urls
+
+    pages = load(spark, sf_dir, "pages")
+    res = _collect(spark, sf_dir)
+    return known_urls(collect_store(pages)).union(res.articles.select("url")).distinct()
+
+
+def q_collect_counts(spark, sf_dir):
+    """Hits / new / added per outlet and the run total (rollup)."""
+    from pressroom.operators.audit import totals
+
+    res = _collect(spark, sf_dir).outlet_results
+    t = totals(res)
+    return t.select("run_id", F.coalesce("outlet", F.lit("__total__")).alias("outlet"),
+                    *[F.col(k).cast("long").alias(k) for k in ("hits", "new", "added")])
+
+
+PAGE_STOP_MAX = 60
+
+
+def q_page_stop(spark, sf_dir):
+    """Result pages 1..60 per search, stop at the first page without results."""
+    from pressroom.operators.discovery import page_window, result_offset, stop_at_empty
+
+    ev = load(spark, sf_dir, "events").select(
+        F.col("event_type").alias("search"), F.dayofyear("ts").alias("page_no"), "event_id", "value")
+    ev = page_window(ev, PAGE_STOP_MAX)
+    items = ev.where(F.col("value") >= 49)
+    out = stop_at_empty(items.select("search", "page_no", "event_id"), ev, ["search"])
+    return out.select("search", F.col("page_no").cast("long").alias("page_no"), "event_id",
+                      result_offset("page_no").cast("long").alias("offset"))
+
+
+# ------------------------------------------------------------------ meta, dates, summaries
+
+def q_meta_title(spark, sf_dir):
+    """Og:title (present on https pages) before the cut <title> / the <h1>."""
+    pages = load(spark, sf_dir, "pages")
+    h1 = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
+    og = F.when(F.col("url").startswith("https"),
+                F.concat(F.lit('<meta property="og:title" content="'), h1, F.lit('">'))).otherwise(F.lit(""))
+    head = F.concat(og, F.col("html"))
+    return pages.select(
+        "page_id",
+        T.first_nonempty(T.meta_property(head, "og:title"), T.title_tag(head, (" - ", " | "))).alias("t_meta"),
+        T.first_nonempty(T.meta_property(head, "og:title"),
+                         T.py_strip(F.regexp_replace(h1, r"<[^>]+>", ""))).alias("t_h1"))
+
+
+def order_heads(orders: DataFrame) -> DataFrame:
+    d = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    html = (F.when(F.col("o_orderstatus") == "F",
+                   F.concat(F.lit('<meta property="article:published_time" content="'), d, F.lit('-03:00">')))
+            .when(F.col("o_orderstatus") == "O",
+                  F.concat(F.lit('<script>{"datePublished" : "'), d, F.lit('"}</script>')))
+            .otherwise(F.concat(F.lit('<time class="x" datetime="'), d, F.lit('">'))))
+    return orders.select("o_orderkey", html.alias("html"))
+
+
+def q_page_date(spark, sf_dir):
+    """Date chain with and without the <time> fallback."""
+    h = order_heads(load(spark, sf_dir, "orders"))
+    return h.select("o_orderkey", T.page_date("html", True).alias("d_meta"),
+                    T.page_date("html", False).alias("d_para"))
+
+
+def q_pt_date(spark, sf_dir):
+    """Portuguese dotted dates -> year-month (and the year-day form)."""
+    orders = load(spark, sf_dir, "orders")
+    mon = F.element_at(F.array(*[F.lit(m) for m in T.PT_MONTHS]), F.month("o_orderdate"))
+    mon = F.when(F.col("o_orderpriority").startswith("1"), F.lit("xyz")).otherwise(mon)
+    txt = F.concat(F.lit("Publicado em "), F.dayofmonth("o_orderdate").cast("string"), F.lit("."), mon, F.lit("."),
+                   F.year("o_orderdate").cast("string"), F.lit(" às 10h"))
+    return orders.select("o_orderkey", T.pt_dotted_month(txt).alias("month"),
+                         T.pt_dotted_month(txt, mode="day").alias("day_form"))
+
+
+def q_summary_lines(spark, sf_dir):
+    """Long-line summary, second chunk, first 300 characters."""
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.lines_summary("text").alias("s_lines"), T.second_chunk("text").alias("s_chunk"),
+                       F.substring("text", 1, 300).alias("s_first"))
+
+
+def q_text_names(spark, sf_dir):
+    """S3: zero-padded text names (at least three digits)."""
+    from pressroom.operators.store import text_key
+
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", text_key(F.col("doc_id") + 1).alias("name"),
+                       text_key(F.col("doc_id") * 7 + 1).alias("name_wide"))
+
+
+def q_stub_pages(spark, sf_dir):
+    """Stub URLs looked up in the captured pages; missing = failed fetch."""
+    pages = load(spark, sf_dir, "pages")
+    stubs = pages.select("url").unionByName(
+        pages.where(F.col("url").contains("#top")).select(F.concat("url", F.lit("x")).alias("url")))
+    d = stubs.join(pages.select("url", "html"), "url", "left")
+    return d.select("url", F.col("html").isNotNull().alias("fetched"),
+                    F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("n_chars"))
+
+
+SELECT_REQUEST = " T_blog, t_org,unknown, t_look ,t_com,t_inner"
+
+
+def test_outlets(spark):
+    from pressroom.sources.outlets import outlets_df
+
+    rows = [(k, k.upper(), d, "disabled" if k == "t_look" else "working", "native", 200, ln)
+            for k, d, ln in TEST_REGISTRY]
+    return outlets_df(spark, rows)
+
+
+def q_outlet_select(spark, sf_dir):
+    """Requested outlets (stripped, lower-cased, unknown and disabled
+    dropped, request order) with the number of pages routed to each."""
+    from pressroom.operators.route import route
+
+    pages = load(spark, sf_dir, "pages")
+    sel = select_outlets(test_outlets(spark), SELECT_REQUEST)
+    counts = pages.select(route("url", _pairs(), "first").alias("key")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_pages"))
+    d = sel.join(counts, "key", "left")
+    return d.select("key", F.col("sel_ord").cast("long").alias("sel_ord"), "name", "status", "search",
+                    F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"))

@@ -274,3 +274,285 @@ def anchor_list() -> str:
                  ON allp.search = ne.search AND allp.page_no = ne.page_no WHERE ne.search IS NULL GROUP BY allp.search)
     SELECT fs.search, fs.page_no, fs.a_pos, fs.url, fs.title FROM fs LEFT JOIN stop ON fs.search = stop.search
      WHERE stop.st IS NULL OR fs.page_no < stop.st"""
+
+
+# ------------------------------------------------------------------ keywords and filters
+
+def query_tokens() -> str:
+    from pressroom.plans.catalog import TOKEN_SUFFIX
+
+    qt = f"(p_name || {S.q(TOKEN_SUFFIX)} || p_name)"
+    return f"SELECT p_partkey, {S.query_tokens(qt, False)} AS tokens_all, {S.query_tokens(qt, True)} AS tokens FROM part"
+
+
+def kw_any() -> str:
+    from pressroom.plans.catalog import URL_KEYWORDS
+    from pressroom.sources.outlets import DEFAULT_URL_KEYWORDS
+
+    return (f"SELECT page_id, {S.any_keyword('lower(url)', S.kw_list(URL_KEYWORDS))} AS hit, "
+            f"{S.any_keyword('lower(url)', S.kw_list(DEFAULT_URL_KEYWORDS))} AS hit_default FROM pages")
+
+
+def kw_min_match() -> str:
+    from pressroom.plans.catalog import MIN_MATCH_QUERY
+
+    kws = S.query_tokens(S.q(MIN_MATCH_QUERY))
+    title = "lower(substring(text, 1, 80))"
+    return (f"SELECT doc_id, CAST({S.keyword_hits(title, kws)} AS BIGINT) AS n_hits, "
+            f"{S.keyword_hits(title, kws)} >= greatest(1, least(2, len({kws}))) AS keep FROM documents")
+
+
+def path_exclude() -> str:
+    return "SELECT page_id, url FROM pages WHERE NOT (contains(url, '/de/') OR contains(url, '?page='))"
+
+
+DOC_ARTICLES = """
+    a AS (SELECT doc_id + 1 AS row_num,
+                 CASE WHEN source = 'src0' THEN '' ELSE 'https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) END AS url,
+                 CASE WHEN lang = 'de' THEN 'yes' ELSE 'no' END AS paywalled, substring(text, 1, 60) AS title, text
+            FROM documents),
+    t AS (SELECT doc_id + 1 AS row_num, text FROM documents WHERE n_chars > 2000)"""
+
+
+def missing_texts() -> str:
+    return ("WITH " + DOC_ARTICLES + " SELECT row_num, url FROM a WHERE NOT EXISTS "
+            "(SELECT 1 FROM t WHERE t.row_num = a.row_num AND t.text <> '') AND paywalled <> 'yes'")
+
+
+def block_junk() -> str:
+    from pressroom.operators.domlanes import FOLHA_PHOTO_PREFIX, FOLHA_SKIP, GLOBO_SKIP
+
+    folha = " OR ".join(f"contains(text, {S.q(s)})" for s in FOLHA_SKIP)
+    globo = " OR ".join(f"contains(lower(text), {S.q(s)})" for s in GLOBO_SKIP)
+    return (f"WITH b AS (SELECT page_id, unnest(l) AS raw, CAST(generate_subscripts(l, 1) AS BIGINT) AS pos "
+            f"FROM (SELECT page_id, regexp_extract_all(html, {S.q(r'(?s)<p[^>]*>(.+?)</p>')}, 1) AS l FROM pages)),"
+            f" c AS (SELECT page_id, pos, {S.strip(S.rx_replace('raw', '<[^>]+>', ''))} AS text FROM b)"
+            f" SELECT page_id, pos, CAST(length(text) AS BIGINT) AS n_chars,"
+            f" length(text) >= 10 AND NOT ({folha}) AND NOT starts_with(text, {S.q(FOLHA_PHOTO_PREFIX)}) AS keep_folha,"
+            f" length(text) >= 10 AND NOT ({globo}) AS keep_globo FROM c")
+
+
+def dry_run() -> str:
+    return ("WITH " + COLLECT_STUBS.rsplit("keys AS", 1)[0].rstrip().rstrip(",") + ","
+            f" ts AS (SELECT stubs.outlet_key, stubs.url, {S.title_tag('p.html', ())} AS title,"
+            " CASE WHEN contains(stubs.url, '#top') THEN '2024-03-01' ELSE '' END AS date"
+            " FROM stubs JOIN pages p ON stubs.url = p.url)"
+            " SELECT outlet_key, url, CASE WHEN date <> '' THEN date ELSE '?' END AS date,"
+            " substring(coalesce(title, ''), 1, 80) AS title FROM ts"
+            " WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.kurl = ts.url)")
+
+
+def novelty() -> str:
+    return (f"SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages s "
+            f"WHERE contains(s.url, '{FEED_MARK}') AND s.url <> '' AND s.url = p.url)")
+
+
+def back_fill() -> str:
+    x_title = (f"CASE WHEN contains(url, 'cheap-pills') OR contains(url, 'spam-farm') THEN '' "
+               f"ELSE {S.title_tag('html', (' - ', ' | '))} END")
+    s_title = S.strip("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+    s_date = "CASE WHEN contains(url, '#top') THEN '2024-03-01' ELSE '' END"
+    return (f"SELECT page_id, {S.first_nonempty(x_title, s_title)} AS title, "
+            f"{S.first_nonempty(S.page_date('html', True), s_date)} AS date FROM pages")
+
+
+def redirects() -> str:
+    w = "'https://news.google.com/rss/articles/' || CAST(page_id AS VARCHAR)"
+    return (f"WITH st AS (SELECT page_id, 'wrapped' AS kind, {w} AS url FROM pages"
+            f" UNION ALL SELECT page_id, 'plain', url FROM pages WHERE starts_with(url, 'http://')),"
+            f" r AS (SELECT {w} AS from_url, url AS to_url FROM pages WHERE contains(url, '/en/'))"
+            f" SELECT st.page_id, st.kind, CASE WHEN contains(st.url, 'news.google.com') THEN coalesce(r.to_url, st.url)"
+            f" ELSE st.url END AS url FROM st LEFT JOIN r ON contains(st.url, 'news.google.com') AND st.url = r.from_url")
+
+
+def _registry_case(url: str, what: str) -> str:
+    from pressroom.plans.repair import DEFAULT_LANES
+
+    host = S.url_host(url)
+    idx = {"key": 0, "lane": 2, "min": 3}[what]
+    arms = " ".join(f"WHEN contains({host}, {S.q(d)}) THEN {S.q(r[idx]) if isinstance(r[idx], str) else r[idx]}"
+                    for r in DEFAULT_LANES for d in [r[1]])
+    dflt = {"key": "NULL", "lane": "'generic'", "min": "200"}[what]
+    return f"(CASE {arms} ELSE {dflt} END)"
+
+
+def repair_status() -> str:
+    html = ("'<html><head><title>' || a.title || '</title></head><body><article><p>' || "
+            "replace(a.text, chr(10), '</p><p>') || '</p></article></body></html>'")
+    return ("WITH " + DOC_ARTICLES + ","
+            " have AS (SELECT DISTINCT row_num FROM t WHERE coalesce(text, '') <> ''),"
+            " a2 AS (SELECT a.row_num, a.url, a.paywalled, have.row_num IS NOT NULL AS has_text FROM a LEFT JOIN have"
+            " ON a.row_num = have.row_num),"
+            f" pg AS (SELECT a.url, {html} AS html FROM a WHERE a.url <> ''),"
+            " td AS (SELECT *, paywalled <> 'yes' AND NOT has_text AND url <> '' AS todo FROM a2),"
+            f" keys AS (SELECT DISTINCT td.url, {_registry_case('td.url', 'lane')} AS lane,"
+            f" {_registry_case('td.url', 'min')} AS min_chars, coalesce(pg.html, '') AS html"
+            " FROM td LEFT JOIN pg ON td.url = pg.url WHERE todo),"
+            + regex_lanes_sql("keys") + ","
+            " st AS (SELECT CASE WHEN td.paywalled = 'yes' THEN 'skipped' WHEN td.has_text THEN 'skipped'"
+            " WHEN coalesce(td.url, '') = '' THEN 'failed'"
+            " WHEN coalesce(CASE WHEN l.ok THEN l.text END, '') <> '' THEN 'fetched' ELSE 'failed' END AS status"
+            " FROM td LEFT JOIN lanes l ON td.todo AND td.url = l.url)"
+            " SELECT status, count(*) AS n FROM st GROUP BY status")
+
+
+def _theme_hits():
+    from pressroom.functions.themes import DEFAULT_THEMES
+
+    return [(th, S.keyword_hits("lower(text)", S.kw_list(kws))) for th, kws in DEFAULT_THEMES.items()]
+
+
+def theme_counts() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, {S.q(th)} AS theme, CAST({h} AS BIGINT) AS n FROM documents"
+                              for th, h in _theme_hits())
+
+
+def theme_guess() -> str:
+    hs = _theme_hits()
+    cols = ", ".join(f"{h} AS n{i}" for i, (_, h) in enumerate(hs))
+    mx = "greatest(" + ", ".join(f"n{i}" for i in range(len(hs))) + ")"
+    arms = " ".join(f"WHEN n{i} = {mx} THEN {S.q(th)}" for i, (th, _) in enumerate(hs))
+    return f"SELECT doc_id, CASE WHEN {mx} = 0 THEN '' {arms} END AS theme FROM (SELECT doc_id, {cols} FROM documents)"
+
+
+# ------------------------------------------------------------------ audit and numbering
+
+def _py_repr(x: str) -> str:
+    esc = f"replace(replace(replace(replace({x}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    return (f"(CASE WHEN contains({x}, '''') AND NOT contains({x}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END)")
+
+
+def audit_render() -> str:
+    return f"""WITH ev AS (SELECT *, strftime(ts, '%Y-%m-%d') AS run_id FROM events),
+      res AS (SELECT run_id, event_type AS outlet, 1 AS pages, count(*) AS hits,
+                     count(*) FILTER (WHERE value >= 10) AS new, count(*) FILTER (WHERE value >= 30) AS added,
+                     CASE WHEN event_type = 'error' THEN 'search failed: ' || CAST(count(*) AS VARCHAR) || ' errors'
+                          ELSE '' END AS note
+                FROM ev GROUP BY run_id, event_type),
+      ln AS (SELECT run_id, string_agg(line, chr(10) ORDER BY outlet) AS body, sum(added) AS total FROM (
+               SELECT *, '- **' || outlet || '**: ' || hits || ' hits, ' || new || ' new, ' || added
+                         || ' added (pages: ' || pages || ')' || CASE WHEN note <> '' THEN ' — ' || note ELSE '' END AS line
+                 FROM res) GROUP BY run_id),
+      runs AS (SELECT run_id, min(ts) AS ts FROM ev GROUP BY run_id),
+      r2 AS (SELECT run_id, ts, CASE WHEN dayofweek(ts) = 0 THEN 'o''clock ' ELSE '' END || 'events ' || run_id AS query,
+                    CASE WHEN day(ts) % 2 = 0 THEN 'ctx ' || run_id ELSE '' END AS ctx FROM runs)
+    SELECT r2.run_id, '## ' || strftime(ts, '%Y-%m-%d %H:%M') || ' — query: ' || {_py_repr('query')} || chr(10)
+           || CASE WHEN ctx <> '' THEN '- _context: ' || ctx || '_' || chr(10) ELSE '' END
+           || coalesce(body || chr(10), '') || '- **total added: ' || CAST(coalesce(total, 0) AS BIGINT) || '**'
+           || chr(10) || chr(10) AS block
+      FROM r2 LEFT JOIN ln ON r2.run_id = ln.run_id"""
+
+
+def row_numbers() -> str:
+    return ("WITH st AS (SELECT doc_id + 1 AS row_num FROM documents WHERE lang = 'en'),"
+            " b AS (SELECT coalesce(max(row_num), 0) + 1 AS b FROM st)"
+            " SELECT doc_id, (SELECT b FROM b) + row_number() OVER (ORDER BY source, doc_id) - 1 AS row_num"
+            " FROM documents WHERE lang <> 'en'")
+
+
+def first_seen() -> str:
+    base = COLLECT_STUBS.split("store AS", 1)[0].rstrip().rstrip(",")
+    return ("WITH " + base + ","
+            " s2 AS (SELECT outlet_key, page_no, stub_ord, url, title FROM stubs UNION ALL"
+            " SELECT outlet_key, 2, stub_ord, split_part(url, '#', 1), title FROM stubs WHERE outlet_key = 'estadao')"
+            " SELECT outlet_key, url, CAST(page_no AS BIGINT) AS page_no, stub_ord, title FROM ("
+            " SELECT *, row_number() OVER (PARTITION BY outlet_key, url ORDER BY page_no, stub_ord) AS rn FROM s2)"
+            " WHERE rn = 1")
+
+
+def winner() -> str:
+    return "WITH " + COLLECT_CORE + " SELECT outlet_key, url, stub_ord, in_store, ok, is_new, is_winner FROM cw"
+
+
+def known_growth() -> str:
+    return "WITH " + COLLECT_CORE + " SELECT kurl AS url FROM known UNION SELECT url FROM cw WHERE is_winner"
+
+
+def collect_counts() -> str:
+    return ("WITH " + COLLECT_CORE + ","
+            " sel AS (SELECT * FROM (VALUES ('conjur', 1, 'Conjur'), ('migalhas', 2, 'Migalhas'),"
+            " ('estadao', 3, 'Estadao')) t(outlet_key, sel_ord, outlet)),"
+            " cnt AS (SELECT outlet_key, count(*) AS hits, count(*) FILTER (WHERE is_new) AS new,"
+            " count(*) FILTER (WHERE is_winner) AS added FROM cw GROUP BY outlet_key),"
+            " res AS (SELECT 'run' AS run_id, outlet, coalesce(hits, 0) AS hits, coalesce(new, 0) AS new,"
+            " coalesce(added, 0) AS added FROM sel LEFT JOIN cnt ON sel.outlet_key = cnt.outlet_key)"
+            " SELECT run_id, coalesce(outlet, '__total__') AS outlet, CAST(sum(hits) AS BIGINT) AS hits,"
+            " CAST(sum(new) AS BIGINT) AS new, CAST(sum(added) AS BIGINT) AS added"
+            " FROM res GROUP BY ROLLUP (run_id, outlet) HAVING run_id IS NOT NULL")
+
+
+def page_stop() -> str:
+    from pressroom.plans.catalog import PAGE_STOP_MAX
+
+    return f"""WITH ev AS (SELECT event_type AS search, dayofyear(ts) AS page_no, event_id, value FROM events
+                     WHERE dayofyear(ts) BETWEEN 1 AND {PAGE_STOP_MAX}),
+      items AS (SELECT search, page_no, event_id FROM ev WHERE value >= 49),
+      allp AS (SELECT DISTINCT search, page_no FROM ev),
+      ne AS (SELECT DISTINCT search, page_no FROM items),
+      stop AS (SELECT allp.search, min(allp.page_no) AS st FROM allp LEFT JOIN ne
+                 ON allp.search = ne.search AND allp.page_no = ne.page_no WHERE ne.search IS NULL GROUP BY allp.search)
+    SELECT i.search, CAST(i.page_no AS BIGINT) AS page_no, i.event_id,
+           CAST(CASE WHEN i.page_no > 1 THEN (i.page_no - 1) * 25 + 1 END AS BIGINT) AS offset
+      FROM items i LEFT JOIN stop ON i.search = stop.search WHERE stop.st IS NULL OR i.page_no < stop.st"""
+
+
+# ------------------------------------------------------------------ meta, dates, summaries
+
+def meta_title() -> str:
+    h1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+    head = (f"(CASE WHEN starts_with(url, 'https') THEN '<meta property=\"og:title\" content=\"' || {h1} || '\">' "
+            f"ELSE '' END || html)")
+    return (f"SELECT page_id, {S.first_nonempty(S.meta_property(head, 'og:title'), S.title_tag(head, (' - ', ' | ')))} AS t_meta, "
+            f"{S.first_nonempty(S.meta_property(head, 'og:title'), S.strip(S.rx_replace(h1, '<[^>]+>', '')))} AS t_h1 "
+            f"FROM pages")
+
+
+def page_date() -> str:
+    d = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
+    html = (f"(CASE WHEN o_orderstatus = 'F' THEN '<meta property=\"article:published_time\" content=\"' || {d} || '-03:00\">' "
+            f"WHEN o_orderstatus = 'O' THEN '<script>{{\"datePublished\" : \"' || {d} || '\"}}</script>' "
+            f"ELSE '<time class=\"x\" datetime=\"' || {d} || '\">' END)")
+    return (f"SELECT o_orderkey, {S.page_date(html, True)} AS d_meta, {S.page_date(html, False)} AS d_para "
+            f"FROM orders")
+
+
+def pt_date() -> str:
+    from pressroom.functions.text import PT_DOTTED, PT_MONTHS
+
+    months = "[" + ", ".join(S.q(m) for m in PT_MONTHS) + "]"
+    txt = (f"('Publicado em ' || CAST(day(o_orderdate) AS VARCHAR) || '.' || CASE WHEN starts_with(o_orderpriority, '1') "
+           f"THEN 'xyz' ELSE {months}[month(o_orderdate)] END || '.' || CAST(year(o_orderdate) AS VARCHAR) || ' às 10h')")
+    g = lambda i: f"regexp_extract(txt, {S.q(PT_DOTTED)}, {i})"
+    return (f"SELECT o_orderkey, {S.pt_dotted_month('txt')} AS month, CASE WHEN {g(1)} <> '' THEN {g(3)} || '-' || "
+            f"printf('%02d', CAST({g(1)} AS INTEGER)) ELSE '' END AS day_form FROM (SELECT o_orderkey, {txt} AS txt FROM orders)")
+
+
+def summary_lines() -> str:
+    return (f"SELECT doc_id, {S.lines_summary('text')} AS s_lines, {S.second_chunk('text')} AS s_chunk, "
+            f"substring(text, 1, 300) AS s_first FROM documents")
+
+
+def text_names() -> str:
+    return ("SELECT doc_id, printf('%03d', doc_id + 1) || '.txt' AS name, "
+            "printf('%03d', doc_id * 7 + 1) || '.txt' AS name_wide FROM documents")
+
+
+def stub_pages() -> str:
+    return ("WITH st AS (SELECT url FROM pages UNION ALL SELECT url || 'x' FROM pages WHERE contains(url, '#top'))"
+            " SELECT st.url, p.html IS NOT NULL AS fetched, CAST(coalesce(length(p.html), 0) AS BIGINT) AS n_chars"
+            " FROM st LEFT JOIN pages p ON st.url = p.url")
+
+
+def outlet_select() -> str:
+    from pressroom.plans.catalog import SELECT_REQUEST, TEST_REGISTRY
+
+    dim = ", ".join(f"({S.q(k)}, {S.q(k.upper())}, {S.q('disabled' if k == 't_look' else 'working')}, 'native')"
+                    for k, d, _ in TEST_REGISTRY)
+    toks = (f"list_filter(list_transform(string_split({S.q(SELECT_REQUEST)}, ','), lambda p: lower({S.strip('p')})),"
+            f" lambda p: p <> '')")
+    return (f"WITH dim AS (SELECT * FROM (VALUES {dim}) t(key, name, status, search)),"
+            f" req AS (SELECT unnest(l) AS key, CAST(generate_subscripts(l, 1) AS BIGINT) AS sel_ord FROM (SELECT {toks} AS l)),"
+            f" cnt AS (SELECT {_route_sql('url', 'first')} AS key, count(*) AS n_pages FROM pages GROUP BY 1)"
+            f" SELECT dim.key, req.sel_ord, dim.name, dim.status, dim.search, CAST(coalesce(cnt.n_pages, 0) AS BIGINT) AS n_pages"
+            f" FROM dim JOIN req ON dim.key = req.key LEFT JOIN cnt ON dim.key = cnt.key WHERE dim.status <> 'disabled'")

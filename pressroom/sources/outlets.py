@@ -23,6 +23,16 @@ OUTLET_ROWS = [
 ]
 GENERIC_MIN_CHARS = 200
 
+# URL-slug keywords the sitemap outlet scans for when none are given.
+DEFAULT_URL_KEYWORDS = [
+    "filhotismo", "nepotismo", "parente", "parentesco",
+    "impedimento", "suspeicao",
+    "venda-sentenca", "venda-decisao",
+    "corrupcao-tribunal", "corrupcao-judiciario",
+    "operacao-faroeste", "operacao-naufragio", "sisamnes",
+    "banco-master",
+]
+
 
 def outlet_rows(rows=OUTLET_ROWS) -> list[tuple]:
     return [(k, i + 1, n, d, s, q, m, lane) for i, (k, n, d, s, q, m, lane) in enumerate(rows)]
