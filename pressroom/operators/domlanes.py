@@ -65,6 +65,13 @@ def matches(x: Column, selector: str) -> Column:
     return p
 
 
+def matcher(selector: str):
+    """One-argument predicate for ``F.filter`` (a two-argument lambda would get the index)."""
+    def pred(x):
+        return matches(x, selector)
+    return pred
+
+
 def any_of(x: Column, selectors: Sequence[str]) -> Column:
     p = F.lit(False)
     for s in selectors:
@@ -105,70 +112,97 @@ def globo_keep(t: Column) -> Column:
     return (F.length(t) >= 10) & ~T.contains_any(F.lower(t), GLOBO_SKIP)
 
 
-def folha_lane(blocks: Column, html: Column) -> dict[str, Column]:
+def _staged(d: DataFrame, cond: Column, stages: list[tuple[str, Column]]) -> DataFrame:
+    """Materialise each stage as a column (only where ``cond``), so later
+    stages read it instead of re-evaluating it per element."""
+    for name, expr in stages:
+        d = d.withColumn(name, F.when(cond, expr))
+    return d
+
+
+def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") -> DataFrame:
     """X11 (+ X10 fallback): title, subtitle, author, date, '', body blocks."""
-    live = drop_subtrees(blocks, FOLHA_DROP)
-    title = F.coalesce(first(live, lambda x: x["tag"] == "h1")["text"], F.lit(""))
-    sub = first(live, lambda x: any_of(x, FOLHA_SUBTITLE))["text"]
-    author = first(live, lambda x: any_of(x, FOLHA_AUTHOR))["text"]
-    date_str = first(live, lambda x: x["tag"] == "time")["text"]
-    body = first(live, lambda x: any_of(x, FOLHA_BODY))
-    head = F.array_compact(F.array(F.when(title != "", title), sub, author, date_str, F.lit("")))
-    parts = F.when(body.isNotNull(), body_parts(live, body, folha_keep)).otherwise(F.array(T.html_to_text(html)))
-    text = _join(F.concat(head, parts))
-    return {"title": title, "date": T.pt_dotted_month(F.coalesce(date_str, F.lit(""))), "text": text,
-            "summary": T.second_chunk(text)}
-
-
-def globo_lane(blocks: Column, html: Column) -> dict[str, Column]:
+    c = F.col
+    d = _staged(d, cond, [
+        ("_f_live", drop_subtrees(c(b), FOLHA_DROP)),
+        ("_f_body", first(c("_f_live"), lambda x: any_of(x, FOLHA_BODY))),
+        ("_f_title", F.coalesce(first(c("_f_live"), lambda x: x["tag"] == "h1")["text"], F.lit(""))),
+        ("_f_date", first(c("_f_live"), lambda x: x["tag"] == "time")["text"]),
+    ])
+    head = F.array_compact(F.array(
+        F.when(c("_f_title") != "", c("_f_title")),
+        first(c("_f_live"), lambda x: any_of(x, FOLHA_SUBTITLE))["text"],
+        first(c("_f_live"), lambda x: any_of(x, FOLHA_AUTHOR))["text"],
+        c("_f_date"), F.lit("")))
+    parts = F.when(c("_f_body").isNotNull(), body_parts(c("_f_live"), c("_f_body"), folha_keep)) \
+        .otherwise(F.array(T.html_to_text(c(html))))
+    d = _staged(d, cond, [("_f_text", _join(F.concat(head, parts)))])
+    return d.withColumn("_f", F.when(cond, F.struct(
+        c("_f_title").alias("title"), T.pt_dotted_month(F.coalesce(c("_f_date"), F.lit(""))).alias("date"),
+        c("_f_text").alias("text"), T.second_chunk(c("_f_text")).alias("summary"))))
+
+
+def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") -> DataFrame:
     """X12 (+ X10 fallback): og:title or h1, description, date, '', body from
     the first container present in preference order."""
-    og = first(blocks, lambda x: (x["tag"] == "meta") & (x["prop"] == "og:title"))
+    c = F.col
+    og = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:title"))
     title = T.first_nonempty(F.coalesce(og["content"], F.lit("")),
-                             F.coalesce(first(blocks, lambda x: x["tag"] == "h1")["text"], F.lit("")))
-    dm = first(blocks, lambda x: (x["tag"] == "meta") & (x["prop"] == "article:published_time"))
+                             F.coalesce(first(c(b), lambda x: x["tag"] == "h1")["text"], F.lit("")))
+    dm = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "article:published_time"))
     date = T.first_nonempty(F.substring(F.coalesce(dm["content"], F.lit("")), 1, 10),
-                            F.substring(F.regexp_extract(html, T.DATE_JSON_LD, 1), 1, 10))
-    live = drop_subtrees(blocks, GLOBO_DROP)
-    od = first(live, lambda x: (x["tag"] == "meta") & (x["prop"] == "og:description"))
+                            F.substring(F.regexp_extract(c(html), T.DATE_JSON_LD, 1), 1, 10))
+    d = _staged(d, cond, [
+        ("_g_title", title), ("_g_date", date),
+        ("_g_live", drop_subtrees(c(b), GLOBO_DROP)),
+        ("_g_body", F.coalesce(*[first(c("_g_live"), matcher(s)) for s in GLOBO_BODY])),
+    ])
+    od = first(c("_g_live"), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:description"))
     desc = T.py_strip(F.coalesce(od["content"], F.lit("")))
-    body = F.coalesce(*[first(live, lambda x, s=s: matches(x, s)) for s in GLOBO_BODY])
-    head = F.array_compact(F.array(F.when(title != "", title), F.when(F.length(desc) > 30, desc),
-                                   F.when(date != "", date), F.lit("")))
-    parts = F.when(body.isNotNull(), body_parts(live, body, globo_keep)).otherwise(F.array(T.html_to_text(html)))
-    text = _join(F.concat(head, parts))
-    return {"title": title, "date": date, "text": text, "summary": T.second_chunk(text)}
+    head = F.array_compact(F.array(F.when(c("_g_title") != "", c("_g_title")), F.when(F.length(desc) > 30, desc),
+                                   F.when(c("_g_date") != "", c("_g_date")), F.lit("")))
+    parts = F.when(c("_g_body").isNotNull(), body_parts(c("_g_live"), c("_g_body"), globo_keep)) \
+        .otherwise(F.array(T.html_to_text(c(html))))
+    d = _staged(d, cond, [("_g_text", _join(F.concat(head, parts)))])
+    return d.withColumn("_g", F.when(cond, F.struct(
+        c("_g_title").alias("title"), c("_g_date").alias("date"), c("_g_text").alias("text"),
+        T.second_chunk(c("_g_text")).alias("summary"))))
 
 
-def piaui_lane(blocks: Column, html: Column) -> dict[str, Column]:
+def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") -> DataFrame:
     """First container with > 200 chars, else the last one found, else the page body."""
-    title = T.py_strip(F.coalesce(first(blocks, lambda x: x["tag"] == "h1")["lines"], F.lit("")))
-    found = F.array_compact(F.array(*[T.py_strip(first(blocks, lambda x, s=s: matches(x, s))["lines"])
-                                      for s in PIAUI_BODY]))
-    body = F.coalesce(F.try_element_at(F.filter(found, lambda t: F.length(t) > 200), F.lit(1)),
-                      F.try_element_at(found, F.lit(-1)), F.lit(""))
-    body = F.when(body == "", F.coalesce(first(blocks, lambda x: x["tag"] == "body")["lines"], F.lit(""))) \
-        .otherwise(body)
-    text = F.when(title != "", T.py_strip(F.concat(title, F.lit("\n\n"), body))).otherwise(body)
-    return {"title": title, "date": F.lit(""), "text": text, "summary": F.substring(body, 1, 300)}
+    c = F.col
+    title = T.py_strip(F.coalesce(first(c(b), lambda x: x["tag"] == "h1")["lines"], F.lit("")))
+    found = F.array_compact(F.array(*[T.py_strip(first(c(b), matcher(s))["lines"]) for s in PIAUI_BODY]))
+    d = _staged(d, cond, [("_p_title", title), ("_p_found", found)])
+    body = F.coalesce(F.try_element_at(F.filter(c("_p_found"), lambda t: F.length(t) > 200), F.lit(1)),
+                      F.try_element_at(c("_p_found"), F.lit(-1)), F.lit(""))
+    d = _staged(d, cond, [("_p_body", body)])
+    d = _staged(d, cond, [("_p_body", F.when(c("_p_body") == "", F.coalesce(
+        first(c(b), lambda x: x["tag"] == "body")["lines"], F.lit(""))).otherwise(c("_p_body")))])
+    text = F.when(c("_p_title") != "", T.py_strip(F.concat(c("_p_title"), F.lit("\n\n"), c("_p_body")))) \
+        .otherwise(c("_p_body"))
+    return d.withColumn("_p", F.when(cond, F.struct(
+        c("_p_title").alias("title"), F.lit("").alias("date"), text.alias("text"),
+        F.substring(c("_p_body"), 1, 300).alias("summary"))))
+
+
+LANE_FUNCS = {"folha": (folha_lane, "_f"), "globo": (globo_lane, "_g"), "piaui": (piaui_lane, "_p")}
 
 
 def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_chars: str = "min_chars") -> DataFrame:
     """X18 for DOM lanes: the block array is built once per page, then the lane's rules."""
+    cols = df.columns
     d = df.withColumn("_b", html_blocks(F.col(html)))
-    b, h, ln = F.col("_b"), F.col(html), F.col(lane)
-    lanes = {"folha": folha_lane(b, h), "globo": globo_lane(b, h), "piaui": piaui_lane(b, h)}
-
-    def pick(k):
-        out = F.lit(None).cast("string")
-        for name, cols in lanes.items():
-            out = F.when(ln == name, cols[k]).otherwise(out)
-        return out
-
-    d = d.withColumn("text", pick("text"))
-    ok = (F.col("text") != "") & (F.length("text") >= F.col(min_chars)) & (h != "")
-    return d.select("*", pick("title").alias("title"), pick("date").alias("date"), pick("summary").alias("summary"),
-                    F.coalesce(ok, F.lit(False)).alias("ok")).drop("_b")
+    ln = F.col(lane)
+    for name, (fn, _) in LANE_FUNCS.items():
+        d = fn(d, ln == name, "_b", html)
+    res = F.coalesce(*[F.col(k) for _, k in LANE_FUNCS.values()])
+    d = d.select(*cols, res.alias("_r"))
+    t = F.col("_r.text")
+    ok = (t != "") & (F.length(t) >= F.col(min_chars)) & (F.col(html) != "")
+    return d.select(*cols, F.col("_r.title").alias("title"), F.col("_r.date").alias("date"), t.alias("text"),
+                    F.col("_r.summary").alias("summary"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def result_items(pages: DataFrame, html: str = "html") -> DataFrame:

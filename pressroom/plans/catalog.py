@@ -648,3 +648,180 @@ def q_outlet_select(spark, sf_dir):
     d = sel.join(counts, "key", "left")
     return d.select("key", F.col("sel_ord").cast("long").alias("sel_ord"), "name", "status", "search",
                     F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"))
+
+
+# ------------------------------------------------------------------ DOM lanes (rows-only check)
+
+def doc_article_html(spark, sf_dir) -> DataFrame:
+    """Article HTML per document in the three outlets' layouts, chosen by language:
+    en -> folha body / globo container / piaui .post-content; fr -> itemprop body;
+    es -> no subtitle, 'article' only; de -> no body container at all."""
+    docs = load(spark, sf_dir, "documents")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(T.py_strip(x)) > 0)
+    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    second = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
+    paras = F.array_join(F.transform(F.slice(lines, 2, 100000), lambda x, i: F.when(
+        (i % 7) == 3, F.concat(F.lit("<h3>"), x, F.lit("</h3>"))).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))), "")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int"))
+    mon = F.element_at(F.array(*[F.lit(m) for m in T.PT_MONTHS]), F.month(day))
+    pt = F.concat(F.dayofmonth(day).cast("string"), F.lit("."), mon, F.lit("."), F.year(day).cast("string"))
+    lang = F.col("lang")
+    open_body = (F.when(lang == "en", F.lit('<div class="c-news__body article__content-container post-content">'))
+                 .when(lang == "fr", F.lit('<div itemprop="articleBody" class="entry-content">'))
+                 .when(lang == "es", F.lit('<div class="content-text">'))
+                 .otherwise(F.lit("<section>")))
+    sub = F.when(lang == "es", F.lit("")).otherwise(
+        F.concat(F.lit('<h2 class="c-news__subtitle">'), second, F.lit("</h2>")))
+    art_open = F.when(lang == "de", F.lit("<main>")).otherwise(F.lit("<article>"))
+    art_close = F.when(lang == "de", F.lit("</main>")).otherwise(F.lit("</article>"))
+    html = F.concat(
+        F.lit('<html><head><title>'), F.substring(first, 1, 60), F.lit(" - Jornal</title>"),
+        F.lit('<meta property="og:description" content="'), F.regexp_replace(second, '"', ""), F.lit('">'),
+        F.lit('<meta property="article:published_time" content="'), F.date_format(day, "yyyy-MM-dd"),
+        F.lit('T08:00:00-03:00"><script>var t="<p>x</p>";</script></head><body>'),
+        F.lit("<header><h1>Menu do jornal</h1></header><nav><a href=\"/a\">Assine</a></nav>"),
+        art_open, F.lit("<h1>"), F.substring(first, 1, 80), F.lit("</h1>"), sub,
+        F.lit('<p class="c-news__author">Por '), F.col("source"), F.lit("</p><time>"), pt, F.lit("</time>"),
+        open_body, paras, F.lit('<div class="c-ad ad"><p>Publicidade longa o bastante</p></div>'),
+        F.lit("<p>Carregando comentarios do leitor</p></div>"), art_close,
+        F.lit("<footer><p>Rodape com texto longo</p></footer></body></html>"))
+    return docs.select("doc_id", F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.com/a/"),
+                                          F.col("doc_id").cast("string")).alias("url"), html.alias("html"))
+
+
+def q_html_blocks(spark, sf_dir):
+    """The element table of every page (rows-only)."""
+    from pressroom.operators.htmlblocks import html_blocks
+
+    pages = load(spark, sf_dir, "pages")
+    d = pages.select("page_id", F.explode(html_blocks("html")).alias("b"))
+    return d.select("page_id", F.col("b.ord").cast("long").alias("ord"), F.col("b.tag").alias("tag"),
+                    F.size("b.anc").cast("long").alias("depth"), F.length("b.text").cast("long").alias("n_chars"))
+
+
+def _dom(spark, sf_dir, lane: str, min_chars: int):
+    from pressroom.operators.domlanes import dom_dispatch
+
+    d = doc_article_html(spark, sf_dir).withColumn("lane", F.lit(lane)).withColumn("min_chars", F.lit(min_chars))
+    out = dom_dispatch(d)
+    return out.select("doc_id", "title", "date", "summary", "ok", F.length("text").cast("long").alias("n_chars"))
+
+
+def q_folha_text(spark, sf_dir):
+    """Folha DOM lane over article HTML built from documents (rows-only)."""
+    return _dom(spark, sf_dir, "folha", 300)
+
+
+def q_globo_text(spark, sf_dir):
+    """Globo DOM lane (rows-only)."""
+    return _dom(spark, sf_dir, "globo", 300)
+
+
+def q_piaui_text(spark, sf_dir):
+    """Piaui container cascade (rows-only)."""
+    return _dom(spark, sf_dir, "piaui", 200)
+
+
+def q_result_list(spark, sf_dir):
+    """Result-list items of list HTML built from each document's lines (rows-only)."""
+    from pressroom.operators.discovery import stop_at_empty
+    from pressroom.operators.domlanes import result_items
+
+    docs = load(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+
+    def li(x, i):
+        href = F.when(F.length(x) > 20, F.concat(
+            F.lit('<a href="https://www1.folha.uol.com.br/poder/2024/'), F.col("doc_id").cast("string"), F.lit("-"),
+            i.cast("string"), F.lit('.shtml?origin=busca">'), F.substring(x, 1, 60), F.lit("</a>"))).otherwise(
+            F.lit('<a href="https://other.example.com/x">outra</a>'))
+        return F.concat(F.lit('<li class="c-headline"><a href="https://www1.folha.uol.com.br/x"></a>'), href,
+                        F.lit('<span class="c-headline__dateline">'), (i % 28 + 1).cast("string"),
+                        F.lit(".mar.2024</span></li>"))
+
+    html = F.concat(F.lit("<html><body><ol>"), F.array_join(F.transform(lines, li), ""), F.lit("</ol></body></html>"))
+    pages = docs.select(F.col("source").alias("search"), (F.col("doc_id") + 1).alias("page_no"), html.alias("html"))
+    items = result_items(pages)
+    out = stop_at_empty(items, pages.select("search", "page_no"), ["search"])
+    return out.select("search", "page_no", "item_pos", "url", "title", "date")
+
+
+# ------------------------------------------------------------------ stories CSV and streaming ingest
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from pressroom.session import shared_path
+
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def doc_stories(docs: DataFrame) -> DataFrame:
+    """Stories rows built from documents, with the awkward CSV cases in them."""
+    lines = F.split("text", "\n")
+    return docs.select(
+        (F.col("doc_id") + 1).alias("row_num"),
+        F.when(F.col("lang") == "en", F.lit("2024-03")).otherwise(
+            F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")), "yyyy-MM-dd")
+        ).alias("date"),
+        F.col("source").alias("outlet"),
+        F.substring(F.element_at(lines, 1), 1, 60).alias("title"),
+        F.concat(F.lit(' "https://'), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string"),
+                 F.lit('" ')).alias("url"),
+        F.lit("").alias("theme"),
+        F.concat(F.substring("text", 1, 300), F.lit(' "q", x')).alias("summary"),
+        F.when(F.col("lang") == "de", F.lit(" YES ")).when(F.col("lang") == "fr", F.lit("")).otherwise(F.lit("no"))
+        .alias("paywalled"))
+
+
+def q_articles_scan(spark, sf_dir):
+    """Stories CSV written from documents and read back by header."""
+    from pressroom.operators.store import read_stories_csv, write_stories_csv
+
+    path = _scratch(spark, "stories")
+    write_stories_csv(doc_stories(load(spark, sf_dir, "documents")), path)
+    return read_stories_csv(spark, path)
+
+
+def q_articles_roundtrip(spark, sf_dir):
+    """Whole texts (many lines, quotes, commas) through the stories CSV and back."""
+    from pressroom.operators.store import read_stories_csv, write_stories_csv
+
+    docs = load(spark, sf_dir, "documents")
+    rows = docs.select((F.col("doc_id") + 1).alias("row_num"), F.lit("").alias("date"),
+                       F.col("lang").alias("outlet"), F.when(F.col("lang") == "en", F.lit("")).otherwise(
+                           F.col("source")).alias("title"),
+                       F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string")).alias("url"),
+                       F.lit("").alias("theme"), F.col("text").alias("summary"), F.lit("no").alias("paywalled"))
+    path = _scratch(spark, "roundtrip")
+    write_stories_csv(rows, path)
+    return read_stories_csv(spark, path).select("row_num", "outlet", "title", "url", "summary")
+
+
+# Deliveries of captured pages, in arrival order: by language, a replay, an overlap.
+def deliveries():
+    u = F.col("url")
+    return [
+        ("en", u.contains("/en/")),
+        ("fr", u.contains("/fr/")),
+        ("es", u.contains("/es/")),
+        ("rest", ~(u.contains("/en/") | u.contains("/fr/") | u.contains("/es/"))),
+        ("replay", u.contains("/en/")),
+        ("https", u.startswith("https://")),
+    ]
+
+
+def q_incremental_ingest(spark, sf_dir):
+    """Pages arriving in six deliveries through the streaming ingest; final store."""
+    from pressroom.functions.text import title_tag
+    from pressroom.streaming.ingest import run_available
+
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    root = _scratch(spark, "ingest")
+    landing, store, ckpt = f"{root}/landing", f"{root}/store", f"{root}/checkpoint"
+    schema = pages.schema
+    for name, cond in deliveries():
+        pages.where(cond).write.mode("append").parquet(landing)
+        run_available(spark, landing, schema, store, ckpt,
+                      project=lambda b: b.select("page_id", "url", title_tag("html").alias("title")))
+    return spark.read.parquet(store).select("row_num", "page_id", "url", "title")

@@ -556,3 +556,33 @@ def outlet_select() -> str:
             f" cnt AS (SELECT {_route_sql('url', 'first')} AS key, count(*) AS n_pages FROM pages GROUP BY 1)"
             f" SELECT dim.key, req.sel_ord, dim.name, dim.status, dim.search, CAST(coalesce(cnt.n_pages, 0) AS BIGINT) AS n_pages"
             f" FROM dim JOIN req ON dim.key = req.key LEFT JOIN cnt ON dim.key = cnt.key WHERE dim.status <> 'disabled'")
+
+
+# ------------------------------------------------------------------ stories CSV and streaming ingest
+
+def articles_scan() -> str:
+    raw_url = "' \"https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) || '\" '"
+    pw = "CASE WHEN lang = 'de' THEN ' YES ' WHEN lang = 'fr' THEN '' ELSE 'no' END"
+    return (f"SELECT row_number() OVER (ORDER BY doc_id) AS row_num,"
+            f" CASE WHEN lang = 'en' THEN '2024-03' ELSE strftime(DATE '2024-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') END AS date,"
+            f" source AS outlet, coalesce(substring(string_split(text, chr(10))[1], 1, 60), '') AS title,"
+            f" {S.url_store_clean(raw_url)} AS url, '' AS theme,"
+            f" substring(text, 1, 300) || ' \"q\", x' AS summary, {S.paywalled_norm(pw)} AS paywalled FROM documents")
+
+
+def articles_roundtrip() -> str:
+    return ("SELECT row_number() OVER (ORDER BY doc_id) AS row_num, lang AS outlet,"
+            " CASE WHEN lang = 'en' THEN '' ELSE source END AS title,"
+            " 'https://d.example/' || CAST(doc_id AS VARCHAR) AS url, text AS summary FROM documents")
+
+
+def incremental_ingest() -> str:
+    conds = ["contains(url, '/en/')", "contains(url, '/fr/')", "contains(url, '/es/')",
+             "NOT (contains(url, '/en/') OR contains(url, '/fr/') OR contains(url, '/es/'))",
+             "contains(url, '/en/')", "starts_with(url, 'https://')"]
+    dl = " UNION ALL ".join(f"SELECT {i} AS d, page_id, url, html FROM pages WHERE {c}" for i, c in enumerate(conds))
+    return (f"WITH dl AS ({dl}),"
+            " f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY d, page_id) AS rn FROM dl)"
+            " WHERE rn = 1)"
+            f" SELECT row_number() OVER (ORDER BY d, page_id) AS row_num, page_id, url, {S.title_tag('html')} AS title"
+            " FROM f")
