@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as T
-from pressroom.operators.htmlblocks import html_blocks
+from pressroom.operators.htmlblocks import el_lines, el_text, html_page
 
 # Per-outlet DOM rules.
 FOLHA_DROP = ["script", "style", "nav", "footer", "header", ".c-news__sidebar", ".c-related", ".c-newsletter",
@@ -73,8 +73,23 @@ def matcher(selector: str):
 
 
 def any_of(x: Column, selectors: Sequence[str]) -> Column:
-    p = F.lit(False)
+    """Some selector matches; bare tags and bare classes are tested as one set each."""
+    tags, classes, rest = [], [], []
     for s in selectors:
+        m = _SEL.match(s)
+        tag, cls, attr, _ = m.groups() if m else (None, None, None, None)
+        if m and tag and not cls and not attr:
+            tags.append(tag)
+        elif m and not tag and cls and cls.count(".") == 1 and not attr:
+            classes.append(cls[1:])
+        else:
+            rest.append(s)
+    p = F.lit(False)
+    if tags:
+        p = p | x["tag"].isin(*tags)
+    if classes:
+        p = p | F.arrays_overlap(x["cls"], F.array(*[F.lit(c) for c in classes]))
+    for s in rest:
         p = p | matches(x, s)
     return p
 
@@ -90,12 +105,13 @@ def drop_subtrees(blocks: Column, selectors: Sequence[str]) -> Column:
     return F.filter(blocks, lambda x: ~F.array_contains(gone, x["ord"]) & ~F.arrays_overlap(x["anc"], gone))
 
 
-def body_parts(blocks: Column, container: Column, keep) -> Column:
+def body_parts(blocks: Column, nodes: Column, container: Column, keep) -> Column:
     """p / h2-h4 descendants of ``container`` passing ``keep``; headings padded by newlines."""
-    sel = F.filter(blocks, lambda x: x["tag"].isin(*BODY_TAGS)
-                   & F.array_contains(x["anc"], container["ord"]) & keep(x["text"]))
-    return F.transform(sel, lambda x: F.when(x["tag"].isin(*HEADING_TAGS),
-                                             F.concat(F.lit("\n"), x["text"], F.lit("\n"))).otherwise(x["text"]))
+    sel = F.filter(blocks, lambda x: x["tag"].isin(*BODY_TAGS) & F.array_contains(x["anc"], container["ord"]))
+    texts = F.transform(sel, lambda x: F.struct(x["tag"].alias("tag"), el_text(nodes, x).alias("t")))
+    kept = F.filter(texts, lambda y: keep(y["t"]))
+    return F.transform(kept, lambda y: F.when(y["tag"].isin(*HEADING_TAGS),
+                                              F.concat(F.lit("\n"), y["t"], F.lit("\n"))).otherwise(y["t"]))
 
 
 def _join(parts: Column) -> Column:
@@ -120,21 +136,23 @@ def _staged(d: DataFrame, cond: Column, stages: list[tuple[str, Column]]) -> Dat
     return d
 
 
-def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") -> DataFrame:
+def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """X11 (+ X10 fallback): title, subtitle, author, date, '', body blocks."""
     c = F.col
+    tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
+    ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
     d = _staged(d, cond, [
         ("_f_live", drop_subtrees(c(b), FOLHA_DROP)),
         ("_f_body", first(c("_f_live"), lambda x: any_of(x, FOLHA_BODY))),
-        ("_f_title", F.coalesce(first(c("_f_live"), lambda x: x["tag"] == "h1")["text"], F.lit(""))),
-        ("_f_date", first(c("_f_live"), lambda x: x["tag"] == "time")["text"]),
+        ("_f_title", F.coalesce(tx(first(c("_f_live"), lambda x: x["tag"] == "h1")), F.lit(""))),
+        ("_f_date", tx(first(c("_f_live"), lambda x: x["tag"] == "time"))),
     ])
     head = F.array_compact(F.array(
         F.when(c("_f_title") != "", c("_f_title")),
-        first(c("_f_live"), lambda x: any_of(x, FOLHA_SUBTITLE))["text"],
-        first(c("_f_live"), lambda x: any_of(x, FOLHA_AUTHOR))["text"],
+        tx(first(c("_f_live"), lambda x: any_of(x, FOLHA_SUBTITLE))),
+        tx(first(c("_f_live"), lambda x: any_of(x, FOLHA_AUTHOR))),
         c("_f_date"), F.lit("")))
-    parts = F.when(c("_f_body").isNotNull(), body_parts(c("_f_live"), c("_f_body"), folha_keep)) \
+    parts = F.when(c("_f_body").isNotNull(), body_parts(c("_f_live"), c(n), c("_f_body"), folha_keep)) \
         .otherwise(F.array(T.html_to_text(c(html))))
     d = _staged(d, cond, [("_f_text", _join(F.concat(head, parts)))])
     return d.withColumn("_f", F.when(cond, F.struct(
@@ -142,13 +160,15 @@ def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") ->
         c("_f_text").alias("text"), T.second_chunk(c("_f_text")).alias("summary"))))
 
 
-def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") -> DataFrame:
+def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """X12 (+ X10 fallback): og:title or h1, description, date, '', body from
     the first container present in preference order."""
     c = F.col
+    tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
+    ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
     og = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:title"))
     title = T.first_nonempty(F.coalesce(og["content"], F.lit("")),
-                             F.coalesce(first(c(b), lambda x: x["tag"] == "h1")["text"], F.lit("")))
+                             F.coalesce(tx(first(c(b), lambda x: x["tag"] == "h1")), F.lit("")))
     dm = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "article:published_time"))
     date = T.first_nonempty(F.substring(F.coalesce(dm["content"], F.lit("")), 1, 10),
                             F.substring(F.regexp_extract(c(html), T.DATE_JSON_LD, 1), 1, 10))
@@ -161,7 +181,7 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") ->
     desc = T.py_strip(F.coalesce(od["content"], F.lit("")))
     head = F.array_compact(F.array(F.when(c("_g_title") != "", c("_g_title")), F.when(F.length(desc) > 30, desc),
                                    F.when(c("_g_date") != "", c("_g_date")), F.lit("")))
-    parts = F.when(c("_g_body").isNotNull(), body_parts(c("_g_live"), c("_g_body"), globo_keep)) \
+    parts = F.when(c("_g_body").isNotNull(), body_parts(c("_g_live"), c(n), c("_g_body"), globo_keep)) \
         .otherwise(F.array(T.html_to_text(c(html))))
     d = _staged(d, cond, [("_g_text", _join(F.concat(head, parts)))])
     return d.withColumn("_g", F.when(cond, F.struct(
@@ -169,17 +189,19 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") ->
         T.second_chunk(c("_g_text")).alias("summary"))))
 
 
-def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html") -> DataFrame:
+def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """First container with > 200 chars, else the last one found, else the page body."""
     c = F.col
-    title = T.py_strip(F.coalesce(first(c(b), lambda x: x["tag"] == "h1")["lines"], F.lit("")))
-    found = F.array_compact(F.array(*[T.py_strip(first(c(b), matcher(s))["lines"]) for s in PIAUI_BODY]))
+    tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
+    ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
+    title = T.py_strip(F.coalesce(ln(first(c(b), lambda x: x["tag"] == "h1")), F.lit("")))
+    found = F.array_compact(F.array(*[T.py_strip(ln(first(c(b), matcher(s)))) for s in PIAUI_BODY]))
     d = _staged(d, cond, [("_p_title", title), ("_p_found", found)])
     body = F.coalesce(F.try_element_at(F.filter(c("_p_found"), lambda t: F.length(t) > 200), F.lit(1)),
                       F.try_element_at(c("_p_found"), F.lit(-1)), F.lit(""))
     d = _staged(d, cond, [("_p_body", body)])
     d = _staged(d, cond, [("_p_body", F.when(c("_p_body") == "", F.coalesce(
-        first(c(b), lambda x: x["tag"] == "body")["lines"], F.lit(""))).otherwise(c("_p_body")))])
+        ln(first(c(b), lambda x: x["tag"] == "body")), F.lit(""))).otherwise(c("_p_body")))])
     text = F.when(c("_p_title") != "", T.py_strip(F.concat(c("_p_title"), F.lit("\n\n"), c("_p_body")))) \
         .otherwise(c("_p_body"))
     return d.withColumn("_p", F.when(cond, F.struct(
@@ -193,10 +215,11 @@ LANE_FUNCS = {"folha": (folha_lane, "_f"), "globo": (globo_lane, "_g"), "piaui":
 def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_chars: str = "min_chars") -> DataFrame:
     """X18 for DOM lanes: the block array is built once per page, then the lane's rules."""
     cols = df.columns
-    d = df.withColumn("_b", html_blocks(F.col(html)))
-    ln = F.col(lane)
+    d = df.withColumn("_pg", html_page(F.col(html)))
+    d = d.withColumn("_b", F.col("_pg.els")).withColumn("_n", F.col("_pg.nodes")).drop("_pg")
+    lane_c = F.col(lane)
     for name, (fn, _) in LANE_FUNCS.items():
-        d = fn(d, ln == name, "_b", html)
+        d = fn(d, lane_c == name, "_b", html, "_n")
     res = F.coalesce(*[F.col(k) for _, k in LANE_FUNCS.values()])
     d = d.select(*cols, res.alias("_r"))
     t = F.col("_r.text")
@@ -206,25 +229,38 @@ def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_char
 
 
 def result_items(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Result-list items -> (item_pos, url, title, date); href / title are the
-    last non-empty ones among the item's links to the domain; query string dropped."""
+    """Result-list items -> (item_pos, url, title, date).
+
+    Each element is tagged with its nearest enclosing result item (an
+    ancestor lookup against the page's item set, linear in the page), the
+    link and date elements are exploded and combined per item by a grouped
+    aggregate: href / title are the last non-empty ones among the item's
+    links to the domain (document order), the date the first date element.
+    """
     keep = [c for c in pages.columns if c != html]
-    d = pages.select(*keep, html_blocks(F.col(html)).alias("_b"))
-    b = F.col("_b")
-    items = F.filter(b, lambda x: matches(x, RESULT_ITEM))
-
-    def one(it):
-        links = F.filter(b, lambda a: (a["tag"] == "a") & F.array_contains(a["anc"], it["ord"])
-                         & F.contains(F.coalesce(a["href"], F.lit("")), F.lit(RESULT_DOMAIN)))
-        href = F.try_element_at(F.filter(F.transform(links, lambda a: a["href"]), lambda s: s != ""), F.lit(-1))
-        title = F.try_element_at(F.filter(F.transform(links, lambda a: a["text"]), lambda s: s != ""), F.lit(-1))
-        dt = F.try_element_at(F.filter(b, lambda y: F.array_contains(y["anc"], it["ord"]) & any_of(y, RESULT_DATE)),
-                              F.lit(1))
-        return F.struct(href.alias("href"), title.alias("title"), F.coalesce(dt["text"], F.lit("")).alias("date_str"))
-
-    d = d.select(*keep, F.posexplode(F.transform(items, one)).alias("item_pos", "_i"))
-    d = d.where(F.col("_i.href").isNotNull() & F.col("_i.title").isNotNull()
-                & F.col("_i.href").contains(RESULT_DOMAIN))
-    return d.select(*keep, (F.col("item_pos") + 1).cast("long").alias("item_pos"),
-                    T.url_drop_query(F.col("_i.href")).alias("url"), F.col("_i.title").alias("title"),
-                    T.pt_dotted_month(F.col("_i.date_str")).alias("date"))
+    d = pages.select(*keep, html_page(F.col(html)).alias("_pg"))
+    d = d.select(*keep, F.col("_pg.els").alias("_b"), F.col("_pg.nodes").alias("_n"))
+    d = d.withColumn("_items", F.transform(F.filter("_b", matcher(RESULT_ITEM)), lambda x: x["ord"]))
+    nodes, items = F.col("_n"), F.col("_items")
+
+    def tag_item(x):
+        is_link = (x["tag"] == "a") & F.contains(F.coalesce(x["href"], F.lit("")), F.lit(RESULT_DOMAIN))
+        return F.struct(F.array_max(F.array_intersect(x["anc"], items)).alias("item"), x["ord"].alias("ord"),
+                        is_link.alias("is_link"), any_of(x, RESULT_DATE).alias("is_date"),
+                        x["href"].alias("href"), el_text(nodes, x).alias("text"))
+
+    cand = F.filter("_b", lambda x: ((x["tag"] == "a") | any_of(x, RESULT_DATE))
+                    & F.arrays_overlap(x["anc"], items))
+    e = d.where(F.size("_items") > 0).select(*keep, "_items", F.explode(F.transform(cand, tag_item)).alias("x"))
+    e = e.select(*keep, F.array_position("_items", F.col("x.item")).alias("item_pos"), "x.*")
+    e = e.where(F.col("is_link") | F.col("is_date"))
+    g = e.groupBy(*keep, "item_pos").agg(
+        F.max_by(F.when(F.col("is_link") & (F.col("href") != ""), F.col("href")),
+                 F.when(F.col("is_link") & (F.col("href") != ""), F.col("ord"))).alias("href"),
+        F.max_by(F.when(F.col("is_link") & (F.col("text") != ""), F.col("text")),
+                 F.when(F.col("is_link") & (F.col("text") != ""), F.col("ord"))).alias("title"),
+        F.min_by(F.when(F.col("is_date"), F.col("text")), F.when(F.col("is_date"), F.col("ord"))).alias("date_str"))
+    g = g.where(F.col("href").isNotNull() & F.col("title").isNotNull() & F.col("href").contains(RESULT_DOMAIN))
+    return g.select(*keep, F.col("item_pos").cast("long").alias("item_pos"),
+                    T.url_drop_query(F.col("href")).alias("url"), F.col("title"),
+                    T.pt_dotted_month(F.coalesce(F.col("date_str"), F.lit(""))).alias("date"))

@@ -8,17 +8,20 @@ which container is the body, which blocks are kept - is a Spark
 higher-order-function expression over that array (:mod:`domlanes`), so it
 runs per row in the JVM with no shuffle.
 
-Text of an element follows the usual "get text, stripped" reading: each
-descendant text node stripped, empty ones skipped, joined without a separator
-(``text``) or by newlines (``lines``, a stand-in for rendered inner text).
-Script / style bodies and comments are not text.  Entities are decoded.
+Text is stored once per page: ``nodes`` holds the page's text nodes
+(stripped, empty ones skipped; script / style bodies and comments are not
+text; entities decoded) and each element only the range ``[n0, n1)`` of the
+nodes below it.  The usual "get text, stripped" of an element is those nodes
+joined without a separator (:func:`el_text`), or by newlines as a stand-in
+for rendered inner text (:func:`el_lines`) - computed in Spark only for the
+elements a rule looks at, so nested wrappers never copy the page's text.
 """
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -32,36 +35,38 @@ BLOCK = StructType([
     StructField("prop", StringType()),
     StructField("content", StringType()),
     StructField("itemprop", StringType()),
-    StructField("text", StringType()),
-    StructField("lines", StringType()),
+    StructField("n0", IntegerType()),
+    StructField("n1", IntegerType()),
 ])
 BLOCKS = ArrayType(BLOCK)
+PAGE = StructType([StructField("nodes", ArrayType(StringType())), StructField("els", BLOCKS)])
 
 # Elements that never hold content, so never stay open.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
 
 
+FIELDS = ("ord", "tag", "cls", "anc", "href", "prop", "content", "itemprop", "n0", "n1")
+
+
 class _Tokens(HTMLParser):
+    """Elements as tuples in FIELDS order (n1 filled when the element closes)."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.els: list[dict] = []
+        self.els: list[list] = []
         self.stack: list[int] = []
         self.texts: list[str] = []
         self.raw = 0
 
     def _open(self, tag, attrs, void):
-        a = {k: (v or "") for k, v in attrs}
+        a = dict(attrs)
         i = len(self.els)
-        self.els.append({
-            "ord": i, "tag": tag, "cls": a.get("class", "").split(),
-            "anc": [self.els[j]["ord"] for j in self.stack],
-            "href": a.get("href"), "prop": a.get("property"), "content": a.get("content"),
-            "itemprop": a.get("itemprop"), "t0": len(self.texts), "t1": None,
-        })
-        if void:
-            self.els[i]["t1"] = len(self.texts)
-        else:
+        n = len(self.texts)
+        self.els.append([i, tag, (a.get("class") or "").split(), list(self.stack),
+                         a.get("href"), a.get("property"), a.get("content"), a.get("itemprop"),
+                         n, n if void else None])
+        if not void:
             self.stack.append(i)
             if tag in RAW:
                 self.raw += 1
@@ -73,51 +78,107 @@ class _Tokens(HTMLParser):
         self._open(tag, attrs, True)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.els[self.stack[depth]]["tag"] == tag:
-                while len(self.stack) > depth:
-                    j = self.stack.pop()
-                    self.els[j]["t1"] = len(self.texts)
-                    if self.els[j]["tag"] in RAW:
+        st = self.stack
+        for depth in range(len(st) - 1, -1, -1):
+            if self.els[st[depth]][1] == tag:
+                n = len(self.texts)
+                while len(st) > depth:
+                    e = self.els[st.pop()]
+                    e[9] = n
+                    if e[1] in RAW:
                         self.raw -= 1
                 return
 
     def handle_data(self, data):
         if not self.raw:
-            self.texts.append(data)
-
-    def finish(self) -> list[dict]:
-        self.close()
+            t = data.strip()
+            if t:
+                self.texts.append(t)
+
+    def finish(self) -> tuple[list[str], list[list]]:
+        try:
+            self.close()
+        except Exception:  # noqa: BLE001
+            pass
         n = len(self.texts)
-        stripped = [t.strip() for t in self.texts]
-        out = []
         for e in self.els:
-            t1 = n if e["t1"] is None else e["t1"]
-            parts = [s for s in stripped[e["t0"]:t1] if s]
-            e = dict(e)
-            del e["t0"], e["t1"]
-            e["text"] = "".join(parts)
-            e["lines"] = "\n".join(parts)
-            out.append(e)
-        return out
+            if e[9] is None:
+                e[9] = n
+        return self.texts, self.els
 
 
-def parse_blocks(html: str | None) -> list[dict]:
+def parse_page(html: str | None) -> tuple[list[str], list[list]]:
+    """(text nodes, element tuples) of one page."""
     if not html:
-        return []
+        return [], []
     p = _Tokens()
     try:
         p.feed(html)
-        return p.finish()
     except Exception:  # noqa: BLE001 - malformed input: whatever was read so far
-        return p.finish()
-
+        pass
+    return p.finish()
 
-@F.pandas_udf(BLOCKS)
-def _blocks_udf(html: pd.Series) -> pd.Series:
-    return html.map(parse_blocks)
 
-
-def html_blocks(html) -> Column:
-    """array<BLOCK> of a page's elements in start order."""
-    return _blocks_udf(F.col(html) if isinstance(html, str) else html)
+def parse_blocks(html: str | None) -> list[dict]:
+    """Elements as dicts with their text filled in (tests and small inspections)."""
+    nodes, els = parse_page(html)
+    out = []
+    for e in els:
+        d = dict(zip(FIELDS, e))
+        d["text"] = "".join(nodes[d["n0"]:d["n1"]])
+        d["lines"] = "\n".join(nodes[d["n0"]:d["n1"]])
+        out.append(d)
+    return out
+
+
+def _list(offsets, values):
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def pages_to_arrow(htmls) -> pa.StructArray:
+    """Parse a batch of pages into the PAGE struct, column by column."""
+    n_off, n_val = [0], []
+    e_off = [0]
+    cols: list[list] = [[] for _ in FIELDS]
+    cls_off, cls_val, anc_off, anc_val = [0], [], [0], []
+    for h in htmls:
+        texts, els = parse_page(h)
+        n_val.extend(texts)
+        n_off.append(len(n_val))
+        for e in els:
+            for j in (0, 1, 4, 5, 6, 7, 8, 9):
+                cols[j].append(e[j])
+            cls_val.extend(e[2])
+            cls_off.append(len(cls_val))
+            anc_val.extend(e[3])
+            anc_off.append(len(anc_val))
+        e_off.append(len(cols[0]))
+    i32, s = pa.int32(), pa.string()
+    children = [
+        pa.array(cols[0], i32), pa.array(cols[1], s), _list(cls_off, pa.array(cls_val, s)),
+        _list(anc_off, pa.array(anc_val, i32)), pa.array(cols[4], s), pa.array(cols[5], s),
+        pa.array(cols[6], s), pa.array(cols[7], s), pa.array(cols[8], i32), pa.array(cols[9], i32),
+    ]
+    els = pa.StructArray.from_arrays(children, names=list(FIELDS))
+    return pa.StructArray.from_arrays([_list(n_off, pa.array(n_val, s)), _list(e_off, els)],
+                                      names=["nodes", "els"])
+
+
+@F.arrow_udf(PAGE)
+def _page_udf(html: pa.Array) -> pa.Array:
+    return pages_to_arrow(html.to_pylist())
+
+
+def html_page(html) -> Column:
+    """struct<nodes: array<string>, els: array<BLOCK>> of a page."""
+    return _page_udf(F.col(html) if isinstance(html, str) else html)
+
+
+def el_text(nodes: Column, x: Column) -> Column:
+    """Text of element ``x``: its text nodes joined without a separator."""
+    return F.array_join(F.slice(nodes, x["n0"] + 1, x["n1"] - x["n0"]), "")
+
+
+def el_lines(nodes: Column, x: Column) -> Column:
+    """Text of element ``x`` with one text node per line."""
+    return F.array_join(F.slice(nodes, x["n0"] + 1, x["n1"] - x["n0"]), "\n")

@@ -691,12 +691,15 @@ def doc_article_html(spark, sf_dir) -> DataFrame:
 
 def q_html_blocks(spark, sf_dir):
     """The element table of every page (rows-only)."""
-    from pressroom.operators.htmlblocks import html_blocks
+    from pressroom.operators.htmlblocks import el_text, html_page
 
     pages = load(spark, sf_dir, "pages")
-    d = pages.select("page_id", F.explode(html_blocks("html")).alias("b"))
-    return d.select("page_id", F.col("b.ord").cast("long").alias("ord"), F.col("b.tag").alias("tag"),
-                    F.size("b.anc").cast("long").alias("depth"), F.length("b.text").cast("long").alias("n_chars"))
+    d = pages.select("page_id", html_page("html").alias("pg"))
+    d = d.select("page_id", F.explode(F.transform("pg.els", lambda x: F.struct(
+        x["ord"].alias("ord"), x["tag"].alias("tag"), F.size(x["anc"]).alias("depth"),
+        F.length(el_text(F.col("pg.nodes"), x)).alias("n_chars")))).alias("b"))
+    return d.select("page_id", *[F.col(f"b.{k}").cast("long").alias(k) if k != "tag" else F.col("b.tag")
+                                 for k in ("ord", "tag", "depth", "n_chars")])
 
 
 def _dom(spark, sf_dir, lane: str, min_chars: int):
