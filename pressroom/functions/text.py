@@ -194,10 +194,7 @@ BLOCK_TAGS = ("p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|
 
 # The conversion, as ordered (pattern, replacement) steps; both engines run the same list.
 HTML_TEXT_STEPS = [
-    (r"(?is)<head\b.*?</head>", " "),
-    (r"(?is)<script\b.*?</script>", " "),
-    (r"(?is)<style\b.*?</style>", " "),
-    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "),
     (r"(?i)<br[^>]*>", "\n"),
     (rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n\n"),
     (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),

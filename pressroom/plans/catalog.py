@@ -828,3 +828,24 @@ def q_incremental_ingest(spark, sf_dir):
         run_available(spark, landing, schema, store, ckpt,
                       project=lambda b: b.select("page_id", "url", title_tag("html").alias("title")))
     return spark.read.parquet(store).select("row_num", "page_id", "url", "title")
+
+
+def q_fetch_run(spark, sf_dir):
+    """The fetch command over a URL list built
+    from pages plus inline URLs: cleaned, known ones dropped, routed, extracted,
+    first success per URL stored and numbered in list order."""
+    from pressroom.plans.repair import fetch_urls
+    from pressroom.sources.feeds import url_lines
+
+    pages = load(spark, sf_dir, "pages")
+    content = F.concat_ws("\n", F.col("url"), F.concat(F.lit("# seen "), F.col("url")), F.lit(""),
+                          F.concat(F.lit("  "), F.col("url"), F.lit("/  ")))
+    lines = url_lines(pages.select("page_id", content.alias("value"))).withColumn("src_ord", F.lit(1))
+    inline = spark.createDataFrame([(0, -1, i + 1, u) for i, u in enumerate(LITERAL_URLS)],
+                                   "src_ord int, page_id long, line_no long, url string")
+    urls = inline.unionByName(lines)
+    registry = [(k, d, ln, 300 if ln == "meta" else 200, k.upper()) for k, d, ln in TEST_REGISTRY]
+    out = fetch_urls(urls, collect_store(pages), pages.select("url", "html"), registry=registry,
+                     with_dom=False, order=("src_ord", "page_id", "line_no"))
+    return out.select("row_num", "date", "outlet", "title", "url", "summary",
+                      F.length("text").cast("long").alias("n_chars"))

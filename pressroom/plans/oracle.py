@@ -586,3 +586,34 @@ def incremental_ingest() -> str:
             " WHERE rn = 1)"
             f" SELECT row_number() OVER (ORDER BY d, page_id) AS row_num, page_id, url, {S.title_tag('html')} AS title"
             " FROM f")
+
+
+def fetch_run() -> str:
+    from pressroom.plans.catalog import LITERAL_URLS, TEST_REGISTRY
+
+    content = "concat_ws(chr(10), url, '# seen ' || url, '', '  ' || url || '/  ')"
+    inline = " UNION ALL ".join(
+        f"SELECT 0 AS src_ord, CAST(-1 AS BIGINT) AS page_id, CAST({i + 1} AS BIGINT) AS line_no, {S.q(u)} AS line"
+        for i, u in enumerate(LITERAL_URLS))
+    route = _route_sql("url", "first")
+    lane = "(CASE " + " ".join(f"WHEN r = {S.q(k)} THEN {S.q(ln)}" for k, _, ln in TEST_REGISTRY) + " ELSE 'generic' END)"
+    name = "(CASE " + " ".join(f"WHEN r = {S.q(k)} THEN {S.q(k.upper())}" for k, _, _ in TEST_REGISTRY) + " END)"
+    return f"""WITH l AS (SELECT page_id, unnest(x) AS line, CAST(generate_subscripts(x, 1) AS BIGINT) AS line_no
+                   FROM (SELECT page_id, string_split({content}, chr(10)) AS x FROM pages)),
+      k AS (SELECT 1 AS src_ord, page_id, line_no, line FROM l WHERE {S.strip('line')} <> '' AND NOT starts_with(line, '#')
+            UNION ALL {inline}),
+      u0 AS (SELECT src_ord, page_id, line_no, {S.url_fetch_clean(S.strip('line'))} AS url FROM k),
+      u1 AS (SELECT * FROM u0 WHERE url <> '' AND NOT EXISTS (SELECT 1 FROM pages s WHERE contains(s.url, '{FEED_MARK}')
+               AND s.url <> '' AND s.url = u0.url)),
+      u2 AS (SELECT *, {route} AS r FROM u1),
+      u3 AS (SELECT *, {lane} AS lane, CASE WHEN {lane} = 'meta' THEN 300 ELSE 200 END AS min_chars FROM u2),
+      keys AS (SELECT DISTINCT u3.url, lane, min_chars, coalesce(p.html, '') AS html FROM u3 LEFT JOIN pages p ON u3.url = p.url),
+      {regex_lanes_sql('keys').strip()},
+      d AS (SELECT u3.*, l.title, l.date, l.summary, l.text FROM u3 JOIN lanes l
+              ON u3.url = l.url AND u3.lane = l.lane AND u3.min_chars = l.min_chars WHERE l.ok),
+      f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY src_ord, page_id, line_no) AS rn FROM d)
+            WHERE rn = 1),
+      base AS (SELECT coalesce(max(page_id + 1), 0) + 1 AS b FROM pages WHERE contains(url, '{FEED_MARK}'))
+    SELECT (SELECT b FROM base) + row_number() OVER (ORDER BY src_ord, page_id, line_no) - 1 AS row_num,
+           date, coalesce({name}, {S.url_host('url', False)}) AS outlet, title, url, summary,
+           CAST(length(text) AS BIGINT) AS n_chars FROM f"""

@@ -21,16 +21,17 @@ from pressroom.operators.audit import repair_status
 from pressroom.operators.numbering import number_rows
 from pressroom.operators.route import route
 from pressroom.plans.collect import extract_pages
+from pressroom.session import checkpoint_dir
 from pressroom.sources.outlets import GENERIC_MIN_CHARS, OUTLET_ROWS
 
-# (key, domain, lane, min_chars) of the default registry
-DEFAULT_LANES = [(k, d, lane, m) for k, _n, d, _s, _q, m, lane in OUTLET_ROWS]
+# (key, domain, lane, min_chars, name) of the default registry
+DEFAULT_LANES = [(k, d, lane, m, n) for k, n, d, _s, _q, m, lane in OUTLET_ROWS]
 
 
 def _lane_cols(url: str, registry: Sequence[tuple], hint=None):
-    r = route(url, [(k, d) for k, d, _, _ in registry], "first", hint)
-    lane_of = F.create_map(*[x for k, _, ln, _ in registry for x in (F.lit(k), F.lit(ln))])
-    min_of = F.create_map(*[x for k, _, _, m in registry for x in (F.lit(k), F.lit(m))])
+    r = route(url, [(k, d) for k, d, *_ in registry], "first", hint)
+    lane_of = F.create_map(*[x for k, _, ln, *_ in registry for x in (F.lit(k), F.lit(ln))])
+    min_of = F.create_map(*[x for k, _, _, m, *_ in registry for x in (F.lit(k), F.lit(m))])
     return (r, F.coalesce(F.element_at(lane_of, r), F.lit("generic")),
             F.coalesce(F.element_at(min_of, r), F.lit(GENERIC_MIN_CHARS)))
 
@@ -58,8 +59,10 @@ def repair_texts(articles: DataFrame, texts: DataFrame, pages: DataFrame,
 
 def fetch_urls(urls: DataFrame, store: DataFrame, pages: DataFrame,
                registry: Sequence[tuple] = DEFAULT_LANES, hint: str | None = None,
-               normalize: bool = False, with_dom: bool = True, base: int | None = None) -> DataFrame:
-    """``urls``: (src_ord, line_no, url) in list order -> new article rows, numbered.
+               normalize: bool = False, with_dom: bool = True, base: int | None = None,
+               order: Sequence[str] = ("src_ord", "line_no")) -> DataFrame:
+    """``urls``: rows with ``url`` and the ``order`` columns (list order) -> new
+    article rows, numbered in list order.
 
     URLs are stripped and lose trailing slashes; the store is compared as it
     is (``normalize=True`` cleans the store side too).  The generic lane
@@ -71,16 +74,17 @@ def fetch_urls(urls: DataFrame, store: DataFrame, pages: DataFrame,
         known = known.select(T.url_fetch_clean("_k").alias("_k"))
     u = u.join(known.distinct(), F.col("url") == F.col("_k"), "left_anti")
     r, lane, min_chars = _lane_cols("url", registry, F.lit(hint) if hint else None)
-    names = F.create_map(*[x for k, n, *_ in OUTLET_ROWS for x in (F.lit(k), F.lit(n))])
+    names = F.create_map(*[x for k, _d, _l, _m, n in registry for x in (F.lit(k), F.lit(n))])
     u = u.withColumn("okey", r).withColumn("lane", lane).withColumn("min_chars", min_chars)
-    ex = extract_pages(u.select("url", "lane", "min_chars").distinct(), pages, with_dom)
+    checkpoint_dir(u.sparkSession)
+    ex = extract_pages(u.select("url", "lane", "min_chars").distinct(), pages, with_dom).checkpoint(eager=True)
     d = u.join(ex, ["url", "lane", "min_chars"], "left").where(F.coalesce(F.col("ok"), F.lit(False)))
-    order = F.struct("src_ord", "line_no")
-    firsts = d.groupBy("url").agg(F.min(order).alias("_w"))
-    d = d.join(firsts, "url").where(order == F.col("_w")).drop("_w")
+    key = F.struct(*[F.col(c) for c in order])
+    firsts = d.groupBy("url").agg(F.min(key).alias("_w"))
+    d = d.join(firsts, "url").where(key == F.col("_w")).drop("_w")
     if base is None:
         base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).first()[0]
-    n = number_rows(d, ["src_ord", "line_no"], base=base)
+    n = number_rows(d, list(order), base=base)
     outlet = F.coalesce(F.element_at(names, F.col("okey")), T.url_host("url", lower=False))
     return n.select("row_num", "date", outlet.alias("outlet"), "title", "url", F.lit("").alias("theme"),
                     "summary", F.lit("no").alias("paywalled"), "text")
