@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressroom.session import checkpoint_dir
+
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per ``keys`` - the earliest by ``order`` (a total order inside a key)."""
@@ -36,12 +38,18 @@ def result_offset(page) -> F.Column:
 
 
 def stop_at_empty(items: DataFrame, pages: DataFrame, search: Sequence[str], page: str = "page_no",
-                  counted: DataFrame | None = None) -> DataFrame:
+                  counted: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Drop items on and after the first page (per search) with no counted items.
 
     ``pages`` lists every fetched page (search keys + page); ``counted`` is the
-    item rows that make a page non-empty (default: ``items``).
+    item rows that make a page non-empty (default: ``items``).  The items feed
+    two branches (non-empty pages, and the rows kept), so with ``materialize``
+    they are written to the checkpoint folder once instead of being parsed
+    out of their pages twice.
     """
+    if materialize:
+        checkpoint_dir(items.sparkSession)
+        items = items.checkpoint(eager=True)
     counted = items if counted is None else counted
     nonempty = counted.select(*search, page).distinct().withColumn("_has", F.lit(True))
     allp = pages.select(*search, page).distinct()

@@ -294,8 +294,9 @@ def q_query_tokens(spark, sf_dir):
     """word runs of length >= 4 (repeats kept, and distinct)."""
     part = load(spark, sf_dir, "part")
     qtext = F.concat(F.col("p_name"), F.lit(TOKEN_SUFFIX), F.col("p_name"))
-    return part.select("p_partkey", T.query_tokens(qtext, distinct=False).alias("tokens_all"),
-                       T.query_tokens(qtext, distinct=True).alias("tokens"))
+    # arrays shown joined by '|' so both engines hand back plain strings
+    return part.select("p_partkey", F.array_join(T.query_tokens(qtext, distinct=False), "|").alias("tokens_all"),
+                       F.array_join(T.query_tokens(qtext, distinct=True), "|").alias("tokens"))
 
 
 URL_KEYWORDS = ["blog", "/en/", ".html"]

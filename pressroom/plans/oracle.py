@@ -282,7 +282,8 @@ def query_tokens() -> str:
     from pressroom.plans.catalog import TOKEN_SUFFIX
 
     qt = f"(p_name || {S.q(TOKEN_SUFFIX)} || p_name)"
-    return f"SELECT p_partkey, {S.query_tokens(qt, False)} AS tokens_all, {S.query_tokens(qt, True)} AS tokens FROM part"
+    return (f"SELECT p_partkey, array_to_string({S.query_tokens(qt, False)}, '|') AS tokens_all, "
+            f"array_to_string({S.query_tokens(qt, True)}, '|') AS tokens FROM part")
 
 
 def kw_any() -> str:
