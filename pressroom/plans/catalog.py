@@ -142,7 +142,7 @@ def doc_feeds(spark, sf_dir) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
 
     def item(line, i):
-        title = F.substring(line, 1, 80)
+        title = line
         title_x = F.when(F.contains(line, F.lit(",")),
                          F.concat(F.lit("<![CDATA[ "), title, F.lit(" ]]>"))).otherwise(title)
         link = F.when(F.length(line) >= 40, F.concat(
@@ -316,10 +316,10 @@ MIN_MATCH_QUERY = "tion ment that with"
 
 
 def q_kw_min_match(spark, sf_dir):
-    """keyword hits in the first 80 characters, at least min(2, n) required."""
+    """keyword hits in the lower-cased text, at least min(2, n) required."""
     docs = load(spark, sf_dir, "documents")
     kws = T.query_tokens(F.lit(MIN_MATCH_QUERY))
-    title = F.lower(F.substring("text", 1, 80))
+    title = F.lower("text")
     return docs.select("doc_id", T.keyword_hits(title, kws).cast("long").alias("n_hits"),
                        T.min_keyword_match(title, kws).alias("keep"))
 
@@ -337,7 +337,7 @@ def doc_articles(docs: DataFrame) -> DataFrame:
         F.when(F.col("source") == "src0", F.lit("")).otherwise(F.concat(
             F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string"))).alias("url"),
         F.when(F.col("lang") == "de", F.lit("yes")).otherwise(F.lit("no")).alias("paywalled"),
-        F.substring("text", 1, 60).alias("title"))
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
@@ -676,12 +676,12 @@ def doc_article_html(spark, sf_dir) -> DataFrame:
     art_open = F.when(lang == "de", F.lit("<main>")).otherwise(F.lit("<article>"))
     art_close = F.when(lang == "de", F.lit("</main>")).otherwise(F.lit("</article>"))
     html = F.concat(
-        F.lit('<html><head><title>'), F.substring(first, 1, 60), F.lit(" - Jornal</title>"),
+        F.lit('<html><head><title>'), first, F.lit(" - Jornal</title>"),
         F.lit('<meta property="og:description" content="'), F.regexp_replace(second, '"', ""), F.lit('">'),
         F.lit('<meta property="article:published_time" content="'), F.date_format(day, "yyyy-MM-dd"),
         F.lit('T08:00:00-03:00"><script>var t="<p>x</p>";</script></head><body>'),
         F.lit("<header><h1>Menu do jornal</h1></header><nav><a href=\"/a\">Assine</a></nav>"),
-        art_open, F.lit("<h1>"), F.substring(first, 1, 80), F.lit("</h1>"), sub,
+        art_open, F.lit("<h1>"), first, F.lit("</h1>"), sub,
         F.lit('<p class="c-news__author">Por '), F.col("source"), F.lit("</p><time>"), pt, F.lit("</time>"),
         open_body, paras, F.lit('<div class="c-ad ad"><p>Publicidade longa o bastante</p></div>'),
         F.lit("<p>Carregando comentarios do leitor</p></div>"), art_close,
@@ -737,7 +737,7 @@ def q_result_list(spark, sf_dir):
     def li(x, i):
         href = F.when(F.length(x) > 20, F.concat(
             F.lit('<a href="https://www1.folha.uol.com.br/poder/2024/'), F.col("doc_id").cast("string"), F.lit("-"),
-            i.cast("string"), F.lit('.shtml?origin=busca">'), F.substring(x, 1, 60), F.lit("</a>"))).otherwise(
+            i.cast("string"), F.lit('.shtml?origin=busca">'), x, F.lit("</a>"))).otherwise(
             F.lit('<a href="https://other.example.com/x">outra</a>'))
         return F.concat(F.lit('<li class="c-headline"><a href="https://www1.folha.uol.com.br/x"></a>'), href,
                         F.lit('<span class="c-headline__dateline">'), (i % 28 + 1).cast("string"),
@@ -769,11 +769,11 @@ def doc_stories(docs: DataFrame) -> DataFrame:
             F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")), "yyyy-MM-dd")
         ).alias("date"),
         F.col("source").alias("outlet"),
-        F.substring(F.element_at(lines, 1), 1, 60).alias("title"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
         F.concat(F.lit(' "https://'), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id").cast("string"),
                  F.lit('" ')).alias("url"),
         F.lit("").alias("theme"),
-        F.concat(F.substring("text", 1, 300), F.lit(' "q", x')).alias("summary"),
+        F.concat(F.col("text"), F.lit(' "q", x')).alias("summary"),
         F.when(F.col("lang") == "de", F.lit(" YES ")).when(F.col("lang") == "fr", F.lit("")).otherwise(F.lit("no"))
         .alias("paywalled"))
 

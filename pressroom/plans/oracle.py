@@ -134,8 +134,8 @@ def lane_dispatch() -> str:
 
 DOC_FEEDS = """
     f AS (SELECT doc_id, '<rss><channel>' || array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
-        '<item><title>' || CASE WHEN contains(line, ',') THEN '<![CDATA[ ' || substring(line, 1, 80) || ' ]]>'
-                                ELSE substring(line, 1, 80) END || '</title>'
+        '<item><title>' || CASE WHEN contains(line, ',') THEN '<![CDATA[ ' || line || ' ]]>'
+                                ELSE line END || '</title>'
         || CASE WHEN length(line) >= 40 THEN '<link>https://www.' || source || '.example.com/' || lang || '/'
                 || CAST(doc_id AS VARCHAR) || '-' || CAST(i - 1 AS VARCHAR) || '</link>' ELSE '' END
         || '<pubDate>' || CASE WHEN contains(line, '?') THEN 'not a date'
@@ -298,7 +298,7 @@ def kw_min_match() -> str:
     from pressroom.plans.catalog import MIN_MATCH_QUERY
 
     kws = S.query_tokens(S.q(MIN_MATCH_QUERY))
-    title = "lower(substring(text, 1, 80))"
+    title = "lower(text)"
     return (f"SELECT doc_id, CAST({S.keyword_hits(title, kws)} AS BIGINT) AS n_hits, "
             f"{S.keyword_hits(title, kws)} >= greatest(1, least(2, len({kws}))) AS keep FROM documents")
 
@@ -310,7 +310,7 @@ def path_exclude() -> str:
 DOC_ARTICLES = """
     a AS (SELECT doc_id + 1 AS row_num,
                  CASE WHEN source = 'src0' THEN '' ELSE 'https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) END AS url,
-                 CASE WHEN lang = 'de' THEN 'yes' ELSE 'no' END AS paywalled, substring(text, 1, 60) AS title, text
+                 CASE WHEN lang = 'de' THEN 'yes' ELSE 'no' END AS paywalled, split_part(text, chr(10), 1) AS title, text
             FROM documents),
     t AS (SELECT doc_id + 1 AS row_num, text FROM documents WHERE n_chars > 2000)"""
 
@@ -566,9 +566,9 @@ def articles_scan() -> str:
     pw = "CASE WHEN lang = 'de' THEN ' YES ' WHEN lang = 'fr' THEN '' ELSE 'no' END"
     return (f"SELECT row_number() OVER (ORDER BY doc_id) AS row_num,"
             f" CASE WHEN lang = 'en' THEN '2024-03' ELSE strftime(DATE '2024-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') END AS date,"
-            f" source AS outlet, coalesce(substring(string_split(text, chr(10))[1], 1, 60), '') AS title,"
+            f" source AS outlet, split_part(text, chr(10), 1) AS title,"
             f" {S.url_store_clean(raw_url)} AS url, '' AS theme,"
-            f" substring(text, 1, 300) || ' \"q\", x' AS summary, {S.paywalled_norm(pw)} AS paywalled FROM documents")
+            f" text || ' \"q\", x' AS summary, {S.paywalled_norm(pw)} AS paywalled FROM documents")
 
 
 def articles_roundtrip() -> str:
