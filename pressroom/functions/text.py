@@ -292,22 +292,33 @@ def _kw_array(kws) -> Column:
 
 
 def any_keyword(text_lc, kws) -> Column:
-    """Some keyword is a substring of the (already lower-cased) text."""
+    """Some keyword is a substring of the (already lower-cased) text.
+
+    A literal list becomes one OR of ``contains`` (code-generated, literal
+    patterns); a keyword array column goes through ``exists``."""
     t = _c(text_lc)
-    return F.exists(_kw_array(kws), lambda k: F.contains(t, k))
+    if not isinstance(kws, Column):
+        return contains_any(t, kws)
+    return F.exists(kws, lambda k: F.contains(t, k))
 
 
 def keyword_hits(text_lc, kws) -> Column:
-    """Number of listed keywords present at least once."""
+    """Number of listed keywords present at least once (a repeated keyword counts twice)."""
     t = _c(text_lc)
-    return F.size(F.filter(_kw_array(kws), lambda k: F.contains(t, k)))
+    if not isinstance(kws, Column):
+        n = F.lit(0)
+        for k in kws:
+            n = n + F.contains(t, F.lit(k)).cast("int")
+        return n
+    return F.size(F.filter(kws, lambda k: F.contains(t, k)))
 
 
 def min_keyword_match(text_lc, kws) -> Column:
     """At least min(2, #keywords) (and at least one) keywords present."""
-    arr = _kw_array(kws)
-    need = F.greatest(F.lit(1), F.least(F.lit(2), F.size(arr)))
-    return keyword_hits(text_lc, arr) >= need
+    if not isinstance(kws, Column):
+        return keyword_hits(text_lc, kws) >= max(1, min(2, len(kws)))
+    need = F.greatest(F.lit(1), F.least(F.lit(2), F.size(kws)))
+    return keyword_hits(text_lc, kws) >= need
 
 
 def contains_any(c, parts: Iterable[str]) -> Column:

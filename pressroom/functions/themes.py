@@ -51,13 +51,28 @@ def theme_scores(text_lc, taxonomy: Mapping[str, Sequence[str]] | None = None) -
         for i, (th, kws) in enumerate(tax.items())])
 
 
-def guess_theme(text, taxonomy: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Best theme by keyword count, ties to the earlier theme, '' at zero."""
+def guess_theme(text, taxonomy: Mapping[str, Sequence[str]] | None = None, lowered: bool = False) -> Column:
+    """Best theme by keyword count, ties to the earlier theme, '' at zero.
+
+    Pass an already lower-cased column with ``lowered=True`` (see
+    :func:`with_themes`) so the text is lower-cased once, not once per keyword.
+    """
     t = F.col(text) if isinstance(text, str) else text
-    best = F.array_max(theme_scores(F.lower(t), taxonomy))
+    best = F.array_max(theme_scores(t if lowered else F.lower(t), taxonomy))
     return F.when(best["n"] > 0, best["theme"]).otherwise(F.lit(""))
 
 
+def with_themes(df: DataFrame, text: str, taxonomy: Mapping[str, Sequence[str]] | None = None,
+                guess: str | None = "theme", scores: str | None = None) -> DataFrame:
+    """Add the guess (and / or the per-theme scores) with the text lower-cased once."""
+    d = df.withColumn("_lc", F.lower(F.col(text)))
+    if scores:
+        d = d.withColumn(scores, theme_scores(F.col("_lc"), taxonomy))
+    if guess:
+        d = d.withColumn(guess, guess_theme(F.col("_lc"), taxonomy, lowered=True))
+    return d.drop("_lc")
+
+
 def taxonomy_from_df(themes: DataFrame) -> dict[str, list[str]]:
     """Taxonomy rows (theme, theme_ord, keyword) -> ordered mapping, size-checked."""
     n = themes.count()
@@ -72,11 +87,14 @@ def taxonomy_from_df(themes: DataFrame) -> dict[str, list[str]]:
 def theme_scores_join(docs: DataFrame, themes: DataFrame, key: str, text: str) -> DataFrame:
     """J7 for large taxonomies: (key, theme, theme_ord, n) by a substring join.
 
-    The keyword side is broadcast (a taxonomy is configuration; callers pass
-    one whose size they know), the text side streams; counts are combined
-    map-side before the shuffle on (key, theme).
+    The keyword side is broadcast only after its size is checked (a taxonomy
+    is configuration, at most ``MAX_INLINE_KEYWORDS`` rows); the text side
+    streams; counts are combined map-side before the shuffle on (key, theme).
     """
     kw = themes.select("theme", "theme_ord", "keyword").distinct()
+    n = kw.count()
+    if n > MAX_INLINE_KEYWORDS:
+        raise ValueError(f"taxonomy of {n} keywords is above the broadcast bound {MAX_INLINE_KEYWORDS}")
     d = docs.select(key, F.lower(F.col(text)).alias("_lc"))
     hits = d.join(F.broadcast(kw), F.contains(F.col("_lc"), F.col("keyword")))
     return hits.groupBy(key, "theme", "theme_ord").agg(F.count(F.lit(1)).alias("n"))

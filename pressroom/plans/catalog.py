@@ -436,19 +436,20 @@ def q_repair_status(spark, sf_dir):
 
 def q_theme_counts(spark, sf_dir):
     """Keyword hits per theme of the default taxonomy."""
-    from pressroom.functions.themes import theme_scores
+    from pressroom.functions.themes import with_themes
 
     docs = load(spark, sf_dir, "documents")
-    d = docs.select("doc_id", F.explode(theme_scores(F.lower("text"))).alias("s"))
+    d = with_themes(docs.select("doc_id", "text"), "text", guess=None, scores="_s")
+    d = d.select("doc_id", F.explode("_s").alias("s"))
     return d.select("doc_id", F.col("s.theme").alias("theme"), F.col("s.n").cast("long").alias("n"))
 
 
 def q_theme_guess(spark, sf_dir):
     """Arg-max theme, ties to the earlier theme, '' at zero."""
-    from pressroom.functions.themes import guess_theme
+    from pressroom.functions.themes import with_themes
 
     docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", guess_theme("text").alias("theme"))
+    return with_themes(docs.select("doc_id", "text"), "text").select("doc_id", "theme")
 
 
 # ------------------------------------------------------------------ audit and numbering

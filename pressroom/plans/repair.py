@@ -48,7 +48,8 @@ def repair_texts(articles: DataFrame, texts: DataFrame, pages: DataFrame,
     _, lane, min_chars = _lane_cols("url", registry)
     a = a.withColumn("lane", F.when(F.col("_todo"), lane)).withColumn("min_chars", F.when(F.col("_todo"), min_chars))
     keys = a.where("_todo").select("url", "lane", "min_chars").distinct()
-    ex = extract_pages(keys, pages, with_dom).select("url", "lane", "min_chars",
+    checkpoint_dir(a.sparkSession)
+    ex = extract_pages(keys, pages, with_dom).checkpoint(eager=True).select("url", "lane", "min_chars",
                                                      F.when(F.col("ok"), F.col("text")).alias("new_text"))
     d = a.join(ex, ["url", "lane", "min_chars"], "left")
     d = d.withColumn("status", repair_status("paywalled", "has_text", "url", "new_text", overwrite))
