@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 # Python's str.isspace() set, written out so Java and RE2 agree on it.
 WS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+# The same set as characters (derived from Python's own definition), for btrim.
+PY_WS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # Python's \w for str: letters, numbers, underscore.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -31,8 +33,9 @@ def lit_regex(s: str) -> str:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: Unicode whitespace off both ends."""
-    return F.regexp_replace(_c(c), rf"\A{WS}+|{WS}+\z", "")
+    """Python ``str.strip()``: Unicode whitespace off both ends (a character-set
+    trim, several times faster than the equivalent regex on long texts)."""
+    return F.btrim(_c(c), F.lit(PY_WS))
 
 
 def strip_char(c, ch: str) -> Column:

@@ -99,9 +99,14 @@ def first(blocks: Column, pred) -> Column:
     return F.try_element_at(F.filter(blocks, pred), F.lit(1))
 
 
-def drop_subtrees(blocks: Column, selectors: Sequence[str]) -> Column:
-    """blocks outside every subtree rooted at a drop-selector match."""
-    gone = F.transform(F.filter(blocks, lambda x: any_of(x, selectors)), lambda x: x["ord"])
+def dropped_roots(blocks: Column, selectors: Sequence[str]) -> Column:
+    """Start orders of the elements matching a drop selector."""
+    return F.transform(F.filter(blocks, lambda x: any_of(x, selectors)), lambda x: x["ord"])
+
+
+def outside(blocks: Column, gone: Column) -> Column:
+    """blocks outside every subtree rooted at one of ``gone`` (a column,
+    so it is computed once per page, not once per element)."""
     return F.filter(blocks, lambda x: ~F.array_contains(gone, x["ord"]) & ~F.arrays_overlap(x["anc"], gone))
 
 
@@ -142,7 +147,8 @@ def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
     tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
     ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
     d = _staged(d, cond, [
-        ("_f_live", drop_subtrees(c(b), FOLHA_DROP)),
+        ("_f_gone", dropped_roots(c(b), FOLHA_DROP)),
+        ("_f_live", outside(c(b), c("_f_gone"))),
         ("_f_body", first(c("_f_live"), lambda x: any_of(x, FOLHA_BODY))),
         ("_f_title", F.coalesce(tx(first(c("_f_live"), lambda x: x["tag"] == "h1")), F.lit(""))),
         ("_f_date", tx(first(c("_f_live"), lambda x: x["tag"] == "time"))),
@@ -154,10 +160,9 @@ def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
         c("_f_date"), F.lit("")))
     parts = F.when(c("_f_body").isNotNull(), body_parts(c("_f_live"), c(n), c("_f_body"), folha_keep)) \
         .otherwise(F.array(T.html_to_text(c(html))))
-    d = _staged(d, cond, [("_f_text", _join(F.concat(head, parts)))])
-    return d.withColumn("_f", F.when(cond, F.struct(
-        c("_f_title").alias("title"), T.pt_dotted_month(F.coalesce(c("_f_date"), F.lit(""))).alias("date"),
-        c("_f_text").alias("text"), T.second_chunk(c("_f_text")).alias("summary"))))
+    d = _staged(d, cond, [("_f_text", _join(F.concat(head, parts))),
+                          ("_f_day", T.pt_dotted_month(F.coalesce(c("_f_date"), F.lit(""))))])
+    return _outputs(d, cond, "_f", c("_f_title"), c("_f_day"), c("_f_text"), T.second_chunk(c("_f_text")))
 
 
 def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
@@ -174,7 +179,8 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
                             F.substring(F.regexp_extract(c(html), T.DATE_JSON_LD, 1), 1, 10))
     d = _staged(d, cond, [
         ("_g_title", title), ("_g_date", date),
-        ("_g_live", drop_subtrees(c(b), GLOBO_DROP)),
+        ("_g_gone", dropped_roots(c(b), GLOBO_DROP)),
+        ("_g_live", outside(c(b), c("_g_gone"))),
         ("_g_body", F.coalesce(*[first(c("_g_live"), matcher(s)) for s in GLOBO_BODY])),
     ])
     od = first(c("_g_live"), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:description"))
@@ -184,9 +190,7 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
     parts = F.when(c("_g_body").isNotNull(), body_parts(c("_g_live"), c(n), c("_g_body"), globo_keep)) \
         .otherwise(F.array(T.html_to_text(c(html))))
     d = _staged(d, cond, [("_g_text", _join(F.concat(head, parts)))])
-    return d.withColumn("_g", F.when(cond, F.struct(
-        c("_g_title").alias("title"), c("_g_date").alias("date"), c("_g_text").alias("text"),
-        T.second_chunk(c("_g_text")).alias("summary"))))
+    return _outputs(d, cond, "_g", c("_g_title"), c("_g_date"), c("_g_text"), T.second_chunk(c("_g_text")))
 
 
 def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
@@ -204,9 +208,14 @@ def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
         ln(first(c(b), lambda x: x["tag"] == "body")), F.lit(""))).otherwise(c("_p_body")))])
     text = F.when(c("_p_title") != "", T.py_strip(F.concat(c("_p_title"), F.lit("\n\n"), c("_p_body")))) \
         .otherwise(c("_p_body"))
-    return d.withColumn("_p", F.when(cond, F.struct(
-        c("_p_title").alias("title"), F.lit("").alias("date"), text.alias("text"),
-        F.substring(c("_p_body"), 1, 300).alias("summary"))))
+    return _outputs(d, cond, "_p", c("_p_title"), F.lit(""), text, F.substring(c("_p_body"), 1, 300))
+
+
+def _outputs(d: DataFrame, cond: Column, prefix: str, title, date, text, summary) -> DataFrame:
+    """The lane's four output columns ``{prefix}.title`` ... (null on other lanes)."""
+    for name, e in (("title", title), ("date", date), ("text", text), ("summary", summary)):
+        d = d.withColumn(f"{prefix}.{name}", F.when(cond, e))
+    return d
 
 
 LANE_FUNCS = {"folha": (folha_lane, "_f"), "globo": (globo_lane, "_g"), "piaui": (piaui_lane, "_p")}
@@ -220,12 +229,12 @@ def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_char
     lane_c = F.col(lane)
     for name, (fn, _) in LANE_FUNCS.items():
         d = fn(d, lane_c == name, "_b", html, "_n")
-    res = F.coalesce(*[F.col(k) for _, k in LANE_FUNCS.values()])
-    d = d.select(*cols, res.alias("_r"))
-    t = F.col("_r.text")
+    pick = {k: F.coalesce(*[F.col(f"`{p}.{k}`") for _, p in LANE_FUNCS.values()])
+            for k in ("title", "date", "text", "summary")}
+    d = d.select(*cols, *[v.alias(k) for k, v in pick.items()])
+    t = F.col("text")
     ok = (t != "") & (F.length(t) >= F.col(min_chars)) & (F.col(html) != "")
-    return d.select(*cols, F.col("_r.title").alias("title"), F.col("_r.date").alias("date"), t.alias("text"),
-                    F.col("_r.summary").alias("summary"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return d.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
 def result_items(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -659,7 +659,8 @@ def doc_article_html(spark, sf_dir) -> DataFrame:
     en -> folha body / globo container / piaui .post-content; fr -> itemprop body;
     es -> no subtitle, 'article' only; de -> no body container at all."""
     docs = load(spark, sf_dir, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(T.py_strip(x)) > 0)
+    docs = docs.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.length(T.py_strip(x)) > 0))
+    lines = F.col("_lines")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     second = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
     paras = F.array_join(F.transform(F.slice(lines, 2, 100000), lambda x, i: F.when(

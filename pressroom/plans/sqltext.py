@@ -38,8 +38,11 @@ def rx_replace(x: str, pat: str, rep: str) -> str:
     return f"regexp_replace({x}, {q(pat)}, {nl(rep)}, 'g')"
 
 
+PY_WS_SQL = "(" + " || ".join(f"chr({ord(ch)})" for ch in T.PY_WS) + ")"
+
+
 def strip(x: str) -> str:
-    return rx_replace(x, rf"\A{T.WS}+|{T.WS}+\z", "")
+    return f"trim({x}, {PY_WS_SQL})"
 
 
 def strip_char(x: str, ch: str) -> str:
