@@ -23,6 +23,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # page rows are large: small Arrow batches keep the JVM and the HTML
+        # tokenizer working side by side instead of one after the other
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PRESSROOM_DRIVER_MEMORY", "16g"))
