@@ -205,8 +205,7 @@ HTML_TEXT_STEPS = [
     (r"<[^>]*>", ""),
 ]
 HTML_TEXT_TIDY = [
-    (r"[\t ]+\n", "\n"),
-    (r"\n[\t ]+", "\n"),
+    (r"[\t ]*\n[\t ]*", "\n"),
     (r"\n{3,}", "\n\n"),
 ]
 
