@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.session import checkpoint_dir
+from pressroom.session import materialize as materialize_df
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -48,8 +48,7 @@ def stop_at_empty(items: DataFrame, pages: DataFrame, search: Sequence[str], pag
     out of their pages twice.
     """
     if materialize:
-        checkpoint_dir(items.sparkSession)
-        items = items.checkpoint(eager=True)
+        items = materialize_df(items)
     counted = items if counted is None else counted
     nonempty = counted.select(*search, page).distinct().withColumn("_has", F.lit(True))
     allp = pages.select(*search, page).distinct()

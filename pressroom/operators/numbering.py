@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.session import checkpoint_dir
+from pressroom.session import materialize
 
 _LOW = (1 << 33) - 1
 
@@ -34,13 +34,11 @@ def number_rows(df: DataFrame, order_cols: list, base=1, col: str = "row_num",
     number, read on the driver).
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), 33)
     counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

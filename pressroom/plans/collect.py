@@ -25,7 +25,7 @@ from pressroom.operators import lanes as LN
 from pressroom.operators.numbering import number_rows
 from pressroom.operators.store import mark_known
 from pressroom.schemas import ARTICLE_FIELDS
-from pressroom.session import checkpoint_dir
+from pressroom.session import materialize
 
 ORDER = ["sel_ord", "page_no", "stub_ord"]
 
@@ -72,8 +72,7 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
     keys = s.where(~F.col("in_store")).select("url", "lane", "min_chars").distinct()
     # The extraction is the costly step and feeds both the winner aggregate and
     # the rows joined back to it: computed once, written to the checkpoint folder.
-    checkpoint_dir(s.sparkSession)
-    ex = extract_pages(keys, pages, with_dom).checkpoint(eager=True)
+    ex = materialize(extract_pages(keys, pages, with_dom))
     ex = ex.withColumnRenamed("title", "x_title").withColumnRenamed("date", "x_date")
 
     c = s.join(ex, ["url", "lane", "min_chars"], "left")

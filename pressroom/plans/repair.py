@@ -21,7 +21,7 @@ from pressroom.operators.audit import repair_status
 from pressroom.operators.numbering import number_rows
 from pressroom.operators.route import route
 from pressroom.plans.collect import extract_pages
-from pressroom.session import checkpoint_dir
+from pressroom.session import materialize
 from pressroom.sources.outlets import GENERIC_MIN_CHARS, OUTLET_ROWS
 
 # (key, domain, lane, min_chars, name) of the default registry
@@ -48,8 +48,7 @@ def repair_texts(articles: DataFrame, texts: DataFrame, pages: DataFrame,
     _, lane, min_chars = _lane_cols("url", registry)
     a = a.withColumn("lane", F.when(F.col("_todo"), lane)).withColumn("min_chars", F.when(F.col("_todo"), min_chars))
     keys = a.where("_todo").select("url", "lane", "min_chars").distinct()
-    checkpoint_dir(a.sparkSession)
-    ex = extract_pages(keys, pages, with_dom).checkpoint(eager=True).select("url", "lane", "min_chars",
+    ex = materialize(extract_pages(keys, pages, with_dom)).select("url", "lane", "min_chars",
                                                      F.when(F.col("ok"), F.col("text")).alias("new_text"))
     d = a.join(ex, ["url", "lane", "min_chars"], "left")
     d = d.withColumn("status", repair_status("paywalled", "has_text", "url", "new_text", overwrite))
@@ -77,8 +76,7 @@ def fetch_urls(urls: DataFrame, store: DataFrame, pages: DataFrame,
     r, lane, min_chars = _lane_cols("url", registry, F.lit(hint) if hint else None)
     names = F.create_map(*[x for k, _d, _l, _m, n in registry for x in (F.lit(k), F.lit(n))])
     u = u.withColumn("okey", r).withColumn("lane", lane).withColumn("min_chars", min_chars)
-    checkpoint_dir(u.sparkSession)
-    ex = extract_pages(u.select("url", "lane", "min_chars").distinct(), pages, with_dom).checkpoint(eager=True)
+    ex = materialize(extract_pages(u.select("url", "lane", "min_chars").distinct(), pages, with_dom))
     d = u.join(ex, ["url", "lane", "min_chars"], "left").where(F.coalesce(F.col("ok"), F.lit(False)))
     key = F.struct(*[F.col(c) for c in order])
     firsts = d.groupBy("url").agg(F.min(key).alias("_w"))

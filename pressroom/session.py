@@ -53,3 +53,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table next to the checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df):
+    """Write ``df`` to the reliable checkpoint folder now and continue from it.
+
+    Used where one costly intermediate feeds two branches (so it is computed
+    once) or must not change between two reads.  It cuts lineage, so a lost
+    executor re-reads the written files instead of recomputing.  Columns get
+    fresh attribute ids so the result can be joined with tables that share its
+    lineage.
+    """
+    from pyspark.sql import functions as F
+
+    checkpoint_dir(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
