@@ -287,12 +287,6 @@ def query_tokens(q, distinct: bool = True) -> Column:
     return F.array_distinct(toks) if distinct else toks
 
 
-def _kw_array(kws) -> Column:
-    if isinstance(kws, Column):
-        return kws
-    return F.array(*[F.lit(k) for k in kws]) if kws else F.array().cast("array<string>")
-
-
 def any_keyword(text_lc, kws) -> Column:
     """Some keyword is a substring of the (already lower-cased) text.
 

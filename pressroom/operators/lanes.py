@@ -1,64 +1,31 @@
 """Extraction lanes: page HTML -> title, date, text, summary, ok.
 
-Regex lanes (X17 generic, X1-X4 + X9 + L4 "meta", X8 + L3 + X14 "paragraph")
-are built-in expressions.  DOM lanes (folha, globo, piaui) sit on the block
-table of :mod:`pressroom.operators.htmlblocks`.  :func:`extract` dispatches
-per row on the ``lane`` column (X18): regex lanes as one CASE projection,
-DOM lanes only over the rows that need them.
+Regex lanes are built-in expressions:
+
+* ``generic`` (X17): readable text of the whole page (X9), gate 200, summary
+  = first 300 characters, no title / date;
+* ``meta`` (X1-X4, X9, L4): og:title or the cut <title>, three date
+  patterns, readable text, gate from the outlet, long-line summary;
+* ``paragraph`` (X8, L3, X14): <p> bodies over 50 chars, at least three,
+  middle slice, joined by blank lines, summary = first two joined.
+
+DOM lanes (folha, globo, piaui) sit on the block table of
+:mod:`pressroom.operators.htmlblocks`.  :func:`regex_dispatch` picks the lane
+per row on the ``lane`` column (X18) in one projection; DOM lanes run only
+over the rows routed to them (:func:`pressroom.plans.collect.extract_pages`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as T
 
-LANE_COLS = ["title", "date", "text", "summary", "ok"]
 REGEX_LANES = ("generic", "meta", "paragraph")
 DOM_LANES = ("folha", "globo", "piaui")
 
 
-def generic_lane(html: Column, url: Column, min_chars=200) -> dict[str, Column]:
-    """Readable text of the whole page, outlet label = host as written."""
-    text = T.html_to_text(html)
-    return {
-        "title": F.lit(""),
-        "date": F.lit(""),
-        "text": text,
-        "summary": F.substring(text, 1, 300),
-        "ok": F.length(text) >= min_chars,
-        "host": T.url_host(url, lower=False),
-    }
-
-
-def meta_lane(html: Column, min_chars=300) -> dict[str, Column]:
-    """og:title or cut <title>, three date patterns, readable text, line summary."""
-    text = T.html_to_text(html)
-    return {
-        "title": T.first_nonempty(T.meta_property(html, "og:title"), T.title_tag(html, (" - ", " | "))),
-        "date": T.page_date(html, with_time_tag=True),
-        "text": text,
-        "summary": T.lines_summary(text),
-        "ok": F.length(text) >= min_chars,
-    }
-
-
-def paragraph_lane(html: Column, min_chars=200, min_paragraphs: int = 3) -> dict[str, Column]:
-    """<p> bodies > 50 chars, >= 3 of them, middle slice, joined by blank lines."""
-    ps = T.paragraphs(html)
-    body = T.body_slice(ps)
-    text = F.array_join(body, "\n\n")
-    return {
-        "title": T.first_nonempty(T.meta_property(html, "og:title"), T.title_tag(html, (" - ",))),
-        "date": T.page_date(html, with_time_tag=False),
-        "text": text,
-        "summary": F.substring(F.array_join(F.slice(body, 1, 2), " "), 1, 300),
-        "ok": (F.size(ps) >= min_paragraphs) & (F.length(text) >= min_chars),
-        "_ps": ps,
-    }
-
-
 def apply_lane(df: DataFrame, lane: str, html: str = "html", url: str = "url",
                min_chars: int | None = None) -> DataFrame:
     """One regex lane for every row; the literal lane folds the dispatch away."""

@@ -1,7 +1,7 @@
 """Explicit schemas of every table the library reads or writes."""
 
 from pyspark.sql.types import (
-    ArrayType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    IntegerType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
 
@@ -27,7 +27,3 @@ RUNS = _s(("run_id", S), ("ts", TimestampType()), ("query", S), ("project_contex
 OUTLET_RESULTS = _s(("run_id", S), ("outlet", S), ("pages", L), ("hits", L), ("new", L), ("added", L),
                     ("note", S))
 THEMES = _s(("theme", S), ("theme_ord", I), ("keyword", S))
-BLOCK = StructType([
-    StructField("ord", I), StructField("tag", S), StructField("path", ArrayType(S)),
-    StructField("attrs", S), StructField("text", S),
-])

@@ -35,9 +35,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of this session, set only if unset."""
-    sc = spark.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The reliable checkpoint folder of this session, set only if unset.
+
+    Under Spark Connect the folder is the server's setting and is not touched.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no driver-side context
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
