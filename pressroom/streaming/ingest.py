@@ -1,70 +1,105 @@
 """Incremental collection as a Structured Streaming job.
 
-Captured pages land as Parquet files in a folder.  Each micro-batch keeps the
-first row of each URL (W1), drops URLs already in the store (J1), numbers the
-rest on from the store's last row number (A10, W3) and writes them into the
-store partition ``run = batch_id``.  The store itself is the state, so no
-watermark is needed.
-
-Replay safety: a micro-batch that is run again (after a failure between the
-write and the commit of the stream checkpoint) reads the store *without* its
-own partition and overwrites only that partition (writer option
-``partitionOverwriteMode=dynamic``; the session setting is not seen inside
-``foreachBatch``), so it produces the same rows and numbers again.  Only the
-last batch can be replayed, which keeps its row numbers at the end.
+Captured pages land as Parquet files in a folder.  The stream
+
+1. keeps, per URL, the first row in arrival order among the rows not seen in
+   any earlier micro-batch (W1 + J1).  The set of known URLs is streaming
+   *state* - one boolean per URL, kept in the state store and partitioned by
+   URL hash like any keyed state - so a micro-batch never reads the stored
+   articles to find out what is new;
+2. numbers the survivors on from the last row number (A10, W3) and writes
+   them into the store partition ``run = batch_id``; the last row number of
+   each batch goes to a one-row-per-batch ``_runs`` table, so the next batch
+   reads that small table instead of scanning the store.
+
+Replay safety: when a micro-batch runs again (a failure between the write
+and the commit of the stream checkpoint), the state store is rolled back to
+the previous version, so the same rows come out again; the writer takes its
+base from the ``_runs`` rows of *earlier* batches and overwrites only its own
+partitions (writer option ``partitionOverwriteMode=dynamic``; the session
+setting is not seen inside ``foreachBatch``), so it writes the same rows and
+numbers again.  Only the last batch can be replayed, which keeps its numbers
+at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from pressroom.operators.discovery import first_seen
 from pressroom.operators.numbering import number_rows
 
 
-def _store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store table, or None before its first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # path does not exist yet
-        return None
+def runs_path(store_path: str) -> str:
+    return store_path.rstrip("/") + "_runs"
+
 
+def _last_row_num(spark: SparkSession, store_path: str, batch_id: int) -> int:
+    """Last row number written by the batches before ``batch_id`` (0 if none)."""
+    try:
+        runs = spark.read.parquet(runs_path(store_path))
+    except AnalysisException:  # no batch written yet
+        return 0
+    return runs.where(F.col("run") < batch_id).agg(F.coalesce(F.max("last_row"), F.lit(0))).first()[0]
 
-def make_batch_writer(store_path: str, key: str = "url", order: list[str] | None = None,
-                      project=None):
-    """foreachBatch function: (batch_df, batch_id) -> append new rows to the store.
 
-    ``order`` is the arrival order inside a batch (a total order); ``project``
-    maps the batch rows to the stored columns (default: all columns).
-    """
-    order = order or ["page_id"]
+def make_batch_writer(store_path: str, order: Sequence[str] = ("page_id",)) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: number a batch of new rows and write its partitions."""
+    order = list(order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = project(batch) if project else batch
-        firsts = first_seen(rows, [key], order)
-        store = _store(spark, store_path)
-        base = 1
-        if store is not None:
-            prior = store.where(F.col("run") != batch_id)
-            firsts = firsts.join(prior.select(F.col(key).alias("_k")).distinct(),
-                                 F.col(key) == F.col("_k"), "left_anti")
-            base = prior.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).first()[0]
-        numbered = number_rows(firsts, order, base=base).withColumn("run", F.lit(batch_id).cast("long"))
+        base = _last_row_num(spark, store_path, batch_id) + 1
+        numbered = number_rows(batch, order, base=base).withColumn("run", F.lit(batch_id).cast("long"))
         (numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("run").parquet(store_path))
+        # numbers are contiguous from base, so the last one is base + count - 1
+        last = base - 1 + numbered.count()
+        (spark.createDataFrame([(last, batch_id)], "last_row long, run long")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run").parquet(runs_path(store_path)))
 
     return write
 
 
+def first_unseen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Streaming W1 + J1: per key, the first row (by ``order``) of the first
+    micro-batch the key appears in; later rows of the key are dropped."""
+    order = list(order)
+    schema = rows.schema
+
+    def pick(k, pdfs, state):
+        if state.exists:
+            return
+        best = None
+        for pdf in pdfs:
+            if len(pdf):
+                top = pdf.sort_values(order, kind="mergesort").head(1)
+                if best is None or tuple(top[order].iloc[0]) < tuple(best[order].iloc[0]):
+                    best = top
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    return rows.groupBy(key).applyInPandasWithState(
+        pick, outputStructType=schema, stateStructType="seen boolean", outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout)
+
+
 def run_available(spark: SparkSession, landing: str, schema: StructType, store_path: str,
-                  checkpoint: str, **kw) -> None:
+                  checkpoint: str, key: str = "url", order: Sequence[str] = ("page_id",),
+                  project: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Process every file that has landed and is not yet processed, then stop."""
-    q = (spark.readStream.format("parquet").schema(schema).load(landing)
-         .writeStream.foreachBatch(make_batch_writer(store_path, **kw))
+    src = spark.readStream.format("parquet").schema(schema).load(landing)
+    rows = project(src) if project else src
+    q = (first_unseen(rows, key, order).writeStream
+         .foreachBatch(make_batch_writer(store_path, order))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+

@@ -1,4 +1,4 @@
-"""Incremental ingest is idempotent and numbers on from the store."""
+"""Incremental ingest keeps the first unseen row per URL, numbers on, and is replay-safe."""
 
 from pyspark.sql import functions as F
 
@@ -7,25 +7,29 @@ from pressroom.streaming.ingest import make_batch_writer, run_available
 SCHEMA = "page_id long, url string"
 
 
+def _store(spark, path):
+    return sorted((r.row_num, r.page_id, r.url) for r in spark.read.parquet(path).collect())
+
+
 def test_ingest_runs_and_replay(spark, tmp_path):
     landing, store, ckpt = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck")
-    b1 = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u1")], SCHEMA)
-    b2 = spark.createDataFrame([(4, "u2"), (5, "u3"), (6, "u4")], SCHEMA)
-    b1.write.parquet(landing, mode="append")
-    run_available(spark, landing, b1.schema, store, ckpt)
-    b2.write.parquet(landing, mode="append")
-    run_available(spark, landing, b1.schema, store, ckpt)
-    got = sorted((r.row_num, r.url) for r in spark.read.parquet(store).collect())
-    assert got == [(1, "u1"), (2, "u2"), (3, "u3"), (4, "u4")]
-    # nothing new: a third run changes nothing
-    run_available(spark, landing, b1.schema, store, ckpt)
-    assert spark.read.parquet(store).count() == 4
-    # replaying the last batch (same batch id) rewrites only its partition, with the same rows
-    make_batch_writer(store)(b2, 1)
-    again = sorted((r.row_num, r.url, r.run) for r in spark.read.parquet(store).collect())
-    assert [(n, u) for n, u, _ in again] == got
-    assert {r for _, _, r in again} == {0, 1}
-    # a second delivery with new rows numbers on
-    spark.createDataFrame([(7, "u5"), (8, "u1")], SCHEMA).write.parquet(landing, mode="append")
-    run_available(spark, landing, b1.schema, store, ckpt)
+    # duplicates inside one delivery (u1 twice: the lower page_id wins) and across deliveries (u2)
+    spark.createDataFrame([(3, "u1"), (1, "u1"), (2, "u2")], SCHEMA).write.parquet(landing, mode="append")
+    run_available(spark, landing, spark.createDataFrame([], SCHEMA).schema, store, ckpt)
+    spark.createDataFrame([(4, "u2"), (6, "u4"), (5, "u3")], SCHEMA).write.parquet(landing, mode="append")
+    run_available(spark, landing, spark.createDataFrame([], SCHEMA).schema, store, ckpt)
+    got = _store(spark, store)
+    assert got == [(1, 1, "u1"), (2, 2, "u2"), (3, 5, "u3"), (4, 6, "u4")]
+    # nothing landed: a third run changes nothing
+    run_available(spark, landing, spark.createDataFrame([], SCHEMA).schema, store, ckpt)
+    assert _store(spark, store) == got
+    # replaying the last batch (same id, same rows) rewrites only its partitions, with the same numbers
+    last = spark.read.parquet(store).where("run = 1").select("page_id", "url")
+    last = spark.createDataFrame(last.collect(), SCHEMA)
+    make_batch_writer(store)(last, 1)
+    assert _store(spark, store) == got
+    # a replayed delivery and a new one: only the new URL is added, numbered on
+    spark.createDataFrame([(7, "u5"), (8, "u1"), (9, "u3")], SCHEMA).write.parquet(landing, mode="append")
+    run_available(spark, landing, spark.createDataFrame([], SCHEMA).schema, store, ckpt)
+    assert _store(spark, store)[-1] == (5, 7, "u5")
     assert spark.read.parquet(store).agg(F.max("row_num")).first()[0] == 5
