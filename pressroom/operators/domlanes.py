@@ -221,11 +221,17 @@ def _outputs(d: DataFrame, cond: Column, prefix: str, title, date, text, summary
 LANE_FUNCS = {"folha": (folha_lane, "_f"), "globo": (globo_lane, "_g"), "piaui": (piaui_lane, "_p")}
 
 
-def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_chars: str = "min_chars") -> DataFrame:
-    """X18 for DOM lanes: the block array is built once per page, then the lane's rules."""
-    cols = df.columns
-    d = df.withColumn("_pg", html_page(F.col(html)))
-    d = d.withColumn("_b", F.col("_pg.els")).withColumn("_n", F.col("_pg.nodes")).drop("_pg")
+def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_chars: str = "min_chars",
+                 parsed: str | None = None) -> DataFrame:
+    """X18 for DOM lanes: the block array is built once per page, then the lane's rules.
+
+    ``parsed`` names a column already holding :func:`html_page` of the page
+    (so one parse serves several lanes of the same page).
+    """
+    cols = [c for c in df.columns if c != parsed]
+    d = df if parsed else df.withColumn("_pg", html_page(F.col(html)))
+    pg = F.col(parsed or "_pg")
+    d = d.withColumn("_b", pg["els"]).withColumn("_n", pg["nodes"]).drop(parsed or "_pg")
     lane_c = F.col(lane)
     for name, (fn, _) in LANE_FUNCS.items():
         d = fn(d, lane_c == name, "_b", html, "_n")

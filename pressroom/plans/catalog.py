@@ -852,3 +852,23 @@ def q_fetch_run(spark, sf_dir):
                      with_dom=False, order=("src_ord", "page_id", "line_no"))
     return out.select("row_num", "date", "outlet", "title", "url", "summary",
                       F.length("text").cast("long").alias("n_chars"))
+
+
+def q_collect_dom(spark, sf_dir):
+    """collect with DOM lanes (X10-X13 inside X18): document articles found by the
+    folha, globo and piaui outlets, extracted by their DOM rules, winner per URL,
+    numbered (rows-only: the lanes run the HTML tokenizer)."""
+    from pressroom.plans.collect import collect
+
+    pages = doc_article_html(spark, sf_dir).select("doc_id", "url", "html")
+    base = pages.select(F.lit("r1").alias("run_id"), F.lit(1).alias("page_no"), F.col("doc_id").alias("stub_ord"),
+                        "url", F.lit("").alias("title"), F.lit("").alias("date"))
+    lang = F.regexp_extract("url", r"/a/([0-9]+)$", 1)
+    stubs = (base.withColumn("outlet_key", F.lit("globo"))
+             .unionByName(base.where(F.length(lang) % 2 == 0).withColumn("outlet_key", F.lit("folha")))
+             .unionByName(base.withColumn("outlet_key", F.lit("piaui"))))
+    known = pages.where(F.col("doc_id") < 0).select(F.lit(1).cast("long").alias("row_num"), "url")
+    sel = select_outlets(outlets_df(spark), "folha,globo,piaui")
+    res = collect(stubs, pages.select("url", "html"), sel, known, with_dom=True)
+    return res.articles.join(res.texts.select("row_num", F.length("text").cast("long").alias("n_chars")),
+                             "row_num", "left")

@@ -58,8 +58,16 @@ def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> D
     out = out.withColumn("ok", F.col("ok") & (F.col("html") != "")).select(*cols)
     if with_dom:
         from pressroom.operators.domlanes import dom_dispatch
-        dom = d.where(F.col("lane").isin(*LN.DOM_LANES))
-        out = out.unionByName(dom_dispatch(dom).select(*cols))
+        from pressroom.operators.htmlblocks import html_page
+        # each page is parsed once, whatever number of DOM lanes asks for it
+        # (the per-URL lane list is bounded by the number of lanes)
+        dom = (keys.where(F.col("lane").isin(*LN.DOM_LANES))
+               .groupBy("url").agg(F.collect_list(F.struct("lane", "min_chars")).alias("_lanes")))
+        dom = dom.join(pages.select("url", "html"), "url", "left").fillna({"html": ""})
+        dom = dom.withColumn("_pg", html_page(F.col("html")))
+        dom = dom.select("url", "html", "_pg", F.explode("_lanes").alias("_l")).select(
+            "url", "html", "_pg", F.col("_l.lane").alias("lane"), F.col("_l.min_chars").alias("min_chars"))
+        out = out.unionByName(dom_dispatch(dom, parsed="_pg").select(*cols))
     return out
 
 
