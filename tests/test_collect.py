@@ -94,3 +94,25 @@ def test_dry_run(spark):
     assert got == [("a", "https://n", "2024-01-01", "x" * 80)]
     stubs2 = stubs.withColumn("date", F.lit(""))
     assert dry_run(stubs2, st).collect()[0].date == "?"
+
+
+def test_collect_with_dom_lanes(spark):
+    """A URL found by the folha and globo outlets: folha's DOM lane fails its
+    300-char gate, so globo's extraction is the one stored; piaui reads the
+    same page with its own rules."""
+    long_p = "<p>" + "word " * 80 + "</p>"
+    html_a = f"<html><body><article><h1>A title</h1>{long_p}</article></body></html>"
+    html_b = "<html><body><div class='post-content'><p>short text only</p></div></body></html>"
+    pages = spark.createDataFrame([("https://x/a", html_a), ("https://x/b", html_b)], "url string, html string")
+    rows = [("folha", 1, 1, "https://x/b"), ("globo", 1, 1, "https://x/b"), ("globo", 1, 2, "https://x/a"),
+            ("piaui", 1, 1, "https://x/a")]
+    stubs = spark.createDataFrame([(k, p, j, u, "stub", "") for k, p, j, u in rows],
+                                  "outlet_key string, page_no int, stub_ord int, url string, title string, date string")
+    store = spark.createDataFrame([], "row_num long, url string")
+    sel = select_outlets(outlets_df(spark), "folha,globo,piaui")
+    res = collect(stubs, pages, sel, store, with_dom=True)
+    got = [(r.row_num, r.outlet, r.url, r.title) for r in res.articles.orderBy("row_num").collect()]
+    # b: too short for every lane; a: globo (second outlet) stores it before piaui
+    assert got == [(1, "O Globo", "https://x/a", "A title")]
+    counts = {r.outlet: (r.hits, r.new, r.added) for r in res.outlet_results.collect()}
+    assert counts == {"Folha de S.Paulo": (1, 1, 0), "O Globo": (2, 2, 1), "piaui": (1, 0, 0)}
