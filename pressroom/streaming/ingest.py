@@ -35,6 +35,27 @@ from pyspark.sql.types import StructType
 from pressroom.operators.numbering import number_rows
 
 
+KNOWN = "_known"
+
+
+def seed_known(store: DataFrame, landing: str, schema: StructType, last_row_num: int, store_path: str,
+               key: str = "url") -> None:
+    """Bootstrap the stream from an existing store (for example one imported
+    from the stories CSV): its URLs land once as rows flagged ``_known`` - the
+    state learns them, the writer stores nothing for them - and its last row
+    number becomes the starting point of the numbering.  Landing files then
+    need the nullable boolean column ``_known`` (absent = not known).
+    """
+    cols = [F.col(key) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields if f.name != KNOWN]
+    (store.select(key).where(F.col(key) != "").distinct()
+     .select(*cols, F.lit(True).alias(KNOWN)).write.mode("append").parquet(landing))
+    spark = store.sparkSession
+    (spark.createDataFrame([(int(last_row_num), -1)], "last_row long, run long")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(runs_path(store_path)))
+
+
 def runs_path(store_path: str) -> str:
     return store_path.rstrip("/") + "_runs"
 
@@ -54,6 +75,9 @@ def make_batch_writer(store_path: str, order: Sequence[str] = ("page_id",)) -> C
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if KNOWN in batch.columns:
+            # seeded URLs only teach the state what is already stored
+            batch = batch.where(F.col(KNOWN).isNull() | ~F.col(KNOWN)).drop(KNOWN)
         base = _last_row_num(spark, store_path, batch_id) + 1
         numbered = number_rows(batch, order, base=base).withColumn("run", F.lit(batch_id).cast("long"))
         (numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -73,16 +97,23 @@ def first_unseen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     order = list(order)
     schema = rows.schema
 
+    seeded = KNOWN in rows.columns
+
     def pick(k, pdfs, state):
         if state.exists:
             return
         best = None
+        known = False
         for pdf in pdfs:
+            if seeded and pdf[KNOWN].fillna(False).astype(bool).any():
+                known = True
             if len(pdf):
                 top = pdf.sort_values(order, kind="mergesort").head(1)
                 if best is None or tuple(top[order].iloc[0]) < tuple(best[order].iloc[0]):
                     best = top
-        if best is not None:
+        if known:
+            state.update((True,))          # already stored before the stream began
+        elif best is not None:
             state.update((True,))
             yield best
 

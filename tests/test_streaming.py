@@ -33,3 +33,15 @@ def test_ingest_runs_and_replay(spark, tmp_path):
     run_available(spark, landing, spark.createDataFrame([], SCHEMA).schema, store, ckpt)
     assert _store(spark, store)[-1] == (5, 7, "u5")
     assert spark.read.parquet(store).agg(F.max("row_num")).first()[0] == 5
+
+
+def test_seeded_from_existing_store(spark, tmp_path):
+    from pressroom.streaming.ingest import seed_known
+
+    landing, store, ckpt = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck")
+    schema = spark.createDataFrame([], SCHEMA + ", _known boolean").schema
+    existing = spark.createDataFrame([(1, "u1"), (2, "u2")], "row_num long, url string")
+    seed_known(existing, landing, schema, 2, store)
+    spark.createDataFrame([(10, "u2", None), (11, "u9", None)], schema).write.parquet(landing, mode="append")
+    run_available(spark, landing, schema, store, ckpt)
+    assert _store(spark, store) == [(3, 11, "u9")]
