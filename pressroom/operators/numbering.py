@@ -30,8 +30,8 @@ def number_rows(df: DataFrame, order_cols: list, base=1, col: str = "row_num",
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``col`` = base, base+1, ... following ``order_cols`` (must be a total order).
 
-    ``base`` is an int or a one-row DataFrame with a column ``base`` (a single
-    number, read on the driver).
+    ``base`` is an int, a scalar Column (e.g. ``store.agg(...).scalar()``), or a
+    one-row DataFrame with a column ``base``.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -44,8 +44,9 @@ def number_rows(df: DataFrame, order_cols: list, base=1, col: str = "row_num",
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     if isinstance(base, DataFrame):
-        base = base.select("base").first()[0]
-    offsets = offsets.withColumn("_base", F.lit(int(base)).cast("long"))
+        base = base.select("base").scalar()       # scalar subquery, evaluated inside this plan
+    base_col = base if isinstance(base, Column) else F.lit(int(base))
+    offsets = offsets.withColumn("_base", base_col.cast("long"))
     out = (tagged.join(F.broadcast(offsets), part == F.col("_part"))
            .withColumn(col, (F.col("_base") + F.col("_off")
                              + F.col("_mid").bitwiseAND(F.lit(_LOW))).cast("long")))

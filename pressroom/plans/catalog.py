@@ -487,7 +487,7 @@ def q_row_numbers(spark, sf_dir):
 
     docs = load(spark, sf_dir, "documents")
     store = docs.where(F.col("lang") == "en").select((F.col("doc_id") + 1).alias("row_num"))
-    base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).first()[0]
+    base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).scalar()
     new = docs.where(F.col("lang") != "en").select("doc_id", "source")
     return number_rows(new, ["source", "doc_id"], base=base).select("doc_id", "row_num")
 

@@ -97,8 +97,8 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
                       & (F.col("w").isNull() | (F.col("w.sel_ord") >= F.col("sel_ord"))))
           .drop("w"))
 
-    if base is None:
-        base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).first()[0]
+    if base is None:   # A10 as a scalar subquery of the numbering plan
+        base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).scalar()
     winners = c.where("is_winner").select(
         *ORDER, "url", "outlet_name", "a_title", "a_date", "summary", "text")
     numbered = number_rows(winners, ORDER, base=base)

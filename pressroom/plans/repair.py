@@ -81,8 +81,8 @@ def fetch_urls(urls: DataFrame, store: DataFrame, pages: DataFrame,
     key = F.struct(*[F.col(c) for c in order])
     firsts = d.groupBy("url").agg(F.min(key).alias("_w"))
     d = d.join(firsts, "url").where(key == F.col("_w")).drop("_w")
-    if base is None:
-        base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).first()[0]
+    if base is None:   # A10 as a scalar subquery of the numbering plan
+        base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).scalar()
     n = number_rows(d, list(order), base=base)
     outlet = F.coalesce(F.element_at(names, F.col("okey")), T.url_host("url", lower=False))
     return n.select("row_num", "date", outlet.alias("outlet"), "title", "url", F.lit("").alias("theme"),
