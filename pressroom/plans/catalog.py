@@ -659,7 +659,10 @@ def doc_article_html(spark, sf_dir) -> DataFrame:
     en -> folha body / globo container / piaui .post-content; fr -> itemprop body;
     es -> no subtitle, 'article' only; de -> no body container at all."""
     docs = load(spark, sf_dir, "documents")
-    docs = docs.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.length(T.py_strip(x)) > 0))
+    # non-blank lines, '&' escaped as HTML text must be
+    docs = docs.withColumn("_lines", F.transform(
+        F.filter(F.split("text", "\n"), lambda x: F.length(T.py_strip(x)) > 0),
+        lambda x: F.replace(x, F.lit("&"), F.lit("&amp;"))))
     lines = F.col("_lines")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     second = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
@@ -739,7 +742,8 @@ def q_result_list(spark, sf_dir):
     def li(x, i):
         href = F.when(F.length(x) > 20, F.concat(
             F.lit('<a href="https://www1.folha.uol.com.br/poder/2024/'), F.col("doc_id").cast("string"), F.lit("-"),
-            i.cast("string"), F.lit('.shtml?origin=busca">'), x, F.lit("</a>"))).otherwise(
+            i.cast("string"), F.lit('.shtml?origin=busca">'), F.replace(x, F.lit("&"), F.lit("&amp;")),
+            F.lit("</a>"))).otherwise(
             F.lit('<a href="https://other.example.com/x">outra</a>'))
         return F.concat(F.lit('<li class="c-headline"><a href="https://www1.folha.uol.com.br/x"></a>'), href,
                         F.lit('<span class="c-headline__dateline">'), (i % 28 + 1).cast("string"),

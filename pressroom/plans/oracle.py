@@ -618,3 +618,86 @@ def fetch_run() -> str:
     SELECT (SELECT b FROM base) + row_number() OVER (ORDER BY src_ord, page_id, line_no) - 1 AS row_num,
            date, coalesce({name}, {S.url_host('url', False)}) AS outlet, title, url, summary,
            CAST(length(text) AS BIGINT) AS n_chars FROM f"""
+
+
+def result_list() -> str:
+    """Items of the built result lists: a line longer than 20 characters is a
+    linked headline (its stripped text the title), shorter lines only link
+    elsewhere; the dateline gives March 2024; pages stop at the first page
+    of a search without items."""
+    return f"""WITH l AS (SELECT source AS search, doc_id + 1 AS page_no, unnest(x) AS line,
+                          CAST(generate_subscripts(x, 1) AS BIGINT) AS item_pos
+                     FROM (SELECT source, doc_id, string_split(text, chr(10)) AS x FROM documents)),
+      items AS (SELECT search, page_no, item_pos,
+                       'https://www1.folha.uol.com.br/poder/2024/' || CAST(page_no - 1 AS VARCHAR) || '-'
+                       || CAST(item_pos - 1 AS VARCHAR) || '.shtml' AS url,
+                       {S.strip('line')} AS title, '2024-03' AS date
+                  FROM l WHERE length(line) > 20 AND {S.strip('line')} <> ''),
+      allp AS (SELECT DISTINCT source AS search, doc_id + 1 AS page_no FROM documents),
+      ne AS (SELECT DISTINCT search, page_no FROM items),
+      stop AS (SELECT allp.search, min(allp.page_no) AS st FROM allp LEFT JOIN ne
+                 ON allp.search = ne.search AND allp.page_no = ne.page_no WHERE ne.search IS NULL GROUP BY allp.search)
+    SELECT i.search, i.page_no, i.item_pos, i.url, i.title, i.date
+      FROM items i LEFT JOIN stop ON i.search = stop.search WHERE stop.st IS NULL OR i.page_no < stop.st"""
+
+
+def _doc_article_html() -> str:
+    """The article HTML built from documents, as the catalog builds it, plus the
+    unescaped non-blank lines ``ol`` for the expected values."""
+    from pressroom.functions.text import PT_MONTHS
+
+    months = "[" + ", ".join(S.q(m) for m in PT_MONTHS) + "]"
+    nonblank = f"list_filter(string_split(text, chr(10)), lambda x: length({S.strip('x')}) > 0)"
+    paras = ("array_to_string(list_transform(list_slice(el, 2, len(el)), lambda x, i: CASE WHEN (i - 1) % 7 = 3 "
+             "THEN '<h3>' || x || '</h3>' ELSE '<p>' || x || '</p>' END), '')")
+    return f"""
+    d0 AS (SELECT doc_id, lang, source, {nonblank} AS ol FROM documents),
+    d1 AS (SELECT *, list_transform(ol, lambda x: replace(x, '&', '&amp;')) AS el,
+                  DATE '2024-01-01' + CAST(doc_id AS INTEGER) AS day FROM d0),
+    d2 AS (SELECT *, coalesce(el[1], '') AS first, coalesce(el[2], '') AS second,
+                  CAST(day(day) AS VARCHAR) || '.' || {months}[month(day)] || '.' || CAST(year(day) AS VARCHAR) AS pt
+             FROM d1),
+    dh AS (SELECT doc_id, lang, source, ol, pt,
+        '<html><head><title>' || first || ' - Jornal</title><meta property="og:description" content="'
+        || replace(second, '"', '') || '"><meta property="article:published_time" content="'
+        || strftime(day, '%Y-%m-%d') || 'T08:00:00-03:00"><script>var t="<p>x</p>";</script></head><body>'
+        || '<header><h1>Menu do jornal</h1></header><nav><a href="/a">Assine</a></nav>'
+        || CASE WHEN lang = 'de' THEN '<main>' ELSE '<article>' END || '<h1>' || first || '</h1>'
+        || CASE WHEN lang = 'es' THEN '' ELSE '<h2 class="c-news__subtitle">' || second || '</h2>' END
+        || '<p class="c-news__author">Por ' || source || '</p><time>' || pt || '</time>'
+        || CASE WHEN lang = 'en' THEN '<div class="c-news__body article__content-container post-content">'
+                WHEN lang = 'fr' THEN '<div itemprop="articleBody" class="entry-content">'
+                WHEN lang = 'es' THEN '<div class="content-text">' ELSE '<section>' END
+        || {paras} || '<div class="c-ad ad"><p>Publicidade longa o bastante</p></div>'
+        || '<p>Carregando comentarios do leitor</p></div>'
+        || CASE WHEN lang = 'de' THEN '</main>' ELSE '</article>' END
+        || '<footer><p>Rodape com texto longo</p></footer></body></html>' AS html
+      FROM d2)"""
+
+
+def folha_text() -> str:
+    """Folha's DOM rules on the built article HTML: header / nav / ad / footer
+    removed, <article> is the body container (the first selector match in
+    document order), short and skip-string blocks dropped; no container
+    (de) -> readable text of the whole page."""
+    from pressroom.operators.domlanes import FOLHA_PHOTO_PREFIX, FOLHA_SKIP
+
+    skip = " OR ".join(f"contains(t, {S.q(x)})" for x in FOLHA_SKIP)
+    keep = f"(length(t) >= 10 AND NOT ({skip}) AND NOT starts_with(t, {S.q(FOLHA_PHOTO_PREFIX)}))"
+    stripped = f"list_transform(list_slice(ol, 2, len(ol)), lambda x: {S.strip('x')})"
+    parts = (f"list_filter(list_transform({stripped}, lambda t, i: CASE WHEN NOT {keep} THEN NULL "
+             f"WHEN (i - 1) % 7 = 3 THEN chr(10) || t || chr(10) ELSE t END), lambda y: y IS NOT NULL)")
+    sub_t = S.strip("coalesce(ol[2], '')")
+    sub_part = (f"CASE WHEN lang <> 'es' AND (SELECT {keep} FROM (SELECT {sub_t} AS t)) "
+                f"THEN [chr(10) || {sub_t} || chr(10)] ELSE []::VARCHAR[] END")
+    title = S.strip("coalesce(ol[1], '')")
+    head = (f"list_filter([CASE WHEN {title} <> '' THEN {title} END, "
+            f"CASE WHEN lang <> 'es' THEN {sub_t} END, 'Por ' || source, pt, ''], lambda y: y IS NOT NULL)")
+    body = (f"CASE WHEN lang = 'de' THEN [{S.html_to_text('html')}] "
+            f"ELSE list_concat({sub_part}, {parts}) END")
+    return ("WITH " + _doc_article_html() + ","
+            f" ft AS (SELECT doc_id, {title} AS title, pt, html, "
+            f"{S.strip(f'array_to_string(list_concat({head}, {body}), chr(10) || chr(10))')} AS text FROM dh)"
+            f" SELECT doc_id, title, {S.pt_dotted_month('pt')} AS date, {S.second_chunk('text')} AS summary,"
+            f" coalesce(text <> '' AND length(text) >= 300 AND html <> '', false) AS ok,"
+            f" CAST(length(text) AS BIGINT) AS n_chars FROM ft")
