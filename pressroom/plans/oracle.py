@@ -701,3 +701,56 @@ def folha_text() -> str:
             f" SELECT doc_id, title, {S.pt_dotted_month('pt')} AS date, {S.second_chunk('text')} AS summary,"
             f" coalesce(text <> '' AND length(text) >= 300 AND html <> '', false) AS ok,"
             f" CAST(length(text) AS BIGINT) AS n_chars FROM ft")
+
+
+def _para_texts(keep: str, lower: bool = False) -> str:
+    """Kept <p>/<h3> texts built from lines 2.. (every 7th from the 4th is a heading)."""
+    stripped = f"list_transform(list_slice(ol, 2, len(ol)), lambda x: {S.strip('x')})"
+    return (f"list_filter(list_transform({stripped}, lambda t, i: CASE WHEN NOT {keep} THEN NULL "
+            f"WHEN (i - 1) % 7 = 3 THEN chr(10) || t || chr(10) ELSE t END), lambda y: y IS NOT NULL)")
+
+
+def globo_text() -> str:
+    """Globo's DOM rules on the built article HTML: og:title absent -> the first
+    <h1> (the site header's, taken before removal); container by preference
+    (content div, articleBody div, article); skip strings case-insensitive."""
+    from pressroom.operators.domlanes import GLOBO_SKIP
+
+    skip = " OR ".join(f"contains(lower(t), {S.q(x)})" for x in GLOBO_SKIP)
+    keep = f"(length(t) >= 10 AND NOT ({skip}))"
+    desc = S.strip("replace(coalesce(ol[2], ''), '\"', '')")
+    head = (f"list_filter(['Menu do jornal', CASE WHEN length({desc}) > 30 THEN {desc} END, "
+            f"strftime(DATE '2024-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d'), ''], lambda y: y IS NOT NULL)")
+    body = f"CASE WHEN lang = 'de' THEN [{S.html_to_text('html')}] ELSE {_para_texts(keep)} END"
+    return ("WITH " + _doc_article_html() + ","
+            f" gt AS (SELECT doc_id, html, strftime(DATE '2024-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') AS date, "
+            f"{S.strip(f'array_to_string(list_concat({head}, {body}), chr(10) || chr(10))')} AS text FROM dh)"
+            f" SELECT doc_id, 'Menu do jornal' AS title, date, {S.second_chunk('text')} AS summary,"
+            f" coalesce(text <> '' AND length(text) >= 300 AND html <> '', false) AS ok,"
+            f" CAST(length(text) AS BIGINT) AS n_chars FROM gt")
+
+
+def piaui_text() -> str:
+    """Piaui's container cascade on the built article HTML: the first of
+    .post-content / .entry-content / article / .content-text with more than
+    200 characters, else the last one found, else the page body; the title is
+    the first <h1> (the site header's)."""
+    nodes_div = ("list_concat(list_transform(list_slice(ol, 2, len(ol)), lambda x: " + S.strip("x") + "), "
+                 "['Publicidade longa o bastante', 'Carregando comentarios do leitor'])")
+    art_head = (f"list_filter([{S.strip(chr(39) * 2 + ' || coalesce(ol[1], ' + chr(39) * 2 + ')')}, "
+                f"CASE WHEN lang <> 'es' THEN {S.strip('coalesce(ol[2], ' + chr(39) * 2 + ')')} END, "
+                f"'Por ' || source, pt], lambda y: y IS NOT NULL AND y <> '')")
+    div_lines = f"array_to_string(list_filter({nodes_div}, lambda y: y <> ''), chr(10))"
+    art_lines = f"array_to_string(list_filter(list_concat({art_head}, {nodes_div}), lambda y: y <> ''), chr(10))"
+    body_lines = (f"array_to_string(list_filter(list_concat(['Menu do jornal', 'Assine'], {art_head}, {nodes_div}, "
+                  f"['Rodape com texto longo']), lambda y: y <> ''), chr(10))")
+    found = (f"(CASE WHEN lang IN ('en', 'fr') THEN [{div_lines}, {art_lines}] "
+             f"WHEN lang = 'es' THEN [{art_lines}, {div_lines}] ELSE []::VARCHAR[] END)")
+    body = (f"coalesce(list_filter(found, lambda t: length(t) > 200)[1], found[-1], '')")
+    return ("WITH " + _doc_article_html() + ","
+            f" pf AS (SELECT doc_id, lang, html, {found} AS found, {body_lines} AS page FROM dh),"
+            f" pb AS (SELECT doc_id, html, CASE WHEN {body} = '' THEN page ELSE {body} END AS body FROM pf),"
+            f" pt2 AS (SELECT doc_id, html, body, {S.strip(chr(39) + 'Menu do jornal' + chr(39) + ' || chr(10) || chr(10) || body')} AS text FROM pb)"
+            f" SELECT doc_id, 'Menu do jornal' AS title, '' AS date, substring(body, 1, 300) AS summary,"
+            f" coalesce(text <> '' AND length(text) >= 200 AND html <> '', false) AS ok,"
+            f" CAST(length(text) AS BIGINT) AS n_chars FROM pt2")
