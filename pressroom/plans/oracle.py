@@ -754,3 +754,25 @@ def piaui_text() -> str:
             f" SELECT doc_id, 'Menu do jornal' AS title, '' AS date, substring(body, 1, 300) AS summary,"
             f" coalesce(text <> '' AND length(text) >= 200 AND html <> '', false) AS ok,"
             f" CAST(length(text) AS BIGINT) AS n_chars FROM pt2")
+
+
+def collect_dom() -> str:
+    """collect over the three DOM lanes: folha sees the documents whose number
+    has an even count of digits, globo and piaui see all; per URL the first
+    successful extraction in outlet order is stored, numbered in that order."""
+    return f"""WITH f AS ({folha_text()}), g AS ({globo_text()}), p AS ({piaui_text()}),
+      docs AS (SELECT doc_id, 'https://www.' || source || '.example.com/a/' || CAST(doc_id AS VARCHAR) AS url
+                 FROM documents),
+      st AS (SELECT 1 AS sel_ord, 'Folha de S.Paulo' AS outlet, d.doc_id, d.url, f.title, f.date, f.summary, f.ok,
+                    f.n_chars FROM docs d JOIN f ON d.doc_id = f.doc_id
+              WHERE length(CAST(d.doc_id AS VARCHAR)) % 2 = 0
+             UNION ALL
+             SELECT 2, 'O Globo', d.doc_id, d.url, g.title, g.date, g.summary, g.ok, g.n_chars
+               FROM docs d JOIN g ON d.doc_id = g.doc_id
+             UNION ALL
+             SELECT 3, 'piaui', d.doc_id, d.url, p.title, p.date, p.summary, p.ok, p.n_chars
+               FROM docs d JOIN p ON d.doc_id = p.doc_id),
+      w AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY sel_ord, doc_id) AS rn FROM st WHERE ok)
+    SELECT row_number() OVER (ORDER BY sel_ord, doc_id) AS row_num, date, outlet, title, url, '' AS theme,
+           coalesce(summary, '') AS summary, 'no' AS paywalled, n_chars
+      FROM w WHERE rn = 1"""
