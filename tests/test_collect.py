@@ -116,3 +116,19 @@ def test_collect_with_dom_lanes(spark):
     assert got == [(1, "O Globo", "https://x/a", "A title")]
     counts = {r.outlet: (r.hits, r.new, r.added) for r in res.outlet_results.collect()}
     assert counts == {"Folha de S.Paulo": (1, 1, 0), "O Globo": (2, 2, 1), "piaui": (1, 0, 0)}
+
+
+def test_collect_independent_of_partitioning(spark):
+    odf = outlets_df(spark, OUTLETS)
+    stubs, text_len, store, pages, sdf, st = _case(spark, 5)
+    sel = select_outlets(odf, "b,a,c")
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            res = collect(sdf.repartition(int(n)), pages, sel, st, with_dom=False)
+            results.append(sorted(tuple(r) for r in res.articles.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] and results[0]
