@@ -126,6 +126,10 @@ def run_available(spark: SparkSession, landing: str, schema: StructType, store_p
                   checkpoint: str, key: str = "url", order: Sequence[str] = ("page_id",),
                   project: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Process every file that has landed and is not yet processed, then stop."""
+    # the row counter table always exists (a zero row under run -2), so batches never probe a missing path
+    (spark.createDataFrame([(0, -2)], "last_row long, run long")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(runs_path(store_path)))
     src = spark.readStream.format("parquet").schema(schema).load(landing)
     rows = project(src) if project else src
     q = (first_unseen(rows, key, order).writeStream
