@@ -11,6 +11,9 @@ def spark():
     from pressroom.session import local_session
 
     s = local_session("*", shuffle_partitions=8, app="pressroom-tests")
+    import __spark_entry__
+
+    __spark_entry__.ship(s)      # workers import pressroom whatever the working directory
     yield s
     s.stop()
 
