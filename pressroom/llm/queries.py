@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pressroom.llm import sharding
+from pressroom.llm import packing, sharding
 
 LLM_REGISTRY = {
+    "op9_pack": (packing.q_op9_pack, None),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
 }
