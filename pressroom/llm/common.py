@@ -175,3 +175,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def spaced(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column with one space after each row, and where the rows begin
+    (n + 1 offsets; the row i is buf[offs[i]: offs[i + 1] - 1])."""
+    buf, offs = text_buffer(col)
+    n = len(offs) - 1
+    new = offs + np.arange(n + 1)
+    out = np.full(int(new[-1]), 0x20, np.uint8)
+    for i in range(n):
+        out[new[i]: new[i + 1] - 1] = buf[offs[i]: offs[i + 1]]
+    return out, new
+
+
+def row_of(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The row that each byte position lies in."""
+    return np.searchsorted(offs, starts, "right") - 1
+
+
+#: Letters A-Z in lower case and nothing else, as the contracts ask.
+UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on ``keys``, the first exactly and the others also where both are null; the keys of
+    the right side are dropped."""
+    other = right.select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.col(keys[0]) == F.col(f"_r{keys[0]}")
+    for k in keys[1:]:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+    return left.join(other, on, how).drop(*[f"_r{k}" for k in keys])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pressroom.llm import packing, sharding
+from pressroom.llm import decontam, packing, sharding
 
 LLM_REGISTRY = {
+    "op3_decontaminate": (decontam.q_op3_decontaminate, decontam.sql_op3),
     "op9_pack": (packing.q_op9_pack, None),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
 }
