@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pressroom.llm import decontam, packing, sharding
+from pressroom.llm import decontam, langid, packing, sharding
 
 LLM_REGISTRY = {
     "op3_decontaminate": (decontam.q_op3_decontaminate, decontam.sql_op3),
+    "op10_language": (langid.q_op10_language, None),
     "op9_pack": (packing.q_op9_pack, None),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
 }
