@@ -134,10 +134,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from pressroom.llm.tokens import Encoder
+        from pressroom.llm.tokens import encoder
 
         part = TaskContext.get().partitionId()
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         ends = enc.sentence_ends()
         if end_id >= len(ends):
             ends = np.append(ends, np.zeros(end_id + 1 - len(ends), bool))

@@ -8,14 +8,26 @@ be looked up.  Texts with other white space next to a space go to the tokenizer
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 _NOT_ALONE = re.compile(r" \s|\s ")
-CACHE_CHUNKS = 300_000      # bound of the chunk cache of one Python worker
+CACHE_CHUNKS = 400_000      # bound of the chunk cache of one Python worker
 LONG_CHUNK = 64             # longer chunks are not kept
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: later tasks find its file read and its cache filled."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -26,11 +38,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
-        self.led: dict[str, np.ndarray] = {}       # chunk after a space -> ids with that space
+        self.ends: np.ndarray | None = None
+        self.led: dict[str, list[int]] = {}        # chunk after a space -> ids with that space
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+    def _batch(self, texts: list[str]) -> list[list[int]]:
         enc = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.array(e.ids, np.uint32) for e in enc(texts, add_special_tokens=False)]
+        return [e.ids for e in enc(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; equal to encoding every text whole."""
@@ -52,14 +65,17 @@ class Encoder:
             (led if len(c) <= LONG_CHUNK else extra)[c] = ids
         get = led.__getitem__ if not extra else (lambda c: led[c] if c in led else extra[c])
         for (i, p), first in zip(split, enc[len(todo):]):
-            out[i] = np.concatenate([first, *map(get, p[1:])])
+            out[i] = np.fromiter(chain(first, chain.from_iterable(map(get, p[1:]))), np.uint32)
         for i, ids in zip(whole, enc[len(todo) + len(firsts):]):
-            out[i] = ids
+            out[i] = np.array(ids, np.uint32)
         return out
 
     def sentence_ends(self) -> np.ndarray:
         """For each id whether its text ends a sentence or line."""
+        if self.ends is not None:
+            return self.ends
         ends = np.zeros(self.size, bool)
         for i in range(self.size):
             ends[i] = self.tok.decode([i], skip_special_tokens=False).rstrip(" ").endswith((".", "!", "?", "\n", "。"))
+        self.ends = ends
         return ends
