@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pressroom.llm import decontam, langid, packing, sharding
+from pressroom.llm import decontam, langid, packing, sharding, toxicity
 
 LLM_REGISTRY = {
+    "op2_toxicity": (toxicity.q_op2_toxicity, None),
     "op3_decontaminate": (decontam.q_op3_decontaminate, decontam.sql_op3),
     "op10_language": (langid.q_op10_language, None),
     "op9_pack": (packing.q_op9_pack, None),
