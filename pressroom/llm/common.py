@@ -206,3 +206,39 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     for k in keys[1:]:
         on = on & F.col(k).eqNullSafe(F.col(f"_r{k}"))
     return left.join(other, on, how).drop(*[f"_r{k}" for k in keys])
+
+
+def first_by_hash(rows: DataFrame, group: str, hash_col: str, limit: Column, salts: int = 64) -> DataFrame:
+    """The first ``limit`` rows of each group in the order of a hash, over all rows.  Taken in two
+    steps, first within (group, salt), so that a large group meets in one task only as
+    salts * limit rows."""
+    from pyspark.sql import Window
+
+    r = F.row_number().over(Window.partitionBy(group, "_salt").orderBy(hash_col))
+    few = rows.withColumn("_salt", F.pmod(F.col(hash_col), F.lit(salts))).withColumn("_r", r).where(F.col("_r") <= limit)
+    r = F.row_number().over(Window.partitionBy(group).orderBy(hash_col))
+    return few.withColumn("_r", r).where(F.col("_r") <= limit).drop("_r", "_salt")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The groups of rows with equal first ``n_keys`` integer columns, of input sorted by them.
+    At most one group and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy() for i in range(n_keys)]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            this = tuple(int(c[lo]) for c in cols)
+            if key is not None and this != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = this
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)

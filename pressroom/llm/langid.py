@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import held_out, read, slices, text_buffer
+from pressroom.llm.common import first_by_hash, held_out, read, slices, text_buffer
 
 WINDOW, STEP, DIM, WIDTHS, FILTERS = 128, 125, 6, (2, 3, 4), 12
 PIECE = 512
@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, per_language: int = 400, text_col: str = "text", la
     rows = labelled.where(f"{lang_col} is not null and {text_col} is not null").select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.lit(3)).alias("h"),
         F.expr(f"substring({text_col}, cast(1 + pmod(xxhash64({text_col}), greatest(length({text_col}) - {PIECE}, 0) + 1) as int), {PIECE})").alias("piece"))
-    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(f"r <= {per_language}")
+    few = first_by_hash(rows, "lang", "h", F.lit(per_language))
     got = sorted((r.lang, r.h, r.piece) for r in few.collect())
     classes = sorted({g[0] for g in got})
     if not classes:
