@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pressroom.llm import decontam, langid, neardup_vec, packing, sharding, toxicity
+from pressroom.llm import decontam, htmlcrf, langid, neardup_vec, packing, sharding, toxicity
 
 LLM_REGISTRY = {
     "op2_toxicity": (toxicity.q_op2_toxicity, None),
     "op3_decontaminate": (decontam.q_op3_decontaminate, decontam.sql_op3),
     "op10_language": (langid.q_op10_language, None),
+    "op8_main_text": (htmlcrf.q_op8_main_text, None),
     "op9_pack": (packing.q_op9_pack, None),
     "op5_near_vectors": (neardup_vec.q_op5_near_vectors, neardup_vec.sql_op5),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
