@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pressroom.llm import decontam, htmlcrf, langid, neardup_vec, packing, sharding, toxicity
+from pressroom.llm import decontam, htmlcrf, langid, neardup_vec, packing, sharding, substring, toxicity
 
 LLM_REGISTRY = {
+    "op1_substring_dedup": (substring.q_op1_substring_dedup, substring.sql_op1),
     "op2_toxicity": (toxicity.q_op2_toxicity, None),
     "op3_decontaminate": (decontam.q_op3_decontaminate, decontam.sql_op3),
     "op10_language": (langid.q_op10_language, None),
