@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressroom.llm import decontam, htmlcrf, langid, neardup_vec, packing, sharding, substring, toxicity
+from pressroom.llm import bytededup, decontam, htmlcrf, langid, neardup_vec, packing, sharding, substring, toxicity
 
 LLM_REGISTRY = {
     "op1_substring_dedup": (substring.q_op1_substring_dedup, substring.sql_op1),
@@ -12,5 +12,6 @@ LLM_REGISTRY = {
     "op8_main_text": (htmlcrf.q_op8_main_text, None),
     "op9_pack": (packing.q_op9_pack, None),
     "op5_near_vectors": (neardup_vec.q_op5_near_vectors, neardup_vec.sql_op5),
+    "op6_suffix_dedup": (bytededup.q_op6_suffix_dedup, bytededup.sql_op6),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
 }
