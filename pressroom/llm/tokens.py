@@ -8,13 +8,13 @@ be looked up.  Texts with other white space next to a space go to the tokenizer
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 
 _NOT_ALONE = re.compile(r" \s|\s ")
-CACHE_CHUNKS = 400_000      # bound of the chunk cache of one Python worker
+CACHE_CHUNKS = 600_000      # bound of the chunk cache of one Python worker
 LONG_CHUNK = 64             # longer chunks are not kept
+JOINED = 2_000              # new chunks that are encoded as one text
 
 
 _KEPT: dict[str, Encoder] = {}
@@ -29,6 +29,8 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
+    """The ids of known chunks lie one after the other in ``flat``, those of chunk i from ``begin[i]``."""
+
     def __init__(self, path: str):
         import os
 
@@ -38,38 +40,86 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
+        self.led_by_space = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
         self.ends: np.ndarray | None = None
-        self.led: dict[str, list[int]] = {}        # chunk after a space -> ids with that space
+        self._empty()
+
+    def _empty(self) -> None:
+        self.index: dict[str, int] = {}            # chunk after a space -> its number
+        self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.used = 0
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
         enc = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [e.ids for e in enc(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in enc(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Number new chunks.  Many are encoded as one text; an id that begins with a space begins a chunk."""
+        texts = [" " + " ".join(chunks[i: i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        got = self._batch(texts)
+        ids = np.concatenate(got)
+        first = np.flatnonzero(self.led_by_space[ids])
+        if len(first) != len(chunks):              # a tokenizer of another kind: one by one
+            got = self._batch([" " + c for c in chunks])
+            ids = np.concatenate(got)
+            first = np.cumsum([0, *map(len, got[:-1])])
+        n, m = len(self.index), len(chunks)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
+        if n + m + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin[: n + 1], np.empty(n + 2 * m, np.int64)])
+        self.flat[self.used: self.used + len(ids)] = ids
+        self.begin[n: n + m] = self.used + first
+        self.used += len(ids)
+        self.begin[n + m] = self.used
+        self.index.update(zip(chunks, range(n, n + m)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; equal to encoding every text whole."""
         out: list = [None] * len(texts)
         whole, split = [], []
         for i, t in enumerate(texts):
-            if _NOT_ALONE.search(t):
+            if t.endswith(" ") or _NOT_ALONE.search(t):
                 whole.append(i)
             else:
                 split.append((i, t.split(" ")))
-        if len(self.led) > CACHE_CHUNKS:
-            self.led.clear()
-        led, extra = self.led, {}
-        new = set().union(*(p[1:] for _, p in split)) - led.keys() if split else set()
-        firsts = [p[0] for _, p in split]
-        todo = list(new)
-        enc = self._batch([" " + c for c in todo] + firsts + [texts[i] for i in whole])
-        for c, ids in zip(todo, enc):
-            (led if len(c) <= LONG_CHUNK else extra)[c] = ids
-        get = led.__getitem__ if not extra else (lambda c: led[c] if c in led else extra[c])
-        for (i, p), first in zip(split, enc[len(todo):]):
-            out[i] = np.fromiter(chain(first, chain.from_iterable(map(get, p[1:]))), np.uint32)
-        for i, ids in zip(whole, enc[len(todo) + len(firsts):]):
-            out[i] = np.array(ids, np.uint32)
+        if len(self.index) > CACHE_CHUNKS:
+            self._empty()
+        new = set().union(*(p[1:] for _, p in split)) - self.index.keys() if split else set()
+        if new:
+            self._learn(list(new))
+        rest = self._batch([p[0] for _, p in split] + [texts[i] for i in whole])
+        get = self.index.__getitem__
+        for (i, p), first in zip(split, rest):
+            at = np.fromiter(map(get, p[1:]), np.int64, len(p) - 1)
+            lo = self.begin[at]
+            n = self.begin[at + 1] - lo
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            out[i] = np.concatenate([first, self.flat[np.arange(total) + np.repeat(lo - ends + n, n)]])
+        for i, ids in zip(whole, rest[len(split):]):
+            out[i] = ids
+        if self.used > 8 * CACHE_CHUNKS or any(len(c) > LONG_CHUNK for c in new):
+            for c in [c for c in new if len(c) > LONG_CHUNK]:
+                del self.index[c]                  # its number stays taken until the next emptying
+            self._compact()
         return out
 
+    def _compact(self) -> None:
+        """Number the chunks anew after some were dropped."""
+        if self.used > 8 * CACHE_CHUNKS:
+            self._empty()
+            return
+        at = np.fromiter(self.index.values(), np.int64, len(self.index))
+        lo = self.begin[at]
+        n = self.begin[at + 1] - lo
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        self.flat = np.concatenate([self.flat[np.arange(total) + np.repeat(lo - ends + n, n)], np.empty(1 << 16, np.uint32)])
+        self.begin = np.concatenate([ends - n, [total], np.zeros(1 << 14, np.int64)])
+        self.index = dict(zip(self.index, range(len(at))))
+        self.used = total
+
     def sentence_ends(self) -> np.ndarray:
         """For each id whether its text ends a sentence or line."""
         if self.ends is not None:
