@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.common import components, read, stored
 
-TABLES, HASHES, PROBES, BLOCK = 14, 2, 3, 2048
+TABLES, HASHES, PROBES, BLOCK = 12, 2, 3, 2048
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -47,62 +47,89 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, seed: int = 11) -> np.ndarray:
-    """(vectors, TABLES, 1 + PROBES) bucket numbers; the first is the home bucket."""
+def axes(x: np.ndarray, seed: int = 11) -> np.ndarray:
+    """(vectors, TABLES, 5): nearest and second nearest axis of both hashes, and which hash is the
+    nearer to its second (0 or 1)."""
     n, dim = x.shape
-    d = 1 << max(1, (dim - 1).bit_length())
+    d = padded(dim)
     g = np.random.default_rng(seed)
     x = np.concatenate([x, np.zeros((n, d - dim))], axis=1)
-    out = np.empty((n, TABLES, 1 + PROBES), np.int64)
+    out = np.empty((n, TABLES, 5), np.uint8 if 2 * d <= 256 else np.uint32)
     rows = np.arange(n)
     for t in range(TABLES):
-        best, second, loss = [], [], []
-        for _ in range(HASHES):
+        loss = []
+        for k in range(HASHES):
             y = rotate(x, g.choice([-1.0, 1.0], (3, d)))
             a = np.abs(y)
             top = np.argpartition(-a, 1, axis=1)[:, :2]
             swap = a[rows, top[:, 0]] < a[rows, top[:, 1]]
             top[swap] = top[swap][:, ::-1]
-            axis = 2 * top + (y[rows[:, None], top] < 0)
-            best.append(axis[:, 0])
-            second.append(axis[:, 1])
+            out[:, t, 2 * k: 2 * k + 2] = 2 * top + (y[rows[:, None], top] < 0)
             loss.append(a[rows, top[:, 0]] - a[rows, top[:, 1]])
-        first = loss[0] <= loss[1]
-        code = lambda p, q: p * (2 * d) + q
-        out[:, t, 0] = code(best[0], best[1])
-        one, two = code(second[0], best[1]), code(best[0], second[1])
-        out[:, t, 1], out[:, t, 2] = np.where(first, one, two), np.where(first, two, one)
-        out[:, t, 3] = code(second[0], second[1])
+        out[:, t, 4] = loss[0] > loss[1]
     return out
 
 
-def _hashed(reps: DataFrame) -> DataFrame:
-    """rep, n, dim, unit (doubles), codes (bytes of the bucket numbers), and a row for each place."""
+def padded(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def buckets(ax: np.ndarray, dim: int) -> np.ndarray:
+    """(vectors, TABLES, 1 + PROBES) bucket numbers; the first is the home bucket."""
+    wide = 2 * padded(dim)
+    p, p2, q, q2, turn = (ax[:, :, i].astype(np.int64) for i in range(5))
+    one, two = p2 * wide + q, p * wide + q2
+    return np.stack([p * wide + q, np.where(turn == 0, one, two), np.where(turn == 0, two, one), p2 * wide + q2], axis=2)
+
+
+def _units(vectors: list[bytes], kind: type) -> np.ndarray:
+    """Unit vectors in doubles, of vectors of one length."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _hashed(reps: DataFrame, kind: type) -> DataFrame:
+    """rep, n, dim, vec (the bytes of the components), axes (bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = np.array([len(v) for v in b.column(2).to_pylist()], np.int64)
-            ids, counts = b.column(0).to_numpy(), b.column(1).to_numpy()
             for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                x = np.array(b.column(2).take(pa.array(at)).to_pylist(), float)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                codes = buckets(unit)
-                for i in range(0, len(at), 512):
-                    u, c = unit[i: i + 512], codes[i: i + 512]
-                    n, each = len(u), TABLES * (1 + PROBES)
-                    row = np.repeat(np.arange(n), each)
-                    blob = pa.array([v.tobytes() for v in u], pa.binary())
-                    cod = pa.array([v.tobytes() for v in c], pa.binary())
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), n).astype(np.int32)),
-                         pa.array(c.reshape(-1)), pa.array(np.tile(np.arange(1 + PROBES), n * TABLES) == 0),
-                         pa.array(ids[at[i: i + 512]]).take(take), pa.array(counts[at[i: i + 512]]).take(take),
-                         blob.take(take), cod.take(take)],
-                        names=["t", "bucket", "home", "rep", "n", "unit", "codes"])
-
-    return reps.mapInArrow(run, "t int, bucket long, home boolean, rep long, n long, unit binary, codes binary")
+                at = pa.array(np.flatnonzero(dims == d))
+                vec = [np.array(v, kind).tobytes() for v in b.column(2).take(at).to_pylist()]
+                ax = axes(_units(vec, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array([int(d)] * len(at), pa.int32()), pa.array(vec, pa.binary()),
+                     pa.array([a.tobytes() for a in ax], pa.binary())], names=["rep", "n", "dim", "vec", "axes"])
+
+    return reps.mapInArrow(run, "rep long, n long, dim int, vec binary, axes binary")
+
+
+def _decoded(ax: list[bytes], dim: int) -> np.ndarray:
+    kind = np.uint8 if 2 * padded(dim) <= 256 else np.uint32
+    return buckets(np.frombuffer(b"".join(ax), kind).reshape(len(ax), TABLES, 5), dim)
+
+
+def _places(hashed: DataFrame, full: bool) -> DataFrame:
+    """A row for each bucket a vector lies in or is sent to; with the vector if ``full``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = TABLES * (1 + PROBES)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                dims = b.column(2).to_numpy()
+                for d in np.unique(dims):
+                    at = np.flatnonzero(dims == d)
+                    codes = _decoded(b.column(4).take(pa.array(at)).to_pylist(), int(d))
+                    row = pa.array(np.repeat(at, each))
+                    cols = [pa.array(np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), len(at)).astype(np.int32)),
+                            pa.array(codes.reshape(-1)), pa.array(np.tile(np.arange(1 + PROBES), len(at) * TABLES) == 0),
+                            b.column(2).take(row)]
+                    if full:
+                        cols += [b.column(j).take(row) for j in (0, 1, 3, 4)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["t", "bucket", "home", "dim", *(["rep", "n", "vec", "axes"] if full else [])])
+
+    return hashed.mapInArrow(run, "t int, bucket long, home boolean, dim int" + (", rep long, n long, vec binary, axes binary" if full else ""))
 
 
 def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,7 +141,7 @@ def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.select([same, at_b, at_a], [1, 2, 3], 0)
 
 
-def _links(t: int, home: np.ndarray, block: np.ndarray, pair: tuple[int, int], rep: np.ndarray, n: np.ndarray,
+def _links(t: int, home: np.ndarray, block: np.ndarray, pair: tuple[int, int], rep: np.ndarray,
            unit: np.ndarray, codes: np.ndarray, least: float):
     """Linked pairs (i, j) of one group that are counted here: positions into the group's rows."""
     homes = np.flatnonzero(home)
@@ -148,56 +175,48 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     named = rows.withColumn("h", F.sha2(F.to_json(F.struct(F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)).alias("v"))), 256))
     groups = stored(named.where("v is not null").groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "groups")
 
-    places = stored(_hashed(groups.select("rep", "n", "v")), "places")
-    sizes = places.groupBy("t", "bucket").agg(F.count("*").alias("size"), F.count_if("home").alias("homes"))
-    sizes = sizes.where("size > 1 and homes > 0").select("t", "bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    met = places.join(sizes, ["t", "bucket"])
+    kind = np.float32 if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
+    hashed = stored(_hashed(groups.select("rep", "n", "v"), kind), "hashed")
+    large = _places(hashed, False).groupBy("t", "bucket", "dim").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    large = stored(large.select("t", "bucket", "dim", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "large")
+    met = _places(hashed, True).join(large, ["t", "bucket", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                     "block", "home", "rep", "n", "unit", "codes")
-    met = met.repartition("t", "bucket", "p", "q").sortWithinPartitions("t", "bucket", "p", "q")
+    met = met.select("t", "bucket", "dim", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                     "block", "home", "rep", "n", "vec", "axes")
+    met = met.repartition("t", "bucket", "dim", "p", "q").sortWithinPartitions("t", "bucket", "dim", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pressroom.llm.common import groups_of
 
-        for key, tab in groups_of(batches, 4):
+        for key, tab in groups_of(batches, 5):
             home = tab.column("home").to_numpy(zero_copy_only=False)
             if tab.num_rows < 2 or not home.any():
                 continue
-            rep, n = tab.column("rep").to_numpy(), tab.column("n").to_numpy()
-            units = tab.column("unit").to_pylist()
-            size = len(units[0])
-            if any(len(u) != size for u in units):
-                keep = np.array([len(u) for u in units])
-                parts = [np.flatnonzero(keep == k) for k in np.unique(keep)]
-            else:
-                parts = [np.arange(len(rep))]
-            block = tab.column("block").to_numpy()
-            codes = np.frombuffer(b"".join(tab.column("codes").to_pylist()), np.int64).reshape(len(rep), TABLES, 1 + PROBES)
-            for at in parts:
-                unit = np.frombuffer(b"".join(units[i] for i in at), float).reshape(len(at), -1)
-                count = np.zeros(len(at), np.int64)
-                root = np.arange(len(at))
-
-                def find(i):
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for a, b in _links(key[0], home[at], block[at], (key[2], key[3]), rep[at], n[at], unit, codes[at], least):
-                    np.add.at(count, a, n[at][b])
-                    np.add.at(count, b, n[at][a])
-                    for i, j in zip(a.tolist(), b.tolist()):
-                        i, j = find(i), find(j)
-                        if i != j:
-                            root[max(i, j)] = min(i, j)
-                hit = np.flatnonzero(count)
-                if len(hit):
-                    top = np.array([find(i) for i in hit.tolist()])
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[at][hit]), pa.array(count[hit]), pa.array(rep[at][top])],
-                                                     names=["rep", "links", "root"])
+            rep, n, block = (tab.column(c).to_numpy() for c in ("rep", "n", "block"))
+            unit = _units(tab.column("vec").to_pylist(), kind)
+            codes = _decoded(tab.column("axes").to_pylist(), key[2])
+            count = np.zeros(len(rep), np.int64)
+            root = list(range(len(rep)))
+
+            def find(i):
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for a, b in _links(key[0], home, block, (key[3], key[4]), rep, unit, codes, least):
+                np.add.at(count, a, n[b])
+                np.add.at(count, b, n[a])
+                for i, j in zip(a.tolist(), b.tolist()):
+                    i, j = find(i), find(j)
+                    if i != j:
+                        root[max(i, j)] = min(i, j)
+            hit = np.flatnonzero(count)
+            if len(hit):
+                top = np.array([find(i) for i in hit.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(count[hit]), pa.array(rep[top])],
+                                                 names=["rep", "links", "root"])
 
     found = stored(met.mapInArrow(run, "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
