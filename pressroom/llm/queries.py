@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressroom.llm import bytededup, decontam, htmlcrf, langid, neardup_vec, packing, sharding, substring, toxicity
+from pressroom.llm import bytededup, decontam, htmlcrf, jaccard, langid, neardup_vec, packing, sharding, substring, toxicity
 
 LLM_REGISTRY = {
     "op1_substring_dedup": (substring.q_op1_substring_dedup, substring.sql_op1),
@@ -11,6 +11,7 @@ LLM_REGISTRY = {
     "op10_language": (langid.q_op10_language, None),
     "op8_main_text": (htmlcrf.q_op8_main_text, None),
     "op9_pack": (packing.q_op9_pack, None),
+    "op4_ngram_join": (jaccard.q_op4_ngram_join, jaccard.sql_op4),
     "op5_near_vectors": (neardup_vec.q_op5_near_vectors, neardup_vec.sql_op5),
     "op6_suffix_dedup": (bytededup.q_op6_suffix_dedup, bytededup.sql_op6),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
