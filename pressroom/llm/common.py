@@ -242,3 +242,61 @@ def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[
             held.append(b.slice(lo, hi - lo))
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+FILTER_BITS = 26        # log2 of the bits of a key filter: 8 MB, whatever the number of keys
+
+
+class KeyFilter:
+    """A bit map of fixed size of some documents' keys, for the tasks that read the documents: what it
+    does not flag is none of them, what it flags is joined with the keys exactly.  So texts of
+    documents that have nothing to do with a step need not be shuffled for it."""
+
+    def __init__(self, keys: DataFrame, key: str = "k"):
+        import zlib
+
+        h = F.xxhash64(F.col(key), F.lit(8))
+        at = F.shiftrightunsigned(h, 64 - FILTER_BITS)
+        mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{key}`, 8), {64 - FILTER_BITS}) & 63 as int))")
+        got = keys.select(F.shiftright(at, 6).alias("w"), mask.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+        bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)      # at most so many rows came back
+        bits[got["w"].to_numpy()] = got["v"].to_numpy()
+        self.sent = keys.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+
+    def split(self, docs: DataFrame, flagged: bool, key: str = "_k") -> DataFrame:
+        """The rows of ``docs`` that are (or are not) flagged."""
+        sent = self.sent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zlib
+
+            table = np.frombuffer(zlib.decompress(sent.value), U64)
+            for b in batches:
+                h = b.column(b.num_columns - 1).to_numpy().view(U64) >> U64(64 - FILTER_BITS)
+                hit = (table[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1
+                take = hit == flagged
+                if take.any():
+                    yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(take))
+
+        return docs.withColumn("_h", F.xxhash64(F.col(key), F.lit(8))).mapInArrow(run, docs.schema)
+
+
+def with_some(docs: DataFrame, some: DataFrame, key: str = "_k", other: str = "k") -> DataFrame:
+    """Left join of ``docs`` with ``some`` (one row for each key) that shuffles only the documents
+    which may have a row there."""
+    f = KeyFilter(some, other)
+    right = some.withColumnRenamed(other, "_other")
+    hit = f.split(docs, True, key).join(right, F.col(key) == F.col("_other"), "left").drop("_other")
+    rest = f.split(docs, False, key)
+    for c in right.columns:
+        if c != "_other":
+            rest = rest.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
+    return hit.unionByName(rest)
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str = "_k", other: str = "k") -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``keys``; only rows that may be are shuffled."""
+    f = KeyFilter(keys, other)
+    right = keys.select(F.col(other).alias("_other")).distinct()
+    hit = f.split(docs, True, key).join(right, F.col(key) == F.col("_other"), "left_anti")
+    return hit.unionByName(f.split(docs, False, key))

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import (NON_SPACE, U64, digest16, doc_key, mix, read, row_of, slices, span_hashes, spaced,
-                                  stored, words)
+from pressroom.llm.common import (NON_SPACE, U64, KeyFilter, digest16, doc_key, mix, read, row_of, slices, span_hashes, spaced,
+                                  stored, with_some, words)
 from pressroom.llm.recompress import anchors
 
 
@@ -112,25 +112,32 @@ def _cover(n: int, spans) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
-def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True,
+          carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: _k (doc_key), id, n_words, n_removed, kept_sha256 and, if asked for,
-    the kept text (the kept words joined by one space)."""
-    rows = docs.select(doc_key(id_col, text_col).alias("_k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    the kept text (the text itself if nothing was removed, else the kept words joined by one
+    space).  The columns ``carry`` come along as the struct ``carried``."""
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    rows = docs.select(doc_key(id_col, text_col).alias("_k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       carried.alias("carried"))
+    kind = rows.schema["carried"].dataType.simpleString()
     found = stored(_stretches(rows, size), "stretches")
     shared = found.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("name")
-    found = stored(found.join(shared, "name"), "shared")
+    shared = stored(shared, "names")
+    found = stored(KeyFilter(shared, "name").split(found, True, "name").join(shared, "name"), "shared")
     first = found.groupBy("name", "digest").agg(F.min("id").alias("first"))
     several = first.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name", F.lit(True).alias("open"))
     told = found.join(first, ["name", "digest"]).join(several, "name", "left")
     told = told.where("first < id or open")
     spans = told.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", (F.col("first") == F.col("id")).alias("open"))).alias("spans"))
-    schema = ("_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string, text string, "
+    schema = ("_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string, "
+              f"carried {kind}, text string, "
               "done array<struct<a:int,b:int>>, windows array<struct<lo:int,digest:binary>>")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             w = Words(b.column(2))
-            at = b.column(3).to_pylist()
+            at = b.column(4).to_pylist()
             kept = np.ones(len(w.row), bool)
             cols: dict[str, list] = {x: [] for x in ("text", "done", "windows")}
             for r, sp in enumerate(at):
@@ -145,7 +152,7 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
 
     schema_pa = [pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])),
                  pa.list_(pa.struct([("lo", pa.int32()), ("digest", pa.binary())]))]
-    most = rows.join(spans.withColumnRenamed("k", "_r"), F.col("_k") == F.col("_r"), "left").select("_k", "id", "text", "spans")
+    most = with_some(rows, spans).select("_k", "id", "text", "carried", "spans")
     most = stored(most.mapInArrow(settle, schema), "settled")
 
     # the ends of repeats, window by window
@@ -157,26 +164,31 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
         for b in slices(batches, "text", 2 << 20):
             w = Words(b.column(2))
             kept = np.ones(len(w.row), bool)
-            for r, (done, hit) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+            for r, (done, hit) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
                 a, z = int(w.first[r]), int(w.first[r + 1])
                 kept[a:z] = _cover(z - a, [(d["a"], d["b"]) for d in done] + [(i, i + size) for i in hit or ()])
             yield _result(b, w, kept, texts, [True] * b.num_rows)
 
-    cols = ["_k", "id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]
-    rest = most.where("text is not null").select("_k", "id", "text", "done")
-    rest = rest.join(hits.withColumnRenamed("_k", "_r"), F.col("_k") == F.col("_r"), "left").select("_k", "id", "text", "done", "hits")
-    rest = rest.mapInArrow(finish, "_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    cols = ["_k", "id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []), *(["carried"] if carry else [])]
+    rest = most.where("text is not null").select("_k", "id", "text", "carried", "done")
+    rest = rest.join(hits.withColumnRenamed("_k", "_r"), F.col("_k") == F.col("_r"), "left").select("_k", "id", "text", "carried", "done", "hits")
+    rest = rest.mapInArrow(finish, f"_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string, carried {kind}")
     return most.where("text is null").select(*cols).union(rest.select(*cols))
 
 
+def _text(b: pa.RecordBatch, row: int, kept: bytes, whole: bool) -> str | None:
+    return b.column(2)[row].as_py() if whole else kept.decode()
+
+
 def _result(b: pa.RecordBatch, w: Words, kept: np.ndarray, texts: bool, ready: list[bool], more: dict | None = None, types: list | None = None) -> pa.RecordBatch:
     left = np.add.reduceat(np.append(kept, False).astype(np.int64), np.minimum(w.first[:-1], len(kept))) if b.num_rows else np.zeros(0, np.int64)
     left[w.n == 0] = 0
     out = [w.text(kept, r) if ok else None for r, ok in enumerate(ready)]
     cols = [b.column(0), b.column(1), pa.array(w.n.astype(np.int64)), pa.array((w.n - left).astype(np.int64)),
             pa.array([None if t is None else hashlib.sha256(t).hexdigest() for t in out], pa.string()),
-            pa.array([t.decode() if texts and t is not None else None for t in out], pa.string())]
-    names = ["_k", "id", "n_words", "n_removed", "kept_sha256", "kept"]
+            pa.array([_text(b, r, t, left[r] == w.n[r]) if texts and t is not None else None for r, t in enumerate(out)], pa.string()),
+            b.column(3)]
+    names = ["_k", "id", "n_words", "n_removed", "kept_sha256", "kept", "carried"]
     for (k, v), t in zip((more or {}).items(), types or []):
         cols.append(pa.array(v, t))
         names.append(k)
