@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import U64, _BYTE, digest16, doc_key, groups_of, mix, powers, read, slices, stored, text_buffer
+from pressroom.llm.common import U64, KeyFilter, _BYTE, digest16, doc_key, groups_of, mix, powers, read, slices, stored, text_buffer, with_some
 from pressroom.llm.suffixarray import common_prefixes, suffix_array
 
 GRAM = 40
@@ -211,7 +211,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     rows = docs.select(doc_key(id_col, text_col).alias("_k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = stored(_stretches(rows, size, min(GRAM, size)), "stretches")
     shared = found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    found = stored(found.join(shared, "name"), "shared")
+    shared = stored(shared, "names")
+    found = stored(KeyFilter(shared, "name").split(found, True, "name").join(shared, "name"), "shared")
     kinds = stored(found.groupBy("name", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at")), "kinds")
     # names with several kinds of stretches: all of these go to the shards, unless no kind is single
@@ -259,7 +260,7 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     run_pa = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     ctx_pa = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("shard", pa.int64()), ("part", pa.int64()),
                                  ("split", pa.bool_()), ("lone", pa.bool_()), ("bytes", pa.binary())]))
-    most = rows.join(per_doc.withColumnRenamed("k", "_r"), F.col("_k") == F.col("_r"), "left").select("_k", "id", "text", "runs", "asks")
+    most = with_some(rows, per_doc).select("_k", "id", "text", "runs", "asks")
     most = stored(most.mapInArrow(settle, final + ", data binary, runs array<struct<a:long,b:long>>, contexts "
                                   "array<struct<lo:long,hi:long,shard:long,part:long,split:boolean,lone:boolean,bytes:binary>>"), "settled")
 

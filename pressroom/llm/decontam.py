@@ -111,7 +111,7 @@ def _document_windows(docs: DataFrame, lengths: list[int], bitmap: np.ndarray, k
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 6, id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each document: id, n_words, the hit places (array of struct<start, n>) and the items."""
+    """For each document: _k (doc_key), id, n_words, the hit places (array of struct<start, n>) and the items."""
     tests = stored(item_windows(items, size, k, item_id, item_text), "items")
     bit = F.shiftrightunsigned("fp", 64 - BITS)
     mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - BITS}) & 63 as int))")
@@ -132,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, k: int = 6,
     heads = found.where("n_words is not null").select("_k", "_id", "n_words")
     out = join_keys(join_keys(heads, places, ["_k", "_id"]), named, ["_k", "_id"])
     return out.select(
-        F.col("_id").alias(id_col), "n_words", "items",
+        "_k", F.col("_id").alias(id_col), "n_words", "items",
         F.expr("flatten(transform(places, p -> transform(p.starts, s -> struct(s as start, p.n as n))))").alias("places"))
 
 

@@ -33,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, components, digest16, doc_key, gram_hashes,
-                                  join_keys, mix, read, row_of, slices, span_hashes, spaced, stored, words)
+from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, KeyFilter, components, digest16, doc_key,
+                                  gram_hashes, join_keys, read, row_of, slices, span_hashes, spaced, stored, words)
 
 SKETCH = 24         # log2 of the counters: rarity
 LOCAL, HOT = 4, 32  # a counter is told by a task from LOCAL on, and counts as frequent from HOT on in all
 MAP_BITS = 1024     # bit map of a set
-FILTER = 26         # log2 of the bits that say which sets are asked for
 
 
 def _shingles(batch: pa.RecordBatch, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +189,6 @@ def _entries(sets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Those of the distinct pairs (a, b) that reach the threshold."""
     num, den = share
-    spark = docs.sparkSession
     maps = sets.select("k", "n", "map")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,30 +206,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
     close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a long, b long")
     close = stored(close, "close")
 
-    # the whole sets of the documents in question: a bit map of fixed size picks them where they are read
-    asked = close.select(F.col("a").alias("k")).union(close.select("b")).distinct()
-    at = F.shiftrightunsigned(F.xxhash64("k"), 64 - FILTER)
-    got = asked.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(k), {64 - FILTER}) & 63 as int))").alias("v"))
-    got = got.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()                     # at most 2 ** (FILTER - 6) rows
-    bits = np.zeros(1 << (FILTER - 6), np.int64)
-    bits[got["w"].to_numpy()] = got["v"].to_numpy()
-    sent = _tasks_array(spark, bits)
+    # the whole sets of the documents in question, picked where they are read
+    asked = stored(close.select(F.col("a").alias("k")).union(close.select("b")).distinct(), "asked")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _unpacked(sent).view(U64)
-        for b in batches:
-            h = b.column(2).to_numpy().view(U64) >> U64(64 - FILTER)
-            hit = (table[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1
-            if not hit.any():
-                continue
-            for c in slices(iter([b.filter(pa.array(hit))]), "text", 2 << 20):
-                _, g, bounds = _sets(c, "text", k, None)
-                data = memoryview(np.ascontiguousarray(g)).cast("B")
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.array([bytes(data[8 * x: 8 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())],
-                    names=["k", "s"])
-
-    full = docs.select("k", "text", F.xxhash64("k").alias("h")).mapInArrow(whole, "k long, s binary")
+        for c in slices(batches, "text", 2 << 20):
+            _, g, bounds = _sets(c, "text", k, None)
+            data = memoryview(np.ascontiguousarray(g)).cast("B")
+            yield pa.RecordBatch.from_arrays(
+                [c.column(0), pa.array([bytes(data[8 * x: 8 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())],
+                names=["k", "s"])
+
+    full = KeyFilter(asked).split(docs.select("k", "text"), True, "k").mapInArrow(whole, "k long, s binary")
     full = stored(full.join(asked, "k", "left_semi").dropDuplicates(["k"]), "sets")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

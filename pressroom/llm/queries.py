@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pressroom.llm import bytededup, decontam, htmlcrf, jaccard, langid, neardup_vec, packing, sharding, substring, toxicity
 
 LLM_REGISTRY = {
@@ -14,5 +15,6 @@ LLM_REGISTRY = {
     "op4_ngram_join": (jaccard.q_op4_ngram_join, jaccard.sql_op4),
     "op5_near_vectors": (neardup_vec.q_op5_near_vectors, neardup_vec.sql_op5),
     "op6_suffix_dedup": (bytededup.q_op6_suffix_dedup, bytededup.sql_op6),
+    "pipeline": (corpus_pipeline.run, None),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
 }

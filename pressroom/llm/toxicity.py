@@ -182,17 +182,16 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     return docs.select(*keep).mapInArrow(run, schema + ", score double, predicted int")
 
 
-def learn(spark: SparkSession, sf_dir: str, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> Model | None:
     """The model of the labelled documents that are not held out.  The sample is drawn from the
     labels alone, by a hash of the id; it is bounded, so it goes to the documents as a broadcast."""
-    labels = read(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     labels = labels.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(4)).alias("_h"))
     few = first_by_hash(labels, "toxic", "_h", F.when(F.col("toxic") == 1, toxic_rows).otherwise(ordinary_rows))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return fit(docs.join(F.broadcast(few.drop("_h")), "doc_id"), toxic_rows, ordinary_rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(few.drop("_h")), "doc_id"), toxic_rows, ordinary_rows)
 
 
 def q_op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, learn(spark, sf_dir))
+    out = score(docs, learn(docs, read(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
