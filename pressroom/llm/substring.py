@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
 
     cols = ["_k", "id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []), *(["carried"] if carry else [])]
     rest = most.where("text is not null").select("_k", "id", "text", "carried", "done")
-    rest = rest.join(hits.withColumnRenamed("_k", "_r"), F.col("_k") == F.col("_r"), "left").select("_k", "id", "text", "carried", "done", "hits")
+    rest = with_some(rest, stored(hits.withColumnRenamed("_k", "k"), "ends")).select("_k", "id", "text", "carried", "done", "hits")
     rest = rest.mapInArrow(finish, f"_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string, carried {kind}")
     return most.where("text is null").select(*cols).union(rest.select(*cols))
 
