@@ -117,6 +117,11 @@ def _in_shards(contexts: DataFrame, size: int) -> DataFrame:
     shard, and (k, at, window digest) for the others if their name is cut over shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tab in groups_of(batches, 2):
+            # a repeated row hands its stretches on once more: each place counts once
+            seen = dict.fromkeys(zip(tab.column("k").to_pylist(), tab.column("lo").to_pylist()))
+            if len(seen) < tab.num_rows:
+                once = {x: i for i, x in enumerate(zip(tab.column("k").to_pylist(), tab.column("lo").to_pylist()))}
+                tab = tab.take(pa.array(sorted(once.values())))
             data = tab.column("bytes").to_pylist()
             text = np.frombuffer(b"\xff".join([*data, b""]), np.uint8)         # 0xff is in no UTF-8 text
             begin = np.cumsum([0] + [len(x) + 1 for x in data[:-1]])
@@ -264,9 +269,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     most = stored(most.mapInArrow(settle, final + ", data binary, runs array<struct<a:long,b:long>>, contexts "
                                   "array<struct<lo:long,hi:long,shard:long,part:long,split:boolean,lone:boolean,bytes:binary>>"), "settled")
 
-    # a repeated row hands its contexts on once more; the shard sees each place once
     contexts = most.select("_k", F.explode("contexts").alias("c")).select(
-        "c.shard", "c.part", F.col("_k").alias("k"), "c.lo", "c.split", "c.lone", "c.bytes").dropDuplicates(["shard", "part", "k", "lo"])
+        "c.shard", "c.part", F.col("_k").alias("k"), "c.lo", "c.split", "c.lone", "c.bytes")
     hits = stored(_in_shards(contexts, size), "hits")
     cut = hits.where("digest is not null")
     ends = hits.where("hits is not null").select("k", "hits").union(_across(cut))
@@ -285,7 +289,7 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
 
     cols = ["_k", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
     rest = most.where("data is not null").select("_k", "id", "data", "runs")
-    rest = rest.join(ends.withColumnRenamed("k", "_r"), F.col("_k") == F.col("_r"), "left").select("_k", "id", "data", "runs", "hits")
+    rest = with_some(rest, stored(ends, "ends")).select("_k", "id", "data", "runs", "hits")
     return most.where("data is null").select(*cols).union(rest.mapInArrow(finish, final).select(*cols))
 
 

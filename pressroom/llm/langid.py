@@ -148,7 +148,7 @@ def fit(labelled: DataFrame, per_language: int = 400, text_col: str = "text", la
 def predict(docs: DataFrame, net: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; the text stays."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_letters")]
     if net is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

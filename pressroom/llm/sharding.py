@@ -28,9 +28,12 @@ SLICES = 4096     # slices of the fractional rank; the hash buckets are 16 ** 3
 def interleave(rows: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id",
                stratum: str = "source") -> DataFrame:
     """``rows`` with columns shard and slot; counts of shards differ by one at most."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    named = rows.select(
-        "*", F.col(stratum).isNull().alias("_null"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_src"),
+    row = F.col("_row")
+    ident = row[id_col]
+    source = row[stratum]
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"))
+    named = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")).select(
+        "_row", source.isNull().alias("_null"), F.coalesce(source.cast("string"), F.lit("")).alias("_src"),
         key.alias("_key")).withColumn("_b", F.substring("_key", 1, 3))
     group = ["_null", "_src", "_b"]
 
@@ -39,7 +42,7 @@ def interleave(rows: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_i
     upto = Window.partitionBy("_null", "_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
                             F.sum("_n").over(Window.partitionBy("_null", "_src")).alias("_total"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("_key", F.col(id_col)))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_key", ident))
     ranked = named.withColumn("_r", place).join(offsets, group).withColumn(
         "_frac", (2 * (F.col("_before") + F.col("_r")) - 1) / (2 * F.col("_total")))
     ranked = stored(ranked.withColumn("_slice", F.floor(F.col("_frac") * SLICES).cast("int")), "ranked")
@@ -50,14 +53,13 @@ def interleave(rows: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_i
         "_slice", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)),
                              F.lit(0)).alias("_ahead"))                    # at most SLICES rows
     before = before.crossJoin(F.broadcast(total))                          # one row
-    order = Window.partitionBy("_slice").orderBy("_frac", "_null", "_src", "_key", F.col(id_col))
+    order = Window.partitionBy("_slice").orderBy("_frac", "_null", "_src", "_key", ident)
     pos = ranked.withColumn("_p", F.row_number().over(order)).join(F.broadcast(before), "_slice").withColumn(
         "_p", F.col("_ahead") + F.col("_p") - 1)
     # row p of N goes to the shard floor(p * shards / N), whose first row is ceil(shard * N / shards)
     pos = pos.withColumn("shard", F.expr(f"cast((_p * {shards}) div _all as int)"))
     pos = pos.withColumn("slot", F.expr(f"_p - (cast(shard as bigint) * _all + {shards - 1}) div {shards}"))
-    hidden = ["_null", "_src", "_key", "_b", "_before", "_total", "_r", "_frac", "_slice", "_p", "_ahead", "_all"]
-    return pos.drop(*hidden)
+    return pos.select(*[row[c].alias(c) for c in rows.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 def q_op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:

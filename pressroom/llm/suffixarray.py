@@ -42,7 +42,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while len(todo):
         pos = sa[todo]
         g = group[pos]
-        nxt = group[np.minimum(pos + h, n)]
+        # a suffix that ends within h bytes comes before what it is a beginning of, the shortest first
+        nxt = np.where(pos + h < n, group[np.minimum(pos + h, n)], n - pos - h - 1)
         order = np.lexsort((pos, nxt, g))          # places of a group stay together
         sa[todo] = pos[order]
         g, nxt = g[order], nxt[order]
