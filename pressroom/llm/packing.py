@@ -40,27 +40,27 @@ def best_cuts(pos: np.ndarray, pen: np.ndarray, window: int, last: bool) -> list
     """Indices into ``pos`` (increasing, pos[0] = 0, steps of at most ``window``) of the cheapest
     chain of cuts from 0; it ends at the last candidate, or if the stream goes on at the cheapest
     candidate within a window of it."""
-    p, c = pos.tolist(), pen.tolist()
+    p, step = pos.tolist(), (pen + window).tolist()
     n = len(p)
-    cost, back = [0.0] * n, [0] * n
+    back = [0] * n
+    key = [0.0] * n                 # cost + position, which grows by window + penalty from cut to cut
     q: deque[int] = deque([0])
-    key = [0.0] * n
+    drop, pop, push = q.popleft, q.pop, q.append
     for j in range(1, n):
         low = p[j] - window
-        while p[q[0]] < low:
-            q.popleft()
         i = q[0]
-        cost[j] = key[i] + window - p[j] + c[j]
+        while p[i] < low:
+            drop()
+            i = q[0]
         back[j] = i
-        k = key[j] = cost[j] + p[j]
+        k = key[j] = key[i] + step[j]
         while q and key[q[-1]] >= k:
-            q.pop()
-        q.append(j)
+            pop()
+        push(j)
     end = n - 1
     if not last:
-        first = int(np.searchsorted(pos, pos[-1] - window))
-        tail = range(max(first, 1), n)
-        end = min(tail, key=lambda j: cost[j]) if len(tail) else n - 1
+        first = max(int(np.searchsorted(pos, pos[-1] - window)), 1)
+        end = min(range(first, n), key=lambda j: key[j] - p[j])
     chain = [end]
     while chain[-1]:
         chain.append(back[chain[-1]])

@@ -17,6 +17,18 @@ LONG_CHUNK = 64             # longer chunks are not kept
 JOINED = 2_000              # new chunks that are encoded as one text
 
 
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def plain(text: str) -> bool:
+    """No space stands next to white space, at the end of the text included."""
+    if text.endswith(" ") or "  " in text or "\n " in text or " \n" in text:
+        return False
+    if text.isascii() and not any(c in text for c in _RARE):
+        return True
+    return not _NOT_ALONE.search(text)
+
+
 _KEPT: dict[str, Encoder] = {}
 
 
@@ -79,10 +91,10 @@ class Encoder:
         out: list = [None] * len(texts)
         whole, split = [], []
         for i, t in enumerate(texts):
-            if t.endswith(" ") or _NOT_ALONE.search(t):
-                whole.append(i)
-            else:
+            if plain(t):
                 split.append((i, t.split(" ")))
+            else:
+                whole.append(i)
         if len(self.index) > CACHE_CHUNKS:
             self._empty()
         new = set().union(*(p[1:] for _, p in split)) - self.index.keys() if split else set()
