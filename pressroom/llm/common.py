@@ -3,6 +3,7 @@ as numpy arrays, connected components by joins."""
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -30,7 +31,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{uuid.uuid4().hex}/{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Spark frees the shuffle files of finished steps when the driver's collector finds their
+    # plans gone; nothing needs them any more, so it is asked to look now
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`stored` that no later step reads."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -168,6 +183,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         new = stored(new, f"small{i}")
         sig = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         done = sig(new) == sig(e)
+        discard(large, e)
         e = new
         if done:
             break

@@ -9,7 +9,7 @@ For every symbol the words are kept on which its being there depends: for a pair
 that stayed alone also the neighbour that could have joined it, for a run the symbols on its two
 sides.  If these lie inside a window of words, the same symbol stands at the same place in every equal
 window.  The anchor of a window is the symbol of the highest round whose words of dependence lie inside
-it, the smallest by hash among several; words themselves are round 0, so every window has one.
+it, the longest among several, then the smallest by hash; words themselves are round 0, so every window has one.
 """
 
 from __future__ import annotations
@@ -105,7 +105,8 @@ def anchors(names: np.ndarray, sep: np.ndarray, starts: np.ndarray, size: int) -
         todo = todo[~ok]
         if not len(got):
             continue
-        key = mix(x.name)
+        # the longest symbol, then the smallest hash: long symbols are shared by few documents
+        key = ((U64(255) - np.minimum(x.size, 255).astype(U64)) << U64(56)) | (mix(x.name) >> U64(8))
         best = np.arange(len(key))
         width = last - f + 1
         depth = np.frexp(width.astype(float))[1] - 1                           # floor(log2(width))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import (NON_SPACE, U64, KeyFilter, digest16, doc_key, mix, read, row_of, slices, span_hashes, spaced,
+from pressroom.llm.common import (NON_SPACE, U64, KeyFilter, digest16, discard, doc_key, mix, read, row_of, slices, span_hashes, spaced,
                                   stored, with_some, words)
 from pressroom.llm.recompress import anchors
 
@@ -124,7 +124,8 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
     found = stored(_stretches(rows, size), "stretches")
     shared = found.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("name")
     shared = stored(shared, "names")
-    found = stored(KeyFilter(shared, "name").split(found, True, "name").join(shared, "name"), "shared")
+    every, found = found, stored(KeyFilter(shared, "name").split(found, True, "name").join(shared, "name"), "shared")
+    discard(every, shared)
     first = found.groupBy("name", "digest").agg(F.min("id").alias("first"))
     several = first.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name", F.lit(True).alias("open"))
     told = found.join(first, ["name", "digest"]).join(several, "name", "left")
@@ -154,6 +155,7 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
                  pa.list_(pa.struct([("lo", pa.int32()), ("digest", pa.binary())]))]
     most = with_some(rows, spans).select("_k", "id", "text", "carried", "spans")
     most = stored(most.mapInArrow(settle, schema), "settled")
+    discard(found)
 
     # the ends of repeats, window by window
     ends = most.where("text is not null").select("_k", "id", F.explode("windows").alias("w")).select("_k", "id", "w.lo", "w.digest")
