@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, KeyFilter, components, digest16, doc_key,
+from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, KeyFilter, components, digest16, discard, doc_key,
                                   gram_hashes, join_keys, read, row_of, slices, span_hashes, spaced, stored, words)
 
 SKETCH = 24         # log2 of the counters: rarity
@@ -85,8 +85,9 @@ def _rarity(docs: DataFrame, k: int) -> np.ndarray:
             _, g = _shingles(b, "text", k)
             held.append((g >> U64(64 - SKETCH)).astype(np.int32))
             size += len(g)
-            if size > 4 << 20:
-                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+            if size > 1 << 20:
+                i, c = np.unique(np.concatenate(held), return_counts=True)
+                total[i] += c.astype(np.int32)
                 held, size = [], 0
         if held:
             i, c = np.unique(np.concatenate(held), return_counts=True)
@@ -231,7 +232,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
 
     both = (close.join(full.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
             .join(full.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    return stored(both.mapInArrow(reach, "a long, b long"), "verified")
+    done = stored(both.mapInArrow(reach, "a long, b long"), "verified")
+    discard(close, asked, full)
+    return done
 
 
 def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds: int = 2, id_col: str = "doc_id",
