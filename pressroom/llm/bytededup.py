@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import U64, KeyFilter, _BYTE, digest16, doc_key, groups_of, mix, powers, read, slices, stored, text_buffer, with_some
+from pressroom.llm.common import U64, KeyFilter, _BYTE, digest16, discard, doc_key, groups_of, mix, powers, read, slices, stored, text_buffer, with_some
 from pressroom.llm.suffixarray import common_prefixes, suffix_array
 
 GRAM = 40
@@ -217,7 +217,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     found = stored(_stretches(rows, size, min(GRAM, size)), "stretches")
     shared = found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     shared = stored(shared, "names")
-    found = stored(KeyFilter(shared, "name").split(found, True, "name").join(shared, "name"), "shared")
+    every, found = found, stored(KeyFilter(shared, "name").split(found, True, "name").join(shared, "name"), "shared")
+    discard(every, shared)
     kinds = stored(found.groupBy("name", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at")), "kinds")
     # names with several kinds of stretches: all of these go to the shards, unless no kind is single
@@ -269,6 +270,7 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     most = stored(most.mapInArrow(settle, final + ", data binary, runs array<struct<a:long,b:long>>, contexts "
                                   "array<struct<lo:long,hi:long,shard:long,part:long,split:boolean,lone:boolean,bytes:binary>>"), "settled")
 
+    discard(found, kinds)
     contexts = most.select("_k", F.explode("contexts").alias("c")).select(
         "c.shard", "c.part", F.col("_k").alias("k"), "c.lo", "c.split", "c.lone", "c.bytes")
     hits = stored(_in_shards(contexts, size), "hits")
