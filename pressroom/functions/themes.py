@@ -3,10 +3,9 @@
 A taxonomy is an ordered mapping theme -> keywords.  The score of a theme
 is the number of its keywords present at least once in the lower-cased
 text; the guess is the highest score, ties to the earlier theme, '' when
-nothing scores.  Small taxonomies are constants in the expression (one
-pass over each text, no join); a taxonomy DataFrame is turned into the
-same expression only after its size is checked, and otherwise scored by a
-join on (theme, keyword) rows.
+nothing scores.  A taxonomy given as a mapping is constants in the expression
+(one pass over each text, no join); a taxonomy table of any size is scored by an
+equi-join on the first characters of its keywords.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ DEFAULT_THEMES: dict[str, list[str]] = {
     ],
 }
 
-MAX_INLINE_KEYWORDS = 10_000
+GRAM = 6     # characters of a keyword that the table form joins on
 
 
 def theme_scores(text_lc, taxonomy: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -74,10 +73,8 @@ def with_themes(df: DataFrame, text: str, taxonomy: Mapping[str, Sequence[str]]
 
 
 def taxonomy_from_df(themes: DataFrame) -> dict[str, list[str]]:
-    """Taxonomy rows (theme, theme_ord, keyword) -> ordered mapping, size-checked."""
-    n = themes.count()
-    if n > MAX_INLINE_KEYWORDS:
-        raise ValueError(f"taxonomy of {n} keywords: score with theme_scores_join instead")
+    """Taxonomy rows (theme, theme_ord, keyword) -> ordered mapping, for taxonomies that are
+    configuration; :func:`theme_scores_join` scores tables of any size."""
     tax: dict[str, list[str]] = {}
     for r in themes.orderBy("theme_ord", "keyword").collect():
         tax.setdefault(r["theme"], []).append(r["keyword"])
@@ -85,16 +82,28 @@ def taxonomy_from_df(themes: DataFrame) -> dict[str, list[str]]:
 
 
 def theme_scores_join(docs: DataFrame, themes: DataFrame, key: str, text: str) -> DataFrame:
-    """J7 for large taxonomies: (key, theme, theme_ord, n) by a substring join.
+    """J7 for taxonomies of any size: (key, theme, theme_ord, n).
 
-    The keyword side is broadcast only after its size is checked (a taxonomy
-    is configuration, at most ``MAX_INLINE_KEYWORDS`` rows); the text side
-    streams; counts are combined map-side before the shuffle on (key, theme).
+    A keyword can only stand in a text that holds its first ``GRAM`` characters, so both sides
+    join on those (a text gives each distinct piece of that length once, and of the shorter
+    lengths that shorter keywords have); what meets is compared whole.  An equi-join: no
+    broadcast, no bound on the keywords.
     """
-    kw = themes.select("theme", "theme_ord", "keyword").distinct()
-    n = kw.count()
-    if n > MAX_INLINE_KEYWORDS:
-        raise ValueError(f"taxonomy of {n} keywords is above the broadcast bound {MAX_INLINE_KEYWORDS}")
-    d = docs.select(key, F.lower(F.col(text)).alias("_lc"))
-    hits = d.join(F.broadcast(kw), F.contains(F.col("_lc"), F.col("keyword")))
-    return hits.groupBy(key, "theme", "theme_ord").agg(F.count(F.lit(1)).alias("n"))
+    kw = themes.select("theme", "theme_ord", "keyword").where(F.col("keyword").isNotNull()).distinct()
+    kw = kw.withColumn("_g", F.substring("keyword", 1, GRAM))
+    lengths = [r[0] for r in kw.select(F.length("_g")).distinct().collect()]     # at most GRAM + 1 rows
+    d = docs.select(key, F.lower(F.col(text)).alias("_lc")).where(F.col("_lc").isNotNull())
+
+    def pieces(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        last = F.length("_lc") - n + 1
+        return F.when(last > 0, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("_lc"), i, F.lit(n))))).otherwise(
+                F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[pieces(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    # the text stays behind: (key, piece) finds the keywords in question, the text is joined to those
+    asked = d.select(key, F.explode(grams).alias("_g")).join(kw, "_g").drop("_g")
+    hits = d.join(asked, key).where(F.contains(F.col("_lc"), F.col("keyword")))
+    return hits.groupBy(key, "theme", "theme_ord").agg(F.count_distinct("keyword").alias("n"))

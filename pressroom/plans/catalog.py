@@ -652,7 +652,7 @@ def q_outlet_select(spark, sf_dir):
                     F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"))
 
 
-# ------------------------------------------------------------------ DOM lanes (rows-only check)
+# ------------------------------------------------------------------ DOM lanes
 
 def doc_article_html(spark, sf_dir) -> DataFrame:
     """Article HTML per document in the three outlets' layouts, chosen by language:
@@ -666,7 +666,7 @@ def doc_article_html(spark, sf_dir) -> DataFrame:
     lines = F.col("_lines")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     second = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
-    paras = F.array_join(F.transform(F.slice(lines, 2, 100000), lambda x, i: F.when(
+    paras = F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.when(
         (i % 7) == 3, F.concat(F.lit("<h3>"), x, F.lit("</h3>"))).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))), "")
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int"))
     mon = F.element_at(F.array(*[F.lit(m) for m in T.PT_MONTHS]), F.month(day))
@@ -696,13 +696,13 @@ def doc_article_html(spark, sf_dir) -> DataFrame:
 
 
 def q_html_blocks(spark, sf_dir):
-    """The element table of every page (rows-only)."""
+    """The element table of every page."""
     from pressroom.operators.htmlblocks import el_text, html_page
 
     pages = load(spark, sf_dir, "pages")
     d = pages.select("page_id", html_page("html").alias("pg"))
     d = d.select("page_id", F.explode(F.transform("pg.els", lambda x: F.struct(
-        x["ord"].alias("ord"), x["tag"].alias("tag"), F.size(x["anc"]).alias("depth"),
+        x["ord"].alias("ord"), x["tag"].alias("tag"), x["depth"].alias("depth"),
         F.length(el_text(F.col("pg.nodes"), x)).alias("n_chars")))).alias("b"))
     return d.select("page_id", *[F.col(f"b.{k}").cast("long").alias(k) if k != "tag" else F.col("b.tag")
                                  for k in ("ord", "tag", "depth", "n_chars")])
@@ -717,22 +717,22 @@ def _dom(spark, sf_dir, lane: str, min_chars: int):
 
 
 def q_folha_text(spark, sf_dir):
-    """Folha DOM lane over article HTML built from documents (rows-only)."""
+    """Folha DOM lane over article HTML built from documents."""
     return _dom(spark, sf_dir, "folha", 300)
 
 
 def q_globo_text(spark, sf_dir):
-    """Globo DOM lane (rows-only)."""
+    """Globo DOM lane."""
     return _dom(spark, sf_dir, "globo", 300)
 
 
 def q_piaui_text(spark, sf_dir):
-    """Piaui container cascade (rows-only)."""
+    """Piaui container cascade."""
     return _dom(spark, sf_dir, "piaui", 200)
 
 
 def q_result_list(spark, sf_dir):
-    """Result-list items of list HTML built from each document's lines (rows-only)."""
+    """Result-list items of list HTML built from each document's lines."""
     from pressroom.operators.discovery import stop_at_empty
     from pressroom.operators.domlanes import result_items
 
@@ -861,7 +861,7 @@ def q_fetch_run(spark, sf_dir):
 def q_collect_dom(spark, sf_dir):
     """collect with DOM lanes (X10-X13 inside X18): document articles found by the
     folha, globo and piaui outlets, extracted by their DOM rules, winner per URL,
-    numbered (rows-only: the lanes run the HTML tokenizer)."""
+    numbered."""
     from pressroom.plans.collect import collect
 
     pages = doc_article_html(spark, sf_dir).select("doc_id", "url", "html")

@@ -79,7 +79,7 @@ def sitemap_index(feeds: DataFrame, xml: str = "xml", year_from: int | None = No
     locs = F.regexp_extract_all(F.col(xml), F.lit(pattern), F.lit(1))
     d = feeds.select(*keep, F.posexplode(locs).alias("loc_pos", "loc"))
     d = d.withColumn("loc_pos", (F.col("loc_pos") + 1).cast("long")).withColumn(
-        "year", F.regexp_extract("loc", pattern.replace("<loc>(", "^(").replace(")</loc>", ")$"), 2).cast("int"))
+        "year", F.regexp_extract("loc", pattern.replace("<loc>(", "^(").replace(")</loc>", ")$"), 2).try_cast("int"))
     if year_from is not None and year_to is not None:
         d = d.where(F.col("year").between(year_from, year_to))
     return d
