@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as T
-from pressroom.operators.htmlblocks import el_lines, el_text, html_page
+from pressroom.operators.htmlblocks import el_lines, el_text, html_page, inside
 
 # Per-outlet DOM rules.
 FOLHA_DROP = ["script", "style", "nav", "footer", "header", ".c-news__sidebar", ".c-related", ".c-newsletter",
@@ -100,19 +100,20 @@ def first(blocks: Column, pred) -> Column:
 
 
 def dropped_roots(blocks: Column, selectors: Sequence[str]) -> Column:
-    """Start orders of the elements matching a drop selector."""
-    return F.transform(F.filter(blocks, lambda x: any_of(x, selectors)), lambda x: x["ord"])
+    """Subtrees (start and end order) of the elements matching a drop selector."""
+    return F.transform(F.filter(blocks, lambda x: any_of(x, selectors)),
+                       lambda x: F.struct(x["ord"].alias("ord"), x["end"].alias("end")))
 
 
 def outside(blocks: Column, gone: Column) -> Column:
     """blocks outside every subtree rooted at one of ``gone`` (a column,
     so it is computed once per page, not once per element)."""
-    return F.filter(blocks, lambda x: ~F.array_contains(gone, x["ord"]) & ~F.arrays_overlap(x["anc"], gone))
+    return F.filter(blocks, lambda x: ~F.exists(gone, lambda g: (x["ord"] >= g["ord"]) & (x["ord"] < g["end"])))
 
 
 def body_parts(blocks: Column, nodes: Column, container: Column, keep) -> Column:
     """p / h2-h4 descendants of ``container`` passing ``keep``; headings padded by newlines."""
-    sel = F.filter(blocks, lambda x: x["tag"].isin(*BODY_TAGS) & F.array_contains(x["anc"], container["ord"]))
+    sel = F.filter(blocks, lambda x: x["tag"].isin(*BODY_TAGS) & inside(x, container))
     texts = F.transform(sel, lambda x: F.struct(x["tag"].alias("tag"), el_text(nodes, x).alias("t")))
     kept = F.filter(texts, lambda y: keep(y["t"]))
     return F.transform(kept, lambda y: F.when(y["tag"].isin(*HEADING_TAGS),
@@ -145,7 +146,6 @@ def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
     """X11 (+ X10 fallback): title, subtitle, author, date, '', body blocks."""
     c = F.col
     tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
-    ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
     d = _staged(d, cond, [
         ("_f_gone", dropped_roots(c(b), FOLHA_DROP)),
         ("_f_live", outside(c(b), c("_f_gone"))),
@@ -170,7 +170,6 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
     the first container present in preference order."""
     c = F.col
     tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
-    ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
     og = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:title"))
     title = T.first_nonempty(F.coalesce(og["content"], F.lit("")),
                              F.coalesce(tx(first(c(b), lambda x: x["tag"] == "h1")), F.lit("")))
@@ -196,7 +195,6 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
 def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """First container with > 200 chars, else the last one found, else the page body."""
     c = F.col
-    tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
     ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
     title = T.py_strip(F.coalesce(ln(first(c(b), lambda x: x["tag"] == "h1")), F.lit("")))
     found = F.array_compact(F.array(*[T.py_strip(ln(first(c(b), matcher(s)))) for s in PIAUI_BODY]))
@@ -231,16 +229,16 @@ def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_char
     cols = [c for c in df.columns if c != parsed]
     d = df if parsed else df.withColumn("_pg", html_page(F.col(html)))
     pg = F.col(parsed or "_pg")
-    d = d.withColumn("_b", pg["els"]).withColumn("_n", pg["nodes"]).drop(parsed or "_pg")
+    d = d.withColumn("_b", pg["els"]).withColumn("_n", pg["nodes"]).withColumn("_failed", pg["failed"]).drop(parsed or "_pg")
     lane_c = F.col(lane)
     for name, (fn, _) in LANE_FUNCS.items():
         d = fn(d, lane_c == name, "_b", html, "_n")
     pick = {k: F.coalesce(*[F.col(f"`{p}.{k}`") for _, p in LANE_FUNCS.values()])
             for k in ("title", "date", "text", "summary")}
-    d = d.select(*cols, *[v.alias(k) for k, v in pick.items()])
+    d = d.select(*cols, "_failed", *[v.alias(k) for k, v in pick.items()])
     t = F.col("text")
-    ok = (t != "") & (F.length(t) >= F.col(min_chars)) & (F.col(html) != "")
-    return d.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    ok = ~F.col("_failed") & (t != "") & (F.length(t) >= F.col(min_chars)) & (F.col(html) != "")
+    return d.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_failed")
 
 
 def result_items(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -255,19 +253,20 @@ def result_items(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != html]
     d = pages.select(*keep, html_page(F.col(html)).alias("_pg"))
     d = d.select(*keep, F.col("_pg.els").alias("_b"), F.col("_pg.nodes").alias("_n"))
-    d = d.withColumn("_items", F.transform(F.filter("_b", matcher(RESULT_ITEM)), lambda x: x["ord"]))
+    d = d.withColumn("_items", dropped_roots(F.col("_b"), [RESULT_ITEM]))
     nodes, items = F.col("_n"), F.col("_items")
+    holders = lambda x: F.filter(items, lambda i: inside(x, i))
 
     def tag_item(x):
         is_link = (x["tag"] == "a") & F.contains(F.coalesce(x["href"], F.lit("")), F.lit(RESULT_DOMAIN))
-        return F.struct(F.array_max(F.array_intersect(x["anc"], items)).alias("item"), x["ord"].alias("ord"),
+        return F.struct(F.array_max(F.transform(holders(x), lambda i: i["ord"])).alias("item"), x["ord"].alias("ord"),
                         is_link.alias("is_link"), any_of(x, RESULT_DATE).alias("is_date"),
                         x["href"].alias("href"), el_text(nodes, x).alias("text"))
 
     cand = F.filter("_b", lambda x: ((x["tag"] == "a") | any_of(x, RESULT_DATE))
-                    & F.arrays_overlap(x["anc"], items))
+                    & F.exists(items, lambda i: inside(x, i)))
     e = d.where(F.size("_items") > 0).select(*keep, "_items", F.explode(F.transform(cand, tag_item)).alias("x"))
-    e = e.select(*keep, F.array_position("_items", F.col("x.item")).alias("item_pos"), "x.*")
+    e = e.select(*keep, F.array_position("_items.ord", F.col("x.item")).alias("item_pos"), "x.*")
     e = e.where(F.col("is_link") | F.col("is_date"))
     g = e.groupBy(*keep, "item_pos").agg(
         F.max_by(F.when(F.col("is_link") & (F.col("href") != ""), F.col("href")),

@@ -2,8 +2,8 @@
 
 The only Python on the extraction path: an Arrow-batched ``pandas_udf`` that
 tokenises each page with the standard-library ``html.parser`` into an array
-of element structs (start order, tag, classes, ancestor start orders, a few
-attributes, text).  Every outlet rule on top - which subtrees are removed,
+of element structs (start order, end order, depth, tag, classes, a few attributes,
+text range); containment is a test on orders, so an element costs the same at any depth.  Every outlet rule on top - which subtrees are removed,
 which container is the body, which blocks are kept - is a Spark
 higher-order-function expression over that array (:mod:`domlanes`), so it
 runs per row in the JVM with no shuffle.
@@ -24,13 +24,14 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 BLOCK = StructType([
     StructField("ord", IntegerType()),
     StructField("tag", StringType()),
     StructField("cls", ArrayType(StringType())),
-    StructField("anc", ArrayType(IntegerType())),
+    StructField("end", IntegerType()),       # order after its last descendant: [ord, end) is the subtree
+    StructField("depth", IntegerType()),
     StructField("href", StringType()),
     StructField("prop", StringType()),
     StructField("content", StringType()),
@@ -39,14 +40,15 @@ BLOCK = StructType([
     StructField("n1", IntegerType()),
 ])
 BLOCKS = ArrayType(BLOCK)
-PAGE = StructType([StructField("nodes", ArrayType(StringType())), StructField("els", BLOCKS)])
+PAGE = StructType([StructField("nodes", ArrayType(StringType())), StructField("els", BLOCKS),
+                   StructField("failed", BooleanType())])
 
 # Elements that never hold content, so never stay open.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
 
 
-FIELDS = ("ord", "tag", "cls", "anc", "href", "prop", "content", "itemprop", "n0", "n1")
+FIELDS = ("ord", "tag", "cls", "end", "depth", "href", "prop", "content", "itemprop", "n0", "n1")
 
 
 class _Tokens(HTMLParser):
@@ -57,13 +59,22 @@ class _Tokens(HTMLParser):
         self.els: list[list] = []
         self.stack: list[int] = []
         self.texts: list[str] = []
+        self.chunks: list[str] = []      # one text node may come in several calls (a bare "<" splits them)
         self.raw = 0
 
+    def _flush(self):
+        if self.chunks:
+            t = "".join(self.chunks).strip()
+            if t:
+                self.texts.append(t)
+            self.chunks = []
+
     def _open(self, tag, attrs, void):
+        self._flush()
         a = dict(attrs)
         i = len(self.els)
         n = len(self.texts)
-        self.els.append([i, tag, (a.get("class") or "").split(), list(self.stack),
+        self.els.append([i, tag, (a.get("class") or "").split(), i + 1 if void else None, len(self.stack),
                          a.get("href"), a.get("property"), a.get("content"), a.get("itemprop"),
                          n, n if void else None])
         if not void:
@@ -78,53 +89,56 @@ class _Tokens(HTMLParser):
         self._open(tag, attrs, True)
 
     def handle_endtag(self, tag):
+        self._flush()
         st = self.stack
         for depth in range(len(st) - 1, -1, -1):
             if self.els[st[depth]][1] == tag:
                 n = len(self.texts)
                 while len(st) > depth:
                     e = self.els[st.pop()]
-                    e[9] = n
+                    e[3], e[10] = len(self.els), n
                     if e[1] in RAW:
                         self.raw -= 1
                 return
 
     def handle_data(self, data):
         if not self.raw:
-            t = data.strip()
-            if t:
-                self.texts.append(t)
+            self.chunks.append(data)
+
+    def handle_comment(self, data):
+        self._flush()
 
     def finish(self) -> tuple[list[str], list[list]]:
-        try:
-            self.close()
-        except Exception:  # noqa: BLE001
-            pass
+        self._flush()
         n = len(self.texts)
         for e in self.els:
-            if e[9] is None:
-                e[9] = n
+            if e[10] is None:
+                e[3], e[10] = len(self.els), n
         return self.texts, self.els
 
 
-def parse_page(html: str | None) -> tuple[list[str], list[list]]:
-    """(text nodes, element tuples) of one page."""
+def parse_page(html: str | None) -> tuple[list[str], list[list], bool]:
+    """(text nodes, element tuples, whether the tokenizer gave up on the page).  A page it gave
+    up on holds what was read so far; no lane takes it for an extracted page."""
     if not html:
-        return [], []
+        return [], [], False
     p = _Tokens()
     try:
         p.feed(html)
-    except Exception:  # noqa: BLE001 - malformed input: whatever was read so far
-        pass
-    return p.finish()
+        p.close()
+        failed = False
+    except (AssertionError, ValueError, IndexError):      # what html.parser raises on malformed markup
+        failed = True
+    return *p.finish(), failed
 
 
 def parse_blocks(html: str | None) -> list[dict]:
     """Elements as dicts with their text filled in (tests and small inspections)."""
-    nodes, els = parse_page(html)
+    nodes, els, _ = parse_page(html)
     out = []
     for e in els:
         d = dict(zip(FIELDS, e))
+        d["anc"] = [a[0] for a in els[: e[0]] if e[0] < a[3]]
         d["text"] = "".join(nodes[d["n0"]:d["n1"]])
         d["lines"] = "\n".join(nodes[d["n0"]:d["n1"]])
         out.append(d)
@@ -140,28 +154,27 @@ def pages_to_arrow(htmls) -> pa.StructArray:
     n_off, n_val = [0], []
     e_off = [0]
     cols: list[list] = [[] for _ in FIELDS]
-    cls_off, cls_val, anc_off, anc_val = [0], [], [0], []
+    cls_off, cls_val, failed = [0], [], []
     for h in htmls:
-        texts, els = parse_page(h)
+        texts, els, bad = parse_page(h)
+        failed.append(bad)
         n_val.extend(texts)
         n_off.append(len(n_val))
         for e in els:
-            for j in (0, 1, 4, 5, 6, 7, 8, 9):
+            for j in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10):
                 cols[j].append(e[j])
             cls_val.extend(e[2])
             cls_off.append(len(cls_val))
-            anc_val.extend(e[3])
-            anc_off.append(len(anc_val))
         e_off.append(len(cols[0]))
     i32, s = pa.int32(), pa.string()
     children = [
         pa.array(cols[0], i32), pa.array(cols[1], s), _list(cls_off, pa.array(cls_val, s)),
-        _list(anc_off, pa.array(anc_val, i32)), pa.array(cols[4], s), pa.array(cols[5], s),
-        pa.array(cols[6], s), pa.array(cols[7], s), pa.array(cols[8], i32), pa.array(cols[9], i32),
+        pa.array(cols[3], i32), pa.array(cols[4], i32), pa.array(cols[5], s), pa.array(cols[6], s),
+        pa.array(cols[7], s), pa.array(cols[8], s), pa.array(cols[9], i32), pa.array(cols[10], i32),
     ]
     els = pa.StructArray.from_arrays(children, names=list(FIELDS))
-    return pa.StructArray.from_arrays([_list(n_off, pa.array(n_val, s)), _list(e_off, els)],
-                                      names=["nodes", "els"])
+    return pa.StructArray.from_arrays([_list(n_off, pa.array(n_val, s)), _list(e_off, els),
+                                       pa.array(failed, pa.bool_())], names=["nodes", "els", "failed"])
 
 
 @F.arrow_udf(PAGE)
@@ -170,10 +183,15 @@ def _page_udf(html: pa.Array) -> pa.Array:
 
 
 def html_page(html) -> Column:
-    """struct<nodes: array<string>, els: array<BLOCK>> of a page."""
+    """struct<nodes: array<string>, els: array<BLOCK>, failed: boolean> of a page."""
     return _page_udf(F.col(html) if isinstance(html, str) else html)
 
 
+def inside(x: Column, container: Column) -> Column:
+    """Whether element ``x`` lies below ``container``."""
+    return (x["ord"] > container["ord"]) & (x["ord"] < container["end"])
+
+
 def el_text(nodes: Column, x: Column) -> Column:
     """Text of element ``x``: its text nodes joined without a separator."""
     return F.array_join(F.slice(nodes, x["n0"] + 1, x["n1"] - x["n0"]), "")
