@@ -27,7 +27,8 @@ from pressroom.operators.store import mark_known
 from pressroom.schemas import ARTICLE_FIELDS
 from pressroom.session import materialize
 
-ORDER = ["sel_ord", "page_no", "stub_ord"]
+#: Order of stubs: outlet turn, page, captured body, place in it.
+ORDER = ["sel_ord", "page_no", "feed", "stub_ord"]
 
 
 @dataclass
@@ -42,9 +43,22 @@ def attach_outlets(stubs: DataFrame, selected: DataFrame) -> DataFrame:
     """Stubs of the selected outlets, with the outlet's order, name, lane and gate."""
     dim = selected.select(F.col("key").alias("outlet_key"), "sel_ord", F.col("name").alias("outlet_name"),
                           "lane", "min_chars")
+    if "feed" not in stubs.columns:
+        stubs = stubs.withColumn("feed", F.lit(""))
     return stubs.join(F.broadcast(dim), "outlet_key")
 
 
+def wanted_pages(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, html) of the wanted URLs, one capture of each: the one with the smallest ``page_id`` (by a
+    hash of the page where captures have no id).  The choice is an aggregate of ids; ``html`` is
+    read for the chosen captures only."""
+    urls = keys.select("url").distinct()
+    cap = pages if "page_id" in pages.columns else pages.withColumn("page_id", F.xxhash64("html"))
+    cap = cap.where(F.col("url").isNotNull())
+    first = cap.join(urls, "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return cap.join(first, ["url", "page_id"]).select("url", "html")
+
+
 def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> DataFrame:
     """(url, lane, min_chars) -> lane columns; a missing page is a failed fetch.
 
@@ -52,23 +66,24 @@ def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> D
     the rows routed to them, and only when ``with_dom``.
     """
     cols = ["url", "lane", "min_chars", "title", "date", "text", "summary", "ok"]
-    d = keys.join(pages.select("url", "html"), "url", "left").fillna({"html": ""})
-    regex = d.where(F.col("lane").isin(*LN.REGEX_LANES)) if with_dom else d
+    # one page lookup for all lanes of a URL (the list is bounded by the number of lanes)
+    lanes = keys.groupBy("url").agg(F.collect_set(F.struct("lane", "min_chars")).alias("_lanes"))
+    d = lanes.join(wanted_pages(keys, pages), "url", "left").fillna({"html": ""})
+    each = lambda x: x.withColumn("_l", F.explode("_lanes")).withColumn("lane", F.col("_l.lane")).withColumn(
+        "min_chars", F.col("_l.min_chars")).drop("_l", "_lanes")
+    of = lambda names: F.filter("_lanes", lambda x: x["lane"].isin(*names))
+    regex = each(d.withColumn("_lanes", of(LN.REGEX_LANES)) if with_dom else d)
     out = LN.regex_dispatch(regex, "lane", "html", "url", "min_chars")
     out = out.withColumn("ok", F.col("ok") & (F.col("html") != "")).select(*cols)
     if with_dom:
         from pressroom.operators.domlanes import dom_dispatch
         from pressroom.operators.htmlblocks import html_page
         # each page is parsed once, whatever number of DOM lanes asks for it
-        # (the per-URL lane list is bounded by the number of lanes)
-        dom = (keys.where(F.col("lane").isin(*LN.DOM_LANES))
-               .groupBy("url").agg(F.collect_list(F.struct("lane", "min_chars")).alias("_lanes")))
-        dom = dom.join(pages.select("url", "html"), "url", "left").fillna({"html": ""})
-        dom = dom.withColumn("_pg", html_page(F.col("html")))
-        dom = dom.select("url", "html", "_pg", F.explode("_lanes").alias("_l")).select(
-            "url", "html", "_pg", F.col("_l.lane").alias("lane"), F.col("_l.min_chars").alias("min_chars"))
+        dom = d.withColumn("_lanes", of(LN.DOM_LANES)).where(F.size("_lanes") > 0)
+        dom = each(dom.withColumn("_pg", html_page(F.col("html"))))
         out = out.unionByName(dom_dispatch(dom, parsed="_pg").select(*cols))
-    return out
+    # captures that repeat a page_id give equal keys: one row of each
+    return out.dropDuplicates(["url", "lane", "min_chars"])
 
 
 def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: DataFrame,
@@ -99,21 +114,21 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
 
     if base is None:   # A10 as a scalar subquery of the numbering plan
         base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).scalar()
-    winners = c.where("is_winner").select(
-        *ORDER, "url", "outlet_name", "a_title", "a_date", "summary", "text")
-    numbered = number_rows(winners, ORDER, base=base)
+    # only the order keys are numbered; a URL has one winner, which gets its number back by its URL
+    numbers = number_rows(c.where("is_winner").select(*ORDER, "url").distinct(), ORDER, base=base).select("url", "row_num")
+    numbered = c.where("is_winner").dropDuplicates(["url"]).join(numbers, "url")
     articles = numbered.select(
         "row_num", F.col("a_date").alias("date"), F.col("outlet_name").alias("outlet"),
         F.col("a_title").alias("title"), "url", F.lit("").alias("theme"),
         F.coalesce("summary", F.lit("")).alias("summary"), F.lit("no").alias("paywalled"))
     texts = numbered.where(F.col("text") != "").select("row_num", "text")
 
-    counts = c.groupBy("outlet_key").agg(
+    counts = c.groupBy("outlet_key", "sel_ord").agg(
         F.count(F.lit(1)).alias("hits"),
         F.count_if("is_new").alias("new"),
         F.count_if("is_winner").alias("added"))
     sel = selected.select(F.col("key").alias("outlet_key"), "sel_ord", F.col("name").alias("outlet"))
-    res = sel.join(counts, "outlet_key", "left")
+    res = sel.join(counts, ["outlet_key", "sel_ord"], "left")
     if notes is not None:
         res = res.join(notes.select("outlet_key", "note"), "outlet_key", "left")
     else:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached outside a configured cluster (tests, bench on one machine).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine (tests, bench)
         conf_dir = tempfile.mkdtemp(prefix="pressroom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -62,16 +65,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the reliable checkpoint folder now and continue from it.
+    """Write ``df`` as Parquet next to the checkpoint folder now and continue from it.
 
     Used where one costly intermediate feeds two branches (so it is computed
     once) or must not change between two reads.  It cuts lineage, so a lost
-    executor re-reads the written files instead of recomputing.  Columns get
-    fresh attribute ids so the result can be joined with tables that share its
-    lineage.
+    executor re-reads the written files instead of recomputing, and readers that
+    need few columns read few columns.
     """
-    from pyspark.sql import functions as F
-
-    checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
+    path = shared_path(df.sparkSession, f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
