@@ -4,15 +4,15 @@ The reference keeps a "seen" set while walking pages and stops at the first
 page that adds nothing.  Both are aggregates here: the first occurrence of a
 key is ``min(struct(order..., payload...))`` per key, a hash/sort aggregate
 with map-side partial combine, so a hot key (one URL repeated in a third of
-all rows) is reduced before the shuffle; the stop page is ``min(page_no)``
-over empty pages per search, joined back.  No window sorts a whole search.
+all rows) is reduced before the shuffle; the pages before the stop page are numbered on the distinct
+(search, page) pairs.  No window sorts the items of a search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.session import materialize as materialize_df
@@ -38,24 +38,26 @@ def result_offset(page) -> F.Column:
 
 
 def stop_at_empty(items: DataFrame, pages: DataFrame, search: Sequence[str], page: str = "page_no",
-                  counted: DataFrame | None = None, materialize: bool = True) -> DataFrame:
-    """Drop items on and after the first page (per search) with no counted items.
+                  counted: DataFrame | None = None, materialize: bool = True, from_one: bool = False) -> DataFrame:
+    """Per search, keep the items of the pages before the first one with no counted items.
+    With ``from_one`` pages are asked for as 1, 2, ..., and one that was not fetched stops too.
 
     ``pages`` lists every fetched page (search keys + page); ``counted`` is the
-    item rows that make a page non-empty (default: ``items``).  The items feed
-    two branches (non-empty pages, and the rows kept), so with ``materialize``
-    they are written to the checkpoint folder once instead of being parsed
-    out of their pages twice.
+    item rows that make a page non-empty (default: ``items``).  The pages kept are found
+    on the distinct (search, page) pairs alone, one row for each page, and the items
+    join them on search and page, so a search with most of the items is spread
+    over its pages.  The items feed both branches, so with ``materialize`` they are written once
+    instead of being parsed out of their pages twice.
     """
     if materialize:
         items = materialize_df(items)
     counted = items if counted is None else counted
-    nonempty = counted.select(*search, page).distinct().withColumn("_has", F.lit(True))
-    allp = pages.select(*search, page).distinct()
-    empty = (allp.join(nonempty, [*search, page], "left").where(F.col("_has").isNull())
-             .groupBy(*search).agg(F.min(page).alias("_stop")))
-    d = items.join(empty, list(search), "left")
-    return d.where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+    rank = lambda d, name: d.withColumn(name, F.row_number().over(Window.partitionBy(*search).orderBy(page)))
+    asked = pages.select(*search, page).distinct()
+    asked = asked.where(F.col(page) >= 1).withColumn("_n", F.col(page)) if from_one else rank(asked, "_n")
+    full = counted.select(*search, page).distinct().join(asked, [*search, page])
+    good = rank(full, "_p").where(F.col("_p") == F.col("_n")).drop("_p", "_n")
+    return items.join(good, [*search, page], "left_semi")
 
 
 def dedup_pages_then_stop(items: DataFrame, pages: DataFrame, search: Sequence[str],

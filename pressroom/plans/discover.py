@@ -9,16 +9,16 @@ unions the selected outlets' stubs (N1) and notes outlets with nothing captured.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as T
-from pressroom.operators.discovery import dedup_pages_then_stop, first_seen, page_window, stop_at_empty
+from pressroom.operators.discovery import first_seen, page_window, stop_at_empty
 from pressroom.operators.domlanes import result_items
 from pressroom.sources import feeds as S
 from pressroom.sources.outlets import OUTLET_ROWS
 
-STUB_COLS = ["outlet_key", "page_no", "stub_ord", "url", "title", "date"]
+STUB_COLS = ["outlet_key", "page_no", "feed", "stub_ord", "url", "title", "date"]
 DOMAIN = {k: d for k, _n, d, *_ in OUTLET_ROWS}
 # Section paths and base of the anchor-list outlet's result pages.
 MIGALHAS_SECTIONS = ("/quentes/", "/depeso/")
@@ -29,37 +29,34 @@ def _kind(feeds: DataFrame, key: str, kind: str) -> DataFrame:
     return feeds.where((F.col("outlet_key") == key) & (F.col("kind") == kind))
 
 
-def _feed_rank(feeds: DataFrame, key: str, kind: str, id_col: str = "feed_id") -> DataFrame:
-    """(feed id, 1-based rank by id) of one outlet's captured bodies of a kind: the
-    window runs over the list of bodies (one row each), never over their items."""
-    ids = _kind(feeds, key, kind).select(F.col("feed_id").alias(id_col)).distinct()
-    return ids.withColumn("_rank", F.dense_rank().over(Window.orderBy(id_col)))
-
-
-def _stubs(d: DataFrame, key: str, page: Column, ord_: Column, title=None, date=None) -> DataFrame:
-    return d.select(F.lit(key).alias("outlet_key"), page.cast("int").alias("page_no"),
+def _stubs(d: DataFrame, key: str, page: Column, feed: Column, ord_: Column, title=None, date=None) -> DataFrame:
+    """Stub rows; ``feed`` (the captured body's id) is an order key of its own, so no body needs a rank."""
+    return d.select(F.lit(key).alias("outlet_key"), page.cast("int").alias("page_no"), feed.cast("string").alias("feed"),
                     ord_.cast("long").alias("stub_ord"), "url",
                     (title if title is not None else F.lit("")).alias("title"),
                     (date if date is not None else F.lit("")).alias("date"))
 
 
-def search_google_news(feeds: DataFrame, key: str, max_pages: int = 1) -> DataFrame:
-    """conjur / migalhas-style feed search: first 25 x max_pages items, on the outlet's domain."""
+def search_google_news(feeds: DataFrame, key: str, max_pages: int = 1, redirects: DataFrame | None = None) -> DataFrame:
+    """conjur / migalhas-style feed search: first 25 x max_pages items, wrapped links resolved,
+    then those on the outlet's domain."""
     items = S.rss_items(_kind(feeds, key, "rss").select("feed_id", "xml"), max_items=25 * max_pages,
                         site=DOMAIN.get(key, ""))
+    if redirects is not None:
+        items = S.resolve_redirects(items, redirects)
     items = items.where(F.col("url").contains(DOMAIN.get(key, "")))
-    items = items.join(F.broadcast(_feed_rank(feeds, key, "rss")), "feed_id")
-    return _stubs(items, key, F.col("_rank"), F.col("item_pos"), F.col("title"), F.col("date"))
+    return _stubs(items, key, F.lit(1), F.col("feed_id"), F.col("item_pos"), F.col("title"), F.col("date"))
 
 
 def search_anchor_pages(feeds: DataFrame, key: str, max_pages: int = 1) -> DataFrame:
     """Result pages 1..max_pages: section links, absolute, first seen, stop at a page adding nothing."""
-    pages = page_window(_kind(feeds, key, "results").select("outlet_key", "page_no", "xml"), max_pages)
+    pages = page_window(_kind(feeds, key, "results").select("outlet_key", "page_no", "feed_id", "xml"), max_pages)
     links = S.section_links(pages.withColumnRenamed("xml", "html"), MIGALHAS_SECTIONS, MIGALHAS_BASE,
                             DOMAIN.get(key, ""))
-    out = dedup_pages_then_stop(links.select("outlet_key", "page_no", "a_pos", "url", "title"),
-                                pages.select("outlet_key", "page_no"), ["outlet_key"])
-    return _stubs(out, key, F.col("page_no"), F.col("a_pos"), F.col("title"))
+    firsts = first_seen(links.select("outlet_key", "page_no", "feed_id", "a_pos", "url", "title"), ["outlet_key", "url"],
+                        ["page_no", "feed_id", "a_pos"])
+    out = stop_at_empty(firsts, pages.select("outlet_key", "page_no"), ["outlet_key"], from_one=True)
+    return _stubs(out, key, F.col("page_no"), F.col("feed_id"), F.col("a_pos"), F.col("title"))
 
 
 def search_rss_topics(feeds: DataFrame, key: str, query: str) -> DataFrame:
@@ -70,37 +67,29 @@ def search_rss_topics(feeds: DataFrame, key: str, query: str) -> DataFrame:
     rss = rss.where(F.size(kws) > 0).select(F.lit(0).alias("src"), "feed_id", F.col("item_pos").alias("pos"), "url")
     top = S.topic_links(_kind(feeds, key, "topic").select("feed_id", F.col("xml").alias("html")), keywords=kws)
     top = top.where(F.size(kws) > 0).select(F.lit(1).alias("src"), "feed_id", F.col("link_pos").alias("pos"), "url")
-    u = rss.unionByName(top).withColumn("_k", F.lit(key))
-    firsts = first_seen(u, ["_k", "url"], ["src", "feed_id", "pos"])
-    ranks = _feed_rank(feeds, key, "rss").unionByName(
-        _feed_rank(feeds, key, "topic").withColumn("_rank", F.col("_rank") + 1_000_000))
-    firsts = firsts.join(F.broadcast(ranks), "feed_id")
-    return _stubs(firsts, key, F.col("src") + 1, F.col("_rank") * 1_000_000 + F.col("pos"))
+    firsts = first_seen(rss.unionByName(top).withColumn("_k", F.lit(key)), ["_k", "url"], ["src", "feed_id", "pos"])
+    return _stubs(firsts, key, F.col("src") + 1, F.col("feed_id"), F.col("pos"))
 
 
 def search_sitemaps(feeds: DataFrame, key: str, query: str, max_pages: int, year: int) -> DataFrame:
     """Daily sitemaps of the last ``max_pages`` years named by the index, URL slugs
-    with a query token (default keyword list when the query has none), first seen."""
-    from pressroom.sources.outlets import DEFAULT_URL_KEYWORDS
-
+    with a query token, first seen.  A query without a usable token finds nothing."""
     kws = T.query_tokens(F.lit(query))
-    kws = F.when(F.size(kws) > 0, kws).otherwise(F.array(*[F.lit(k) for k in DEFAULT_URL_KEYWORDS]))
     index = S.sitemap_index(_kind(feeds, key, "sitemap_index").select("feed_id", "xml"),
                             year_from=year - max(0, max_pages - 1), year_to=year)
-    daily = _kind(feeds, key, "sitemap").select(F.col("feed_id").alias("loc"), "xml")
+    daily = _kind(feeds, key, "sitemap").select(F.col("feed_id").alias("loc"), "xml").where(F.size(kws) > 0)
     daily = daily.join(index.select("loc").distinct(), "loc", "left_semi")
     urls = S.sitemap_urls(daily, keywords=kws).withColumn("_k", F.lit(key))
     firsts = first_seen(urls, ["_k", "url"], ["loc", "loc_pos"])
-    firsts = firsts.join(F.broadcast(_feed_rank(feeds, key, "sitemap", "loc")), "loc")
-    return _stubs(firsts, key, F.col("_rank"), F.col("loc_pos"))
+    return _stubs(firsts, key, F.lit(1), F.col("loc"), F.col("loc_pos"))
 
 
 def search_result_list(feeds: DataFrame, key: str, max_pages: int = 1) -> DataFrame:
     """Result-list pages 1..max_pages: items with link and title, stop at an empty page."""
-    pages = page_window(_kind(feeds, key, "results").select("outlet_key", "page_no", "xml"), max_pages)
+    pages = page_window(_kind(feeds, key, "results").select("outlet_key", "page_no", "feed_id", "xml"), max_pages)
     items = result_items(pages.withColumnRenamed("xml", "html"))
-    out = stop_at_empty(items, pages.select("outlet_key", "page_no"), ["outlet_key"])
-    return _stubs(out, key, F.col("page_no"), F.col("item_pos"), F.col("title"), F.col("date"))
+    out = stop_at_empty(items, pages.select("outlet_key", "page_no"), ["outlet_key"], from_one=True)
+    return _stubs(out, key, F.col("page_no"), F.col("feed_id"), F.col("item_pos"), F.col("title"), F.col("date"))
 
 
 def search_any_sitemap(feeds: DataFrame, key: str, query: str) -> DataFrame:
@@ -108,14 +97,14 @@ def search_any_sitemap(feeds: DataFrame, key: str, query: str) -> DataFrame:
     kws = T.query_tokens(F.lit(query))
     urls = S.sitemap_urls(_kind(feeds, key, "sitemap").select("feed_id", "xml"), pattern=S.SITEMAP_ANY_RX,
                           keywords=kws)
-    urls = urls.where(F.size(kws) > 0).join(F.broadcast(_feed_rank(feeds, key, "sitemap")), "feed_id")
-    return _stubs(urls, key, F.col("_rank"), F.col("loc_pos"))
+    return _stubs(urls.where(F.size(kws) > 0), key, F.lit(1), F.col("feed_id"), F.col("loc_pos"))
 
 
-def search(feeds: DataFrame, key: str, query: str, max_pages: int = 1, year: int = 2026) -> DataFrame:
+def search(feeds: DataFrame, key: str, query: str, max_pages: int = 1, year: int = 2026,
+           redirects: DataFrame | None = None) -> DataFrame:
     """The search of one registered outlet (U2: the outlet's key picks its search kind)."""
     if key in ("conjur",):
-        return search_google_news(feeds, key, max_pages)
+        return search_google_news(feeds, key, max_pages, redirects)
     if key == "migalhas":
         return search_anchor_pages(feeds, key, max_pages)
     if key == "estadao":
@@ -126,13 +115,13 @@ def search(feeds: DataFrame, key: str, query: str, max_pages: int = 1, year: int
         return search_result_list(feeds, key, max_pages)
     if key == "piaui":
         return search_any_sitemap(feeds, key, query)
-    return search_google_news(feeds, key, max_pages)
+    return search_google_news(feeds, key, max_pages, redirects)
 
 
 def search_all(feeds: DataFrame, query: str, keys: list[str], max_pages: int = 1,
-               year: int = 2026) -> tuple[DataFrame, DataFrame]:
+               year: int = 2026, redirects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Stubs of the selected outlets, and a note for outlets with nothing captured."""
-    parts = [search(feeds, k, query, max_pages, year) for k in keys]
+    parts = [search(feeds, k, query, max_pages, year, redirects) for k in keys]
     stubs = parts[0]
     for p in parts[1:]:
         stubs = stubs.unionByName(p)
