@@ -1,140 +1,89 @@
 """Incremental collection as a Structured Streaming job.
 
-Captured pages land as Parquet files in a folder.  The stream
-
-1. keeps, per URL, the first row in arrival order among the rows not seen in
-   any earlier micro-batch (W1 + J1).  The set of known URLs is streaming
-   *state* - one boolean per URL, kept in the state store and partitioned by
-   URL hash like any keyed state - so a micro-batch never reads the stored
-   articles to find out what is new;
-2. numbers the survivors on from the last row number (A10, W3) and writes
-   them into the store partition ``run = batch_id``; the last row number of
-   each batch goes to a one-row-per-batch ``_runs`` table, so the next batch
-   reads that small table instead of scanning the store.
-
-Replay safety: when a micro-batch runs again (a failure between the write
-and the commit of the stream checkpoint), the state store is rolled back to
-the previous version, so the same rows come out again; the writer takes its
-base from the ``_runs`` rows of *earlier* batches and overwrites only its own
-partitions (writer option ``partitionOverwriteMode=dynamic``; the session
-setting is not seen inside ``foreachBatch``), so it writes the same rows and
-numbers again.  Only the last batch can be replayed, which keeps its numbers
-at the end.
+Captured pages land as Parquet files in a folder.  Each micro-batch
+
+1. keeps, per URL, the first row in arrival order (W1, a partial aggregate) whose URL is not in
+   the store yet (J1, an anti join on the store's URL column alone).  The store is the only
+   memory, so a stream with a new checkpoint, or one that continues an imported
+   store, adds no URL twice;
+2. numbers the survivors on from the last row number (A10, W3) and writes them into the store
+   partition ``run`` = stream id and batch id; the last row number of each batch goes to a
+   one-row-per-batch ``_runs`` table.
+
+Replay safety: a micro-batch that runs again (a failure between the write and the commit of the
+checkpoint) leaves its own partition out of the known URLs and of the numbers, and overwrites
+that partition, so it writes the same rows and numbers again.  Only the last batch of a stream can
+be replayed.  Partitions of other streams have other names and are never overwritten.  Everything
+runs in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from pressroom.operators.discovery import first_seen
 from pressroom.operators.numbering import number_rows
+from pressroom.session import materialize
 
+RUNS = "last_row long, run string"
 
-KNOWN = "_known"
 
-
-def seed_known(store: DataFrame, landing: str, schema: StructType, last_row_num: int, store_path: str,
-               key: str = "url") -> None:
-    """Bootstrap the stream from an existing store (for example one imported
-    from the stories CSV): its URLs land once as rows flagged ``_known`` - the
-    state learns them, the writer stores nothing for them - and its last row
-    number becomes the starting point of the numbering.  Landing files then
-    need the nullable boolean column ``_known`` (absent = not known).
-    """
-    cols = [F.col(key) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in schema.fields if f.name != KNOWN]
-    (store.select(key).where(F.col(key) != "").distinct()
-     .select(*cols, F.lit(True).alias(KNOWN)).write.mode("append").parquet(landing))
-    spark = store.sparkSession
-    (spark.createDataFrame([(int(last_row_num), -1)], "last_row long, run long")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run").parquet(runs_path(store_path)))
+def seed_store(store: DataFrame, store_path: str, last_row_num: int, name: str = "import") -> None:
+    """Begin a stream's store from existing rows (for example those of the stories CSV): they form
+    the partition ``run`` = ``name``, and the numbering goes on from ``last_row_num``."""
+    (store.withColumn("run", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(store_path))
+    _note(store.sparkSession, store_path, last_row_num, name)
 
 
 def runs_path(store_path: str) -> str:
     return store_path.rstrip("/") + "_runs"
 
 
-def _last_row_num(spark: SparkSession, store_path: str, batch_id: int) -> int:
-    """Last row number written by the batches before ``batch_id`` (0 if none)."""
-    try:
-        runs = spark.read.parquet(runs_path(store_path))
-    except AnalysisException:  # no batch written yet
-        return 0
-    return runs.where(F.col("run") < batch_id).agg(F.coalesce(F.max("last_row"), F.lit(0))).first()[0]
+def _note(spark: SparkSession, store_path: str, last: int, run: str) -> None:
+    (spark.createDataFrame([(int(last), run)], RUNS).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(runs_path(store_path)))
 
 
-def make_batch_writer(store_path: str, order: Sequence[str] = ("page_id",)) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: number a batch of new rows and write its partitions."""
+def make_batch_writer(store_path: str, key: str = "url", order: Sequence[str] = ("page_id",),
+                      stream: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the new rows of a batch, numbered, as one partition of the store."""
     order = list(order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if KNOWN in batch.columns:
-            # seeded URLs only teach the state what is already stored
-            batch = batch.where(F.col(KNOWN).isNull() | ~F.col(KNOWN)).drop(KNOWN)
-        base = _last_row_num(spark, store_path, batch_id) + 1
-        numbered = number_rows(batch, order, base=base).withColumn("run", F.lit(batch_id).cast("long"))
+        name = stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        run = f"{name}-{batch_id:09d}"
+        # both tables exist (run_available writes a first row); a failed read is a failure
+        others = spark.read.schema(RUNS).parquet(runs_path(store_path)).where(F.col("run") != run)
+        base = others.agg(F.coalesce(F.max("last_row"), F.lit(0))).first()[0] + 1
+        known = spark.read.schema(f"{key} string, run string").parquet(store_path).where(F.col("run") != run).select(key).distinct()
+        firsts = first_seen(batch.where(F.col(key).isNotNull()), [key], order)
+        new = materialize(firsts.join(known, key, "left_anti"))
+        count = new.count()
+        numbered = number_rows(new, order, base=base).withColumn("run", F.lit(run))
         (numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("run").parquet(store_path))
-        # numbers are contiguous from base, so the last one is base + count - 1
-        last = base - 1 + numbered.count()
-        (spark.createDataFrame([(last, batch_id)], "last_row long, run long")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run").parquet(runs_path(store_path)))
+        _note(spark, store_path, base - 1 + count, run)    # numbers are contiguous from base
 
     return write
 
 
-def first_unseen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Streaming W1 + J1: per key, the first row (by ``order``) of the first
-    micro-batch the key appears in; later rows of the key are dropped."""
-    order = list(order)
-    schema = rows.schema
-
-    seeded = KNOWN in rows.columns
-
-    def pick(k, pdfs, state):
-        if state.exists:
-            return
-        best = None
-        known = False
-        for pdf in pdfs:
-            if seeded and pdf[KNOWN].fillna(False).astype(bool).any():
-                known = True
-            if len(pdf):
-                top = pdf.sort_values(order, kind="mergesort").head(1)
-                if best is None or tuple(top[order].iloc[0]) < tuple(best[order].iloc[0]):
-                    best = top
-        if known:
-            state.update((True,))          # already stored before the stream began
-        elif best is not None:
-            state.update((True,))
-            yield best
-
-    return rows.groupBy(key).applyInPandasWithState(
-        pick, outputStructType=schema, stateStructType="seen boolean", outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
-
-
 def run_available(spark: SparkSession, landing: str, schema: StructType, store_path: str,
                   checkpoint: str, key: str = "url", order: Sequence[str] = ("page_id",),
                   project: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Process every file that has landed and is not yet processed, then stop."""
-    # the row counter table always exists (a zero row under run -2), so batches never probe a missing path
-    (spark.createDataFrame([(0, -2)], "last_row long, run long")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run").parquet(runs_path(store_path)))
+    _note(spark, store_path, 0, "begin")
     src = spark.readStream.format("parquet").schema(schema).load(landing)
     rows = project(src) if project else src
-    q = (first_unseen(rows, key, order).writeStream
-         .foreachBatch(make_batch_writer(store_path, order))
+    empty = spark.createDataFrame([], rows.schema).withColumn("row_num", F.lit(None).cast("long"))
+    empty.write.mode("overwrite").parquet(store_path.rstrip("/") + "/run=begin")
+    q = (rows.writeStream
+         .foreachBatch(make_batch_writer(store_path, key, order))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
