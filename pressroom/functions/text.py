@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -210,15 +212,43 @@ HTML_TEXT_TIDY = [
 ]
 
 
+#: Named references of HTML that end in a semicolon, as one literal: names and what they stand for.
+_NAMES = sorted(n[:-1] for n in html5 if n.endswith(";"))
+
+
+def decode_entities(text) -> Column:
+    """Character references decoded once: named ones (with their semicolon), decimal and
+    hexadecimal ones; a no-break space becomes a space; anything else stays as it is."""
+    t = _c(text)
+    words = F.lit("\x01".join(_NAMES))
+    stand = F.lit("\x01".join(html5[n + ";"] for n in _NAMES))
+    table = F.map_from_arrays(F.split(words, "\x01"), F.split(stand, "\x01"))
+
+    def part(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.substring(name, 2, 10)
+        number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 10), 16, 10)).otherwise(digits).cast("long")
+        low = number - 0x10000
+        units = F.when(number < 0x10000, F.lpad(F.hex(number), 4, "0")).otherwise(F.concat(
+            F.hex(F.shiftright(low, 10) + 0xD800), F.hex(low.bitwiseAND(0x3FF) + 0xDC00)))
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(name.startswith("#"), F.when(valid, F.decode(F.unhex(units), "UTF-16BE"))).when(
+            name != "", F.try_element_at(table, name))
+        return F.coalesce(F.concat(F.replace(char, F.lit("\u00a0"), F.lit(" ")), F.substr(x, F.length(name) + 2)), F.concat(F.lit("&"), x))
+
+    pieces = F.split(t, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), part)
+    return F.when(F.contains(t, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(t)
+
+
 def html_to_text(html) -> Column:
     """Readable text of an HTML page: no head/script/style/comments, blocks on
-    their own lines, bold as ``**``, italics as ``_``, tags removed, the basic
-    entities decoded, runs of blank lines collapsed, stripped."""
+    their own lines, bold as ``**``, italics as ``_``, tags removed, character
+    references decoded, runs of blank lines collapsed, stripped."""
     t = _c(html)
     for pat, rep in HTML_TEXT_STEPS:
         t = F.regexp_replace(t, pat, rep)
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
+    t = decode_entities(t)
     for pat, rep in HTML_TEXT_TIDY:
         t = F.regexp_replace(t, pat, rep)
     return py_strip(t)
