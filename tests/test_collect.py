@@ -132,3 +132,17 @@ def test_collect_independent_of_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] and results[0]
+
+
+def test_two_captures_of_one_url_and_an_outlet_named_twice(spark):
+    from pressroom.plans.collect import collect
+    from pressroom.sources.outlets import outlets_df, select_outlets
+
+    url = "https://www.conjur.com.br/p/1"
+    page = "<p>" + "x" * 400 + "</p>"
+    stubs = spark.createDataFrame([("conjur", 1, 1, url, "t", "")], "outlet_key string, page_no int, stub_ord long, url string, title string, date string")
+    pages = spark.createDataFrame([(2, url, page + "later"), (1, url, page), (1, url, page)], "page_id long, url string, html string")
+    store = spark.createDataFrame([], "row_num long, url string")
+    res = collect(stubs, pages, select_outlets(outlets_df(spark), "conjur,conjur"), store, with_dom=False)
+    assert [(r.row_num, r.url) for r in res.articles.collect()] == [(1, url)]
+    assert [(r.sel_ord, r.hits, r.new, r.added) for r in res.outlet_results.orderBy("sel_ord").collect()] == [(1, 1, 1, 1), (2, 1, 0, 0)]

@@ -40,6 +40,15 @@ def test_search_all(spark):
         ("piaui", "https://piaui.folha.uol.com.br/venda-x "),
     ]
     assert [(r.outlet_key, r.note) for r in notes.collect()] == [("folha", "search failed: nothing captured")]
+    # a page that was not captured stops a search, as an empty one does
+    gap = feeds.where("feed_id <> 'm2'")
+    assert sorted(r.url for r in search_all(gap, "venda de sentença", ["migalhas"], max_pages=3)[0].collect()) == \
+        ["https://www.migalhas.com.br/depeso/3", "https://www.migalhas.com.br/quentes/1"]
+    # no usable token: no sitemap is searched; wrapped feed links are resolved before the domain filter
+    assert search_all(feeds, "a b", ["globo"], max_pages=2)[0].count() == 0
+    red = spark.createDataFrame([("https://news.google.com/rss/articles/7", "https://www.conjur.com.br/w")], "from_url string, to_url string")
+    wrapped = spark.createDataFrame([("g", "conjur", "rss", 1, "<item><title>t</title><link>https://news.google.com/rss/articles/7</link></item>")], feeds.schema)
+    assert [r.url for r in search_all(wrapped, "x", ["conjur"], redirects=red)[0].collect()] == ["https://www.conjur.com.br/w"]
     # the stubs feed collect directly
     pages = spark.createDataFrame([("https://www.conjur.com.br/a", "<p>" + "x" * 400 + "</p>")], "url string, html string")
     store = spark.createDataFrame([], "row_num long, url string")

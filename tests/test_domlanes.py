@@ -106,3 +106,24 @@ def test_result_items(spark):
         (1, "https://www1.folha.uol.com.br/b.shtml", "First", "2024-04"),
         (3, "https://www1.folha.uol.com.br/c.shtml", "Third", ""),
     ]
+
+
+def test_text_and_orders_of_odd_markup():
+    b = parse_blocks("<p>a < b and c</p><p>x<!-- c -->y</p>")
+    assert [x["text"] for x in b] == ["a < b and c", "xy"]
+    from pressroom.operators.htmlblocks import parse_page
+
+    _, els, failed = parse_page("<p>" * 3000)                 # never closed: one subtree in the other
+    assert not failed and len(els) == 3000 and all(e[3] == 3000 for e in els)
+    assert all(len(e) == 11 for e in els)                     # no element holds its ancestors
+
+
+def test_decode_entities(spark):
+    from pyspark.sql import functions as F
+
+    from pressroom.functions.text import decode_entities
+
+    rows = [("opera&ccedil;&atilde;o &#8217;x&eacute; &#x1F600; &amp;lt; &nope; & &#0; AT&T; &nbsp;|", "operação ’xé \U0001F600 &lt; &nope; & &#0; AT&T;  |"),
+            ("plain", "plain"), (None, None), ("&", "&"), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("c", decode_entities(F.col("a")))
+    assert [(r.c, r.b) for r in df.collect() if r.c != r.b] == []
