@@ -21,11 +21,6 @@ from pressroom.session import materialize
 _LOW = (1 << 33) - 1
 
 
-def next_row_num(articles: DataFrame) -> Column:
-    """A10 as an aggregate expression: rows present + 1, 1 for an empty store."""
-    return F.coalesce(F.max("row_num"), F.lit(0)) + 1
-
-
 def number_rows(df: DataFrame, order_cols: list, base=1, col: str = "row_num",
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``col`` = base, base+1, ... following ``order_cols`` (must be a total order).

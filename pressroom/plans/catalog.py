@@ -52,6 +52,38 @@ def q_collect_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.articles.join(res.texts, "row_num", "left")
 
 
+def _saved(spark, sf_dir):
+    """A run saved, a second one that meets its articles in the store, and the first saved again."""
+    from pressroom.plans.collect import collect, save
+
+    pages = load(spark, sf_dir, "pages")
+    sel = select_outlets(outlets_df(spark), "conjur,migalhas,estadao")
+    base = _scratch(spark, "runs")
+    first = collect(collect_stubs(pages), pages, sel, collect_store(pages), with_dom=False)
+    save(first, base, "run")
+    stored = spark.read.parquet(f"{base}/articles").select("row_num", "url")
+    second = collect(collect_stubs(pages), pages, sel, collect_store(pages).unionByName(stored), run_id="run2", with_dom=False)
+    save(second, base, "run2")
+    save(first, base, "run")
+    return base
+
+
+def q_collect_store(spark, sf_dir):
+    """Articles and texts of two runs and a replay, read back from their tables."""
+    base = _saved(spark, sf_dir)
+    texts = spark.read.parquet(f"{base}/texts").drop("run_id")
+    return spark.read.parquet(f"{base}/articles").drop("run_id").join(texts, "row_num", "left")
+
+
+def q_audit_store(spark, sf_dir):
+    """The audit records of the first run, read back after a second run and a replay."""
+    from pressroom.operators.audit import totals
+
+    res = spark.read.parquet(f"{_saved(spark, sf_dir)}/outlet_results").where("run_id = 'run'")
+    return totals(res).select("run_id", F.coalesce("outlet", F.lit("__total__")).alias("outlet"),
+                              *[F.col(k).cast("long").alias(k) for k in ("hits", "new", "added")])
+
+
 def q_para_extract(spark, sf_dir):
     """Paragraph lane over every page."""
     pages = load(spark, sf_dir, "pages")

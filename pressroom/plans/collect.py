@@ -149,3 +149,31 @@ def dry_run(stubs: DataFrame, store: DataFrame) -> DataFrame:
     return new.select("outlet_key", "url",
                       F.when(F.col("date") != "", F.col("date")).otherwise(F.lit("?")).alias("date"),
                       F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("title"))
+
+
+def save(res: CollectResult, base: str, run_id: str, query: str = "", project_context: str = "", ts=None) -> None:
+    """Append what a run found and its audit records to the tables under ``base``."""
+    from pressroom.operators.store import append_run
+
+    spark = res.outlet_results.sparkSession
+    for name, df in (("articles", res.articles), ("texts", res.texts), ("outlet_results", res.outlet_results)):
+        append_run(df, f"{base}/{name}", run_id)
+    when = F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")
+    runs = spark.range(1).select(when.alias("ts"), F.lit(query).alias("query"), F.lit(project_context).alias("project_context"))
+    append_run(runs, f"{base}/runs", run_id)
+
+
+def save_dry_run(candidates: DataFrame, selected: DataFrame, base: str, run_id: str, query: str = "", max_pages: int = 1,
+                 project_context: str = "", ts=None) -> None:
+    """The audit records of a dry run: candidates counted per outlet, nothing added."""
+    n = candidates.groupBy("outlet_key").agg(F.count("*").alias("hits"))
+    res = selected.select(F.col("key").alias("outlet_key"), "sel_ord", F.col("name").alias("outlet")).join(n, "outlet_key", "left")
+    hits = F.coalesce("hits", F.lit(0)).cast("long")
+    res = res.select("outlet", "sel_ord", F.lit(max_pages).cast("long").alias("pages"), hits.alias("hits"), hits.alias("new"),
+                     F.lit(0).cast("long").alias("added"), F.lit("dry run").alias("note"))
+    from pressroom.operators.store import append_run
+
+    append_run(res, f"{base}/outlet_results", run_id)
+    when = F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")
+    append_run(candidates.sparkSession.range(1).select(when.alias("ts"), F.lit(query).alias("query"), F.lit(project_context).alias("project_context")),
+               f"{base}/runs", run_id)
