@@ -69,7 +69,7 @@ class Words:
 def _stretches(docs: DataFrame, size: int) -> DataFrame:
     """(name, digest, id, k, lo, hi): windows lo..hi of a document share the anchor ``name``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             w = Words(b.column(2))
             n, total = len(keys), len(w.row)
@@ -136,23 +136,28 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
               "done array<struct<a:int,b:int>>, windows array<struct<lo:int,digest:binary>>")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             w = Words(b.column(2))
             at = b.column(4).to_pylist()
             kept = np.ones(len(w.row), bool)
-            cols: dict[str, list] = {x: [] for x in ("text", "done", "windows")}
+            cols: dict[str, list] = {x: [] for x in ("text", "done")}
+            los, digests, bounds = [], [], [0]          # of the open windows, flat
             for r, sp in enumerate(at):
                 a, z = int(w.first[r]), int(w.first[r + 1])
                 done = [(s["lo"], s["hi"] + size) for s in sp or () if not s["open"]]
                 kept[a:z] = _cover(z - a, done)
                 opened = sorted({i for s in sp or () if s["open"] for i in range(s["lo"], s["hi"] + 1)})
-                cols["windows"].append([{"lo": i, "digest": w.digest(a + i, a + i + size)} for i in opened])
+                los += opened
+                digests += [w.digest(a + i, a + i + size) for i in opened]
+                bounds.append(len(los))
                 cols["text"].append(b.column(2)[r].as_py() if opened else None)
                 cols["done"].append([{"a": x, "b": y} for x, y in done] if opened else [])
-            yield _result(b, w, kept, texts, [not x for x in cols["windows"]], cols, schema_pa)
+            flat = pa.StructArray.from_arrays([pa.array(los, pa.int32()), pa.array(digests, pa.binary())], names=["lo", "digest"])
+            more = {"text": pa.array(cols["text"], pa.string()),
+                    "done": pa.array(cols["done"], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                    "windows": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)}
+            yield _result(b, w, kept, texts, [x == y for x, y in zip(bounds[:-1], bounds[1:])], more)
 
-    schema_pa = [pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])),
-                 pa.list_(pa.struct([("lo", pa.int32()), ("digest", pa.binary())]))]
     most = with_some(rows, spans).select("_k", "id", "text", "carried", "spans")
     most = stored(most.mapInArrow(settle, schema), "settled")
     discard(found)
@@ -163,7 +168,7 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
     hits = ends.join(early, "digest").where("first < id").groupBy("_k").agg(F.collect_set("lo").alias("hits"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             w = Words(b.column(2))
             kept = np.ones(len(w.row), bool)
             for r, (done, hit) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
@@ -182,7 +187,7 @@ def _text(b: pa.RecordBatch, row: int, kept: bytes, whole: bool) -> str | None:
     return b.column(2)[row].as_py() if whole else kept.decode()
 
 
-def _result(b: pa.RecordBatch, w: Words, kept: np.ndarray, texts: bool, ready: list[bool], more: dict | None = None, types: list | None = None) -> pa.RecordBatch:
+def _result(b: pa.RecordBatch, w: Words, kept: np.ndarray, texts: bool, ready: list[bool], more: dict | None = None) -> pa.RecordBatch:
     left = np.add.reduceat(np.append(kept, False).astype(np.int64), np.minimum(w.first[:-1], len(kept))) if b.num_rows else np.zeros(0, np.int64)
     left[w.n == 0] = 0
     out = [w.text(kept, r) if ok else None for r, ok in enumerate(ready)]
@@ -191,8 +196,8 @@ def _result(b: pa.RecordBatch, w: Words, kept: np.ndarray, texts: bool, ready: l
             pa.array([_text(b, r, t, left[r] == w.n[r]) if texts and t is not None else None for r, t in enumerate(out)], pa.string()),
             b.column(3)]
     names = ["_k", "id", "n_words", "n_removed", "kept_sha256", "kept", "carried"]
-    for (k, v), t in zip((more or {}).items(), types or []):
-        cols.append(pa.array(v, t))
+    for k, v in (more or {}).items():
+        cols.append(v)
         names.append(k)
     return pa.RecordBatch.from_arrays(cols, names=names)
 
