@@ -81,7 +81,7 @@ def _rarity(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH, np.int32)
         held, size = [], 0
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             _, g = _shingles(b, "text", k)
             held.append((g >> U64(64 - SKETCH)).astype(np.int32))
             size += len(g)
@@ -125,7 +125,7 @@ def _listed(docs: DataFrame, k: int, freq: np.ndarray, share: tuple[int, int]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _unpacked(sent)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             rows, g, bounds = _sets(b, "text", k, table)
             n = np.diff(bounds)
             maps = np.zeros((b.num_rows, MAP_BITS), bool)
@@ -211,7 +211,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
     asked = stored(close.select(F.col("a").alias("k")).union(close.select("b")).distinct(), "asked")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in slices(batches, "text", 2 << 20):
+        for c in slices(batches, "text", 1 << 20):
             _, g, bounds = _sets(c, "text", k, None)
             data = memoryview(np.ascontiguousarray(g)).cast("B")
             yield pa.RecordBatch.from_arrays(
