@@ -131,22 +131,22 @@ def rfc822_day(c) -> Column:
     are required; two-digit years follow the 69/68 pivot.  An impossible
     calendar day or time gives ''.
     """
-    s = _c(c)
-    d = F.regexp_extract(s, RFC822, 1)
-    mon = F.lower(F.regexp_extract(s, RFC822, 2))
-    y = F.regexp_extract(s, RFC822, 3)
-    hh = F.regexp_extract(s, RFC822, 4)
-    mi = F.regexp_extract(s, RFC822, 5)
-    ss = F.regexp_extract(s, RFC822, 6)
-    m = F.element_at(_month_map(), mon)
-    yi = y.try_cast("int")
-    year = (F.when(F.length(y) == 2, F.when(yi > 68, yi + 1900).otherwise(yi + 2000)).otherwise(yi))
-    txt = F.format_string("%04d-%02d-%02d", year, m, d.try_cast("int"))
-    ok_time = ((hh.try_cast("int") <= 23) & (mi.try_cast("int") <= 59)
-               & ((ss == "") | (ss.try_cast("int") <= 59)))
-    day = F.try_to_date(txt, "yyyy-MM-dd")
-    return F.when((d != "") & m.isNotNull() & ok_time & day.isNotNull(),
-                  F.date_format(day, "yyyy-MM-dd")).otherwise(F.lit(""))
+    # the pattern runs once: its six parts are written side by side, marked, and split again
+    parts = F.split(F.regexp_replace(_c(c), r"(?s)" + RFC822 + r".*\z", "\x02$1|$2|$3|$4|$5|$6"), r"\|")
+
+    def day_of(p: Column) -> Column:
+        d, mon, y, hh, mi, ss = (F.get(p, i) for i in range(6))
+        m = F.element_at(_month_map(), F.lower(mon))
+        yi = y.try_cast("int")
+        year = (F.when(F.length(y) == 2, F.when(yi > 68, yi + 1900).otherwise(yi + 2000)).otherwise(yi))
+        txt = F.format_string("%04d-%02d-%02d", year, m, F.substring(d, 2, 2).try_cast("int"))
+        ok_time = ((hh.try_cast("int") <= 23) & (mi.try_cast("int") <= 59)
+                   & ((ss == "") | (ss.try_cast("int") <= 59)))
+        day = F.try_to_date(txt, "yyyy-MM-dd")
+        return F.when(d.startswith("\x02") & m.isNotNull() & ok_time & day.isNotNull(),
+                      F.date_format(day, "yyyy-MM-dd")).otherwise(F.lit(""))
+
+    return F.element_at(F.transform(F.array(parts), day_of), 1)
 
 
 # Portuguese month abbreviations in dotted dates (12.mar.2024).
