@@ -79,22 +79,25 @@ def _sets(batch: pa.RecordBatch, text: str, k: int, freq: np.ndarray | None) ->
 def _rarity(docs: DataFrame, k: int) -> np.ndarray:
     """Counters of frequent shingles (log2 of the count, 0 for others), of a fixed number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH, np.int32)
+        total = np.zeros(1 << SKETCH, np.uint8)        # counts up to 255 in one task; more makes no difference
         held, size = [], 0
+
+        def add():
+            i, c = np.unique(np.concatenate(held), return_counts=True)
+            total[i] = np.minimum(total[i] + np.minimum(c, 255), 255).astype(np.uint8)
+
         for b in slices(batches, "text", 1 << 20):
             _, g = _shingles(b, "text", k)
             held.append((g >> U64(64 - SKETCH)).astype(np.int32))
             size += len(g)
             if size > 1 << 20:
-                i, c = np.unique(np.concatenate(held), return_counts=True)
-                total[i] += c.astype(np.int32)
+                add()
                 held, size = [], 0
         if held:
-            i, c = np.unique(np.concatenate(held), return_counts=True)
-            total[i] += c.astype(np.int32)
+            add()
         at = np.flatnonzero(total >= LOCAL)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int32))], names=["i", "c"])
 
     told = docs.select("text").mapInArrow(run, "i int, c int").groupBy("i").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT)
     got = told.select("i", F.floor(F.log2("c")).cast("int").alias("f")).toArrow()     # at most 2 ** SKETCH rows
