@@ -20,7 +20,20 @@ _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _ODD = U64(0x9E3779B97F4A7C15)
 
 
+ARROW_ROWS = 500        # rows of texts in one Arrow batch
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: a batch of Spark's default 10,000 rows of them is tens of MB, held several
+    times by the JVM and by Python.  Lower the session's setting if it is above ``ARROW_ROWS``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     follows reads the files, so a lost executor costs no recomputation, later scans
     prune columns, and lineage ends here."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, f"llm-{uuid.uuid4().hex}/{name}")
     df.write.parquet(path)
     # Spark frees the shuffle files of finished steps when the driver's collector finds their
