@@ -37,7 +37,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back: what
     follows reads the files, so a lost executor costs no recomputation, later scans
     prune columns, and lineage ends here."""
@@ -45,10 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = shared_path(spark, f"llm-{uuid.uuid4().hex}/{name}")
     df.write.parquet(path)
-    # Spark frees the shuffle files of finished steps when the driver's collector finds their
-    # plans gone; nothing needs them any more, so it is asked to look now
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        # Spark frees the shuffle files of finished steps when the driver's collector finds their
+        # plans gone; nothing needs them any more, so it is asked to look now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -183,20 +184,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     round is written to the shared folder.
     """
     e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    e = stored(e, "edges")
+    e = stored(e, "edges", free=False)
+    sig = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    seen = sig(e)
     for i in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
-        large = stored(large, f"large{i}")
+        large = stored(large, f"large{i}", free=False)
         down = large.where("u > v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         new = (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                .where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
-        new = stored(new, f"small{i}")
-        sig = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        done = sig(new) == sig(e)
+        new = stored(new, f"small{i}", free=False)
+        now = sig(new)
+        done, seen = now == seen, now
         discard(large, e)
         e = new
         if done:
