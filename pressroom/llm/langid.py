@@ -5,8 +5,9 @@ its maximum over the window (after a rectifier), and a softmax layer gives langu
 A text is cut into windows over its whole length; its probabilities are the mean over them,
 weighted by their letters (bytes of letters and of non-ASCII characters).
 
-Training uses a bounded sample: at most ``per_language`` labelled rows of each language, the first in
-the order of a hash of text, and of each row a piece of ``PIECE`` characters at a hashed place.
+Training uses a bounded sample: at most ``per_language`` different labelled texts of each language, the
+first in the order of a hash of text (copies of a text take one place), and of each text a piece of
+``PIECE`` characters at a hashed place.
 The order of the sample fixes the random draws, so a run can be repeated.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; a null language is
@@ -115,11 +116,13 @@ def windows(data: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
-    """Train on at most ``per_language`` rows of each language (PIECE characters of each)."""
+    """Train on at most ``per_language`` different texts of each language (PIECE characters of each)."""
     rows = labelled.where(f"{lang_col} is not null and {text_col} is not null").select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.lit(3)).alias("h"),
         F.expr(f"substring({text_col}, cast(1 + pmod(xxhash64({text_col}), greatest(length({text_col}) - {PIECE}, 0) + 1) as int), {PIECE})").alias("piece"))
-    few = first_by_hash(rows, "lang", "h", F.lit(per_language))
+    # places go to texts, not rows; the pieces are picked for the texts that have one
+    few = first_by_hash(rows.select("lang", "h").distinct(), "lang", "h", F.lit(per_language))
+    few = rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     got = sorted((r.lang, r.h, r.piece) for r in few.collect())
     classes = sorted({g[0] for g in got})
     if not classes:

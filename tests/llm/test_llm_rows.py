@@ -170,6 +170,23 @@ def test_language_edges(spark):
     assert langid.predict(df.limit(0), net).count() == 0
 
 
+def test_language_learns_from_all_texts_beside_copies(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pressroom.llm import langid
+
+    texts = [f"{a}{b} " * 20 for a in "abcdefgh" for b in "mnopq"]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text", F.lit(3)).alias("h"))
+    first = hashed.orderBy("h").first().text              # its copies stand before all other texts
+    rows = [(t, "en") for t in texts] + [(first, "en")] * 999 + [("der die das und nicht " * 9, "de")]
+    seen = []
+    monkeypatch.setattr(langid.ByteCNN, "train", lambda self, x, y, weight: seen.append((x, y)))
+    net = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    (x, y), = seen
+    x = x[y == net.classes.index("en")]
+    assert len({row[:3].tobytes() for row in x}) == len(x) == len(texts)      # a window of each text, none twice
+
+
 def test_byte_cnn_gradients():
     from pressroom.llm.langid import WINDOW, ByteCNN
 
