@@ -35,8 +35,9 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship(spark)
     groups = jaccard.similar(docs).where("n_shingles > 0 and component_id is not null")
     first = F.min(F.struct(F.coalesce("id", F.lit(2 ** 63 - 1)).alias("id"), "_k"))
-    keep = groups.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first._k").alias("keep"))
-    gone = stored(groups.join(keep, "component_id").where("_k <> keep").select(F.col("_k").alias("k")).distinct(), "gone")
+    # by the component, not by its smallest id, which another component may share
+    keep = groups.groupBy("component").agg(first.alias("first")).select("component", F.col("first._k").alias("keep"))
+    gone = stored(groups.join(keep, "component").where("_k <> keep").select(F.col("_k").alias("k")).distinct(), "gone")
     rest = without(docs.select(doc_key().alias("_k"), *COLUMNS), gone)
     # rows repeated whole share a key: one of them stays (rows without words stay all)
     again = groups.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_k").alias("k"))

@@ -242,8 +242,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
 
 def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds: int = 2, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """One row for each document: _k (doc_key), id, n_shingles and component_id, the smallest id
-    reachable by links of Jaccard similarity >= share[0] / share[1]."""
+    """One row for each document: _k (doc_key), id, n_shingles, component_id, the smallest id
+    reachable by links of Jaccard similarity >= share[0] / share[1], and component, a doc_key that names
+    the component itself (two components may have the same smallest id)."""
     num, den = share
     named = docs.select(doc_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stored(_listed(named, k, _rarity(named, k), share), "sets")
@@ -289,7 +290,7 @@ def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds
     least = every.where("n > 0").groupBy("component").agg(F.min("id").alias("smallest"))
     out = join_keys(every, least, ["component"])
     return out.select(F.col("k").alias("_k"), "id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"), "component")
 
 
 def q_op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_odd_rows(spark):
     none = df.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, none, SF).count() == 0, name
+
+
+def test_one_id_on_two_unlike_texts(spark):
+    import corpus_pipeline as P
+
+    first, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, first), (2, first + " more"), (1, other), (3, other + " more"), (4, "a text like no other in the table")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in P.stage_ngram_join(spark, df, SF).collect())
+    assert got == sorted([(1, first), (1, other), (4, rows[4][1])])
