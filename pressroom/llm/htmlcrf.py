@@ -4,7 +4,8 @@ A page is cut into leaf blocks: runs of text and inline markup between block-lev
 described by its ancestors' tags and class words and by its text (length, share of linked text,
 punctuation, place in the page).  The chain labels every block as article or not: emissions from
 these features, transitions between neighbours, trained by gradient steps on labelled pages
-(forward-backward) and decoded by Viterbi.  Scripts, styles, templates and the head hold no blocks.
+(forward-backward) and decoded by Viterbi.  Scripts, styles, templates and the head hold no blocks;
+a head without an end tag ends at the first text or tag that cannot stand in it.
 
 The labelled pages are made from the layouts below: each layout places article parts and page
 furniture under varying tags and class names, and part of them without any telling name, so that the
@@ -35,6 +36,9 @@ _PART = re.compile(r"[a-z]+")
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "template", "noscript", "svg", "title", "textarea", "iframe", "object")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
                     "strong sub sup time tt u var wbr".split())
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_BARE_END = re.compile(r"""=\s*[^\s"'][^\s]*$""")       # an unquoted value takes a slash after it
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # an opening tag ends an open one of these, within the nearest holder
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -67,11 +71,22 @@ def blocks(page: str) -> list[Block]:
             parts = []
         linked = 0
 
+    def leave_head():
+        nonlocal head
+        flush()
+        head = False
+        for i, x in enumerate(stack):
+            if x[0] == "head":
+                del stack[i:]
+                break
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
         end = m.start() if m else n
         if end > at:
+            if head and not page[at:end].isspace():
+                leave_head()
             parts.append(page[at:end])
             if link:
                 linked += end - at
@@ -103,10 +118,14 @@ def blocks(page: str) -> list[Block]:
             elif tag in ("p", "br"):
                 flush()
             continue
+        if head and tag not in _IN_HEAD:
+            leave_head()
         if tag in _RAW:
-            if tag != "noscript":
+            if tag == "svg" and m[3].endswith("/") and not _BARE_END.search(_QUOTED.sub('""', m[3])):
+                continue
+            if tag != "noscript" or head:
                 close = _RAW[tag].search(page, at)
-                at = close.end() if close else n
+                at = close.end() if close else at if tag == "noscript" else n
             continue
         if tag in _INLINE:
             if tag == "a":
@@ -117,8 +136,6 @@ def blocks(page: str) -> list[Block]:
         flush()
         if tag == "head":
             head = True
-        elif tag == "body":
-            head = False
         ends = _ENDS.get(tag, ())
         if ends or tag in _ENDS_P:
             for i in range(len(stack) - 1, -1, -1):

@@ -264,6 +264,22 @@ def test_main_text_of_pages(spark):
     assert K.extract(df.limit(0), chain).count() == 0
 
 
+def test_main_text_after_self_closing_svg_and_open_head():
+    from pressroom.llm import htmlcrf as K
+
+    chain = K.train()
+    article = "<article><h1>A title here</h1><p>First of all, this is a long sentence with some words in it.</p><p>Another paragraph of some length.</p></article>"
+    text = "A title here First of all, this is a long sentence with some words in it. Another paragraph of some length."
+    head = "<head><meta charset='utf-8'><title>t</title><script>x</script><noscript>Switch on scripts</noscript>"
+    for svg in ("<svg/>", "<svg class='i' />", '<svg d="a=b/"/>', "<svg d=a/><path/></svg>", "<svg><text>no</text></svg>"):
+        assert K.main_text(f"<html>{head}</head><body>{svg}{article}</body></html>", chain) == text, svg
+    for page in (f"<html>{head}{article}</html>", f"{head}\n{article}", f"{head}<body>{article}"):
+        assert K.main_text(page, chain) == text, page
+        assert all(x[0] != "head" for b in K.blocks(page) for x in b.path)
+    assert [b.text for b in K.blocks(f"{head}<b>Bold</b> text<p>More")] == ["Bold text", "More"]
+    assert [b.text for b in K.blocks(f"{head} bare text<p>More")] == ["bare text", "More"]
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
