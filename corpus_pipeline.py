@@ -64,7 +64,7 @@ def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, special_tokens=True)
 
 
 STAGES = [

@@ -123,9 +123,10 @@ class Stream:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = True,
          grid: int = 64, sentence_penalty: float = 4.0, cut_penalty: float = 64.0,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", special_tokens: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
-    if asked for, the ids themselves."""
+    if asked for, the ids themselves.  The file's special tokens are ordinary text where a text holds
+    their strings, or with ``special_tokens`` the ids that the file gives them."""
     grid = min(grid, window)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, "
@@ -137,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
         from pressroom.llm.tokens import encoder
 
         part = TaskContext.get().partitionId()
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_tokens)
         ends = enc.sentence_ends()
         if end_id >= len(ends):
             ends = np.append(ends, np.zeros(end_id + 1 - len(ends), bool))
@@ -189,4 +190,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
 def q_op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False,
+                special_tokens=True)

@@ -2,7 +2,8 @@
 
 A single space between two characters that are not white space always begins a new pre-token of
 this kind of tokenizer, so a text is the concatenation of its space-led chunks and each chunk can
-be looked up.  Texts with other white space next to a space go to the tokenizer whole.
+be looked up.  Texts with other white space next to a space go to the tokenizer whole, and so do texts
+that hold one of its added tokens, if these are asked for.
 """
 
 from __future__ import annotations
@@ -29,28 +30,31 @@ def plain(text: str) -> bool:
     return not _NOT_ALONE.search(text)
 
 
-_KEPT: dict[str, Encoder] = {}
+_KEPT: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_tokens: bool = False) -> Encoder:
     """The encoder of this Python worker: later tasks find its file read and its cache filled."""
-    if path not in _KEPT:
+    key = path, special_tokens
+    if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+        _KEPT[key] = Encoder(path, special_tokens)
+    return _KEPT[key]
 
 
 class Encoder:
     """The ids of known chunks lie one after the other in ``flat``, those of chunk i from ``begin[i]``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_tokens: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = True      # their strings in a text are ordinary text, if not asked for
+        self.marked = Tokenizer.from_file(path) if special_tokens else None
+        self.marks = [t.content for t in self.marked.get_added_tokens_decoder().values()] if special_tokens else []
         self.size = self.tok.get_vocab_size()
         self.led_by_space = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
         self.ends: np.ndarray | None = None
@@ -91,7 +95,9 @@ class Encoder:
         out: list = [None] * len(texts)
         whole, split = [], []
         for i, t in enumerate(texts):
-            if plain(t):
+            if any(m in t for m in self.marks):
+                out[i] = np.array(self.marked.encode(t, add_special_tokens=False).ids, np.uint32)
+            elif plain(t):
                 split.append((i, t.split(" ")))
             else:
                 whole.append(i)

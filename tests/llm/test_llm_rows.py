@@ -68,6 +68,37 @@ def test_pack_round_trip(spark):
     assert pack(df.limit(0), path).count() == 0
 
 
+def test_pack_special_tokens_as_the_file_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pressroom.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one<|endoftext|>two  three", "plain text of some words", "<|endoftext|", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file(path)
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    got = {r.doc_id: r["ids"] for r in packing.pack(df, path, special_tokens=True).collect()}
+    assert got == want and 50256 in got[0]
+
+
+def test_op9_query_special_tokens(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pressroom.llm import packing
+
+    texts = ["a <|endoftext|> b", "plain text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: zlib.crc32(np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in packing.q_op9_pack(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.ids_crc32 for r in corpus_pipeline.stage_pack(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_best_cuts_is_optimal():
     from pressroom.llm.packing import best_cuts
 
