@@ -10,8 +10,8 @@ Every string of ``size`` bytes that stands in two places, in one document or two
 3. Stretches that share a name but differ go to shards by name, a bounded number of bytes to each.  A
    shard is one text: its suffix array (Larsson-Sadakane) and common prefixes (Kasai) give the windows that
    stand in two places.  A name with more bytes than a shard is cut over several; each of them then
-   hands on its windows in suffix order as digests, which are merged over shards by ranges, the
-   members of one run being looked up in the others by binary search.
+   hands on its windows as 128-bit digests, and equal digests are grouped over all shards.  So 2 and the
+   windows of cut names are decided by digests, without a suffix order between shards.
 
 A text moves once.  Defined results: null or empty texts have no bytes; texts shorter than ``size`` are kept
 whole; repeated rows are documents of their own, so long ones are removed in full; null ids are carried
@@ -156,8 +156,8 @@ def _in_shards(contexts: DataFrame, size: int) -> DataFrame:
 
 
 def _across(cut: DataFrame) -> DataFrame:
-    """(k, hits) for windows of cut names that also stand in another shard: ranges of digests are
-    merged, each digest's place among the sorted ones found by binary search."""
+    """(k, hits) for windows of cut names that also stand in another shard: equal digests meet in one
+    task by their hash, are sorted there and counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tabs = list(batches)
         if not tabs:
