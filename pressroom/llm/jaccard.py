@@ -7,10 +7,10 @@ shingles over all documents; it only sets the order, which may be any.
 
 * Equal sets are one set (copies are linked by grouping).
 * Lists of one document are dropped.  A list is grouped by size class, so sets of too different
-  size never meet, and a pair is only made where the places of the shingle in both sets leave
-  enough shingles behind it: later blocks of a list are skipped.
+  size never meet.  In the last round a pair is only verified where the places of the shingle in
+  both sets leave enough shingles behind it; lists have no blocks by place that could be skipped.
 * Bit maps of both sets bound their difference from below; a pair beyond the bound is not verified.
-* Answers are taken over between similar sets: in a round each list compares its sets with one
+* Sets of one component are not compared again (no set's answers are derived from another's): in a round each list compares its sets with one
   set of each size class only.  Sets found similar form components, and from then on a list whose
   sets are all in one component has nothing to tell.  What is left after ``rounds`` rounds are the pairs
   of a list that lie in different components, which are all made; so no link between components
