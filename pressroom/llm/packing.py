@@ -164,12 +164,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
                                                          "local_id", "offset", *(["ids"] if with_ids else [])])
 
         id_type = None
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 2 << 20):
             col = b.column(b.schema.get_field_index(id_col))
             id_type = col.type
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            for i, ids in zip(col.to_pylist(), enc.encode(texts)):
-                ids = np.append(ids, np.uint32(end_id))
+            flat, stops = enc.encode_column(b.column(b.schema.get_field_index(text_col)))
+            for i, lo, hi in zip(col.to_pylist(), np.append(0, stops[:-1]).tolist(), stops.tolist()):
+                ids = np.append(flat[lo:hi], np.uint32(end_id))
                 names[number] = (i, len(ids))
                 stream.add(number, ids)
                 number += 1
