@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pressroom.llm import bytededup, decontam, htmlcrf, jaccard, langid, neardup_vec, packing, sharding, substring, toxicity
+from pressroom.llm import bytededup, convrepair, decontam, hardneg, htmlcrf, jaccard, langid, neardup_vec, packing, patternpack, sharding, substring, toxicity
 
 LLM_REGISTRY = {
     "op1_substring_dedup": (substring.q_op1_substring_dedup, substring.sql_op1),
@@ -17,4 +17,7 @@ LLM_REGISTRY = {
     "op6_suffix_dedup": (bytededup.q_op6_suffix_dedup, bytededup.sql_op6),
     "pipeline": (corpus_pipeline.run, None),
     "op7_interleave": (sharding.q_op7_interleave, sharding.sql_op7),
+    "op12_conversation_repair": (convrepair.q_op12_conversation_repair, convrepair.sql_op12),
+    "op13_hard_negatives": (hardneg.q_op13_hard_negatives, hardneg.sql_op13),
+    "op11_pattern_pack": (patternpack.q_op11_pattern_pack, None),
 }
