@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm.common import first_by_hash, held_out, read, slices
+from pressroom.llm.common import first_by_hash, held_out, read
 
 WINDOW, PIECE = 96, 4096
 TOXIC_WORTH = 2.0       # a missed toxic text weighs as much as so many wrongly rejected ones
@@ -169,17 +169,17 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         plain, tox = compressors(model.toxic, model.ordinary)
-        for b in slices(batches, text_col):
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            s = scores(model, np.array([features(t or "", plain, tox) for t in texts]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
-                                             names=[*keep, "score", "predicted"])
-
-    return docs.select(*keep).mapInArrow(run, schema + ", score double, predicted int")
+        for col in texts:                  # one text at a time is held as a Python string
+            f = [features(x.as_py() or "", plain, tox) for x in col]
+            yield pa.array(scores(model, np.array(f)) if f else [], pa.float64())
+
+    rate.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # only the text goes to Python and only its score comes back
+    rated = docs.select(*keep, F.arrow_udf(rate, "double")(F.col(text_col)).alias("score"))
+    return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> Model | None:
