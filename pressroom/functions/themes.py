@@ -4,8 +4,8 @@ A taxonomy is an ordered mapping theme -> keywords.  The score of a theme
 is the number of its keywords present at least once in the lower-cased
 text; the guess is the highest score, ties to the earlier theme, '' when
 nothing scores.  A taxonomy given as a mapping is constants in the expression
-(one pass over each text, no join); a taxonomy table of any size is scored by an
-equi-join on the first characters of its keywords.
+(one pass over each text, no join); a taxonomy table of any size is scored by a
+multi-pattern automaton over its keywords (:mod:`pressroom.operators.keywords`).
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ DEFAULT_THEMES: dict[str, list[str]] = {
     ],
 }
 
-GRAM = 6     # characters of a keyword that the table form joins on
-
 
 def theme_scores(text_lc, taxonomy: Mapping[str, Sequence[str]] | None = None) -> Column:
     """array<struct<n, neg_ord, theme>> for each theme, taxonomy order."""
@@ -82,28 +80,18 @@ def taxonomy_from_df(themes: DataFrame) -> dict[str, list[str]]:
 
 
 def theme_scores_join(docs: DataFrame, themes: DataFrame, key: str, text: str) -> DataFrame:
-    """J7 for taxonomies of any size: (key, theme, theme_ord, n).
+    """J7 for taxonomies of any size: (key, theme, theme_ord, n).  An automaton over the keywords reads each
+    text once; its hits, narrow rows, meet the themes in an equi-join on the keyword."""
+    from pressroom.operators.keywords import keyword_hits
 
-    A keyword can only stand in a text that holds its first ``GRAM`` characters, so both sides
-    join on those (a text gives each distinct piece of that length once, and of the shorter
-    lengths that shorter keywords have); what meets is compared whole.  An equi-join: no
-    broadcast, no bound on the keywords.
-    """
     kw = themes.select("theme", "theme_ord", "keyword").where(F.col("keyword").isNotNull()).distinct()
-    kw = kw.withColumn("_g", F.substring("keyword", 1, GRAM))
-    lengths = [r[0] for r in kw.select(F.length("_g")).distinct().collect()]     # at most GRAM + 1 rows
-    d = docs.select(key, F.lower(F.col(text)).alias("_lc")).where(F.col("_lc").isNotNull())
-
-    def pieces(n: int) -> Column:
-        if n == 0:
-            return F.array(F.lit(""))
-        last = F.length("_lc") - n + 1
-        return F.when(last > 0, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("_lc"), i, F.lit(n))))).otherwise(
-                F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[pieces(n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    # the text stays behind: (key, piece) finds the keywords in question, the text is joined to those
-    asked = d.select(key, F.explode(grams).alias("_g")).join(kw, "_g").drop("_g")
-    hits = d.join(asked, key).where(F.contains(F.col("_lc"), F.col("keyword")))
-    return hits.groupBy(key, "theme", "theme_ord").agg(F.count_distinct("keyword").alias("n"))
+    hits = keyword_hits(docs, kw, key, text).distinct().join(kw, "keyword")
+    return hits.groupBy(key, "theme", "theme_ord").agg(F.count("*").alias("n"))
+
+
+def guess_theme_join(docs: DataFrame, themes: DataFrame, key: str, text: str) -> DataFrame:
+    """A7, U3 with a taxonomy table: (key, theme), the highest score, ties to the earlier theme (then the
+    least name), '' where nothing scores.  One row for each distinct key."""
+    scores = theme_scores_join(docs, themes, key, text)
+    best = scores.groupBy(key).agg(F.min_by("theme", F.struct(-F.col("n"), F.col("theme_ord"), F.col("theme"))).alias("theme"))
+    return docs.select(key).distinct().join(best, key, "left").select(key, F.coalesce("theme", F.lit("")).alias("theme"))

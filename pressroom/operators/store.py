@@ -1,9 +1,7 @@
 """The article store: known URLs, novelty, missing texts, CSV import / export.
 
-Store layout: ``articles(row_num, date, outlet, title, url, theme, summary,
-paywalled[, run])`` and ``texts(row_num, text[, run])`` as Parquet, the
-run number as partition column.  CSV is the interchange format of the
-stories file (S1 / S2).
+The store's own tables are Parquet, tied together by run commits (:mod:`runstore`).  CSV is the
+interchange format of the stories file (S1 / S2).
 """
 
 from __future__ import annotations
@@ -93,11 +91,3 @@ def read_texts_folder(spark: SparkSession, path: str) -> DataFrame:
     return (raw.select(name.alias("n"), F.col("value").alias("text"))
             .where(F.col("n") != "")
             .select(F.col("n").cast("long").alias("row_num"), "text"))
-
-
-def append_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Append a run's rows to a table (articles, texts, runs, outlet results) kept as one Parquet
-    partition for each run.  A run written again replaces its own partition only, so a replay
-    changes nothing."""
-    (df.drop("run_id").withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))

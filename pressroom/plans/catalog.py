@@ -53,37 +53,69 @@ def q_collect_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _saved(spark, sf_dir):
-    """A run saved, a second one that meets its articles in the store, and the first saved again."""
-    from pressroom.plans.collect import collect, save
+    """A run committed, a second one that meets its articles in the store, and the first called again."""
+    from pressroom.operators.runstore import import_run
+    from pressroom.plans.commands import run_collect
 
     pages = load(spark, sf_dir, "pages")
     sel = select_outlets(outlets_df(spark), "conjur,migalhas,estadao")
     base = _scratch(spark, "runs")
-    first = collect(collect_stubs(pages), pages, sel, collect_store(pages), with_dom=False)
-    save(first, base, "run")
-    stored = spark.read.parquet(f"{base}/articles").select("row_num", "url")
-    second = collect(collect_stubs(pages), pages, sel, collect_store(pages).unionByName(stored), run_id="run2", with_dom=False)
-    save(second, base, "run2")
-    save(first, base, "run")
+    import_run(spark, base, collect_store(pages))
+    for run in ("run", "run2", "run"):
+        run_collect(base, run, collect_stubs(pages), pages, sel, with_dom=False)
     return base
 
 
 def q_collect_store(spark, sf_dir):
     """Articles and texts of two runs and a replay, read back from their tables."""
+    from pressroom.operators.runstore import read, read_texts
+
     base = _saved(spark, sf_dir)
-    texts = spark.read.parquet(f"{base}/texts").drop("run_id")
-    return spark.read.parquet(f"{base}/articles").drop("run_id").join(texts, "row_num", "left")
+    articles = read(spark, base, "articles").where("run_id <> 'import'").drop("run_id", "seq")
+    return articles.join(read_texts(spark, base), "row_num", "left")
 
 
 def q_audit_store(spark, sf_dir):
     """The audit records of the first run, read back after a second run and a replay."""
     from pressroom.operators.audit import totals
+    from pressroom.operators.runstore import read
 
-    res = spark.read.parquet(f"{_saved(spark, sf_dir)}/outlet_results").where("run_id = 'run'")
+    res = read(spark, _saved(spark, sf_dir), "outlet_results").where("run_id = 'run'")
     return totals(res).select("run_id", F.coalesce("outlet", F.lit("__total__")).alias("outlet"),
                               *[F.col(k).cast("long").alias(k) for k in ("hits", "new", "added")])
 
 
+def q_commit_recovery(spark, sf_dir):
+    """A run over ``pages`` cut off after each of its four table writes in turn, then run
+    whole, and called once more: every article with the length of its text, and the audit counts."""
+    from pressroom.operators import runstore as R
+    from pressroom.plans.collect import collect
+    from pressroom.plans.commands import run_collect
+
+    pages = load(spark, sf_dir, "pages")
+    sel = select_outlets(outlets_df(spark), "conjur,migalhas,estadao")
+    base = _scratch(spark, "recovery")
+    known = collect_store(pages)
+    R.import_run(spark, base, known)
+    res = collect(collect_stubs(pages), pages, sel, known, run_id="run", with_dom=False)
+    parts = {"articles": res.articles, "texts": res.texts, "outlet_results": res.outlet_results, "runs": R.audit_row(spark, "q", "", None)}
+    for stop in range(1, len(parts) + 1):
+        attempt = R.begin_attempt()
+        for name in list(parts)[:stop]:
+            R.write_table(parts[name], base, name, "run", attempt)
+    for _ in range(2):
+        run_collect(base, "run", collect_stubs(pages), pages, sel, "q", with_dom=False)
+    texts = R.read_texts(spark, base).select("row_num", F.length("text").cast("long").alias("n_chars"))
+    zero = F.lit(0).cast("long")
+    articles = R.read(spark, base, "articles").where("run_id = 'run'").join(texts, "row_num", "left").select(
+        F.lit("article").alias("kind"), F.col("url").alias("name"), F.col("row_num").alias("a"), F.coalesce("n_chars", zero).alias("b"), zero.alias("c"))
+    results = R.read(spark, base, "outlet_results").select(F.lit("outlet").alias("kind"), F.col("outlet").alias("name"), F.col("hits").alias("a"),
+                                                           F.col("new").alias("b"), F.col("added").alias("c"))
+    runs = R.read(spark, base, "runs").groupBy("run_id").agg(F.count("*").alias("a")).select(
+        F.lit("run").alias("kind"), F.col("run_id").alias("name"), "a", zero.alias("b"), zero.alias("c"))
+    return articles.unionByName(results).unionByName(runs)
+
+
 def q_para_extract(spark, sf_dir):
     """Paragraph lane over every page."""
     pages = load(spark, sf_dir, "pages")
@@ -436,16 +468,27 @@ def q_back_fill(spark, sf_dir):
                         T.first_nonempty(T.page_date("html"), s_date).alias("date"))
 
 
+HOPS = 9        # longest chain of redirects in the query
+
+
 def q_redirects(spark, sf_dir):
-    """Wrapped links resolved through captured redirects, unknown kept."""
+    """Wrapped links resolved through captured redirects: chains of 1 to 9 hops ('/en/' pages), rings of 3
+    ('/fr/' pages, kept as they are), unknown ones kept."""
     from pressroom.sources.feeds import resolve_redirects
 
     pages = load(spark, sf_dir, "pages")
-    wrapped = F.concat(F.lit("https://news.google.com/rss/articles/"), F.col("page_id").cast("string"))
+    word = F.col("page_id").cast("string")
+    wrapped = F.concat(F.lit("https://news.google.com/rss/articles/"), word)
     stubs = pages.select("page_id", F.lit("wrapped").alias("kind"), wrapped.alias("url")).unionByName(
         pages.where(F.col("url").startswith("http://")).select("page_id", F.lit("plain").alias("kind"), "url"))
-    red = pages.where(F.col("url").contains("/en/")).select(wrapped.alias("from_url"), F.col("url").alias("to_url"))
-    return resolve_redirects(stubs, red).select("page_id", "kind", "url")
+    at = lambda j: F.when(j == 0, wrapped).otherwise(F.concat(wrapped, F.lit("/"), j.cast("string")))
+    hop = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("j")
+    chains = pages.where(F.col("url").contains("/en/")).select("page_id", "url", F.pmod("page_id", F.lit(HOPS)).cast("int").alias("last"))
+    chains = chains.select("page_id", "url", "last", hop).select(
+        at(F.col("j")).alias("from_url"), F.when(F.col("j") == F.col("last"), F.col("url")).otherwise(at(F.col("j") + 1)).alias("to_url"))
+    rings = pages.where(F.col("url").contains("/fr/")).select("page_id", F.lit(2).alias("last")).select("page_id", "last", hop).select(
+        at(F.col("j")).alias("from_url"), at((F.col("j") + 1) % 3).alias("to_url"))
+    return resolve_redirects(stubs, chains.unionByName(rings)).select("page_id", "kind", "url")
 
 
 def doc_pages(docs: DataFrame) -> DataFrame:
@@ -486,6 +529,31 @@ def q_theme_guess(spark, sf_dir):
 
 # ------------------------------------------------------------------ audit and numbering
 
+def part_themes(spark, sf_dir) -> DataFrame:
+    """A taxonomy table from ``part``: a brand's keywords are the words of its parts' names and the first
+    three letters of each word; the first letter too for some brands."""
+    part = load(spark, sf_dir, "part")
+    words = part.select("p_brand", F.explode(F.split(F.lower("p_name"), " ")).alias("w")).where("w <> ''")
+    forms = words.select("p_brand", F.explode(F.array(F.col("w"), F.substring("w", 1, 3))).alias("keyword"))
+    return forms.distinct().select(F.col("p_brand").alias("theme"), F.substring("p_brand", 7, 2).cast("int").alias("theme_ord"), "keyword")
+
+
+def q_theme_table(spark, sf_dir):
+    """Theme scores of every document against a taxonomy table built from ``part``."""
+    from pressroom.functions.themes import theme_scores_join
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return theme_scores_join(docs, part_themes(spark, sf_dir), "doc_id", "text")
+
+
+def q_theme_table_guess(spark, sf_dir):
+    """The best theme of every document by a caller's taxonomy table."""
+    from pressroom.functions.themes import guess_theme_join
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return guess_theme_join(docs, part_themes(spark, sf_dir), "doc_id", "text")
+
+
 def event_runs(spark, sf_dir):
     ev = load(spark, sf_dir, "events").withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
     res = ev.groupBy("run_id", "event_type").agg(

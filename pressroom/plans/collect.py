@@ -10,7 +10,8 @@ the shuffle) joined back:
 * winner         - the first ``ok`` extraction in (outlet order, page, stub) order (W2)
 * ``is_new``     - not in store and not stored by an earlier outlet of this run (A2)
 
-Extraction runs once per distinct (url, lane), not once per stub.
+Extraction runs once per distinct (url, lane), not once per stub.  The three facts are decided on narrow
+rows, written once; text and summary are joined to the winners alone.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class CollectResult:
     articles: DataFrame       # row_num + stories columns
     texts: DataFrame          # row_num, text
     outlet_results: DataFrame  # run_id, outlet, pages, hits, new, added, note
-    stubs: DataFrame          # every stub with in_store / ok / is_new / is_winner
+    stubs: DataFrame          # every stub with in_store / ok / is_new / is_winner (no text)
 
 
 def attach_outlets(stubs: DataFrame, selected: DataFrame) -> DataFrame:
@@ -50,13 +51,15 @@ def attach_outlets(stubs: DataFrame, selected: DataFrame) -> DataFrame:
 
 def wanted_pages(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, html) of the wanted URLs, one capture of each: the one with the smallest ``page_id`` (by a
-    hash of the page where captures have no id).  The choice is an aggregate of ids; ``html`` is
-    read for the chosen captures only."""
+    hash of the page where captures have no id; of captures that share an id, the least page).  The
+    choice is an aggregate of ids; ``html`` is read for the chosen captures only, and meets their URL once."""
     urls = keys.select("url").distinct()
     cap = pages if "page_id" in pages.columns else pages.withColumn("page_id", F.xxhash64("html"))
-    cap = cap.where(F.col("url").isNotNull())
-    first = cap.join(urls, "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return cap.join(first, ["url", "page_id"]).select("url", "html")
+    cap = cap.select("url", "page_id", "html").where(F.col("url").isNotNull())
+    first = cap.join(urls, "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("_first"))
+    # "not above the smallest" is "equal to it", and leaves the join keyed by URL alone, as the group is
+    chosen = cap.join(first, "url").where(F.col("_first").isNull() | (F.col("page_id") <= F.col("_first")))
+    return chosen.groupBy("url").agg(F.min("html").alias("html"))
 
 
 def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> DataFrame:
@@ -82,8 +85,7 @@ def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> D
         dom = d.withColumn("_lanes", of(LN.DOM_LANES)).where(F.size("_lanes") > 0)
         dom = each(dom.withColumn("_pg", html_page(F.col("html"))))
         out = out.unionByName(dom_dispatch(dom, parsed="_pg").select(*cols))
-    # captures that repeat a page_id give equal keys: one row of each
-    return out.dropDuplicates(["url", "lane", "min_chars"])
+    return out
 
 
 def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: DataFrame,
@@ -96,9 +98,9 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
     # The extraction is the costly step and feeds both the winner aggregate and
     # the rows joined back to it: computed once, written to the checkpoint folder.
     ex = materialize(extract_pages(keys, pages, with_dom))
-    ex = ex.withColumnRenamed("title", "x_title").withColumnRenamed("date", "x_date")
-
-    c = s.join(ex, ["url", "lane", "min_chars"], "left")
+    # what decides is narrow: text and summary join the winners only
+    facts = ex.select("url", "lane", "min_chars", F.col("title").alias("x_title"), F.col("date").alias("x_date"), "ok")
+    c = s.join(facts, ["url", "lane", "min_chars"], "left")
     c = c.withColumn("ok", F.coalesce(F.col("ok"), F.lit(False)) & ~F.col("in_store"))
     # Extracted title / date fall back to the stub's
     c = (c.withColumn("a_title", T.first_nonempty(F.col("x_title"), F.col("title")))
@@ -111,12 +113,14 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
           .withColumn("is_new", ~F.col("in_store")
                       & (F.col("w").isNull() | (F.col("w.sel_ord") >= F.col("sel_ord"))))
           .drop("w"))
+    c = materialize(c)      # articles, texts, counts and stubs read the same decisions
 
     if base is None:   # A10 as a scalar subquery of the numbering plan
         base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).scalar()
     # only the order keys are numbered; a URL has one winner, which gets its number back by its URL
     numbers = number_rows(c.where("is_winner").select(*ORDER, "url").distinct(), ORDER, base=base).select("url", "row_num")
-    numbered = c.where("is_winner").dropDuplicates(["url"]).join(numbers, "url")
+    bodies = ex.where("ok").select("url", "lane", "min_chars", "text", "summary")
+    numbered = c.where("is_winner").dropDuplicates(["url"]).join(numbers, "url").join(bodies, ["url", "lane", "min_chars"])
     articles = numbered.select(
         "row_num", F.col("a_date").alias("date"), F.col("outlet_name").alias("outlet"),
         F.col("a_title").alias("title"), "url", F.lit("").alias("theme"),
@@ -149,31 +153,3 @@ def dry_run(stubs: DataFrame, store: DataFrame) -> DataFrame:
     return new.select("outlet_key", "url",
                       F.when(F.col("date") != "", F.col("date")).otherwise(F.lit("?")).alias("date"),
                       F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("title"))
-
-
-def save(res: CollectResult, base: str, run_id: str, query: str = "", project_context: str = "", ts=None) -> None:
-    """Append what a run found and its audit records to the tables under ``base``."""
-    from pressroom.operators.store import append_run
-
-    spark = res.outlet_results.sparkSession
-    for name, df in (("articles", res.articles), ("texts", res.texts), ("outlet_results", res.outlet_results)):
-        append_run(df, f"{base}/{name}", run_id)
-    when = F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")
-    runs = spark.range(1).select(when.alias("ts"), F.lit(query).alias("query"), F.lit(project_context).alias("project_context"))
-    append_run(runs, f"{base}/runs", run_id)
-
-
-def save_dry_run(candidates: DataFrame, selected: DataFrame, base: str, run_id: str, query: str = "", max_pages: int = 1,
-                 project_context: str = "", ts=None) -> None:
-    """The audit records of a dry run: candidates counted per outlet, nothing added."""
-    n = candidates.groupBy("outlet_key").agg(F.count("*").alias("hits"))
-    res = selected.select(F.col("key").alias("outlet_key"), "sel_ord", F.col("name").alias("outlet")).join(n, "outlet_key", "left")
-    hits = F.coalesce("hits", F.lit(0)).cast("long")
-    res = res.select("outlet", "sel_ord", F.lit(max_pages).cast("long").alias("pages"), hits.alias("hits"), hits.alias("new"),
-                     F.lit(0).cast("long").alias("added"), F.lit("dry run").alias("note"))
-    from pressroom.operators.store import append_run
-
-    append_run(res, f"{base}/outlet_results", run_id)
-    when = F.current_timestamp() if ts is None else F.lit(ts).cast("timestamp")
-    append_run(candidates.sparkSession.range(1).select(when.alias("ts"), F.lit(query).alias("query"), F.lit(project_context).alias("project_context")),
-               f"{base}/runs", run_id)

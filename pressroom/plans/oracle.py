@@ -68,6 +68,31 @@ def collect_flagship() -> str:
       FROM cw WHERE is_winner"""
 
 
+def commit_recovery() -> str:
+    return (f"SELECT 'article' AS kind, url AS name, row_num AS a, coalesce(length(text), 0) AS b, 0::BIGINT AS c FROM ({collect_flagship()})"
+            f" UNION ALL SELECT 'outlet', outlet, hits, new, added FROM ({collect_counts()}) WHERE outlet <> '__total__'"
+            " UNION ALL SELECT 'run', 'run', 1, 0, 0")
+
+
+THEME_TABLE = """
+    words AS (SELECT DISTINCT p_brand AS theme, unnest(string_split(lower(p_name), ' ')) AS w FROM part),
+    kw AS (SELECT DISTINCT theme, CAST(substr(theme, 7, 2) AS INT) AS theme_ord, unnest([w, left(w, 3)]) AS keyword FROM words WHERE w <> ''),
+    one AS (SELECT DISTINCT keyword FROM kw),
+    low AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents),
+    hit AS (SELECT DISTINCT doc_id, keyword FROM low, one WHERE contains(t, keyword)),
+    score AS (SELECT doc_id, theme, theme_ord, count(*) AS n FROM hit JOIN kw USING (keyword) GROUP BY ALL)"""
+
+
+def theme_table() -> str:
+    return f"WITH {THEME_TABLE} SELECT doc_id, theme, theme_ord, n FROM score"
+
+
+def theme_table_guess() -> str:
+    return (f"WITH {THEME_TABLE}, best AS (SELECT doc_id, theme FROM score"
+            " QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, theme_ord, theme) = 1)"
+            " SELECT d.doc_id, coalesce(best.theme, '') AS theme FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN best USING (doc_id)")
+
+
 def para_extract() -> str:
     return ("WITH src AS (SELECT page_id, url, 'paragraph' AS lane, 200 AS min_chars, coalesce(html, '') AS html FROM pages),"
             + regex_lanes_sql("src").replace("SELECT url, lane", "SELECT page_id, url, lane")
@@ -359,11 +384,18 @@ def back_fill() -> str:
 
 def redirects() -> str:
     w = "'https://news.google.com/rss/articles/' || CAST(page_id AS VARCHAR)"
-    return (f"WITH st AS (SELECT page_id, 'wrapped' AS kind, {w} AS url FROM pages"
-            f" UNION ALL SELECT page_id, 'plain', url FROM pages WHERE starts_with(url, 'http://')),"
-            f" r AS (SELECT {w} AS from_url, url AS to_url FROM pages WHERE contains(url, '/en/'))"
-            f" SELECT st.page_id, st.kind, CASE WHEN contains(st.url, 'news.google.com') THEN coalesce(r.to_url, st.url)"
-            f" ELSE st.url END AS url FROM st LEFT JOIN r ON contains(st.url, 'news.google.com') AND st.url = r.from_url")
+    return f"""
+    WITH RECURSIVE st AS (SELECT page_id, 'wrapped' AS kind, {w} AS url FROM pages
+      UNION ALL SELECT page_id, 'plain', url FROM pages WHERE starts_with(url, 'http://')),
+    h AS (SELECT page_id, url, contains(url, '/fr/') AS ring, unnest(range(CASE WHEN contains(url, '/fr/') THEN 3 ELSE 1 + page_id % 9 END)) AS j
+      FROM pages WHERE contains(url, '/en/') OR contains(url, '/fr/')),
+    n AS (SELECT *, {w} || CASE WHEN j = 0 THEN '' ELSE '/' || j END AS f FROM h),
+    r AS (SELECT f, CASE WHEN ring THEN {w} || CASE WHEN j = 2 THEN '' ELSE '/' || (j + 1) END
+                         WHEN j = page_id % 9 THEN url ELSE {w} || '/' || (j + 1) END AS t FROM n),
+    go AS (SELECT url AS start, url AS cur, 0 AS hops FROM st WHERE contains(url, 'news.google.com')
+      UNION ALL SELECT start, t, hops + 1 FROM go JOIN r ON r.f = go.cur WHERE hops < 30),
+    fin AS (SELECT start, cur FROM go WHERE hops < 30 AND cur NOT IN (SELECT f FROM r))
+    SELECT page_id, kind, coalesce(fin.cur, st.url) AS url FROM st LEFT JOIN fin ON st.url = fin.start"""
 
 
 def _registry_case(url: str, what: str) -> str:

@@ -64,6 +64,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df):
     """Write ``df`` as Parquet next to the checkpoint folder now and continue from it.
 

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as T
+from pressroom.session import materialize
 
+# Fixed value: an RSS item.
 ITEM_RX = r"(?s)<item>(.*?)</item>"
 # Strict RSS item patterns (CDATA title, https link).
 STRICT_TITLE_RX = r"<title><!\[CDATA\[(.*?)\]\]></title>"
@@ -148,10 +150,36 @@ def read_url_file(spark, path: str) -> DataFrame:
 WRAPPED_MARKER = "news.google.com"
 
 
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """(from_url, to_url): where the chain of redirects from each URL ends; URLs on or before a ring have no row.
+
+    Pointer jumping: in each round every chain that has not ended takes over the target of its
+    target, so n hops take about log2(n) rounds; each round that ends no further chain has met rings
+    only and is the last.  A URL captured with several targets follows the least.  Each round is an
+    equi-join written to the checkpoint folder, the right side unique per key.
+    """
+    r = (redirects.where(F.col("from_url").isNotNull() & F.col("to_url").isNotNull() & (F.col("from_url") != F.col("to_url")))
+         .groupBy("from_url").agg(F.min("to_url").alias("to_url")))
+    r = materialize(r)
+    more = r.select(F.col("from_url").alias("to_url"), F.lit(True).alias("_more"))
+    r = materialize(r.join(more, "to_url", "left").select("from_url", "to_url", F.col("_more").isNull().alias("ended")))
+    left = r.where("not ended").count()
+    while left:
+        ahead = r.select(F.col("from_url").alias("_at"), F.col("to_url").alias("_to"), F.col("ended").alias("_ended"))
+        going = r.where("not ended").join(ahead, F.col("to_url") == F.col("_at"))
+        going = going.select("from_url", F.col("_to").alias("to_url"), F.col("_ended").alias("ended"))
+        r = materialize(r.where("ended").unionByName(going))
+        left, before = r.where("not ended").count(), left
+        if left == before:
+            break
+    return r.where("ended").select("from_url", "to_url")
+
+
 def resolve_redirects(stubs: DataFrame, redirects: DataFrame, url: str = "url",
                       marker: str = WRAPPED_MARKER) -> DataFrame:
-    """Wrapped URLs replaced by their captured target; unknown or unwrapped kept."""
-    r = redirects.select(F.col("from_url").alias("_from"), F.col("to_url").alias("_to"))
+    """Wrapped URLs replaced by the end of their chain of captured redirects; unknown ones, those in a
+    ring of redirects and unwrapped ones kept."""
+    r = redirect_ends(redirects).select(F.col("from_url").alias("_from"), F.col("to_url").alias("_to"))
     wrapped = F.col(url).contains(marker)
     d = stubs.join(r, wrapped & (F.col(url) == F.col("_from")), "left")
     return d.withColumn(url, F.when(wrapped, F.coalesce(F.col("_to"), F.col(url))).otherwise(F.col(url))) \

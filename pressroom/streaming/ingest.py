@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from pressroom.operators.discovery import first_seen
 from pressroom.operators.numbering import number_rows
-from pressroom.session import materialize
+from pressroom.session import exists, materialize
 
 RUNS = "last_row long, run string"
 
@@ -76,12 +76,15 @@ def make_batch_writer(store_path: str, key: str = "url", order: Sequence[str] =
 def run_available(spark: SparkSession, landing: str, schema: StructType, store_path: str,
                   checkpoint: str, key: str = "url", order: Sequence[str] = ("page_id",),
                   project: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Process every file that has landed and is not yet processed, then stop."""
-    _note(spark, store_path, 0, "begin")
+    """Process every file that has landed and is not yet processed, then stop.  A store that this module did
+    not write (partitions by ``run``, no record of runs) is numbered on from its largest row number."""
     src = spark.readStream.format("parquet").schema(schema).load(landing)
     rows = project(src) if project else src
     empty = spark.createDataFrame([], rows.schema).withColumn("row_num", F.lit(None).cast("long"))
     empty.write.mode("overwrite").parquet(store_path.rstrip("/") + "/run=begin")
+    if not exists(spark, runs_path(store_path) + "/run=begin"):
+        last = spark.read.schema("row_num long, run string").parquet(store_path).agg(F.max("row_num")).first()[0]
+        _note(spark, store_path, last or 0, "begin")
     q = (rows.writeStream
          .foreachBatch(make_batch_writer(store_path, key, order))
          .option("checkpointLocation", checkpoint)

@@ -54,3 +54,13 @@ def test_seeded_from_existing_store(spark, tmp_path):
     spark.createDataFrame([(10, "u2"), (11, "u9")], SCHEMA).write.parquet(landing, mode="append")
     run_available(spark, landing, existing.select("page_id", "url").schema, store, ckpt)
     assert [x for x in _store(spark, store) if x[0] > 2] == [(3, 11, "u9")]
+
+
+def test_store_of_another_writer_is_numbered_on(spark, tmp_path):
+    landing, store = str(tmp_path / "in"), str(tmp_path / "store")
+    spark.createDataFrame([(None, "u1", 1), (None, "u2", 2)], "page_id long, url string, row_num long").write.parquet(f"{store}/run=old")
+    for n, rows in enumerate(([(1, "u1"), (2, "u3")], [(3, "u4")])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(landing, mode="append")
+        run_available(spark, landing, spark.createDataFrame([], SCHEMA).schema, store, str(tmp_path / "ck"))
+    assert [(n, u) for n, _, u in sorted(((r.row_num, r.page_id, r.url) for r in spark.read.parquet(store).collect()))] == [
+        (1, "u1"), (2, "u2"), (3, "u3"), (4, "u4")]
