@@ -58,20 +58,22 @@ def windows(data: bytes) -> list[bytes]:
 
 def segments(toxic: list[bytes], ordinary: list[bytes], most: int = 400) -> list[bytes]:
     """Word beginnings (up to the whole word and its space) over-represented in toxic text."""
-    def seen(texts):
+    def seen(texts, lengths, only=None):
         by = defaultdict(set)
         for t in texts:
             ws = t.split()
             for left, w in zip([b"", *ws], ws):
                 w += b" "
-                h = hash(left)
-                for k in range(4, min(len(w), 14) + 1):
-                    by[w[:k]].add(h)
+                for k in lengths:
+                    if k <= len(w) and (only is None or w[:k] in only):
+                        by[w[:k]].add(hash(left))
         return {g: len(s) for g, s in by.items()}
 
-    t, o = seen(toxic), seen(ordinary)
-    a, b = sum(map(len, toxic)) or 1, sum(map(len, ordinary)) or 1
+    # one length at a time, and of ordinary text only what may be chosen: few sets are held at once
     need = max(4, 0.003 * len(toxic))
+    t = {g: n for k in range(4, 15) for g, n in seen(toxic, [k]).items()}
+    o = seen(ordinary, range(4, 15), {g for g, n in t.items() if n >= need})
+    a, b = sum(map(len, toxic)) or 1, sum(map(len, ordinary)) or 1
 
     def surplus(g):
         e = (t[g] + o.get(g, 0)) * a / (a + b)
