@@ -16,10 +16,10 @@ import pyarrow as pa
 from pressroom.llm.common import span_hashes, text_buffer
 
 U64 = np.uint64
-CACHE_CHUNKS = 2_000_000     # bound of the chunk cache of one Python worker
+CACHE_CHUNKS = 1_000_000     # bound of the chunk cache of one Python worker
 LONG_CHUNK = 64             # longer chunks are not kept (bytes)
 JOINED = 2_000              # new chunks that are encoded as one text
-RUN_BYTES = 2 << 20         # bytes of text that are hashed and looked up at once
+RUN_BYTES = 1 << 20         # bytes of text that are hashed and looked up at once
 
 #: Bytes that are, or can begin, white space: what follows a space at a cut is none of them.
 _SPACE = np.zeros(256, bool)
