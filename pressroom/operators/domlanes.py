@@ -1,114 +1,73 @@
-"""DOM lanes (X10-X13, F11, F12, S8) as higher-order functions over the block array.
+"""DOM lanes (X10-X13, F11, F12, S8, S9) as higher-order functions over the block array.
 
-A rule selector is the simple form the outlets use: ``tag``, ``.class``,
-``tag.class`` or ``tag[attr='value']``.  Removal of subtrees (F12) is "the
-element or one of its ancestors matches a drop selector"; containment is
-"the container's start order is among the element's ancestors".  All of it
-is evaluated per page inside the JVM on the array built by
+Which elements an outlet drops, which one is its title, date or body, and what a result item is, are
+rows of a rule table (:mod:`selectors`), matched in the one parse of a page.  Here an element's rules are
+bits: dropped is "a drop rule is met by it or around it", a body is the first element that meets
+the body rule.  All of it is evaluated per page inside the JVM on the array built by
 :mod:`htmlblocks`, so a page never leaves its partition.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as T
 from pressroom.operators.htmlblocks import el_lines, el_text, html_page, inside
-
-# Per-outlet DOM rules.
-FOLHA_DROP = ["script", "style", "nav", "footer", "header", ".c-news__sidebar", ".c-related", ".c-newsletter",
-              ".c-paywall", ".c-most-read", ".c-ad", ".c-tags"]
-FOLHA_SUBTITLE = ["h2.c-news__subtitle", ".c-news__subtitle"]
-FOLHA_AUTHOR = [".c-news__author", ".c-signature__author"]
-FOLHA_BODY = ["div.c-news__body", "div.c-news__content", "article"]
+from pressroom.operators.selectors import RuleSet
+
+# Per-outlet DOM rules (outlet, role, preference, selector).
+RULES = [
+    ("folha", "drop", 0, "script, style, nav, footer, header, .c-news__sidebar, .c-related, .c-newsletter, "
+                         ".c-paywall, .c-most-read, .c-ad, .c-tags"),
+    ("folha", "title", 0, "h1"),
+    ("folha", "date", 0, "time"),
+    ("folha", "subtitle", 0, "h2.c-news__subtitle, .c-news__subtitle"),
+    ("folha", "author", 0, ".c-news__author, .c-signature__author"),
+    ("folha", "body", 0, "div.c-news__body, div.c-news__content, article"),
+    ("folha", "item", 0, "li.c-headline"),
+    ("folha", "item_link", 0, "a[href*='folha.uol.com.br']"),
+    ("folha", "item_date", 0, "time, .c-headline__dateline"),
+    ("globo", "drop", 0, "script, style, nav, footer, header, aside, .paywall, .newsletter, .related, "
+                         ".comments, .social-share, .ad, .tags, .breadcrumb"),
+    ("globo", "meta_title", 0, "meta[property='og:title']"),
+    ("globo", "meta_text", 0, "meta[property='og:description']"),
+    ("globo", "meta_date", 0, "meta[property='article:published_time']"),
+    ("globo", "title", 0, "h1"),
+    ("globo", "body", 0, "div.article__content-container"),
+    ("globo", "body", 1, "div[itemprop='articleBody']"),
+    ("globo", "body", 2, "article"),
+    ("globo", "body", 3, "div.content"),
+    ("piaui", "title", 0, "h1"),
+    ("piaui", "body", 0, ".post-content"),
+    ("piaui", "body", 1, ".entry-content"),
+    ("piaui", "body", 2, "article"),
+    ("piaui", "body", 3, ".content-text"),
+    ("piaui", "page", 0, "body"),
+]
+DEFAULT_RULES = RuleSet(RULES)
+
+# Per-outlet skip strings.
 FOLHA_SKIP = ["Carregando", "FolhaJus", "Dicas do Editor", "benefício do assinante",
               "assine ou faça login", "ASSINE A FOLHA", "Copiar link", "Salvar para ler",
               "Recurso exclusivo", "Receba no seu email", "A newsletter sobre"]
 FOLHA_PHOTO_PREFIX = "https://fotografia.folha"
-
-GLOBO_DROP = ["script", "style", "nav", "footer", "header", "aside", ".paywall", ".newsletter", ".related",
-              ".comments", ".social-share", ".ad", ".tags", ".breadcrumb"]
-GLOBO_BODY = ["div.article__content-container", "div[itemprop='articleBody']", "article", "div.content"]
 GLOBO_SKIP = ["carregando", "assine", "assinante", "copiar link", "salvar para ler", "recurso exclusivo",
               "newsletter", "receba no seu email", "leia mais", "continue lendo"]
 
-PIAUI_BODY = [".post-content", ".entry-content", "article", ".content-text"]
-
-RESULT_ITEM = "li.c-headline"
 RESULT_DOMAIN = "folha.uol.com.br"
-RESULT_DATE = ["time", ".c-headline__dateline"]
-
 BODY_TAGS = ("p", "h2", "h3", "h4")
 HEADING_TAGS = ("h2", "h3", "h4")
 
-_SEL = re.compile(r"^([a-z0-9]*)((?:\.[A-Za-z0-9_-]+)*)(?:\[([a-z-]+)='([^']*)'\])?$")
-
-
-def matches(x: Column, selector: str) -> Column:
-    """Predicate of one simple selector on a block struct."""
-    m = _SEL.match(selector)
-    if not m:
-        raise ValueError(f"unsupported selector {selector!r}")
-    tag, classes, attr, val = m.groups()
-    p = F.lit(True)
-    if tag:
-        p = p & (x["tag"] == tag)
-    for c in [c for c in classes.split(".") if c]:
-        p = p & F.array_contains(x["cls"], F.lit(c))
-    if attr:
-        field = {"itemprop": "itemprop", "property": "prop", "href": "href", "content": "content"}[attr]
-        p = p & (F.coalesce(x[field], F.lit("")) == val)
-    return p
-
-
-def matcher(selector: str):
-    """One-argument predicate for ``F.filter`` (a two-argument lambda would get the index)."""
-    def pred(x):
-        return matches(x, selector)
-    return pred
-
-
-def any_of(x: Column, selectors: Sequence[str]) -> Column:
-    """Some selector matches; bare tags and bare classes are tested as one set each."""
-    tags, classes, rest = [], [], []
-    for s in selectors:
-        m = _SEL.match(s)
-        tag, cls, attr, _ = m.groups() if m else (None, None, None, None)
-        if m and tag and not cls and not attr:
-            tags.append(tag)
-        elif m and not tag and cls and cls.count(".") == 1 and not attr:
-            classes.append(cls[1:])
-        else:
-            rest.append(s)
-    p = F.lit(False)
-    if tags:
-        p = p | x["tag"].isin(*tags)
-    if classes:
-        p = p | F.arrays_overlap(x["cls"], F.array(*[F.lit(c) for c in classes]))
-    for s in rest:
-        p = p | matches(x, s)
-    return p
-
 
 def first(blocks: Column, pred) -> Column:
     """First block (document order) satisfying ``pred``; null when none."""
     return F.try_element_at(F.filter(blocks, pred), F.lit(1))
 
 
-def dropped_roots(blocks: Column, selectors: Sequence[str]) -> Column:
-    """Subtrees (start and end order) of the elements matching a drop selector."""
-    return F.transform(F.filter(blocks, lambda x: any_of(x, selectors)),
-                       lambda x: F.struct(x["ord"].alias("ord"), x["end"].alias("end")))
-
-
-def outside(blocks: Column, gone: Column) -> Column:
-    """blocks outside every subtree rooted at one of ``gone`` (a column,
-    so it is computed once per page, not once per element)."""
-    return F.filter(blocks, lambda x: ~F.exists(gone, lambda g: (x["ord"] >= g["ord"]) & (x["ord"] < g["end"])))
+def alive(blocks: Column, rules: RuleSet, outlet: str) -> Column:
+    """blocks that no drop rule meets, neither at them nor around them."""
+    return F.filter(blocks, lambda x: ~rules.within(x, outlet, "drop"))
 
 
 def body_parts(blocks: Column, nodes: Column, container: Column, keep) -> Column:
@@ -142,22 +101,19 @@ def _staged(d: DataFrame, cond: Column, stages: list[tuple[str, Column]]) -> Dat
     return d
 
 
-def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
+def folha_lane(d: DataFrame, cond: Column, rules: RuleSet, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """X11 (+ X10 fallback): title, subtitle, author, date, '', body blocks."""
     c = F.col
     tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
+    one = lambda role: first(c("_f_live"), lambda x: rules.meets(x, "folha", role))
     d = _staged(d, cond, [
-        ("_f_gone", dropped_roots(c(b), FOLHA_DROP)),
-        ("_f_live", outside(c(b), c("_f_gone"))),
-        ("_f_body", first(c("_f_live"), lambda x: any_of(x, FOLHA_BODY))),
-        ("_f_title", F.coalesce(tx(first(c("_f_live"), lambda x: x["tag"] == "h1")), F.lit(""))),
-        ("_f_date", tx(first(c("_f_live"), lambda x: x["tag"] == "time"))),
+        ("_f_live", alive(c(b), rules, "folha")),
+        ("_f_body", one("body")),
+        ("_f_title", F.coalesce(tx(one("title")), F.lit(""))),
+        ("_f_date", tx(one("date"))),
     ])
     head = F.array_compact(F.array(
-        F.when(c("_f_title") != "", c("_f_title")),
-        tx(first(c("_f_live"), lambda x: any_of(x, FOLHA_SUBTITLE))),
-        tx(first(c("_f_live"), lambda x: any_of(x, FOLHA_AUTHOR))),
-        c("_f_date"), F.lit("")))
+        F.when(c("_f_title") != "", c("_f_title")), tx(one("subtitle")), tx(one("author")), c("_f_date"), F.lit("")))
     parts = F.when(c("_f_body").isNotNull(), body_parts(c("_f_live"), c(n), c("_f_body"), folha_keep)) \
         .otherwise(F.array(T.html_to_text(c(html))))
     d = _staged(d, cond, [("_f_text", _join(F.concat(head, parts))),
@@ -165,25 +121,22 @@ def folha_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
     return _outputs(d, cond, "_f", c("_f_title"), c("_f_day"), c("_f_text"), T.second_chunk(c("_f_text")))
 
 
-def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
+def globo_lane(d: DataFrame, cond: Column, rules: RuleSet, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """X12 (+ X10 fallback): og:title or h1, description, date, '', body from
     the first container present in preference order."""
     c = F.col
     tx = lambda x: F.when(x.isNotNull(), el_text(c(n), x))
-    og = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:title"))
-    title = T.first_nonempty(F.coalesce(og["content"], F.lit("")),
-                             F.coalesce(tx(first(c(b), lambda x: x["tag"] == "h1")), F.lit("")))
-    dm = first(c(b), lambda x: (x["tag"] == "meta") & (x["prop"] == "article:published_time"))
-    date = T.first_nonempty(F.substring(F.coalesce(dm["content"], F.lit("")), 1, 10),
+    one = lambda blocks, role, k=None: first(blocks, lambda x: rules.meets(x, "globo", role, k))
+    title = T.first_nonempty(F.coalesce(one(c(b), "meta_title")["content"], F.lit("")),
+                             F.coalesce(tx(one(c(b), "title")), F.lit("")))
+    date = T.first_nonempty(F.substring(F.coalesce(one(c(b), "meta_date")["content"], F.lit("")), 1, 10),
                             F.substring(F.regexp_extract(c(html), T.DATE_JSON_LD, 1), 1, 10))
     d = _staged(d, cond, [
         ("_g_title", title), ("_g_date", date),
-        ("_g_gone", dropped_roots(c(b), GLOBO_DROP)),
-        ("_g_live", outside(c(b), c("_g_gone"))),
-        ("_g_body", F.coalesce(*[first(c("_g_live"), matcher(s)) for s in GLOBO_BODY])),
+        ("_g_live", alive(c(b), rules, "globo")),
+        ("_g_body", F.coalesce(*[one(c("_g_live"), "body", k) for k in rules.ords("globo", "body")])),
     ])
-    od = first(c("_g_live"), lambda x: (x["tag"] == "meta") & (x["prop"] == "og:description"))
-    desc = T.py_strip(F.coalesce(od["content"], F.lit("")))
+    desc = T.py_strip(F.coalesce(one(c("_g_live"), "meta_text")["content"], F.lit("")))
     head = F.array_compact(F.array(F.when(c("_g_title") != "", c("_g_title")), F.when(F.length(desc) > 30, desc),
                                    F.when(c("_g_date") != "", c("_g_date")), F.lit("")))
     parts = F.when(c("_g_body").isNotNull(), body_parts(c("_g_live"), c(n), c("_g_body"), globo_keep)) \
@@ -192,18 +145,18 @@ def globo_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n:
     return _outputs(d, cond, "_g", c("_g_title"), c("_g_date"), c("_g_text"), T.second_chunk(c("_g_text")))
 
 
-def piaui_lane(d: DataFrame, cond: Column, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
+def piaui_lane(d: DataFrame, cond: Column, rules: RuleSet, b: str = "_b", html: str = "html", n: str = "_n") -> DataFrame:
     """First container with > 200 chars, else the last one found, else the page body."""
     c = F.col
     ln = lambda x: F.when(x.isNotNull(), el_lines(c(n), x))
-    title = T.py_strip(F.coalesce(ln(first(c(b), lambda x: x["tag"] == "h1")), F.lit("")))
-    found = F.array_compact(F.array(*[T.py_strip(ln(first(c(b), matcher(s)))) for s in PIAUI_BODY]))
+    one = lambda role, k=None: first(c(b), lambda x: rules.meets(x, "piaui", role, k))
+    title = T.py_strip(F.coalesce(ln(one("title")), F.lit("")))
+    found = F.array_compact(F.array(*[T.py_strip(ln(one("body", k))) for k in rules.ords("piaui", "body")]))
     d = _staged(d, cond, [("_p_title", title), ("_p_found", found)])
     body = F.coalesce(F.try_element_at(F.filter(c("_p_found"), lambda t: F.length(t) > 200), F.lit(1)),
                       F.try_element_at(c("_p_found"), F.lit(-1)), F.lit(""))
     d = _staged(d, cond, [("_p_body", body)])
-    d = _staged(d, cond, [("_p_body", F.when(c("_p_body") == "", F.coalesce(
-        ln(first(c(b), lambda x: x["tag"] == "body")), F.lit(""))).otherwise(c("_p_body")))])
+    d = _staged(d, cond, [("_p_body", F.when(c("_p_body") == "", F.coalesce(ln(one("page")), F.lit(""))).otherwise(c("_p_body")))])
     text = F.when(c("_p_title") != "", T.py_strip(F.concat(c("_p_title"), F.lit("\n\n"), c("_p_body")))) \
         .otherwise(c("_p_body"))
     return _outputs(d, cond, "_p", c("_p_title"), F.lit(""), text, F.substring(c("_p_body"), 1, 300))
@@ -220,19 +173,19 @@ LANE_FUNCS = {"folha": (folha_lane, "_f"), "globo": (globo_lane, "_g"), "piaui":
 
 
 def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_chars: str = "min_chars",
-                 parsed: str | None = None) -> DataFrame:
+                 parsed: str | None = None, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """X18 for DOM lanes: the block array is built once per page, then the lane's rules.
 
-    ``parsed`` names a column already holding :func:`html_page` of the page
+    ``parsed`` names a column already holding :func:`html_page` of the page with the same ``rules``
     (so one parse serves several lanes of the same page).
     """
     cols = [c for c in df.columns if c != parsed]
-    d = df if parsed else df.withColumn("_pg", html_page(F.col(html)))
+    d = df if parsed else df.withColumn("_pg", html_page(F.col(html), rules))
     pg = F.col(parsed or "_pg")
     d = d.withColumn("_b", pg["els"]).withColumn("_n", pg["nodes"]).withColumn("_failed", pg["failed"]).drop(parsed or "_pg")
     lane_c = F.col(lane)
     for name, (fn, _) in LANE_FUNCS.items():
-        d = fn(d, lane_c == name, "_b", html, "_n")
+        d = fn(d, lane_c == name, rules, "_b", html, "_n")
     pick = {k: F.coalesce(*[F.col(f"`{p}.{k}`") for _, p in LANE_FUNCS.values()])
             for k in ("title", "date", "text", "summary")}
     d = d.select(*cols, "_failed", *[v.alias(k) for k, v in pick.items()])
@@ -241,40 +194,41 @@ def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_char
     return d.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_failed")
 
 
-def result_items(pages: DataFrame, html: str = "html") -> DataFrame:
+def links(pages: DataFrame, html: str = "html", rules: RuleSet = DEFAULT_RULES, item: tuple[str, str] = ("folha", "item")) -> DataFrame:
+    """The link table of captured pages, one parse each: every ``<a href>`` in document order with its
+    decoded href, its text and the number of the result item around it (0: none)."""
+    keep = [c for c in pages.columns if c != html]
+    d = pages.select(*keep, html_page(F.col(html), rules, item).alias("_pg"))
+    d = d.select(*keep, F.col("_pg.nodes").alias("_n"), F.filter("_pg.els", lambda x: (x["tag"] == "a") & x["href"].isNotNull()).alias("_a"))
+    d = d.select(*keep, F.posexplode(F.transform("_a", lambda x: F.struct(
+        x["href"].alias("href"), el_text(F.col("_n"), x).alias("title"), x["item"].alias("item"), x["ord"].alias("ord")))).alias("a_pos", "_x"))
+    return d.select(*keep, (F.col("a_pos") + 1).cast("long").alias("a_pos"), "_x.*")
+
+
+def result_items(pages: DataFrame, html: str = "html", rules: RuleSet = DEFAULT_RULES, outlet: str = "folha",
+                 domain: str = RESULT_DOMAIN) -> DataFrame:
     """Result-list items -> (item_pos, url, title, date).
 
-    Each element is tagged with its nearest enclosing result item (an
-    ancestor lookup against the page's item set, linear in the page), the
-    link and date elements are exploded and combined per item by a grouped
-    aggregate: href / title are the last non-empty ones among the item's
-    links to the domain (document order), the date the first date element.
+    The parse gives every element the number of the item around it, so a page costs its length,
+    whatever number of items it has.  Links and dates are combined per item by a grouped aggregate: href / title
+    are the last non-empty ones among the item's links to the domain (document order), the date
+    the first date element.
     """
     keep = [c for c in pages.columns if c != html]
-    d = pages.select(*keep, html_page(F.col(html)).alias("_pg"))
+    d = pages.select(*keep, html_page(F.col(html), rules, (outlet, "item")).alias("_pg"))
     d = d.select(*keep, F.col("_pg.els").alias("_b"), F.col("_pg.nodes").alias("_n"))
-    d = d.withColumn("_items", dropped_roots(F.col("_b"), [RESULT_ITEM]))
-    nodes, items = F.col("_n"), F.col("_items")
-    holders = lambda x: F.filter(items, lambda i: inside(x, i))
-
-    def tag_item(x):
-        is_link = (x["tag"] == "a") & F.contains(F.coalesce(x["href"], F.lit("")), F.lit(RESULT_DOMAIN))
-        return F.struct(F.array_max(F.transform(holders(x), lambda i: i["ord"])).alias("item"), x["ord"].alias("ord"),
-                        is_link.alias("is_link"), any_of(x, RESULT_DATE).alias("is_date"),
-                        x["href"].alias("href"), el_text(nodes, x).alias("text"))
-
-    cand = F.filter("_b", lambda x: ((x["tag"] == "a") | any_of(x, RESULT_DATE))
-                    & F.exists(items, lambda i: inside(x, i)))
-    e = d.where(F.size("_items") > 0).select(*keep, "_items", F.explode(F.transform(cand, tag_item)).alias("x"))
-    e = e.select(*keep, F.array_position("_items.ord", F.col("x.item")).alias("item_pos"), "x.*")
-    e = e.where(F.col("is_link") | F.col("is_date"))
+    is_link, is_date = (lambda x, r=r: rules.meets(x, outlet, r) for r in ("item_link", "item_date"))
+    cand = F.filter("_b", lambda x: (x["item"] > 0) & (is_link(x) | is_date(x)))
+    e = d.select(*keep, F.explode(F.transform(cand, lambda x: F.struct(
+        x["item"].alias("item_pos"), x["ord"].alias("ord"), is_link(x).alias("is_link"), is_date(x).alias("is_date"),
+        x["href"].alias("href"), el_text(F.col("_n"), x).alias("text")))).alias("x")).select(*keep, "x.*")
     g = e.groupBy(*keep, "item_pos").agg(
         F.max_by(F.when(F.col("is_link") & (F.col("href") != ""), F.col("href")),
                  F.when(F.col("is_link") & (F.col("href") != ""), F.col("ord"))).alias("href"),
         F.max_by(F.when(F.col("is_link") & (F.col("text") != ""), F.col("text")),
                  F.when(F.col("is_link") & (F.col("text") != ""), F.col("ord"))).alias("title"),
         F.min_by(F.when(F.col("is_date"), F.col("text")), F.when(F.col("is_date"), F.col("ord"))).alias("date_str"))
-    g = g.where(F.col("href").isNotNull() & F.col("title").isNotNull() & F.col("href").contains(RESULT_DOMAIN))
+    g = g.where(F.col("href").isNotNull() & F.col("title").isNotNull() & F.col("href").contains(domain))
     return g.select(*keep, F.col("item_pos").cast("long").alias("item_pos"),
                     T.url_drop_query(F.col("href")).alias("url"), F.col("title"),
                     T.pt_dotted_month(F.coalesce(F.col("date_str"), F.lit(""))).alias("date"))

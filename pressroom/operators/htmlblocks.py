@@ -1,12 +1,13 @@
 """The HTML block table - one struct per element of a page.
 
-The only Python on the extraction path: an Arrow-batched ``pandas_udf`` that
-tokenises each page with the standard-library ``html.parser`` into an array
-of element structs (start order, end order, depth, tag, classes, a few attributes,
-text range); containment is a test on orders, so an element costs the same at any depth.  Every outlet rule on top - which subtrees are removed,
-which container is the body, which blocks are kept - is a Spark
-higher-order-function expression over that array (:mod:`domlanes`), so it
-runs per row in the JVM with no shuffle.
+The only Python on the extraction path: an Arrow UDF that reads each page once with the
+standard-library ``html.parser`` into an array of element structs (start order, end order, depth, tag,
+classes, a few attributes, text range) with what the one pass knows besides: the selector rules
+(:mod:`selectors`) that the element meets (``rules``), those met by it or anything around it
+(``under``), and the number of the nearest item element around it (``item``, 0 for none).  So "is it
+dropped", "is it the container" and "which result item is it in" are one number per element, at any
+depth.  The rules' use on top is Spark higher-order functions over that array (:mod:`domlanes`), per
+row in the JVM with no shuffle.
 
 Text is stored once per page: ``nodes`` holds the page's text nodes
 (stripped, empty ones skipped; script / style bodies and comments are not
@@ -24,7 +25,9 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from pressroom.operators.selectors import RuleSet
 
 BLOCK = StructType([
     StructField("ord", IntegerType()),
@@ -38,6 +41,9 @@ BLOCK = StructType([
     StructField("itemprop", StringType()),
     StructField("n0", IntegerType()),
     StructField("n1", IntegerType()),
+    StructField("rules", LongType()),        # rules that the element meets, a bit each
+    StructField("under", LongType()),        # rules met by it or an element around it
+    StructField("item", IntegerType()),      # number of the nearest item element around it, from 1; 0: none
 ])
 BLOCKS = ArrayType(BLOCK)
 PAGE = StructType([StructField("nodes", ArrayType(StringType())), StructField("els", BLOCKS),
@@ -48,14 +54,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset(("script", "style"))
 
 
-FIELDS = ("ord", "tag", "cls", "end", "depth", "href", "prop", "content", "itemprop", "n0", "n1")
+FIELDS = ("ord", "tag", "cls", "end", "depth", "href", "prop", "content", "itemprop", "n0", "n1", "rules", "under", "item")
 
 
 class _Tokens(HTMLParser):
     """Elements as tuples in FIELDS order (n1 filled when the element closes)."""
 
-    def __init__(self):
+    def __init__(self, rules: RuleSet | None = None, item: int = 0):
         super().__init__(convert_charrefs=True)
+        self.rules, self.item, self.items = rules, item, 0
+        self.carried: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]   # of open elements: own bits, bits so far, rules so far, item
         self.els: list[list] = []
         self.stack: list[int] = []
         self.texts: list[str] = []
@@ -74,11 +82,20 @@ class _Tokens(HTMLParser):
         a = dict(attrs)
         i = len(self.els)
         n = len(self.texts)
-        self.els.append([i, tag, (a.get("class") or "").split(), i + 1 if void else None, len(self.stack),
+        classes = (a.get("class") or "").split()
+        parent, above, under, item = self.carried[-1]
+        own = rules = 0
+        if self.rules is not None:
+            own, rules = self.rules.step(tag, classes, a, parent, above)
+        self.els.append([i, tag, classes, i + 1 if void else None, len(self.stack),
                          a.get("href"), a.get("property"), a.get("content"), a.get("itemprop"),
-                         n, n if void else None])
+                         n, n if void else None, rules, under | rules, item])
+        if rules & self.item:
+            self.items += 1
+            item = self.items
         if not void:
             self.stack.append(i)
+            self.carried.append((own, above | own, under | rules, item))
             if tag in RAW:
                 self.raw += 1
 
@@ -96,6 +113,7 @@ class _Tokens(HTMLParser):
                 n = len(self.texts)
                 while len(st) > depth:
                     e = self.els[st.pop()]
+                    self.carried.pop()
                     e[3], e[10] = len(self.els), n
                     if e[1] in RAW:
                         self.raw -= 1
@@ -117,12 +135,12 @@ class _Tokens(HTMLParser):
         return self.texts, self.els
 
 
-def parse_page(html: str | None) -> tuple[list[str], list[list], bool]:
+def parse_page(html: str | None, rules: RuleSet | None = None, item: int = 0) -> tuple[list[str], list[list], bool]:
     """(text nodes, element tuples, whether the tokenizer gave up on the page).  A page it gave
     up on holds what was read so far; no lane takes it for an extracted page."""
     if not html:
         return [], [], False
-    p = _Tokens()
+    p = _Tokens(rules, item)
     try:
         p.feed(html)
         p.close()
@@ -149,19 +167,19 @@ def _list(offsets, values):
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def pages_to_arrow(htmls) -> pa.StructArray:
+def pages_to_arrow(htmls, rules: RuleSet | None = None, item: int = 0) -> pa.StructArray:
     """Parse a batch of pages into the PAGE struct, column by column."""
     n_off, n_val = [0], []
     e_off = [0]
     cols: list[list] = [[] for _ in FIELDS]
     cls_off, cls_val, failed = [0], [], []
     for h in htmls:
-        texts, els, bad = parse_page(h)
+        texts, els, bad = parse_page(h, rules, item)
         failed.append(bad)
         n_val.extend(texts)
         n_off.append(len(n_val))
         for e in els:
-            for j in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10):
+            for j in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13):
                 cols[j].append(e[j])
             cls_val.extend(e[2])
             cls_off.append(len(cls_val))
@@ -171,20 +189,23 @@ def pages_to_arrow(htmls) -> pa.StructArray:
         pa.array(cols[0], i32), pa.array(cols[1], s), _list(cls_off, pa.array(cls_val, s)),
         pa.array(cols[3], i32), pa.array(cols[4], i32), pa.array(cols[5], s), pa.array(cols[6], s),
         pa.array(cols[7], s), pa.array(cols[8], s), pa.array(cols[9], i32), pa.array(cols[10], i32),
+        pa.array(cols[11], pa.int64()), pa.array(cols[12], pa.int64()), pa.array(cols[13], i32),
     ]
     els = pa.StructArray.from_arrays(children, names=list(FIELDS))
     return pa.StructArray.from_arrays([_list(n_off, pa.array(n_val, s)), _list(e_off, els),
                                        pa.array(failed, pa.bool_())], names=["nodes", "els", "failed"])
 
 
-@F.arrow_udf(PAGE)
-def _page_udf(html: pa.Array) -> pa.Array:
-    return pages_to_arrow(html.to_pylist())
+def html_page(html, rules: RuleSet | None = None, item: tuple[str, str] | None = None) -> Column:
+    """struct<nodes: array<string>, els: array<BLOCK>, failed: boolean> of a page.  With ``rules`` elements carry the
+    rules they meet; ``item`` names the (outlet, role) whose elements are numbered as items."""
+    bit = rules.bit(*item) if rules is not None and item else 0
 
+    def parse(col):
+        return pages_to_arrow(col.to_pylist(), rules, bit)
 
-def html_page(html) -> Column:
-    """struct<nodes: array<string>, els: array<BLOCK>, failed: boolean> of a page."""
-    return _page_udf(F.col(html) if isinstance(html, str) else html)
+    parse.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(parse, PAGE)(F.col(html) if isinstance(html, str) else html)
 
 
 def inside(x: Column, container: Column) -> Column:

@@ -341,8 +341,7 @@ def q_anchor_list(spark, sf_dir):
 
     pages = load(spark, sf_dir, "pages").select(
         T.url_host("url").alias("search"),
-        F.regexp_extract("url", r"/([0-9]+)", 1).try_cast("int").alias("page_no"), "html"
-    ).where(F.col("page_no").isNotNull())
+        F.coalesce(F.regexp_extract("url", r"/([0-9]+)", 1).try_cast("long"), F.col("page_id")).alias("page_no"), "html")
     links = section_links(pages, ("/t", "/a", "/e"), "https://www.migalhas.com.br", "migalhas.com.br")
     out = dedup_pages_then_stop(links.select("search", "page_no", "a_pos", "url", "title"),
                                 pages.select("search", "page_no"), ["search"])
@@ -809,10 +808,12 @@ def q_html_blocks(spark, sf_dir):
 
 
 def _dom(spark, sf_dir, lane: str, min_chars: int):
-    from pressroom.operators.domlanes import dom_dispatch
+    from pressroom.operators.domlanes import RULES, dom_dispatch
+    from pressroom.operators.selectors import rules_from_df
 
+    rules = rules_from_df(spark.createDataFrame(RULES, "outlet string, role string, ord int, selector string"))
     d = doc_article_html(spark, sf_dir).withColumn("lane", F.lit(lane)).withColumn("min_chars", F.lit(min_chars))
-    out = dom_dispatch(d)
+    out = dom_dispatch(d, rules=rules)
     return out.select("doc_id", "title", "date", "summary", "ok", F.length("text").cast("long").alias("n_chars"))
 
 

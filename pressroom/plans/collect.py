@@ -79,11 +79,11 @@ def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> D
     out = LN.regex_dispatch(regex, "lane", "html", "url", "min_chars")
     out = out.withColumn("ok", F.col("ok") & (F.col("html") != "")).select(*cols)
     if with_dom:
-        from pressroom.operators.domlanes import dom_dispatch
+        from pressroom.operators.domlanes import DEFAULT_RULES, dom_dispatch
         from pressroom.operators.htmlblocks import html_page
         # each page is parsed once, whatever number of DOM lanes asks for it
         dom = d.withColumn("_lanes", of(LN.DOM_LANES)).where(F.size("_lanes") > 0)
-        dom = each(dom.withColumn("_pg", html_page(F.col("html"))))
+        dom = each(dom.withColumn("_pg", html_page(F.col("html"), DEFAULT_RULES)))
         out = out.unionByName(dom_dispatch(dom, parsed="_pg").select(*cols))
     return out
 

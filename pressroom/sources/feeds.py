@@ -26,7 +26,6 @@ STRICT_LINK_RX = r"<link>(https://[^<]+)</link>"
 SITEMAP_INDEX_RX = r"<loc>(https://oglobo\.globo\.com/sitemap/oglobo/([0-9]{4})/[0-9]{2}/[0-9]{2}_[0-9]+\.xml)</loc>"
 SITEMAP_HOST_RX = r"<loc>(https://oglobo\.globo\.com/[^<]+)</loc>"
 SITEMAP_ANY_RX = r"<loc>[\t\n\x0B\f\r ]*(https?://[^<]+)[\t\n\x0B\f\r ]*</loc>"
-ANCHOR_RX = r'(?s)<a[\t\n\f\r ][^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 # Topic-page article links and their sections.
 TOPIC_RX = r'href="(https://www\.estadao\.com\.br/(?:politica|brasil|economia)/[^"]+)"'
 
@@ -99,21 +98,13 @@ def sitemap_urls(feeds: DataFrame, xml: str = "xml", pattern: str = SITEMAP_HOST
     return d
 
 
-def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All ``<a href>`` of each body with link text (tags removed, stripped)."""
-    keep = _keep(pages, [html])
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR_RX), F.lit(1))
-    texts = F.regexp_extract_all(F.col(html), F.lit(ANCHOR_RX), F.lit(2))
-    d = pages.select(*keep, F.posexplode(F.arrays_zip(hrefs.alias("h"), texts.alias("t"))).alias("a_pos", "_a"))
-    return d.select(*keep, (F.col("a_pos") + 1).cast("long").alias("a_pos"), F.col("_a.h").alias("href"),
-                    T.py_strip(F.regexp_replace(F.col("_a.t"), r"<[^>]+>", "")).alias("title"))
-
-
 def section_links(pages: DataFrame, sections: Iterable[str], base: str, domain: str,
                   html: str = "html") -> DataFrame:
-    """S9 + F5 + F6: anchors under the given sections, made absolute, on the domain."""
-    a = anchors(pages, html)
-    a = a.where(T.contains_any("href", sections))
+    """S9 + F5 + F6: links of the parsed pages (entities decoded, any quoting) under the given sections, made
+    absolute, on the domain."""
+    from pressroom.operators.domlanes import links
+
+    a = links(pages, html).drop("item", "ord").where(T.contains_any("href", sections))
     a = a.withColumn("url", T.url_absolute("href", base))
     return a.where(F.col("url").contains(domain)).drop("href")
 
