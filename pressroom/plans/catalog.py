@@ -977,3 +977,87 @@ def q_collect_dom(spark, sf_dir):
     res = collect(stubs, pages.select("url", "html"), sel, known, with_dom=True)
     return res.articles.join(res.texts.select("row_num", F.length("text").cast("long").alias("n_chars")),
                              "row_num", "left")
+
+
+# ------------------------------------------------------------------ discovery from captured bodies
+
+FEED_QUERY, FEED_PAGES, FEED_YEAR = "Tribunal, sentença", 3, 2026
+
+
+def captured_bodies(spark, sf_dir) -> DataFrame:
+    """Captured bodies of all six outlets, built from each document's id and language: feeds with wrapped and foreign
+    links, section links on five pages, strict items and topic links, dated sitemaps and their
+    index, result lists, blank-padded sitemaps."""
+    d, lang = F.col("doc_id").cast("string"), F.col("lang")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    cat = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    page = (F.pmod("doc_id", F.lit(5)) + 1).cast("int")
+    day = cat("https://oglobo.globo.com/sitemap/oglobo/", (F.pmod("doc_id", F.lit(27)) + 2000).cast("string"), "/01/02_", d, ".xml")
+    title = F.when(lang == "en", cat("<title><![CDATA[Sentença do Tribunal ", d, "]]></title>")).when(
+        lang == "fr", cat("<title>Sentença do Tribunal ", d, "</title>")).otherwise(cat("<title><![CDATA[Tribunal ", d, "]]></title>"))
+    head = F.when(lang == "de", "").otherwise(cat("Manchete &amp; ", d))
+    bodies = [
+        ("conjur", "rss", cat("rss", d), F.lit(1), cat(
+            "<item><title>C ", d, "</title><link>https://www.conjur.com.br/", d, "</link><pubDate>Tue, 05 Mar 2024 23:30:00 -0300</pubDate></item>"
+            "<item><title>W</title><link>https://news.google.com/rss/articles/", d, "</link></item>"
+            "<item><title>F</title><link>https://other.example/", d, "</link></item>")),
+        ("migalhas", "results", cat("m", d), page, cat(
+            "<p><a href='/quentes/?n=", F.pmod("doc_id", F.lit(50)).cast("string"), "&amp;x'>Q</a><a href=\"/depeso/", d, "\">D <b>", d,
+            "</b></a><a href=/outra/", d, ">O</a></p>")),
+        ("estadao", "rss", cat("e", d), F.lit(1), cat("<item>", title, "<link>https://www.estadao.com.br/", lang, "/", d, "</link></item>")),
+        ("estadao", "topic", cat("t", d), F.lit(1), cat(
+            '<a href="https://www.estadao.com.br/politica/', lang, "/tribunal-", d, '/">a</a><a href="https://www.estadao.com.br/esportes/', lang,
+            "/tribunal-", d, '/">b</a><a href="https://www.estadao.com.br/brasil/', lang, "/outro-", d, '/">c</a>')),
+        ("globo", "sitemap_index", cat("i", d), F.lit(1), cat("<loc>", day, "</loc>")),
+        ("globo", "sitemap", day, F.lit(1), cat(
+            "<loc>https://oglobo.globo.com/", lang, "/tribunal-", F.pmod("doc_id", F.lit(100)).cast("string"),
+            "</loc><loc>https://oglobo.globo.com/outra-", d, "</loc>")),
+        ("folha", "results", cat("f", d), page, cat(
+            "<ol><li class='c-headline'><a href='https://www1.folha.uol.com.br/", d, ".shtml?o=1'>", head, "</a><time>12.mar.2024</time></li></ol>")),
+        ("piaui", "sitemap", cat("p", d), F.lit(1), cat(
+            "<loc> https://piaui.folha.uol.com.br/", lang, "-TRIBUNAL-", d, " </loc><loc>https://piaui.folha.uol.com.br/x", d, "</loc>")),
+    ]
+    made = F.array(*[F.struct(f.alias("feed_id"), F.lit(o).alias("outlet_key"), F.lit(k).alias("kind"), p.alias("page_no"), x.alias("xml"))
+                     for o, k, f, p, x in bodies])
+    return docs.where(lang.isNotNull() & F.col("doc_id").isNotNull()).select(F.explode(made).alias("b")).select("b.*")
+
+
+def captured_redirects(spark, sf_dir) -> DataFrame:
+    """Wrapped links of English documents lead to the outlet in two hops, others to another site."""
+    d = F.col("doc_id").cast("string")
+    docs = load(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    first = F.concat(F.lit("https://news.google.com/rss/articles/"), d)
+    then = F.concat(F.lit("https://short.example/"), d)
+    last = F.when(F.col("lang") == "en", F.concat(F.lit("https://www.conjur.com.br/w/"), d)).otherwise(F.concat(F.lit("https://foreign.example/"), d))
+    pairs = F.array(F.struct(first.alias("from_url"), then.alias("to_url")), F.struct(then.alias("from_url"), last.alias("to_url")))
+    return docs.select(F.explode(pairs).alias("r")).select("r.*").distinct()
+
+
+def _discover(key: str):
+    def query(spark, sf_dir):
+        from pressroom.plans.discover import search
+
+        return search(captured_bodies(spark, sf_dir), key, FEED_QUERY, FEED_PAGES, FEED_YEAR, captured_redirects(spark, sf_dir))
+
+    query.__name__ = f"q_discover_{key}"
+    query.__doc__ = f"N1-N3, U2, U4: the search of {key}, compiled from its rule rows, over captured bodies."
+    return query
+
+
+DISCOVER = {k: _discover(k) for k in ("conjur", "migalhas", "estadao", "globo", "folha", "piaui")}
+
+
+def q_collect_from_feeds(spark, sf_dir):
+    """collect from discovery to audit: all six searches, novelty against a store of Spanish pages, pages captured for
+    French documents of the first outlet; hits, new and added by outlet."""
+    from pressroom.plans.collect import collect
+    from pressroom.plans.discover import search_all
+
+    docs = load(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
+    url = F.concat(F.lit("https://www.conjur.com.br/"), F.col("doc_id").cast("string"))
+    store = docs.where("lang = 'es'").select((F.col("doc_id") + 1).alias("row_num"), url.alias("url")).distinct()
+    pages = docs.where("lang = 'fr'").select(url.alias("url"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), F.lit(400)), F.lit("</p>")).alias("html"))
+    stubs, notes = search_all(captured_bodies(spark, sf_dir), FEED_QUERY, list(DISCOVER), FEED_PAGES, FEED_YEAR, captured_redirects(spark, sf_dir))
+    sel = select_outlets(outlets_df(spark), ",".join(DISCOVER))
+    res = collect(stubs, pages.distinct(), sel, store, run_id="run", max_pages=FEED_PAGES, notes=notes)
+    return res.outlet_results.select("outlet", "hits", "new", "added")

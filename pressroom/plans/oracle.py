@@ -833,3 +833,40 @@ def collect_dom() -> str:
     SELECT row_number() OVER (ORDER BY sel_ord, doc_id) AS row_num, date, outlet, title, url, '' AS theme,
            coalesce(summary, '') AS summary, 'no' AS paywalled, n_chars
       FROM w WHERE rn = 1"""
+
+
+# What the captured bodies hold, said directly: one row for each stub a search must find.
+FOUND = {
+    "conjur": """SELECT 1 AS page_no, 'rss' || doc_id AS feed, 1::BIGINT AS stub_ord, 'https://www.conjur.com.br/' || doc_id AS url, 'C ' || doc_id AS title, '2024-03-05' AS date FROM d
+      UNION ALL SELECT 1, 'rss' || doc_id, 2, 'https://www.conjur.com.br/w/' || doc_id, 'W', '' FROM d WHERE lang = 'en'""",
+    "migalhas": """SELECT page_no, feed, stub_ord, url, title, '' AS date FROM (
+        SELECT 1 + doc_id % 5 AS page_no, 'm' || doc_id AS feed, 1::BIGINT AS stub_ord, 'https://www.migalhas.com.br/quentes/?n=' || (doc_id % 50) || '&x' AS url, 'Q' AS title FROM d
+        UNION ALL SELECT 1 + doc_id % 5, 'm' || doc_id, 2, 'https://www.migalhas.com.br/depeso/' || doc_id, 'D' || doc_id FROM d)
+      WHERE page_no <= 3 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_no, feed, stub_ord) = 1""",
+    "estadao": """SELECT 1 AS page_no, 'e' || doc_id AS feed, 1::BIGINT AS stub_ord, 'https://www.estadao.com.br/' || lang || '/' || doc_id AS url, '' AS title, '' AS date FROM d WHERE lang = 'en'
+      UNION ALL SELECT 2, 't' || doc_id, 1, 'https://www.estadao.com.br/politica/' || lang || '/tribunal-' || doc_id || '/', '', '' FROM d""",
+    "globo": """SELECT 1 AS page_no, 'https://oglobo.globo.com/sitemap/oglobo/' || (2000 + doc_id % 27) || '/01/02_' || doc_id || '.xml' AS feed, 1::BIGINT AS stub_ord,
+        'https://oglobo.globo.com/' || lang || '/tribunal-' || (doc_id % 100) AS url, '' AS title, '' AS date FROM d
+      WHERE doc_id % 27 >= 24 QUALIFY row_number() OVER (PARTITION BY url ORDER BY feed) = 1""",
+    "folha": """SELECT 1 + doc_id % 5 AS page_no, 'f' || doc_id AS feed, 1::BIGINT AS stub_ord, 'https://www1.folha.uol.com.br/' || doc_id || '.shtml' AS url,
+        'Manchete & ' || doc_id AS title, '2024-03' AS date FROM d WHERE lang <> 'de' AND doc_id % 5 < 3""",
+    "piaui": """SELECT 1 AS page_no, 'p' || doc_id AS feed, 1::BIGINT AS stub_ord, 'https://piaui.folha.uol.com.br/' || lang || '-TRIBUNAL-' || doc_id || ' ' AS url,
+        '' AS title, '' AS date FROM d""",
+}
+DOCS = "d AS (SELECT doc_id, lang FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL)"
+
+
+def discover(key: str):
+    def sql() -> str:
+        return f"WITH {DOCS} SELECT '{key}' AS outlet_key, CAST(page_no AS INT) AS page_no, feed, stub_ord, url, title, date FROM ({FOUND[key]})"
+
+    return sql
+
+
+def collect_from_feeds() -> str:
+    names = {"conjur": "Conjur", "migalhas": "Migalhas", "estadao": "Estadao", "globo": "O Globo", "folha": "Folha de S.Paulo", "piaui": "piaui"}
+    found = " UNION ALL ".join(f"SELECT '{names[k]}' AS outlet, url FROM ({q})" for k, q in FOUND.items())
+    known = "(SELECT 'https://www.conjur.com.br/' || doc_id FROM documents WHERE doc_id IS NOT NULL AND lang = 'es')"
+    got = "(SELECT 'https://www.conjur.com.br/' || doc_id FROM documents WHERE doc_id IS NOT NULL AND lang = 'fr')"
+    return (f"WITH {DOCS} SELECT outlet, count(*) AS hits, count(*) FILTER (url NOT IN {known}) AS new, count(*) FILTER (url IN {got}) AS added"
+            f" FROM ({found}) GROUP BY outlet")

@@ -23,6 +23,26 @@ OUTLET_ROWS = [
 ]
 GENERIC_MIN_CHARS = 200
 
+# How each outlet is searched, one row for each captured kind of body that it reads, in order.
+# outlet, kind of body, item (how a body gives items), pattern, sections, base, domain, keywords (field that
+# must hold query tokens: '' none, url one, title two or all), exclude, per_page (items of a feed for each page
+# asked for), flags (paged: pages 1..n only; distinct: first seen per URL; stop: at a page that adds
+# nothing; years: only bodies that the index names for the last n years; wrapped: links are resolved;
+# labelled: items keep title and date).
+SEARCH_ROWS = [
+    ("conjur", "rss", "rss", "", "", "", "conjur.com.br", "", "", 25, "wrapped labelled"),
+    ("migalhas", "results", "link", "", "/quentes/ /depeso/", "https://www.migalhas.com.br", "migalhas.com.br", "", "", 0,
+     "paged distinct stop labelled"),
+    ("estadao", "rss", "rss_strict", "", "", "", "", "title", "/pulsa/ /web-stories/ /nutricao/", 0, "distinct"),
+    ("estadao", "topic", "href", r'href="(https://www\.estadao\.com\.br/(?:politica|brasil|economia)/[^"]+)"', "", "", "", "url", "", 0,
+     "distinct"),
+    ("globo", "sitemap", "loc", r"<loc>(https://oglobo\.globo\.com/[^<]+)</loc>", "", "", "", "url", "", 0, "distinct years"),
+    ("folha", "results", "result", "", "", "", "folha.uol.com.br", "", "", 0, "paged stop labelled"),
+    ("piaui", "sitemap", "loc", r"<loc>[\t\n\x0B\f\r ]*(https?://[^<]+)[\t\n\x0B\f\r ]*</loc>", "", "", "", "url", "", 0, ""),
+]
+SEARCH = ("outlet string, kind string, item string, pattern string, sections string, base string, domain string, keywords string, "
+          "exclude string, per_page int, flags string")
+
 # URL-slug keywords the sitemap outlet scans for when none are given.
 DEFAULT_URL_KEYWORDS = [
     "filhotismo", "nepotismo", "parente", "parentesco",
@@ -43,6 +63,16 @@ def outlets_df(spark: SparkSession, rows=OUTLET_ROWS) -> DataFrame:
     return spark.createDataFrame(outlet_rows(rows), OUTLETS)
 
 
+def search_rules_df(spark: SparkSession, rows=SEARCH_ROWS) -> DataFrame:
+    """The search rules as a table; ``src`` is a row's place among those of its outlet."""
+    seen: dict[str, int] = {}
+    out = []
+    for r in rows:
+        seen[r[0]] = seen.get(r[0], 0) + 1
+        out.append((*r, seen[r[0]]))
+    return spark.createDataFrame(out, SEARCH + ", src int")
+
+
 def list_status(outlets: DataFrame) -> DataFrame:
     """name, status, search in registry order."""
     return outlets.orderBy("ord").select("name", "status", "search")

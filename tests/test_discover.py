@@ -55,3 +55,26 @@ def test_search_all(spark):
     res = collect(stubs, pages, select_outlets(outlets_df(spark), "conjur,migalhas"), store, notes=notes,
                   with_dom=False)
     assert [(r.row_num, r.outlet, r.title) for r in res.articles.collect()] == [(1, "Conjur", "Venda de sentença")]
+
+
+def test_another_outlet_is_a_row(spark):
+    """A seventh outlet with two kinds of bodies, by rows alone; an outlet without a row is refused."""
+    import pytest
+
+    from pressroom.sources.outlets import SEARCH_ROWS, search_rules_df
+
+    rows = SEARCH_ROWS + [
+        ("nova", "results", "link", "", "/n/", "https://nova.example", "nova.example", "url", "", 0, "paged distinct labelled"),
+        ("nova", "sitemap", "loc", "<loc>(https://nova[.]example/[^<]+)</loc>", "", "", "", "url", "", 0, "distinct"),
+    ]
+    feeds = spark.createDataFrame([
+        ("a", "nova", "results", 1, "<a href='/n/venda-1'>Um</a><a href='/n/outro'>Dois</a>"),
+        ("b", "nova", "results", 3, "<a href='/n/venda-3'>Longe</a>"),
+        ("c", "nova", "sitemap", 1, "<loc>https://nova.example/n/venda-1</loc><loc>https://nova.example/n/venda-2</loc>"),
+    ], "feed_id string, outlet_key string, kind string, page_no int, xml string")
+    stubs, notes = search_all(feeds, "venda", ["nova", "piaui"], max_pages=2, search_rules=search_rules_df(spark, rows))
+    got = sorted((r.outlet_key, r.page_no, r.feed, r.url, r.title) for r in stubs.collect())
+    assert got == [("nova", 1, "a", "https://nova.example/n/venda-1", "Um"), ("nova", 2, "c", "https://nova.example/n/venda-2", "")]
+    assert [r.outlet_key for r in notes.collect()] == ["piaui"]
+    with pytest.raises(KeyError):
+        search_all(feeds, "venda", ["nova"])
