@@ -39,6 +39,7 @@ from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, Key
 SKETCH = 24         # log2 of the counters: rarity
 LOCAL, HOT = 4, 32  # a counter is told by a task from LOCAL on, and counts as frequent from HOT on in all
 MAP_BITS = 1024     # bit map of a set
+COUNTED = 600       # a larger set fills its bit map, so it also has counts of its shingles in as many buckets (a byte each)
 
 
 def _shingles(batch: pa.RecordBatch, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +122,7 @@ def _unpacked(sent) -> np.ndarray:
 
 
 def _listed(docs: DataFrame, k: int, freq: np.ndarray, share: tuple[int, int]) -> DataFrame:
-    """k, id, n, digest of the set, its listed shingles and bit map."""
+    """k, id, n, digest of the set, its listed shingles, bit map and (if large) counts."""
     kind = docs.schema["id"].dataType.simpleString()
     sent = _tasks_array(docs.sparkSession, freq)
     num, den = share
@@ -131,9 +132,10 @@ def _listed(docs: DataFrame, k: int, freq: np.ndarray, share: tuple[int, int]) -
         for b in slices(batches, "text", 1 << 20):
             rows, g, bounds = _sets(b, "text", k, table)
             n = np.diff(bounds)
-            maps = np.zeros((b.num_rows, MAP_BITS), bool)
-            maps[rows, (g & U64(MAP_BITS - 1)).astype(np.int64)] = True
-            maps = np.packbits(maps, axis=1)
+            at = rows.astype(np.int64) * MAP_BITS + (g & U64(MAP_BITS - 1)).astype(np.int64)
+            counts = np.minimum(np.bincount(at, minlength=b.num_rows * MAP_BITS), 255).astype(np.uint8).reshape(-1, MAP_BITS)
+            maps = np.packbits(counts > 0, axis=1)
+            wide = pa.array([c.tobytes() if m > COUNTED else None for c, m in zip(counts, n.tolist())], pa.binary())
             data, heads, digests = memoryview(np.ascontiguousarray(g)).cast("B"), [], []
             for a, c in zip(bounds[:-1].tolist(), n.tolist()):
                 p = c - -(-num * c // den) + 1 if c else 0
@@ -141,9 +143,9 @@ def _listed(docs: DataFrame, k: int, freq: np.ndarray, share: tuple[int, int]) -
                 digests.append(digest16(data[8 * a: 8 * (a + c)]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(heads, pa.binary()),
-                 pa.array([m.tobytes() for m in maps], pa.binary())], names=["k", "id", "n", "digest", "listed", "map"])
+                 pa.array([m.tobytes() for m in maps], pa.binary()), wide], names=["k", "id", "n", "digest", "listed", "map", "wide"])
 
-    return docs.select("k", "id", "text").mapInArrow(run, f"k long, id {kind}, n long, digest binary, listed binary, map binary")
+    return docs.select("k", "id", "text").mapInArrow(run, f"k long, id {kind}, n long, digest binary, listed binary, map binary, wide binary")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def _entries(sets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Those of the distinct pairs (a, b) that reach the threshold."""
     num, den = share
-    maps = sets.select("k", "n", "map")
+    maps = sets.select("k", "n", "map", "wide")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,11 +205,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
             apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
             total = b.column(2).to_numpy() + b.column(3).to_numpy()
             # inter >= num/den * union  <=>  difference * (num + den) <= total * (den - num)
-            ok = pa.array(apart * (num + den) <= total * (den - num))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(ok)
-
-    side = lambda c: maps.select(F.col("k").alias(c), F.col("n").alias("n" + c), F.col("map").alias("m" + c))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(near, "a long, b long")
+            ok = apart * (num + den) <= total * (den - num)
+            # counts differ by no more than the sets do, and do not fill up as bits do
+            both = np.flatnonzero(ok & b.column(6).is_valid().to_numpy(False) & b.column(7).is_valid().to_numpy(False))
+            if len(both):
+                x, y = (np.frombuffer(b"".join(b.column(i).take(pa.array(both)).to_pylist()), np.uint8).reshape(len(both), -1) for i in (6, 7))
+                apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+                ok[both] = apart * (num + den) <= total[both] * (den - num)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    side = lambda c: maps.select(F.col("k").alias(c), F.col("n").alias("n" + c), F.col("map").alias("m" + c), F.col("wide").alias("w" + c))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb", "wa", "wb").mapInArrow(near, "a long, b long")
     close = stored(close, "close")
 
     # the whole sets of the documents in question, picked where they are read
@@ -254,7 +262,7 @@ def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds
     reps = filled.join(kinds.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
     lists = _entries(reps).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int"))
     lists = stored(lists, "lists")
-    reps = filled.select("k", "n", "map").dropDuplicates(["k"])
+    reps = filled.select("k", "n", "map", "wide").dropDuplicates(["k"])
 
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
