@@ -184,6 +184,26 @@ def q_route_host(spark, sf_dir):
                         route("url", _pairs(), "longest").alias("outlet_longest"))
 
 
+def host_registry(pages: DataFrame) -> DataFrame:
+    """A registry of size: every host of ``pages``, the domain of its last two labels, and one that no host has.  Its
+    order puts domains of even length first, the longer the earlier, then the others, shorter first."""
+    host = T.url_host("url")
+    both = pages.select(F.explode(F.array(host, F.substring_index(host, ".", -2), F.concat(F.lit("x."), host))).alias("domain"))
+    both = both.where("domain <> ''").distinct()
+    n = F.length("domain")
+    return both.select(F.concat(F.lit("k:"), F.col("domain")).alias("key"), F.when(n % 2 == 0, -n).otherwise(n).alias("ord"), "domain")
+
+
+def q_route_table(spark, sf_dir):
+    """Routing of every page against a registry table of all hosts, first match and longest suffix."""
+    from pressroom.operators.route import route_table
+
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    reg = host_registry(pages)
+    d = route_table(route_table(pages, reg, mode="first", col="first_key"), reg, mode="longest", col="longest_key")
+    return d.select("page_id", "first_key", "longest_key")
+
+
 def q_lane_dispatch(spark, sf_dir):
     """Lane chosen per page by routing; unrouted pages take the generic lane."""
     from pressroom.operators.route import route

@@ -144,6 +144,19 @@ def route_host() -> str:
             f"{_route_sql('url', 'longest')} AS outlet_longest FROM pages")
 
 
+def route_table() -> str:
+    host = "lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))"
+    return f"""
+    WITH h AS (SELECT page_id, {host} AS host FROM pages),
+    dom AS (SELECT DISTINCT unnest([host, regexp_extract(host, '([^.]*[.])?[^.]*$'), 'x.' || host]) AS domain FROM h),
+    reg AS (SELECT 'k:' || domain AS key, domain, CASE WHEN length(domain) % 2 = 0 THEN -length(domain) ELSE length(domain) END AS ord FROM dom WHERE domain <> ''),
+    one AS (SELECT DISTINCT host FROM h WHERE host <> ''),
+    f AS (SELECT host, key FROM one JOIN reg ON contains(host, domain) QUALIFY row_number() OVER (PARTITION BY host ORDER BY ord, key) = 1),
+    l AS (SELECT host, key FROM one JOIN reg ON host = domain OR ends_with(host, '.' || domain)
+          QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(domain) DESC, ord, key) = 1)
+    SELECT h.page_id, f.key AS first_key, l.key AS longest_key FROM h LEFT JOIN f ON f.host = h.host LEFT JOIN l ON l.host = h.host"""
+
+
 def lane_dispatch() -> str:
     from pressroom.plans.catalog import TEST_REGISTRY
 

@@ -79,3 +79,18 @@ def test_repair_status_order(spark):
         ["skipped", "skipped", "failed", "fetched", "failed", "failed"]
     assert [r[0] for r in df.select(repair_status("p", "h", "u", "t", overwrite=True)).collect()][:2] == \
         ["skipped", "fetched"]
+
+
+def test_route_table_equals_constant_routing(spark):
+    from pressroom.operators.route import route, route_table
+
+    rows = [("folha", "folha.uol.com.br"), ("piaui", "piaui.folha.uol.com.br"), ("uol", "uol.com.br"), ("com", "com"), ("x", "x.example"), ("ol", "ol.com")]
+    reg = spark.createDataFrame([(k, i, d) for i, (k, d) in enumerate(rows)] + [("later", 99, "uol.com.br"), ("blank", 0, ""), ("none", 0, None)],
+                                "key string, ord int, domain string")
+    urls = ["https://piaui.folha.uol.com.br/a", "http://UOL.com.br", "https://notuol.com.br/x", "//x.example/y", "https://a.x.example:80/", "nope", "", None,
+            "https://other.org/", "https://piaui.folha.uol.com.br/b"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    for mode in ("first", "longest"):
+        want = {r.i: r.k for r in df.select("i", route("url", rows, mode).alias("k")).collect()}
+        assert {r.i: r.k for r in route_table(df, reg, mode=mode, col="k").collect()} == want, mode
+        assert {r.k for r in route_table(df, reg.limit(0), mode=mode, col="k").collect()} == {None}
