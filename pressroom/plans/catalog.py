@@ -52,6 +52,20 @@ def q_collect_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.articles.join(res.texts, "row_num", "left")
 
 
+def q_collect_bucketed(spark, sf_dir):
+    """The flagship over captured pages in a table bucketed by URL: no exchange carries HTML."""
+    import uuid
+
+    from pressroom.plans.collect import collect
+    from pressroom.sources.captures import write_pages
+
+    pages = load(spark, sf_dir, "pages")
+    stored = write_pages(pages, f"captured_pages_{uuid.uuid4().hex}", 16, _scratch(spark, "captured-pages"))
+    sel = select_outlets(outlets_df(spark), "conjur,migalhas,estadao")
+    res = collect(collect_stubs(pages), stored, sel, collect_store(pages), with_dom=False)
+    return res.articles.join(res.texts, "row_num", "left")
+
+
 def _saved(spark, sf_dir):
     """A run committed, a second one that meets its articles in the store, and the first called again."""
     from pressroom.operators.runstore import import_run
@@ -285,11 +299,13 @@ def order_index(spark, sf_dir) -> DataFrame:
 
 
 def q_sitemap_years(spark, sf_dir):
-    """Daily sitemap locations of the index, years 1996..1999."""
+    """Daily sitemap locations of the index, stored by year; years 1996..1999 read back."""
+    from pressroom.sources.captures import read_index, write_index
     from pressroom.sources.feeds import sitemap_index
 
-    d = sitemap_index(order_index(spark, sf_dir), year_from=1996, year_to=1999)
-    return d.select("o_orderkey", "loc_pos", "loc", "year")
+    path = _scratch(spark, "sitemap-index")
+    write_index(sitemap_index(order_index(spark, sf_dir)), path)
+    return read_index(spark, path, 1996, 1999).select("o_orderkey", "loc_pos", "loc", "year")
 
 
 def page_sitemaps(pages: DataFrame) -> DataFrame:

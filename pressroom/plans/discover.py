@@ -1,7 +1,8 @@
 """Discovery over captured bodies -> one stub table (the search step of collect).
 
 ``feeds`` holds the captured bodies: ``feed_id, outlet_key, kind, page_no, xml`` with ``kind``
-one of ``rss``, ``topic``, ``sitemap_index``, ``sitemap`` (``feed_id`` = its URL), ``results``.
+one of ``rss``, ``topic``, ``sitemap_index``, ``sitemap`` (``feed_id`` = its URL), ``results``; read back
+from :func:`captures.read_bodies` they have a ``year`` too, which prunes dated sitemaps.
 How an outlet is searched is data: the rows of the search-rule table
 (:data:`pressroom.sources.outlets.SEARCH_ROWS`) are compiled here to a union of source operators (S4-S10)
 with the keyword filters (F1-F7) and the order rules (W1, W4, W5) that the rows name.  No outlet has code of
@@ -61,7 +62,10 @@ def _source(feeds: DataFrame, r: Row, query: str, max_pages: int, year: int, red
     """The items of one rule row: page_no, feed, stub_ord, url, title, date."""
     flags, kws = set(r["flags"].split()), T.query_tokens(F.lit(query))
     mine = feeds.where(F.col("outlet_key") == r["outlet"])
-    bodies = mine.where(F.col("kind") == r["kind"]).select(*BODY, "xml")
+    bodies = mine.where(F.col("kind") == r["kind"])
+    if "years" in flags and "year" in feeds.columns:     # bodies stored by year: other years are not opened
+        bodies = bodies.where(F.col("year").between(year - max(0, max_pages - 1), year))
+    bodies = bodies.select(*BODY, "xml")
     if "paged" in flags:
         bodies = page_window(bodies, max_pages)
     if "years" in flags:
