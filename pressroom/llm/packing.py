@@ -175,7 +175,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
                 number += 1
                 if stream.held >= BLOCK:
                     yield from out(False)
-        enc.release()
         yield from out(True)
 
     pieces = stored(docs.select(id_col, text_col).mapInArrow(run, schema), "pieces")

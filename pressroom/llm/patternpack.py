@@ -223,7 +223,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 2, w
                                                      pa.array(np.concatenate(kept).astype(np.int32))))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(row), part, np.int32)), pa.array(nth)],
                                              names=[*names, "_part", "_nth"])
-        enc.release()
 
     pieces = stored(docs.select(id_col, text_col).mapInArrow(cut, schema + ", _part int, _nth long"), "pieces")
     per_part = pieces.groupBy("_part", "length").agg(F.count("*").alias("_n"))

@@ -17,7 +17,6 @@ from pressroom.llm.common import span_hashes, text_buffer
 
 U64 = np.uint64
 CACHE_CHUNKS = 1_000_000     # bound of the chunk cache of one Python worker
-KEPT_CHUNKS = 200_000       # a worker that knows more lets go of them at the end of a task
 LONG_CHUNK = 64             # longer chunks are not kept (bytes)
 JOINED = 2_000              # new chunks that are encoded as one text
 RUN_BYTES = 1 << 20         # bytes of text that are hashed and looked up at once
@@ -132,11 +131,6 @@ class Encoder:
         self.table = Table()
         self.flat, self.begin = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def release(self) -> None:
-        """Let go of the known chunks: a worker that has ended a task may next run another step."""
-        if self.table.n > KEPT_CHUNKS:
-            self._empty()
-
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         enc = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [np.array(e.ids, np.uint32) for e in enc(texts, add_special_tokens=False)]
