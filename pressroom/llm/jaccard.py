@@ -6,15 +6,16 @@ that reach the threshold share a listed shingle.  Rarity comes from a sketch of
 shingles over all documents; it only sets the order, which may be any.
 
 * Equal sets are one set (copies are linked by grouping).
-* Lists of one document are dropped.  A list is grouped by size class, so sets of too different
-  size never meet.  In the last round a pair is only verified where the places of the shingle in
-  both sets leave enough shingles behind it; lists have no blocks by place that could be skipped.
-* Bit maps of both sets bound their difference from below; a pair beyond the bound is not verified.
-* Sets of one component are not compared again (no set's answers are derived from another's): in a round each list compares its sets with one
-  set of each size class only.  Sets found similar form components, and from then on a list whose
-  sets are all in one component has nothing to tell.  What is left after ``rounds`` rounds are the pairs
-  of a list that lie in different components, which are all made; so no link between components
-  is lost, and large groups of near copies never make all their pairs.
+* First a set is only compared with the leaders of sets with an equal least shingle (in ``MINS`` orders):
+  a few pairs for each set, which find large groups of near copies without making their pairs.  Sets found
+  similar form components, and a set takes over the answers of its component: no pair within a
+  component is compared again, and a list whose sets are all in one component has nothing to tell.
+  In further rounds a few pairs of each two components that meet in a list are compared.
+* Lists of one document are dropped.  A list is grouped by size class, so sets of too different size never
+  meet.  In the last round all pairs of a list between different components are made, where the places of the
+  shingle in both sets leave enough shingles behind it and the parities of both sets' shingles in
+  ``ODD_BITS`` buckets (in the join's condition) allow it.  So no link between components is lost.
+* Bit maps and counts of both sets bound their difference from below; a pair beyond the bound is not verified.
 
 Pairs are verified on the whole sets.
 
@@ -34,11 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, KeyFilter, components, digest16, discard, doc_key,
-                                  gram_hashes, join_keys, read, row_of, slices, span_hashes, spaced, stored, words)
+                                  gram_hashes, join_keys, mix, read, row_of, slices, span_hashes, spaced, stored, words)
 
 SKETCH = 24         # log2 of the counters: rarity
 LOCAL, HOT = 4, 32  # a counter is told by a task from LOCAL on, and counts as frequent from HOT on in all
 MAP_BITS = 1024     # bit map of a set
+ODD_BITS = 512      # parities of a set's shingles in as many buckets: bounds the difference of two sets, for the join of lists
+MINS = 6            # orders of which a set's least shingle is taken
+TRIED = 4           # pairs of two components that a round compares
 COUNTED = 600       # a larger set fills its bit map, so it also has counts of its shingles in as many buckets (a byte each)
 
 
@@ -136,6 +140,12 @@ def _listed(docs: DataFrame, k: int, freq: np.ndarray, share: tuple[int, int]) -
             counts = np.minimum(np.bincount(at, minlength=b.num_rows * MAP_BITS), 255).astype(np.uint8).reshape(-1, MAP_BITS)
             maps = np.packbits(counts > 0, axis=1)
             wide = pa.array([c.tobytes() if m > COUNTED else None for c, m in zip(counts, n.tolist())], pa.binary())
+            odd = np.bincount(rows.astype(np.int64) * ODD_BITS + (g >> U64(12) & U64(ODD_BITS - 1)).astype(np.int64), minlength=b.num_rows * ODD_BITS)
+            odd = np.packbits((odd & 1).astype(np.uint8).reshape(-1, ODD_BITS), axis=1).view(np.int64)
+            some = np.flatnonzero(n)
+            mins = np.zeros((MINS, b.num_rows), U64)
+            for i in range(MINS):
+                mins[i, some] = np.minimum.reduceat(mix(g ^ mix(U64([i + 1]))), bounds[some]) if len(some) else 0
             data, heads, digests = memoryview(np.ascontiguousarray(g)).cast("B"), [], []
             for a, c in zip(bounds[:-1].tolist(), n.tolist()):
                 p = c - -(-num * c // den) + 1 if c else 0
@@ -143,9 +153,14 @@ def _listed(docs: DataFrame, k: int, freq: np.ndarray, share: tuple[int, int]) -
                 digests.append(digest16(data[8 * a: 8 * (a + c)]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(heads, pa.binary()),
-                 pa.array([m.tobytes() for m in maps], pa.binary()), wide], names=["k", "id", "n", "digest", "listed", "map", "wide"])
+                 pa.array([m.tobytes() for m in maps], pa.binary()), wide,
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(mins.T).reshape(-1).view(np.int64)), MINS).cast(pa.list_(pa.int64())),
+                 *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(odd.shape[1])]],
+                names=["k", "id", "n", "digest", "listed", "map", "wide", "mins", *[f"p{i}" for i in range(odd.shape[1])]])
 
-    return docs.select("k", "id", "text").mapInArrow(run, f"k long, id {kind}, n long, digest binary, listed binary, map binary, wide binary")
+    parities = ", ".join(f"p{i} long" for i in range(ODD_BITS // 64))
+    return docs.select("k", "id", "text").mapInArrow(
+        run, f"k long, id {kind}, n long, digest binary, listed binary, map binary, wide binary, mins array<long>, {parities}")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -248,6 +263,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
     return done
 
 
+def _leaders(reps: DataFrame) -> DataFrame:
+    """Pairs of sets that share the least shingle of one of ``MINS`` orders, one set of each (order,
+    shingle, size class) being the partner of all others and of those of the next class: at most 2 ``MINS`` pairs
+    for each set, however many are alike."""
+    rows = reps.select("k", "n", "size", F.posexplode("mins").alias("r", "m"))
+    first = rows.groupBy("r", "m", "size").agg(F.min(F.struct(F.xxhash64("k").alias("h"), "k", "n")).alias("o"))
+    first = first.select("r", "m", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("o.k").alias("b"), F.col("o.n").alias("nb"))
+    met = rows.select("r", "m", "size", F.col("k").alias("a"), F.col("n").alias("na")).join(first, ["r", "m", "size"])
+    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
+
+
 def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds: int = 2, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row for each document: _k (doc_key), id, n_shingles, component_id, the smallest id
@@ -259,39 +285,60 @@ def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds
     filled = sets.where("n > 0")
     kinds = filled.groupBy("digest").agg(F.min("k").alias("rep"))
     copies = filled.select("k", "digest").join(kinds, "digest").where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct()
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int").alias("size")
     reps = filled.join(kinds.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
-    lists = _entries(reps).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int"))
-    lists = stored(lists, "lists")
-    reps = filled.select("k", "n", "map", "wide").dropDuplicates(["k"])
+    lists = stored(_entries(reps).withColumn("size", size), "lists")
+    reps = filled.dropDuplicates(["k"])
+    one_each = kinds.select(F.col("rep").alias("k"))
 
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
+    odd = [f"p{i}" for i in range(ODD_BITS // 64)]
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in odd), F.lit(0))
+    close = apart * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs.select("a", "b").distinct(), reps, named, k, share)
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """The lists with sets of several components."""
+        of = components(links).select(F.col("node").alias("k"), "component")
+        rest = lists.join(of, "k", "left").select(
+            "shingle", "k", "n", "pos", "size", F.coalesce("component", "k").alias("component"))
+        some = rest.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+        return rest.join(some, "shingle")
+
     links = None
-    comp = None
-    rest = lists
-    for r in range(rounds + 1):
-        if r:
-            comp = components(links)
-            of = comp.select(F.col("node").alias("k"), "component")
-            rest = lists.join(of, "k", "left").withColumn("component", F.coalesce("component", "k"))
-            mixed = rest.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
-            rest = stored(rest.join(mixed, "shingle"), f"rest{r}")
-        else:
-            rest = rest.withColumn("component", F.col("k"))
-        b = rest.select("shingle", "size", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        if r < rounds:                  # one set of each size class of a list, another one each round
-            one = b.groupBy("shingle", "size").agg(F.min(F.struct(F.xxhash64("b", F.lit(r)).alias("h"), "b", "nb", "pb", "cb")).alias("o")).select("shingle", "size", "o.*").drop("h")
-        else:
-            one = b
-        near = one.select("*", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("to")).drop("size")
-        a = rest.select("shingle", F.col("size").alias("to"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        met = a.join(near, ["shingle", "to"]).where((F.col("ca") != F.col("cb")) & fits)
-        if r == rounds:
-            met = met.where(left)       # every pair is made at its first common shingle
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = _verified(pairs, reps, named, k, share)
-        links = found if links is None else links.union(found)
+    for r in range(rounds):
+        if r == 0:      # the leaders of equal least shingles
+            pairs = _leaders(reps.join(one_each, "k", "left_semi").select("k", "n", size, "mins")).where(fits)
+            links = check(pairs)
+            continue
+        # of each list, a set of each component and size class asks one set of each size class, of the component
+        # that has most sets there; of the pairs of two components few are taken
+        rest = stored(mixed(links), f"rest{r}")
+        own = rest.groupBy("shingle", "component", "size").agg(
+            F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "n")).alias("o")).select("shingle", "component", "size", "c", "o.*")
+        one = own.groupBy("shingle", "size").agg(F.min(F.struct((-F.col("c")).alias("c"), F.xxhash64("component", F.lit(r)).alias("h"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))).alias("o"))
+        one = one.select("shingle", "o.b", "o.nb", "o.cb", F.explode(F.array(F.col("size"), F.col("size") - 1, F.col("size") + 1)).alias("size"))
+        a = own.select("shingle", "size", F.col("k").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        met = a.join(one, ["shingle", "size"]).where((F.col("ca") != F.col("cb")) & fits)
+        met = met.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(
+            *[F.min(F.struct(F.xxhash64("a", "b", F.lit(i)).alias("h"), "a", "b")).alias(f"o{i}") for i in range(TRIED)])
+        met = met.select(F.explode(F.array(*[f"o{i}" for i in range(TRIED)])).alias("o"))
+        links = links.union(check(met.select(F.least("o.a", "o.b").alias("a"), F.greatest("o.a", "o.b").alias("b"))))
+        discard(rest)
+    # every pair of a list between components that place and parities leave
+    rest = mixed(links) if rounds else lists.withColumn("component", F.col("k"))
+    rest = stored(rest.join(reps.select("k", *odd), "k"), "rest")
+    side = lambda c: [F.col("k").alias(c), F.col("n").alias("n" + c), F.col("pos").alias("p" + c), F.col("component").alias("c" + c),
+                      *[F.col(p).alias(c + p) for p in odd]]
+    b = rest.select("shingle", *side("b"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("to"))
+    met = rest.select("shingle", F.col("size").alias("to"), *side("a")).join(b, ["shingle", "to"]).where((F.col("ca") != F.col("cb")) & fits & left & close)
+    found = check(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links = found if links is None else links.union(found)
+    discard(rest)
     comp = components(links.union(copies))
     of = comp.select(F.col("node").alias("k"), "component")
     every = sets.select("k", "id", "n").join(of, "k", "left").withColumn("component", F.coalesce("component", "k"))
