@@ -127,3 +127,36 @@ def test_decode_entities(spark):
             ("plain", "plain"), (None, None), ("&", "&"), ("", "")]
     df = spark.createDataFrame(rows, "a string, b string").withColumn("c", decode_entities(F.col("a")))
     assert [(r.c, r.b) for r in df.collect() if r.c != r.b] == []
+
+
+def test_pages_are_parsed_in_pieces():
+    """One batch, however many pages it holds, is parsed and handed on some bytes at a time."""
+    import pyarrow as pa
+
+    from pressroom.operators.htmlblocks import PIECE, pages_to_arrow, parse_pieces
+
+    html = "<ol>" + "<li class='c-headline'><a href='https://folha.uol.com.br/x'>título</a></li>" * 1500 + "</ol>"
+    pages = [None, "", html, "<p>" + "x" * (2 * PIECE) + "</p>", *[html] * 40, None]
+    batch = pa.array(["skipped", *pages]).slice(1)
+    size = [len(p.encode()) if p else 0 for p in pages]
+    got, at = [], 0
+    for part in parse_pieces(iter([batch, batch.slice(0, 0)])):
+        assert len(part) == 1 or sum(size[at: at + len(part)]) <= PIECE
+        got += part.to_pylist()
+        at += len(part)
+    assert got == pages_to_arrow(pages).to_pylist()
+
+
+def test_pieces_of_a_batch_keep_their_rows(spark):
+    """All pages of a task in one Arrow batch, which is several pieces: each row gets its own page's elements."""
+    from pressroom.operators.htmlblocks import html_page
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        d = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('<p>', repeat(cast(id as string), 300), '</p>', repeat('<b>y</b>', 20)) as html")
+        pg = d.select("id", html_page("html").alias("pg")).selectExpr("id", "size(pg.els) as n", "pg.nodes[0] = repeat(cast(id as string), 300) as same")
+        assert pg.where("n = 21 and same").count() == 3000
+    finally:
+        spark.conf.set(name, before)
