@@ -194,6 +194,43 @@ def dom_dispatch(df: DataFrame, lane: str = "lane", html: str = "html", min_char
     return d.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("_failed")
 
 
+def dom_each(df: DataFrame, lanes: str = "_lanes", html: str = "html", parsed: str = "_pg", rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """X18 for pages that several DOM lanes ask for: the page's row meets all its lanes, so neither the page nor its
+    parse (column ``parsed``: :func:`html_page` with the same ``rules``) is repeated for each.
+
+    ``lanes`` holds structs with ``lane`` and ``min_chars``; a row comes out for each of them.  If they have a
+    ``first`` (a value in whose order the page's lanes are asked), only the first lane that is ``ok`` brings its
+    text and summary; the others' are null, as no one reads them.
+    """
+    cols = [c for c in df.columns if c not in (lanes, html, parsed)]
+    pg = F.col(parsed)
+    d = df.withColumn("_b", pg["els"]).withColumn("_n", pg["nodes"]).withColumn("_failed", pg["failed"]).drop(parsed)
+    for name, (fn, _) in LANE_FUNCS.items():
+        d = fn(d, F.array_contains(F.col(lanes)["lane"], name), rules, "_b", html, "_n")
+    keys = ("title", "date", "text", "summary")
+    had = [F.col(f"`{p}.{k}`") for _, p in LANE_FUNCS.values() for k in keys]
+    d = d.select(*cols, lanes, (~F.col("_failed") & (F.col(html) != "")).alias("_page"), *had)
+
+    def of(lane: Column, k: str) -> Column:
+        return F.coalesce(*[F.when(lane == name, F.col(f"`{p}.{k}`")) for name, (_, p) in LANE_FUNCS.items()])
+
+    def ok(x: Column) -> Column:
+        return F.coalesce(F.col("_page") & (of(x["lane"], "text") != "") & (F.length(of(x["lane"], "text")) >= x["min_chars"]), F.lit(False))
+
+    ranked = "first" in df.schema[lanes].dataType.elementType.names
+    best = F.array_min(F.transform(F.filter(lanes, ok), lambda x: x["first"])) if ranked else F.lit(True)
+    x = F.col("_x")
+    # the lanes' columns are made before the rows multiply, and are read by plain columns only
+    d = d.withColumn("_best", best).select(*cols, "_page", "_best", *had, F.explode(lanes).alias("_x"))
+    d = d.select(*cols, x["lane"].alias("lane"), x["min_chars"].alias("min_chars"), *[of(x["lane"], k).alias(k) for k in keys],
+                 ok(x).alias("ok"), *([(x["first"] <= F.col("_best")).alias("_read")] if ranked else []))
+    if ranked:
+        for k in ("text", "summary"):
+            d = d.withColumn(k, F.when(F.col("ok") & F.col("_read"), F.col(k)))
+        d = d.drop("_read")
+    return d
+
+
 def links(pages: DataFrame, html: str = "html", rules: RuleSet = DEFAULT_RULES, item: tuple[str, str] = ("folha", "item")) -> DataFrame:
     """The link table of captured pages, one parse each: every ``<a href>`` in document order with its
     decoded href, its text and the number of the result item around it (0: none)."""

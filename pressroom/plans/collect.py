@@ -66,11 +66,13 @@ def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> D
     """(url, lane, min_chars) -> lane columns; a missing page is a failed fetch.
 
     Regex lanes run as one projection; DOM lanes (a Python parser) only see
-    the rows routed to them, and only when ``with_dom``.
+    the rows routed to them, and only when ``with_dom``.  ``keys`` may have a column ``first``, in whose order the
+    keys of a URL are asked: of its DOM lanes, then only the first ``ok`` one has a text and a summary.
     """
     cols = ["url", "lane", "min_chars", "title", "date", "text", "summary", "ok"]
     # one page lookup for all lanes of a URL (the list is bounded by the number of lanes)
-    lanes = keys.groupBy("url").agg(F.collect_set(F.struct("lane", "min_chars")).alias("_lanes"))
+    asked = [c for c in ("lane", "min_chars", "first") if c in keys.columns]
+    lanes = keys.groupBy("url").agg(F.collect_set(F.struct(*asked)).alias("_lanes"))
     d = lanes.join(wanted_pages(keys, pages), "url", "left").fillna({"html": ""})
     each = lambda x: x.withColumn("_l", F.explode("_lanes")).withColumn("lane", F.col("_l.lane")).withColumn(
         "min_chars", F.col("_l.min_chars")).drop("_l", "_lanes")
@@ -79,12 +81,12 @@ def extract_pages(keys: DataFrame, pages: DataFrame, with_dom: bool = True) -> D
     out = LN.regex_dispatch(regex, "lane", "html", "url", "min_chars")
     out = out.withColumn("ok", F.col("ok") & (F.col("html") != "")).select(*cols)
     if with_dom:
-        from pressroom.operators.domlanes import DEFAULT_RULES, dom_dispatch
+        from pressroom.operators.domlanes import DEFAULT_RULES, dom_each
         from pressroom.operators.htmlblocks import html_page
         # each page is parsed once, whatever number of DOM lanes asks for it
         dom = d.withColumn("_lanes", of(LN.DOM_LANES)).where(F.size("_lanes") > 0)
-        dom = each(dom.withColumn("_pg", html_page(F.col("html"), DEFAULT_RULES)))
-        out = out.unionByName(dom_dispatch(dom, parsed="_pg").select(*cols))
+        dom = dom.withColumn("_pg", html_page(F.col("html"), DEFAULT_RULES))
+        out = out.unionByName(dom_each(dom).select(*cols))
     return out
 
 
@@ -94,7 +96,9 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
     s = attach_outlets(stubs, selected)
     s = mark_known(s, store)
 
-    keys = s.where(~F.col("in_store")).select("url", "lane", "min_chars").distinct()
+    # a URL's winner is the ok lane whose stub comes first: of its lanes, the text of that one is stored and moved
+    order = F.struct(*[F.col(k) for k in ORDER])
+    keys = s.where(~F.col("in_store")).groupBy("url", "lane", "min_chars").agg(F.min(order).alias("first"))
     # The extraction is the costly step and feeds both the winner aggregate and
     # the rows joined back to it: computed once, written to the checkpoint folder.
     ex = materialize(extract_pages(keys, pages, with_dom))
@@ -106,7 +110,6 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
     c = (c.withColumn("a_title", T.first_nonempty(F.col("x_title"), F.col("title")))
           .withColumn("a_date", T.first_nonempty(F.col("x_date"), F.col("date"))))
 
-    order = F.struct(*[F.col(k) for k in ORDER])
     first_ok = (c.where("ok").groupBy("url").agg(F.min(order).alias("w")))
     c = (c.join(first_ok, "url", "left")
           .withColumn("is_winner", F.col("ok") & (order == F.col("w")))
@@ -119,7 +122,7 @@ def collect(stubs: DataFrame, pages: DataFrame, selected: DataFrame, store: Data
         base = store.agg(F.coalesce(F.max("row_num"), F.lit(0)) + 1).scalar()
     # only the order keys are numbered; a URL has one winner, which gets its number back by its URL
     numbers = number_rows(c.where("is_winner").select(*ORDER, "url").distinct(), ORDER, base=base).select("url", "row_num")
-    bodies = ex.where("ok").select("url", "lane", "min_chars", "text", "summary")
+    bodies = ex.where("ok and text is not null").select("url", "lane", "min_chars", "text", "summary")
     numbered = c.where("is_winner").dropDuplicates(["url"]).join(numbers, "url").join(bodies, ["url", "lane", "min_chars"])
     articles = numbered.select(
         "row_num", F.col("a_date").alias("date"), F.col("outlet_name").alias("outlet"),

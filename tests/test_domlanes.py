@@ -160,3 +160,41 @@ def test_pieces_of_a_batch_keep_their_rows(spark):
         assert pg.where("n = 21 and same").count() == 3000
     finally:
         spark.conf.set(name, before)
+
+
+def test_collect_moves_the_text_of_one_lane(spark, monkeypatch):
+    """Three DOM lanes ask for the same pages: one text of each page is stored, that of the first outlet whose lane is ok."""
+    from pressroom.plans import collect as C
+    from pressroom.sources.outlets import outlets_df, select_outlets
+
+    para = "<p>Texto do corpo com bastante conteúdo. " + "z" * 400 + "</p>"
+    html = {"https://x.example/all": f"<body><h1>T</h1><div class='c-news__body article__content-container post-content'>{para}</div></body>",
+            "https://x.example/short": "<body><div class='c-news__body'><p>Curto demais aqui.</p></div><div class='article__content-container'>" + para + "</div></body>",
+            "https://x.example/none": "<body></body>"}
+    pages = spark.createDataFrame(list(html.items()), "url string, html string")
+    rows = [(k, 1, i, u, "", "") for k in ("folha", "globo", "piaui") for i, u in enumerate([*html, "https://x.example/missing"])]
+    stubs = spark.createDataFrame(rows, "outlet_key string, page_no int, stub_ord int, url string, title string, date string")
+    store = spark.createDataFrame([], "row_num long, url string")
+    kept = []
+    real = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: kept.append(real(df)) or kept[-1])
+    for keys in ("folha,globo,piaui", "piaui,globo,folha"):
+        kept.clear()
+        sel = select_outlets(outlets_df(spark), keys)
+        res = C.collect(stubs, pages, sel, store, with_dom=True)
+        ex = {(r.url, r.lane): r for r in kept[0].collect()}
+        assert len(ex) == 12
+        plain = C.extract_pages(C.attach_outlets(stubs, sel).select("url", "lane", "min_chars").distinct(), pages, True)
+        want = {(r.url, r.lane): r for r in plain.collect()}
+        for k, r in want.items():
+            assert (ex[k].ok, ex[k].title, ex[k].date) == (r.ok, r.title, r.date)
+        turn = {r.lane: r.sel_ord for r in sel.select("lane", "sel_ord").collect()}
+        first = {}
+        for (u, lane), r in sorted(want.items(), key=lambda x: turn[x[0][1]]):
+            if r.ok:
+                first.setdefault(u, lane)
+        assert first
+        for (u, lane), r in ex.items():
+            assert (r.text, r.summary) == ((want[u, lane].text, want[u, lane].summary) if first.get(u) == lane else (None, None))
+        num = {r.row_num: r.url for r in res.articles.collect()}
+        assert {num[r.row_num]: r.text for r in res.texts.collect()} == {u: want[u, lane].text for u, lane in first.items()}
