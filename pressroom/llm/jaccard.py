@@ -11,10 +11,14 @@ shingles over all documents; it only sets the order, which may be any.
   similar form components, and a set takes over the answers of its component: no pair within a
   component is compared again, and a list whose sets are all in one component has nothing to tell.
   In further rounds a few pairs of each two components that meet in a list are compared.
-* Lists of one document are dropped.  A list is grouped by size class, so sets of too different size never
+* Lists of one document are dropped.  Of lists of the same sets (a passage that stands in several documents
+  makes one for each of its listed shingles) only the first in the order of shingles stays: their sets all meet
+  there, with the most shingles behind it.
+* A list is grouped by size class, so sets of too different size never
   meet.  In the last round all pairs of a list between different components are made, where the places of the
   shingle in both sets leave enough shingles behind it and the parities of both sets' shingles in
-  ``ODD_BITS`` buckets (in the join's condition) allow it.  So no link between components is lost.
+  ``ODD_BITS`` buckets (in the join's condition) allow it.  So no link between components is lost.  Two sets
+  do not meet again in a list if one of the ``BEFORE`` lists before it is the same in both: they met there.
 * Bit maps and counts of both sets bound their difference from below; a pair beyond the bound is not verified.
 
 Pairs are verified on the whole sets.
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressroom.llm.common import (LOWER, LOWER_AZ, NON_SPACE, U64, UPPER_AZ, KeyFilter, components, digest16, discard, doc_key,
@@ -43,6 +47,7 @@ MAP_BITS = 1024     # bit map of a set
 ODD_BITS = 512      # parities of a set's shingles in as many buckets: bounds the difference of two sets, for the join of lists
 MINS = 6            # orders of which a set's least shingle is taken
 TRIED = 4           # pairs of two components that a round compares
+BEFORE = 4          # lists of a set looked back at, for whether two sets have met
 COUNTED = 600       # a larger set fills its bit map, so it also has counts of its shingles in as many buckets (a byte each)
 
 
@@ -207,6 +212,15 @@ def _entries(sets: DataFrame) -> DataFrame:
     return rows.select("shingle", "k", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("pos"))
 
 
+def _first_of_equal(lists: DataFrame) -> DataFrame:
+    """Of lists with the same sets (told by 128 bits and their number) the first in the order of shingles, which
+    all sets share: there each of the sets has its least place, so the sum of places is least."""
+    told = lists.groupBy("shingle").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"),
+                                        F.sum("pos").alias("places"))
+    first = told.groupBy("c", "x", "y").agg(F.min(F.struct("places", "shingle")).alias("o")).select("o.shingle")
+    return lists.join(first, "shingle", "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Those of the distinct pairs (a, b) that reach the threshold."""
     num, den = share
@@ -274,6 +288,18 @@ def _leaders(reps: DataFrame) -> DataFrame:
     return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
 
 
+def _met(rest: DataFrame, may: Column) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a list of ``rest`` and that ``may`` allows."""
+    side = lambda c: [F.col("k").alias(c), F.col("n").alias("n" + c), F.col("pos").alias("p" + c), F.col("component").alias("c" + c),
+                      F.col("before").alias("before" + c), *[F.col(f"p{i}").alias(f"{c}p{i}") for i in range(ODD_BITS // 64)]]
+    a = rest.select("shingle", F.col("size").alias("to"), *side("a"))
+    b = rest.select("shingle", *side("b"), F.col("size").alias("sb"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("to"))
+    once = (F.col("to") < F.col("sb")) | (F.col("a") < F.col("b"))
+    new = ~F.arrays_overlap("beforea", "beforeb")
+    met = a.join(b, ["shingle", "to"]).where((F.col("ca") != F.col("cb")) & once & may & new)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds: int = 2, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row for each document: _k (doc_key), id, n_shingles, component_id, the smallest id
@@ -287,7 +313,9 @@ def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds
     copies = filled.select("k", "digest").join(kinds, "digest").where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b")).distinct()
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int").alias("size")
     reps = filled.join(kinds.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
-    lists = stored(_entries(reps).withColumn("size", size), "lists")
+    entries = stored(_entries(reps).withColumn("size", size), "entries")
+    lists = stored(_first_of_equal(entries), "lists")
+    discard(entries)
     reps = filled.dropDuplicates(["k"])
     one_each = kinds.select(F.col("rep").alias("k"))
 
@@ -331,12 +359,9 @@ def similar(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), rounds
         discard(rest)
     # every pair of a list between components that place and parities leave
     rest = mixed(links) if rounds else lists.withColumn("component", F.col("k"))
-    rest = stored(rest.join(reps.select("k", *odd), "k"), "rest")
-    side = lambda c: [F.col("k").alias(c), F.col("n").alias("n" + c), F.col("pos").alias("p" + c), F.col("component").alias("c" + c),
-                      *[F.col(p).alias(c + p) for p in odd]]
-    b = rest.select("shingle", *side("b"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("to"))
-    met = rest.select("shingle", F.col("size").alias("to"), *side("a")).join(b, ["shingle", "to"]).where((F.col("ca") != F.col("cb")) & fits & left & close)
-    found = check(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    before = F.collect_list("shingle").over(Window.partitionBy("k").orderBy("pos").rowsBetween(-BEFORE, -1))
+    rest = stored(rest.withColumn("before", before).join(reps.select("k", *odd), "k"), "rest")
+    found = check(_met(rest, fits & left & close))
     links = found if links is None else links.union(found)
     discard(rest)
     comp = components(links.union(copies))

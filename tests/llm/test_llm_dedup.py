@@ -205,6 +205,33 @@ def test_ngram_join_without_star_rounds_agrees(spark):
     assert a == b
 
 
+def test_ngram_join_sets_of_one_passage_meet_once(spark, monkeypatch):
+    """Texts that share a passage, which is not enough to link them: its shingles make one list for each group of
+    the same texts, and two texts do not meet again in list after list."""
+    from pressroom.llm import jaccard
+
+    g = random.Random(11)
+    v = vocabulary(11, 3000)
+    fresh = lambda n: " ".join(g.choice(v) for _ in range(n))
+    texts = [" ".join([fresh(g.randint(260, 300)), passage, fresh(5)]) for passage in (fresh(700), fresh(700)) for _ in range(12)]
+    near = texts[0].split()
+    near[3] = "other"
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, " ".join(near)])]
+    met, lists = [], []
+    told, kept = jaccard._met, jaccard._first_of_equal
+    monkeypatch.setattr(jaccard, "_met", lambda *x: met.append(told(*x)) or met[0].localCheckpoint())
+    monkeypatch.setattr(jaccard, "_first_of_equal", lambda x: lists.append([r.k for r in kept(x).groupBy("shingle").agg(
+        F.sort_array(F.collect_list("k")).alias("k")).collect()]) or kept(x))
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "discard", lambda *x: None)
+    got = jaccard.similar(frame(spark, rows)).collect()
+    assert sorted([(r.id, r.n_shingles, r.component_id) for r in got], key=str) == brute_sets(rows)
+    assert len(lists[0]) == len({tuple(x) for x in lists[0]})
+    pairs = met[0].count()
+    assert pairs and pairs <= 3 * met[0].distinct().count()
+
+
 def brute_hits(rows, items, size=10):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(AZ))
     windows = {}
