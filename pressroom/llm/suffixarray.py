@@ -21,14 +21,14 @@ def eight(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes.
+    """Positions in the order of their suffixes (of fewer than 2**30 bytes).
 
     Groups of equal prefix are refined by the group numbers h places on, h doubling; a group that
     has become single is never sorted again.
     """
     n = len(text)
     key = eight(text)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     k = key[sa]
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
@@ -41,16 +41,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     todo = np.flatnonzero(~single)                 # places in sa that lie in a group of several
     while len(todo):
         pos = sa[todo]
-        g = group[pos]
         # a suffix that ends within h bytes comes before what it is a beginning of, the shortest first
-        nxt = np.where(pos + h < n, group[np.minimum(pos + h, n)], n - pos - h - 1)
-        order = np.lexsort((pos, nxt, g))          # places of a group stay together
-        sa[todo] = pos[order]
-        g, nxt = g[order], nxt[order]
+        nxt = np.where(pos + h < n, group[np.minimum(pos + h, n)] + h, n - pos - 1)
+        # one number, sorted faster than two; places of a group stay together
+        key = group[pos].astype(np.uint64) << np.uint64(32) | nxt.astype(np.uint64)
+        order = np.argsort(key)
+        pos, key = pos[order], key[order]
+        sa[todo] = pos
         new = np.ones(len(todo), bool)
-        new[1:] = (g[1:] != g[:-1]) | (nxt[1:] != nxt[:-1])
+        new[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(new)
-        group[sa[todo]] = np.repeat(todo[first], np.diff(np.append(first, len(todo))))
+        group[pos] = np.repeat(todo[first], np.diff(np.append(first, len(todo))))
         single = new & np.append(new[1:], True)
         todo = todo[~single]
         h *= 2

@@ -155,6 +155,22 @@ def test_suffix_array_and_common_prefixes():
             assert lcp[r] == n
 
 
+def test_suffix_array_sorts_one_number_a_round(monkeypatch):
+    """The rounds of the refinement sort one 64-bit key, no three columns by stable sorts."""
+    import numpy as np
+
+    from pressroom.llm import suffixarray
+
+    def refused(*x, **y):
+        raise AssertionError("sorted by several columns")
+
+    monkeypatch.setattr(suffixarray.np, "lexsort", refused)
+    t = np.random.default_rng(3).integers(97, 100, 3000).astype(np.uint8)
+    t[2000:] = t[:1000]
+    b = t.tobytes()
+    assert suffixarray.suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
