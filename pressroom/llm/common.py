@@ -296,11 +296,12 @@ class KeyFilter:
         bits[got["w"].to_numpy()] = got["v"].to_numpy()
         self.sent = keys.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
 
-    def split(self, docs: DataFrame, flagged: bool, key: str = "_k") -> DataFrame:
-        """The rows of ``docs`` that are (or are not) flagged."""
+    def split(self, docs: DataFrame, flagged: bool, key: str = "_k", then=None, schema: str | None = None) -> DataFrame:
+        """The rows of ``docs`` that are (or are not) flagged, or what ``then`` makes of their batches: in the
+        same Python worker, not in one more for each task."""
         sent = self.sent
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zlib
 
             table = np.frombuffer(zlib.decompress(sent.value), U64)
@@ -311,7 +312,23 @@ class KeyFilter:
                 if take.any():
                     yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(take))
 
-        return docs.withColumn("_h", F.xxhash64(F.col(key), F.lit(8))).mapInArrow(run, docs.schema)
+        return docs.withColumn("_h", F.xxhash64(F.col(key), F.lit(8))).mapInArrow(
+            (lambda batches: then(kept(batches))) if then else kept, schema or docs.schema)
+
+    def flagged(self, key: str = "_k") -> Column:
+        """Whether the row is flagged; only the key's hash goes to Python and only the flag comes back."""
+        sent = self.sent
+
+        def run(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            import zlib
+
+            table = np.frombuffer(zlib.decompress(sent.value), U64)
+            for col in hashes:
+                h = col.to_numpy().view(U64) >> U64(64 - FILTER_BITS)
+                yield pa.array((table[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1)
+
+        run.__annotations__ = {"hashes": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "boolean")(F.xxhash64(F.col(key), F.lit(8)))
 
 
 def with_some(docs: DataFrame, some: DataFrame, key: str = "_k", other: str = "k") -> DataFrame:
@@ -328,8 +345,8 @@ def with_some(docs: DataFrame, some: DataFrame, key: str = "_k", other: str = "k
 
 
 def without(docs: DataFrame, keys: DataFrame, key: str = "_k", other: str = "k") -> DataFrame:
-    """The rows of ``docs`` whose key is not in ``keys``; only rows that may be are shuffled."""
-    f = KeyFilter(keys, other)
+    """The rows of ``docs`` whose key is not in ``keys``; only rows that may be are shuffled, and texts stay in the JVM."""
+    flag = KeyFilter(keys, other).flagged(key)
     right = keys.select(F.col(other).alias("_other")).distinct()
-    hit = f.split(docs, True, key).join(right, F.col(key) == F.col("_other"), "left_anti")
-    return hit.unionByName(f.split(docs, False, key))
+    hit = docs.where(flag).join(right, F.col(key) == F.col("_other"), "left_anti")
+    return hit.unionByName(docs.where(~flag))

@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, share:
                 [c.column(0), pa.array([bytes(data[8 * x: 8 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())],
                 names=["k", "s"])
 
-    full = KeyFilter(asked).split(docs.select("k", "text"), True, "k").mapInArrow(whole, "k long, s binary")
+    full = KeyFilter(asked).split(docs.select("k", "text"), True, "k", whole, "k long, s binary")
     full = stored(full.join(asked, "k", "left_semi").dropDuplicates(["k"]), "sets")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,27 @@ def test_decontaminate_brute_force(spark, bound, monkeypatch):
     assert sorted([(r.doc_id, r.n_words, max(r.n_hit, 0), sorted(r["items"] or [])) for r in got], key=str) == brute_hits(rows, items)
 
 
+def test_key_filter_keeps_texts_in_the_jvm(spark):
+    """``without`` sends hashes to Python, no texts; a split with a step after it takes one Python worker for both."""
+    import pyarrow as pa
+
+    from pressroom.llm.common import KeyFilter, without
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "_k long, text string")
+    keys = spark.createDataFrame([(i,) for i in (3, 7, 7, 200)], "k long")
+    rest = without(docs, keys)
+    assert sorted(r._k for r in rest.collect()) == [i for i in range(50) if i not in (3, 7)]
+    assert "MapInArrow" not in rest._jdf.queryExecution().toString()
+
+    def twice(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([2 * x for x in b.column(0).to_pylist()], pa.int64())], names=["x"])
+
+    two = KeyFilter(keys).split(docs, True, "_k", twice, "x long")
+    assert {6, 14} <= {r.x for r in two.collect()} <= {2 * i for i in range(50)}
+    assert two._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_empty_tables(spark):
     from pressroom.llm import bytededup, decontam, jaccard, substring
 
