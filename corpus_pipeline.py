@@ -38,12 +38,13 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # by the component, not by its smallest id, which another component may share
     keep = groups.groupBy("component").agg(first.alias("first")).select("component", F.col("first._k").alias("keep"))
     gone = stored(groups.join(keep, "component").where("_k <> keep").select(F.col("_k").alias("k")).distinct(), "gone")
-    rest = without(docs.select(doc_key().alias("_k"), *COLUMNS), gone)
+    named = docs.select(doc_key().alias("_k"), *COLUMNS)
+    rest = without(named, gone)
     # rows repeated whole share a key: one of them stays (rows without words stay all)
     again = groups.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_k").alias("k"))
     again = stored(again, "again")
     repeated = rest.join(again.withColumnRenamed("k", "_k"), "_k", "left_semi").dropDuplicates(["_k"]) if again.head(1) else None
-    out = rest if repeated is None else without(rest, again).unionByName(repeated)
+    out = rest if repeated is None else without(named, gone.union(again)).unionByName(repeated)      # one filter, not two on each other
     return out.select(*COLUMNS)
 
 

@@ -266,10 +266,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     run_pa = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     ctx_pa = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("shard", pa.int64()), ("part", pa.int64()),
                                  ("split", pa.bool_()), ("lone", pa.bool_()), ("bytes", pa.binary())]))
-    most = with_some(rows, per_doc).select("_k", "id", "text", "runs", "asks")
-    most = stored(most.mapInArrow(settle, final + ", data binary, runs array<struct<a:long,b:long>>, contexts "
-                                  "array<struct<lo:long,hi:long,shard:long,part:long,split:boolean,lone:boolean,bytes:binary>>"), "settled")
-
+    most = stored(with_some(rows, per_doc, settle, final + ", data binary, runs array<struct<a:long,b:long>>, contexts "
+                            "array<struct<lo:long,hi:long,shard:long,part:long,split:boolean,lone:boolean,bytes:binary>>"), "settled")
     discard(found, kinds)
     contexts = most.select("_k", F.explode("contexts").alias("c")).select(
         "c.shard", "c.part", F.col("_k").alias("k"), "c.lo", "c.split", "c.lone", "c.bytes")
@@ -291,8 +289,8 @@ def dedup_bytes(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
 
     cols = ["_k", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
     rest = most.where("data is not null").select("_k", "id", "data", "runs")
-    rest = with_some(rest, stored(ends, "ends")).select("_k", "id", "data", "runs", "hits")
-    return most.where("data is null").select(*cols).union(rest.mapInArrow(finish, final).select(*cols))
+    rest = with_some(rest, stored(ends, "ends"), finish, final)
+    return most.where("data is null").select(*cols).union(rest.select(*cols))
 
 
 def q_op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,8 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one holds few bytes of text (a longer single row stays whole)."""
+    """Cut batches so that one holds few bytes of text (a longer single row stays whole).  At the end
+    Arrow gives back the memory that it keeps for later batches: Spark's Python workers outlive their task."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -174,6 +175,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + max_bytes, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    b = None
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -331,17 +334,19 @@ class KeyFilter:
         return F.arrow_udf(run, "boolean")(F.xxhash64(F.col(key), F.lit(8)))
 
 
-def with_some(docs: DataFrame, some: DataFrame, key: str = "_k", other: str = "k") -> DataFrame:
-    """Left join of ``docs`` with ``some`` (one row for each key) that shuffles only the documents
-    which may have a row there."""
+def with_some(docs: DataFrame, some: DataFrame, then, schema: str, key: str = "_k", other: str = "k") -> DataFrame:
+    """What ``then`` makes of the batches of the left join of ``docs`` with ``some`` (one row for each key; its
+    columns come last).  Only the documents which may have a row there are shuffled, and no task runs the filter
+    and ``then`` in two Python workers: an executor keeps as many workers as it once had, each with its memory."""
     f = KeyFilter(some, other)
     right = some.withColumnRenamed(other, "_other")
-    hit = f.split(docs, True, key).join(right, F.col(key) == F.col("_other"), "left").drop("_other")
-    rest = f.split(docs, False, key)
+    # a broadcast join would put the filter and ``then`` into one task
+    hit = f.split(docs, True, key).join(right.hint("merge"), F.col(key) == F.col("_other"), "left").drop("_other")
+    rest = docs
     for c in right.columns:
         if c != "_other":
             rest = rest.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
-    return hit.unionByName(rest)
+    return hit.mapInArrow(then, schema).unionByName(f.split(rest, False, key, then, schema))
 
 
 def without(docs: DataFrame, keys: DataFrame, key: str = "_k", other: str = "k") -> DataFrame:

@@ -158,8 +158,7 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
                     "windows": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)}
             yield _result(b, w, kept, texts, [x == y for x, y in zip(bounds[:-1], bounds[1:])], more)
 
-    most = with_some(rows, spans).select("_k", "id", "text", "carried", "spans")
-    most = stored(most.mapInArrow(settle, schema), "settled")
+    most = stored(with_some(rows, spans, settle, schema), "settled")
     discard(found)
 
     # the ends of repeats, window by window
@@ -178,8 +177,8 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
 
     cols = ["_k", "id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []), *(["carried"] if carry else [])]
     rest = most.where("text is not null").select("_k", "id", "text", "carried", "done")
-    rest = with_some(rest, stored(hits.withColumnRenamed("_k", "k"), "ends")).select("_k", "id", "text", "carried", "done", "hits")
-    rest = rest.mapInArrow(finish, f"_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string, carried {kind}")
+    rest = with_some(rest, stored(hits.withColumnRenamed("_k", "k"), "ends"), finish,
+                     f"_k long, id long, n_words long, n_removed long, kept_sha256 string, kept string, carried {kind}")
     return most.where("text is null").select(*cols).union(rest.select(*cols))
 
 

@@ -120,8 +120,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True      # their strings in a text are ordinary text, if not asked for
-        self.marked = Tokenizer.from_file(path) if special_tokens else None
-        self.marks = [t.content.encode() for t in self.marked.get_added_tokens_decoder().values()] if special_tokens else []
+        self.marks = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()] if special_tokens else []
         self.size = self.tok.get_vocab_size()
         self.led_by_space = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.size)])
         self.ends: np.ndarray | None = None
@@ -135,6 +134,14 @@ class Encoder:
         enc = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         return [np.array(e.ids, np.uint32) for e in enc(texts, add_special_tokens=False)]
 
+    def _marked(self, text: str) -> np.ndarray:
+        """The ids of a text with the added tokens that it holds."""
+        self.tok.encode_special_tokens = False     # for this text only: the file need not be held twice
+        try:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        finally:
+            self.tok.encode_special_tokens = True
+
     def _chunk_ids(self, chunks: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks one after the other, and how many each has.  Chunks of a space and
         a word (``words``) are encoded many in one text, where an id that begins with a space begins a chunk."""
@@ -190,7 +197,7 @@ class Encoder:
                 if at + len(mark) <= offs[i + 1]:
                     if i not in whole:
                         text = buf[offs[i]: offs[i + 1]].tobytes().decode()
-                        whole[i] = np.array(self.marked.encode(text, add_special_tokens=False).ids, np.uint32)
+                        whole[i] = self._marked(text)
                     at = data.find(mark, int(offs[i + 1]))
                 else:
                     at = data.find(mark, at + 1)

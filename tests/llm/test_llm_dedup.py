@@ -306,6 +306,42 @@ def test_key_filter_keeps_texts_in_the_jvm(spark):
     assert two._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def python_steps_in_a_task(df):
+    """The most Python steps that stand one on the other without an exchange between them."""
+    def walk(node, above):
+        name = node.nodeName()
+        above = 0 if "Exchange" in name else above + ("Python" in name or "Arrow" in name)
+        below = node.children()
+        return max([above, *(walk(below.apply(i), above) for i in range(below.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan(), 0)
+
+
+@pytest.mark.parametrize("operator", ["substring", "bytededup"])
+def test_a_task_has_one_python_worker(spark, monkeypatch, operator):
+    """A task with two Python steps holds two workers, and an executor keeps them for all that follows."""
+    import importlib
+
+    module = importlib.import_module(f"pressroom.llm.{operator}")
+    long = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{i} {long} {i}" if i % 3 else f"lone {i}") for i in range(12)], "doc_id long, text string")
+    most, stored = {}, module.stored
+
+    def seen(df, name, **more):
+        most[name] = python_steps_in_a_task(df)
+        return stored(df, name, **more)
+
+    monkeypatch.setattr(module, "stored", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")        # the plan with its exchanges, before it runs
+    try:
+        out = module.dedup(docs) if operator == "substring" else module.dedup_bytes(docs)
+        most["out"] = python_steps_in_a_task(out)
+        assert out.count() == 12
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert most["settled"] == 1 and max(most.values()) == 1, most
+
+
 def test_empty_tables(spark):
     from pressroom.llm import bytededup, decontam, jaccard, substring
 

@@ -83,6 +83,35 @@ def test_pack_special_tokens_as_the_file_has_them(spark):
     assert got == want and 50256 in got[0]
 
 
+def test_encoder_reads_its_file_once(monkeypatch):
+    """One tokenizer serves texts with and without marks, whichever comes first."""
+    import public_tokenizers
+    import tokenizers
+
+    from pressroom.llm.tokens import Encoder
+
+    path, read = public_tokenizers.path("byte_bpe_50k.json"), []
+
+    class Counted:
+        @staticmethod
+        def from_file(p):
+            read.append(p)
+            return real.from_file(p)
+
+    real = tokenizers.Tokenizer
+    whole = real.from_file(path)
+    mark = next(t.content for t in whole.get_added_tokens_decoder().values())
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    enc, plain = Encoder(path, True), Encoder(path)
+    assert len(read) == 2                                # one for each encoder
+    texts = [f"a text {mark} with a mark", "and one without", mark, f"{mark}{mark} at the end {mark}"]
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert enc.tok.encode_special_tokens             # as ordinary text again
+    whole.encode_special_tokens = True
+    assert [x.tolist() for x in plain.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_op9_query_special_tokens(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
